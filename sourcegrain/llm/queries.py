@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality
+from . import html, licenses, mixing, packing, quality, toxicity, vectors
 from .common import table
 
 RESULT_1 = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -18,6 +18,22 @@ def op3_source_mixing(spark, sf_dir):
     return mixing.taken_words(mixing.curriculum_mix(table(spark, sf_dir, "documents")))
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_exact_top_k(spark, sf_dir):
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -27,4 +43,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_source_mixing": mixing.SQL, "op10_license_scan": licenses.SQL}
+    return {"op3_source_mixing": mixing.SQL, "op6_exact_top_k": vectors.SQL, "op10_license_scan": licenses.SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html, licenses, mixing, packing, quality, toxicity, vectors
+from . import html, jaccard, licenses, mixing, packing, quality, toxicity, vectors
 from .common import table
 
 RESULT_1 = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -22,6 +22,10 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_exact_top_k(spark, sf_dir):
     return vectors.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 

@@ -8,6 +8,7 @@ smallest. The state of a shard is its open bins, so memory stays bounded.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_batches, text_bytes
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +28,8 @@ END_ID = 0
 SHARD_ROWS = 100_000
 #: Distinct words whose ids a task remembers.
 CACHE_WORDS = 600_000
+#: Bytes of text whose words are looked up together.
+BATCH_BYTES = 2 << 20
 
 _TAIL = ".,!?;:"
 
@@ -43,6 +46,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one thread
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -70,38 +74,38 @@ class WordTokenizer:
         return out
 
     def learn(self, missing: set[bytes]) -> None:
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-        split, cores, other = [], set(), []
+        """Encode words that aren't known; "Word," as the known or new "word" and its tail."""
+        cache, split, cores, other = self.cache, [], set(), []
         for word in missing:
             text = word.decode("utf-8", "replace")
             core = text.rstrip(_TAIL)
             if core.isalpha():
+                tail = text[len(core) :]
                 core = core.lower() if core.isascii() else core
-                split.append((word, core, text[len(text.rstrip(_TAIL)) :]))
-                cores.add(core)
+                key = core.encode()
+                split.append((word, key, tail))
+                if key not in cache:
+                    cores.add(core)
             else:
                 other.append(word)
-        ids = {}
-        letters = sorted(cores)
-        for core, x in zip(letters, self._encode_letters(letters), strict=True):
-            ids[core] = x
-        tails = sorted({tail for _, _, tail in split if tail})
+        letters = list(cores)
+        cache.update(zip(map(str.encode, letters), self._encode_letters(letters), strict=True))
+        tails = list({tail for _, _, tail in split if tail})
         tail_ids = dict(zip(tails, self._encode(tails), strict=True)) | {"": b""}
-        for word, core, tail in split:
-            self.cache[word] = ids[core] + tail_ids[tail]
-        for word, x in zip(other, self._encode([w.decode("utf-8", "replace") for w in other]), strict=True):
-            self.cache[word] = x
-
-    def ids(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        missing = set(words).difference(self.cache)
+        cache.update((word, cache[key] + tail_ids[tail]) for word, key, tail in split)
+        cache.update(zip(other, self._encode([w.decode("utf-8", "replace") for w in other]), strict=True))
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [text.split() for text in texts]
+        missing = set().union(*split).difference(self.cache)
+        if len(self.cache) + len(missing) > CACHE_WORDS:
+            self.cache.clear()
+            missing = set().union(*split)
         if missing:
-            if len(self.cache) + len(missing) > CACHE_WORDS:
-                missing = set(words)
             self.learn(missing)
         get = self.cache.__getitem__
-        return np.frombuffer(b"".join(map(get, words)), "<u4")
+        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -124,10 +128,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(tokenizer)
         end = np.array([END_ID], "<u4")
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-                ids = np.concatenate([encoder.ids(text or b""), end])
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(text_bytes(batch.column("text"))), strict=True):
+                ids = np.concatenate([ids, end])
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html, jaccard, licenses, mixing, packing, passages, quality, toxicity, vectors
+from . import html, jaccard, licenses, mixing, packing, passages, quality, suffixes, toxicity, vectors
 from .common import table
 
 RESULT_1 = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -14,6 +14,11 @@ def op1_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents")).select(*RESULT_1)
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    kept = suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_source_mixing(spark, sf_dir):
     return mixing.taken_words(mixing.curriculum_mix(table(spark, sf_dir, "documents")))
 

@@ -108,9 +108,9 @@ def _edges_of(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sig[first], node[first], node[other], low[other]
 
 
-ROW = "part int, doc_id long, n_shingles long, node long, other long, payload binary"
-_NAMES = ["part", "doc_id", "n_shingles", "node", "other", "payload"]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+ROW = "part int, doc_id long, th long, n_shingles long, node long, other long, payload binary"
+_NAMES = ["part", "doc_id", "th", "n_shingles", "node", "other", "payload"]
+_TYPES = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -144,7 +144,7 @@ def nodes_and_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             for piece in small_batches(iter([batch]), "text", BATCH_BYTES):
                 sets = shingle_sets(piece.column("text"), k)
                 ids = [node_of(s) for s in sets]
-                yield _rows(part=[i % n_parts for i in ids], doc_id=piece.column("doc_id").to_pylist(), n_shingles=[len(s) for s in sets], node=ids)
+                yield _rows(part=[i % n_parts for i in ids], doc_id=piece.column("doc_id").to_pylist(), th=piece.column("th").to_pylist(), n_shingles=[len(s) for s in sets], node=ids)
                 for i, s in zip(ids, sets, strict=True):
                     if i >= 0:
                         own = scheme.signatures(s)
@@ -173,7 +173,7 @@ def nodes_and_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             a, b = forest(a, b)
             yield _rows(part=np.zeros(len(a), np.int32), node=a, other=b)
 
-    spreads = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(spread, ROW)
+    spreads = docs.select("doc_id", "th", F.col("text").cast("string").alias("text")).mapInArrow(spread, ROW)
     return spreads.repartition(n_parts // 4, "part").mapInArrow(meet, ROW).drop("part", "payload")
 
 
@@ -310,7 +310,7 @@ def _large_links(members: DataFrame, sizes: DataFrame, k: int, num: int, den: in
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, node (documents of one set), component_id of every row of docs.
+    """doc_id, th (hash of the text), n_shingles, node (documents of one set), component_id of every row of docs.
 
     A set holds the distinct k-word shingles of the text, A-Z lower-cased; a
     text of fewer words is one shingle; without words the set is empty and its
@@ -320,9 +320,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     reachable. Repeated rows link with each other. Only doc_id and text are
     read. Empty docs: no rows. Sets are held as 64-bit shingle hashes.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), "text")
     found = cut(nodes_and_edges(rows, k, num, den), "jaccard")
-    nodes = found.filter(F.col("other").isNull()).select("doc_id", "n_shingles", "node")
+    nodes = found.filter(F.col("other").isNull()).select("doc_id", "th", "n_shingles", "node")
     blocks = cut(components(found.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b"))), "blocks")
     # One text a node stands for its set.
     chosen = nodes.join(blocks, "node").groupBy("node").agg(F.min(ranked_id(F.col("doc_id"))).alias("first_id"), F.first("root").alias("block"))
@@ -340,6 +340,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     roots = cut(components(links), "roots")
     # The empty set links with nothing: such documents are nodes of their own.
     own = F.when(F.col("node") < 0, F.struct(F.lit(-1).cast("long").alias("root"), ranked_id(F.col("doc_id")).alias("alone")))
-    placed = nodes.join(roots, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce(own, F.struct(F.coalesce("root", "node").alias("root"), F.lit(0).cast("long").alias("alone"))).alias("comp"))
+    placed = nodes.join(roots, "node", "left").select("doc_id", "th", "n_shingles", "node", F.coalesce(own, F.struct(F.coalesce("root", "node").alias("root"), F.lit(0).cast("long").alias("alone"))).alias("comp"))
     lowest = placed.groupBy("comp").agg(F.min(ranked_id(F.col("doc_id"))).alias("low"))
-    return placed.join(lowest, "comp").select("doc_id", "n_shingles", "node", F.when(F.col("low") != NO_ID, F.col("low")).alias("component_id"))
+    return placed.join(lowest, "comp").select("doc_id", "th", "n_shingles", "node", F.when(F.col("low") != NO_ID, F.col("low")).alias("component_id"))
+
+
+def keep_one_a_group(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row with the smallest doc_id stays."""
+    found = jaccard_components(docs, k, num, den).withColumn("_rid", ranked_id(F.col("doc_id")))
+    group = F.coalesce("component_id", F.lit(NO_ID))
+    alone = F.when(F.col("n_shingles") == 0, F.struct("_rid", "th")).otherwise(F.when(F.col("component_id").isNull(), F.struct(F.col("node").alias("_rid"), F.lit(0).cast("long").alias("th"))))
+    stays = found.groupBy(group.alias("group"), alone.alias("alone")).agg(F.min(F.struct("_rid", "th")).alias("row")).select("row._rid", F.col("row.th").alias("_th"))
+    named = docs.withColumns({"_rid": ranked_id(F.col("doc_id")), "_th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    return named.join(stays, ["_rid", "_th"]).dropDuplicates(["_rid", "_th"]).select(*docs.columns)

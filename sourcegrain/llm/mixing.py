@@ -52,13 +52,13 @@ def source_targets(per_source: DataFrame, weights, slopes, share: float, cap: fl
     )
 
 
-def curriculum_mix(docs: DataFrame, weights=(5, 2, 1), slopes=(0.5, 0.0, -0.5), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def curriculum_mix(docs: DataFrame, weights=(5, 2, 1), slopes=(0.5, 0.0, -0.5), share: float = 1.5, cap: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """The copies of documents that the mix takes, range-sorted by position.
 
     Takes doc_id, text, source of docs; other columns are not read. Returns a
     row per copy: no_source, src, slice, nth (which name the row of docs),
-    doc_id, size, source_size, target, copies, copy (from 1), position. A
-    document that is not taken has one row with a null copy and position.
+    doc_id, size, source_size, target, copies, copy (from 1), position, and the
+    columns of `carry` with "_" before their names. A document that is not taken has one row with a null copy and position.
 
     Every document of a source is taken floor(target / source_size) times; one
     more copy goes to those first in the order of md5(doc_id) while the middle
@@ -69,14 +69,14 @@ def curriculum_mix(docs: DataFrame, weights=(5, 2, 1), slopes=(0.5, 0.0, -0.5),
     """
     rows = docs.select(
         "doc_id", F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source"), F.lit("")).alias("src"), n_words(F.col("text")).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), *[F.col(c).alias(f"_{c}") for c in carry],
     ).withColumn("slice", F.substring("order", 1, SLICE_DIGITS))
     # One row a slice: at most 16^3 a source, whatever its share of the rows.
     slices = rows.groupBy("no_source", "src", "slice").agg(F.sum("size").alias("slice_size"))
     before = W.partitionBy("no_source", "src").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     targets = source_targets(slices.groupBy("no_source", "src").agg(F.sum("slice_size").alias("source_size")), weights, slopes, share, cap)
     slices = slices.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(before), F.lit(0))).join(targets, ["no_source", "src"])
-    inside = W.partitionBy("no_source", "src", "slice").orderBy("order", "doc_id", "size")
+    inside = W.partitionBy("no_source", "src", "slice").orderBy("order", "doc_id", "size", "th")
     placed = (
         rows.withColumn("nth", F.row_number().over(inside))
         .withColumn("run", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
@@ -93,7 +93,7 @@ def curriculum_mix(docs: DataFrame, weights=(5, 2, 1), slopes=(0.5, 0.0, -0.5),
     position = 2 * c / (rise + F.sqrt(F.greatest(F.lit(0.0), rise * rise - 4 * F.col("slope") * c)))
     return (
         copies.withColumn("position", F.when(F.col("copy").isNotNull(), F.coalesce(position, F.lit(0.0))))
-        .select("no_source", "src", "slice", "nth", "doc_id", "size", "source_size", "target", "copies", "copy", "position")
+        .select("no_source", "src", "slice", "nth", "doc_id", "size", "source_size", "target", "copies", "copy", "position", *[f"_{c}" for c in carry])
         .orderBy(F.col("position").asc_nulls_last(), "src", "slice", "nth", "copy")
     )
 

@@ -246,8 +246,9 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     return texts, dealt.mapInArrow(search, "rid long, th long, first long, last long")
 
 
-def dedup_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words joined by one space), row by row of docs.
+def dedup_passages(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (kept words joined by one space), row by row of docs,
+    and the columns of `carry` with "_" before their names.
 
     Removes each word covered by a window of words that also starts in a
     document with a smaller doc_id. Null or empty text: no words. A null doc_id
@@ -261,8 +262,9 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts, spans = repeated_windows(rows, window)
     marks = spans.groupBy("rid", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     verdict = texts.filter("copy").select("rid", "th", "copy").join(marks, ["rid", "th"], "full")
-    keyed = docs.select("doc_id", "text").withColumn("rid", anchors.ranked_id(F.col("doc_id"))).withColumn("body", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("th", F.xxhash64("body"))
-    joined = keyed.join(verdict, ["rid", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("body").alias("text"), F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
+    keyed = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in carry]).withColumn("rid", anchors.ranked_id(F.col("doc_id"))).withColumn("body", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("th", F.xxhash64("body"))
+    joined = keyed.join(verdict, ["rid", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("body").alias("text"), F.coalesce("copy", F.lit(False)).alias("copy"), "spans", *[f"_{c}" for c in carry])
+    carried = [f"_{c}" for c in carry]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,6 +286,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     counts.append(n)
                     removed.append(gone)
                     kept.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *[part.column(c) for c in carried]], ["doc_id", "n_words", "n_removed", "kept_text", *carried])
 
-    return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in carried)
+    return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string" + kinds)

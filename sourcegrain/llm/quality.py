@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bind, cut, words_of
+from .common import SPACE, bind, cut, ranked_id, words_of
 
 #: The commonest words by language.
 COMMON = {
@@ -60,7 +60,7 @@ def features(docs: DataFrame) -> DataFrame:
     """One row per document: the base counts and both histograms."""
     rows = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang_key"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
     rows = rows.select(
-        "doc_id", "lang_key", words_of(F.col("body")).alias("words"), F.length("body").alias("n_chars_all"),
+        "doc_id", "lang_key", F.xxhash64("body").alias("th"), words_of(F.col("body")).alias("words"), F.length("body").alias("n_chars_all"),
         F.length(F.regexp_replace("body", SPACE, "")).alias("word_chars"), _count(F.col("body"), SYMBOLS).alias("n_symbols"),
         F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"), *[_count(F.col("body"), c).alias(f"c{i}") for i, c in enumerate(CLASSES)],
     )
@@ -68,7 +68,7 @@ def features(docs: DataFrame) -> DataFrame:
     hits = F.filter("words", lambda w: w.isin(_ALL_COMMON))
     word_bins = bind(F.struct(hits.alias("hits"), common.alias("common")), lambda s: F.transform(s["common"], lambda c: F.size(F.filter(s["hits"], lambda w: w == c)).cast("long")))
     rows = rows.select(
-        "doc_id", "lang_key", F.size("words").cast("long").alias("n_words"), F.col("word_chars").cast("long"), F.col("n_symbols").cast("long"),
+        "doc_id", "lang_key", "th", F.size("words").cast("long").alias("n_words"), F.col("word_chars").cast("long"), F.col("n_symbols").cast("long"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), n_repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
         F.array(*[F.col(f"c{i}").cast("long") for i in range(len(CLASSES))], (F.col("n_chars_all") - F.col("word_chars")).cast("long"), (F.col("word_chars") - sum(F.col(f"c{i}") for i in range(len(CLASSES)))).cast("long")).alias("char_hist"),
         word_bins.alias("bins"),
@@ -113,4 +113,11 @@ def quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: floa
     out = out.withColumn("char_distance", F.when(long_enough, js_distance(F.col("char_hist"), F.col("ref_char_hist"))))
     out = out.withColumn("word_distance", F.when(long_enough, js_distance(F.col("word_hist"), F.col("ref_word_hist"))))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= max_char) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "char_distance", "word_distance")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "char_distance", "word_distance", "lang_key", "th")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of docs that quality() keeps."""
+    good = quality(docs).filter("kept").select(ranked_id(F.col("doc_id")).alias("_rid"), F.col("lang_key").alias("_lang"), F.col("th").alias("_th"))
+    named = docs.withColumns({"_rid": ranked_id(F.col("doc_id")), "_lang": F.coalesce(F.col("lang"), F.lit("")), "_th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    return named.join(good, ["_rid", "_lang", "_th"], "left_semi").select(*docs.columns)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +44,39 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[low], nodes[root[low]]
 
 
+#: Edges that one task joins at once: 32 MB of node pairs.
+ONE_TASK = 2_000_000
+_PAIR = "a long, b long"
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as a forest: every node once, with the smallest of its component."""
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if parts:
+        a, b = forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of the component) for every node of edges (a, b).
 
-    Alternates large stars and small stars until the edges no longer change;
-    each round is written to the shared folder. Groups are only aggregated and
-    joined, so a node of any degree is split by the skew join.
+    Every task first contracts its edges to a forest. If all forests together
+    hold no more than ONE_TASK edges, one more task joins them. Otherwise large
+    stars and small stars alternate until the edges no longer change; each
+    round is written to the shared folder. There, groups are only aggregated
+    and joined, so a node of any degree is split by the skew join.
     """
-    edges = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = cut(edges.filter(F.col("a") != F.col("b")).select("a", "b").mapInArrow(_contract, _PAIR), "edges")
+    if edges.count() <= ONE_TASK:
+        edges = cut(edges.repartition(1).mapInArrow(_contract, _PAIR), "edges")
+    else:
+        edges = star_rounds(edges)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def star_rounds(edges: DataFrame) -> DataFrame:
+    """Edges from every node to the smallest of its component, by alternating stars."""
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = cut(edges, "edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -61,4 +89,4 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return edges

@@ -30,6 +30,8 @@ CHUNK = 2_000
 BITMAP = 64
 LEAF, FANOUT = 16, 8
 BATCH_BYTES = 2 << 20
+#: Hashes of ids that are broadcast, at most: 2^21 longs.
+BUCKETS = 1 << 21
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -289,18 +291,17 @@ def _large_links(members: DataFrame, sizes: DataFrame, k: int, num: int, den: in
     block in pairs of chunks, so that every link between components is found.
     """
     members = cut(members.join(sizes, "block").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("long")), "large")
-    links = None
-    group = members.select("node").withColumn("grp", F.col("node"))
+    rounds = []
     for salt in range(2):
         chunk = F.xxhash64("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("chunks")), F.lit(salt))
-        found = _block_links(members.join(group, "node").select(chunk.alias("task_key"), "node", "grp", F.lit(True).alias("asks"), "text"), k, num, den)
-        links = cut(found if links is None else links.unionByName(found), "links")
-        roots = components(links)
-        group = cut(members.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("grp")), "groups")
-    placed = members.join(group, "node")
-    per_group = placed.groupBy("block", "grp").agg(F.count("*").alias("n"))
-    largest = per_group.groupBy("block").agg(F.max_by("grp", F.struct("n", "grp")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest"))
-    placed = placed.join(largest, "block").withColumn("asks", F.col("grp") != F.col("largest")).withColumn("ask_chunks", F.ceil(F.col("rest") / CHUNK).cast("long")).filter("rest > 0")
+        rounds.append(members.select(chunk.alias("task_key"), "node", F.col("node").alias("grp"), F.lit(True).alias("asks"), "text"))
+    links = cut(_block_links(rounds[0].unionByName(rounds[1]), k, num, den), "links")
+    roots = components(links)
+    group = cut(members.select("node", "block").join(roots, "node", "left").select("node", "block", F.coalesce("root", "node").alias("grp")), "groups")
+    per_group = group.groupBy("block", "grp").agg(F.count("*").alias("n"))
+    largest = per_group.groupBy("block").agg(F.max_by("grp", F.struct("n", "grp")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest")).filter("rest > 0")
+    asked = group.join(largest, "block").drop("block").withColumn("asks", F.col("grp") != F.col("largest"))
+    placed = members.join(asked, "node").withColumn("ask_chunks", F.ceil(F.col("rest") / CHUNK).cast("long"))
     row, column = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")), F.pmod(F.xxhash64("node", F.lit(3)), F.col("ask_chunks"))
     spans = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     all_rows = placed.withColumn("i", row).withColumn("j", spans("ask_chunks")).withColumn("asks", F.lit(False))
@@ -327,16 +328,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     # One text a node stands for its set.
     chosen = nodes.join(blocks, "node").groupBy("node").agg(F.min(ranked_id(F.col("doc_id"))).alias("first_id"), F.first("root").alias("block"))
     chosen = cut(chosen, "chosen")
-    texts = rows.withColumn("first_id", ranked_id(F.col("doc_id"))).select("first_id", "text").join(chosen, "first_id")
-    sizes = chosen.groupBy("block").agg(F.count("*").alias("size")).filter(F.col("size") > CHUNK)
-    sizes = cut(sizes, "sizes")
-    if sizes.isEmpty():
-        small = texts
-        links = _block_links(small.select(F.col("block").alias("task_key"), "node", F.col("node").alias("grp"), F.lit(True).alias("asks"), "text"), k, num, den)
-    else:
-        small = texts.join(F.broadcast(sizes) if sizes.count() < 10_000 else sizes, "block", "left_anti")
-        links = _block_links(small.select(F.col("block").alias("task_key"), "node", F.col("node").alias("grp"), F.lit(True).alias("asks"), "text"), k, num, den)
-        links = links.unionByName(_large_links(texts.join(sizes.select("block"), "block", "left_semi").select("block", "node", "text"), sizes, k, num, den))
+    # Texts of other documents are mostly left out before the shuffle, by at most BUCKETS hashes of the chosen ids.
+    bucket = F.pmod(F.xxhash64("first_id"), F.lit(BUCKETS))
+    hashes = chosen.select(bucket.alias("bucket")).distinct()
+    texts = rows.withColumn("first_id", ranked_id(F.col("doc_id"))).select("first_id", "text", bucket.alias("bucket"))
+    texts = cut(texts.join(F.broadcast(hashes), "bucket", "left_semi").select("first_id", "text").join(chosen.hint("merge"), "first_id"), "candidates")
+    sizes = cut(chosen.groupBy("block").agg(F.count("*").alias("size")).filter(F.col("size") > CHUNK), "sizes")
+    large = not sizes.isEmpty()
+    small = texts.join(sizes, "block", "left_anti") if large else texts
+    links = _block_links(small.select(F.col("block").alias("task_key"), "node", F.col("node").alias("grp"), F.lit(True).alias("asks"), "text"), k, num, den)
+    if large:
+        links = links.unionByName(_large_links(texts.select("block", "node", "text"), sizes, k, num, den))
     roots = cut(components(links), "roots")
     # The empty set links with nothing: such documents are nodes of their own.
     own = F.when(F.col("node") < 0, F.struct(F.lit(-1).cast("long").alias("root"), ranked_id(F.col("doc_id")).alias("alone")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import limits, rules
-from . import corpus
+from . import corpus, tables
 
 FINDING = ["method_id", "rule_id", "kind", "subject", "description", "confidence"]
 
@@ -35,3 +35,5 @@ def variable_usage(spark, sf_dir):
 
 QUERIES |= {"variable_limits": variable_limits, "variable_usage": variable_usage}
 SQL |= {"variable_limits": corpus.limits_sql(), "variable_usage": corpus.usage_sql()}
+QUERIES |= tables.QUERIES
+SQL |= tables.SQL

@@ -27,11 +27,11 @@ END_ID = 0
 #: Pieces that one shard packs; a shard's waste doesn't grow with its pieces.
 SHARD_ROWS = 100_000
 #: Distinct words whose ids a task remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Bytes of text whose words are looked up together.
 BATCH_BYTES = 2 << 20
 
-_TAIL = ".,!?;:"
+_TAIL = b".,!?;:"
 
 
 class WordTokenizer:
@@ -54,15 +54,15 @@ class WordTokenizer:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for k in range(0, len(words), 256):
             part = words[k : k + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(part):
                 out += self._encode(part)
@@ -77,23 +77,24 @@ class WordTokenizer:
         """Encode words that aren't known; "Word," as the known or new "word" and its tail."""
         cache, split, cores, other = self.cache, [], set(), []
         for word in missing:
-            text = word.decode("utf-8", "replace")
-            core = text.rstrip(_TAIL)
+            core = word.rstrip(_TAIL)
             if core.isalpha():
-                tail = text[len(core) :]
-                core = core.lower() if core.isascii() else core
-                key = core.encode()
-                split.append((word, key, tail))
-                if key not in cache:
-                    cores.add(core)
-            else:
+                key = core.lower()
+            elif core.isascii() or not core.decode("utf-8", "replace").isalpha():
                 other.append(word)
+                continue
+            else:
+                key = core
+            if key not in cache:
+                cores.add(key)
+            if key != word:
+                split.append((word, key, word[len(core) :]))
         letters = list(cores)
-        cache.update(zip(map(str.encode, letters), self._encode_letters(letters), strict=True))
+        cache.update(zip(letters, self._encode_letters(letters), strict=True))
         tails = list({tail for _, _, tail in split if tail})
-        tail_ids = dict(zip(tails, self._encode(tails), strict=True)) | {"": b""}
+        tail_ids = dict(zip(tails, self._encode(tails), strict=True)) | {b"": b""}
         cache.update((word, cache[key] + tail_ids[tail]) for word, key, tail in split)
-        cache.update(zip(other, self._encode([w.decode("utf-8", "replace") for w in other]), strict=True))
+        cache.update(zip(other, self._encode(other), strict=True))
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""

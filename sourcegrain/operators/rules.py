@@ -47,32 +47,41 @@ class Rule:
     build: Callable[[], Column]
     needs_body: bool = True
 
+def _column(name: str) -> Callable[[], Column]:
+    return lambda: F.col(name)
+
+
+# Columns are made when a rule is built, as that needs a session.
+body, params, name_, returns = map(_column, ("body", "parsed", "method_name", "return_type"))
+fields, thrown, op_limits, class_dependencies = map(_column, ("fields", "thrown", "op_limits", "class_dependencies"))
+
+
+def has_body() -> Column:
+    return F.coalesce(F.trim(body()) != "", F.lit(False))
+
 
-BODY, PARAMS, NAME, RETURNS = F.col("body"), F.col("parsed"), F.col("method_name"), F.col("return_type")
-FIELDS, PROPERTIES, LOCALS, THROWN, LIMITS, DEPENDENCIES = (F.col(c) for c in ("fields", "properties", "locals", "thrown", "op_limits", "class_dependencies"))
-HAS_BODY = F.coalesce(F.trim(BODY) != "", F.lit(False))
 _IF = r"if\s*\(\s*" + T.IDENT
 
 
 def _guarded(template: str, *conditions: str) -> Callable[[], Column]:
-    return lambda: each(T.guards(BODY, *conditions), lambda n: finding(say(template, n), subject=n))
+    return lambda: each(T.guards(body(), *conditions), lambda n: finding(say(template, n), subject=n))
 
 
 def _parameters(template: str, keep: Callable[[Column], Column], confidence: str = "Medium") -> Callable[[], Column]:
-    return lambda: each(F.filter(PARAMS, keep), lambda p: finding(say(template, p["name"]), confidence, p["name"]))
+    return lambda: each(F.filter(params(), keep), lambda p: finding(say(template, p["name"]), confidence, p["name"]))
 
 
 def _is_parameter(name: Column) -> Column:
-    return F.exists(PARAMS, lambda p: p["name"] == name)
+    return F.exists(params(), lambda p: p["name"] == name)
 
 
 def _guard_zero() -> Column:
     def one(n: Column) -> Column:
         who = F.when(_is_parameter(n), say("Parameter {}", n)).otherwise(say("Value {}, computed in this method,", n))
-        why = F.when(T.used_as_divisor(BODY, n), "; division by zero will throw an exception").otherwise("; the method throws when it is zero")
+        why = F.when(T.used_as_divisor(body(), n), "; division by zero will throw an exception").otherwise("; the method throws when it is zero")
         return finding(F.concat(who, F.lit(" must not be zero"), why), subject=n)
 
-    return each(T.guards(BODY, _IF + r"\s*==\s*0\s*\)"), one)
+    return each(T.guards(body(), _IF + r"\s*==\s*0\s*\)"), one)
 
 
 _NULL = "Parameter {} must not be null before calling this method"
@@ -81,22 +90,22 @@ _EMPTY = "Parameter {} must not be null or empty before calling this method"
 
 def _throw_if_null() -> Column:
     pattern = r"(?U)\b(?:ArgumentNullException\.)?ThrowIfNull(OrEmpty|OrWhiteSpace)?\s*\(\s*" + T.IDENT + r"\s*\)"
-    kinds, names = (F.regexp_extract_all(BODY, F.lit(pattern), F.lit(i)) for i in (1, 2))
+    kinds, names = (F.regexp_extract_all(body(), F.lit(pattern), F.lit(i)) for i in (1, 2))
     return each(F.arrays_zip(kinds.alias("k"), names.alias("n")), lambda r: finding(F.when(r["k"] == "", say(_NULL, r["n"])).otherwise(say(_EMPTY, r["n"])), subject=r["n"]))
 
 
 def _range_check() -> Column:
-    names = T.guards(BODY, *[_IF + rf"\s*{op}\s*[^)]+\)" for op in ("<", ">", "<=", ">=")], _IF + r"\s*<\s*[^|]+\|\|\s*\1\s*>\s*[^)]+\)")
+    names = T.guards(body(), *[_IF + rf"\s*{op}\s*[^)]+\)" for op in ("<", ">", "<=", ">=")], _IF + r"\s*<\s*[^|]+\|\|\s*\1\s*>\s*[^)]+\)")
     return each(F.filter(names, _is_parameter), lambda n: finding(say("Parameter {} must be within the valid range accepted by this method", n), subject=n))
 
 
 def _count_check() -> Column:
-    empty = T.guards(BODY, _IF + r"\.Count\s*==\s*0\s*\)", _IF + r"\.size\s*\(\s*\)\s*==\s*0\s*\)", _IF + r"\.Length\s*==\s*0\s*\)")
-    return each(F.filter(PARAMS, lambda p: T.is_collection(p["type"]) & F.array_contains(empty, p["name"])), lambda p: finding(say("Parameter {} must contain at least one element before calling this method", p["name"]), subject=p["name"]))
+    empty = T.guards(body(), _IF + r"\.Count\s*==\s*0\s*\)", _IF + r"\.size\s*\(\s*\)\s*==\s*0\s*\)", _IF + r"\.Length\s*==\s*0\s*\)")
+    return each(F.filter(params(), lambda p: T.is_collection(p["type"]) & F.array_contains(empty, p["name"])), lambda p: finding(say("Parameter {} must contain at least one element before calling this method", p["name"]), subject=p["name"]))
 
 
 def _typed(template: str, keep: Callable[[Column], Column], confidence: str) -> Callable[[], Column]:
-    return lambda: each(F.filter(PARAMS, keep), lambda p: finding(say(template, p["name"], T.simple_type(p["type"])), confidence, p["name"]))
+    return lambda: each(F.filter(params(), keep), lambda p: finding(say(template, p["name"], T.simple_type(p["type"])), confidence, p["name"]))
 
 
 PRECONDITIONS = (
@@ -109,22 +118,22 @@ PRECONDITIONS = (
         _EMPTY, _IF + r'\s*==\s*""\s*\)', _IF + r"\s*==\s*string\.Empty\s*\)", *[r"if\s*\(\s*string\.IsNullOr" + w + r"\s*\(\s*" + T.IDENT + r"\s*\)\s*\)" for w in ("Empty", "WhiteSpace")], _IF + r"\.empty\s*\(\s*\)\s*\)")),
     Rule("throw-if-null", _throw_if_null),
     Rule("param-type-numeric", _parameters("Parameter {} should be a finite numeric value; NaN and Infinity may produce unexpected results", lambda p: T.is_floating(p["type"])), False),
-    Rule("param-type-string", _parameters("Parameter {} should not be null or empty when passed into this method", lambda p: T.is_string(p["type"]) & ~T.has_null_guard(BODY, p["name"]))),
-    Rule("param-type-index", _parameters("Parameter {} must be within valid index bounds for the accessed collection", lambda p: T.is_numeric(p["type"]) & T.used_as_index(BODY, p["name"]))),
-    Rule("param-type-collection", _parameters("Parameter {} must not be null and should contain at least one element if iterated", lambda p: T.is_collection(p["type"]) & T.iterated(BODY, p["name"]))),
-    Rule("param-sqrt", _parameters("Parameter {} passed to square root should be non-negative; negative values produce NaN", lambda p: T.rooted(BODY, p["name"]), "High")),
+    Rule("param-type-string", _parameters("Parameter {} should not be null or empty when passed into this method", lambda p: T.is_string(p["type"]) & ~T.has_null_guard(body(), p["name"]))),
+    Rule("param-type-index", _parameters("Parameter {} must be within valid index bounds for the accessed collection", lambda p: T.is_numeric(p["type"]) & T.used_as_index(body(), p["name"]))),
+    Rule("param-type-collection", _parameters("Parameter {} must not be null and should contain at least one element if iterated", lambda p: T.is_collection(p["type"]) & T.iterated(body(), p["name"]))),
+    Rule("param-sqrt", _parameters("Parameter {} passed to square root should be non-negative; negative values produce NaN", lambda p: T.rooted(body(), p["name"]), "High")),
     Rule("param-file-io", lambda: when(
-        T.has(BODY, "File.Read", "File.Write", "File.Open", "StreamReader", "StreamWriter", "ifstream", "ofstream", "fopen("),
+        T.has(body(), "File.Read", "File.Write", "File.Open", "StreamReader", "StreamWriter", "ifstream", "ofstream", "fopen("),
         finding("File path parameter must point to an accessible file; throws if file does not exist or access is denied", "Medium"))),
-    Rule("parser-operational-limit", lambda: each(LIMITS, lambda l: finding(l, subject=F.nullif(F.regexp_extract(l, r"Parameter\s+(\w+)\s+", 1), F.lit("")))), False),
+    Rule("parser-operational-limit", lambda: each(op_limits(), lambda l: finding(l, subject=F.nullif(F.regexp_extract(l, r"Parameter\s+(\w+)\s+", 1), F.lit("")))), False),
     Rule("guard-range-check", _range_check),
     Rule("param-bool-flag", _parameters("Parameter {} is a boolean flag that controls method behavior", lambda p: F.upper(p["type"]) == "BOOL", "Low"), False),
     Rule("param-enum-type", _typed("Parameter {} must be a valid {} value recognized by this method", lambda p: T.is_class_like(p["type"]) & ~T.is_string(p["type"]), "Medium"), False),
     Rule("guard-string-length", _guarded(
         "Parameter {} must not be empty; minimum length is required", _IF + r"\.Length\s*==\s*0\s*\)", _IF + r"\.Length\s*<\s*\d+\s*\)", _IF + r"\.length\s*\(\s*\)\s*==\s*0\s*\)", _IF + r"\.length\s*\(\s*\)\s*<\s*\d+\s*\)", _IF + r"\.size\s*\(\s*\)\s*==\s*0\s*\)")),
     Rule("guard-count-check", _count_check),
-    Rule("param-object-type", _typed("Parameter {} must be a properly initialized {} instance", lambda p: T.is_class_like(p["type"]) & ~T.has_null_guard(BODY, p["name"]), "Low")),
-    Rule("guard-try-pattern", lambda: when(F.trim(BODY).rlike(r"(?i)^try\s*\{") & BODY.rlike(r"(?i)\bcatch\s*\("), finding("This method handles exceptions internally; callers do not need to wrap it in try-catch", "Medium"))),
+    Rule("param-object-type", _typed("Parameter {} must be a properly initialized {} instance", lambda p: T.is_class_like(p["type"]) & ~T.has_null_guard(body(), p["name"]), "Low")),
+    Rule("guard-try-pattern", lambda: when(F.trim(body()).rlike(r"(?i)^try\s*\{") & body().rlike(r"(?i)\bcatch\s*\("), finding("This method handles exceptions internally; callers do not need to wrap it in try-catch", "Medium"))),
 )
 
 #: Sentences by pattern of the method's name, the first that applies (pattern in upper case, not pattern, sentence).
@@ -145,8 +154,8 @@ _NAMED = "DIV|MUL|SUB|SUM|^(?:GET|SET|UPDATE|ADD|INSERT|REMOVE|DELETE|SAVE|WRITE
 
 
 def _name_pattern() -> Column:
-    upper, first, second = F.upper(NAME), F.get(PARAMS, F.lit(0))["name"], F.get(PARAMS, F.lit(1))["name"]
-    out = F.when(upper.contains("DIV") & (F.size(PARAMS) >= 2), say("Returns the result of dividing {} by {} as a {} value", first, second, T.type_name(RETURNS)))
+    upper, first, second = F.upper(name_()), F.get(params(), F.lit(0))["name"], F.get(params(), F.lit(1))["name"]
+    out = F.when(upper.contains("DIV") & (F.size(params()) >= 2), say("Returns the result of dividing {} by {} as a {} value", first, second, T.type_name(returns())))
     out = out.when(upper.contains("DIV"), F.lit("Returns the quotient; result is undefined if divisor is zero"))
     for pattern, but, sentence in _BY_NAME:
         out = out.when(upper.rlike(pattern) & (~upper.contains(but) if but else F.lit(True)), F.lit(sentence))
@@ -155,74 +164,74 @@ def _name_pattern() -> Column:
 
 def _return_type() -> Column:
     sentence = (
-        F.when(T.is_void(RETURNS), "This method performs an action and returns no value")
-        .when(F.upper(RETURNS) == "BOOL", "Returns true if the operation succeeded, false otherwise")
-        .when(T.is_floating(RETURNS) | T.is_numeric(RETURNS), say("Returns a numeric result as {}", T.type_name(RETURNS)))
-        .when(T.is_string(RETURNS), "Returns a text value; may return null if no value is found")
-        .when(T.is_collection(RETURNS), "Returns a collection; may be empty but not null")
+        F.when(T.is_void(returns()), "This method performs an action and returns no value")
+        .when(F.upper(returns()) == "BOOL", "Returns true if the operation succeeded, false otherwise")
+        .when(T.is_floating(returns()) | T.is_numeric(returns()), say("Returns a numeric result as {}", T.type_name(returns())))
+        .when(T.is_string(returns()), "Returns a text value; may return null if no value is found")
+        .when(T.is_collection(returns()), "Returns a collection; may be empty but not null")
     )
-    computed = F.when(HAS_BODY & T.matches(BODY, r"\breturn\b"), say("Returns a computed {} result based on the method inputs", T.type_name(RETURNS)))
+    computed = F.when(has_body() & T.matches(body(), r"\breturn\b"), say("Returns a computed {} result based on the method inputs", T.type_name(returns())))
     one = finding(F.coalesce(sentence, computed), F.when(sentence.isNull(), "Medium").otherwise("High"))
-    return F.filter(F.array(one), lambda f: ~F.upper(NAME).rlike(_NAMED) & f["description"].isNotNull())
+    return F.filter(F.array(one), lambda f: ~F.upper(name_()).rlike(_NAMED) & f["description"].isNotNull())
 
 
-_CONSOLE = lambda: T.has(BODY, "Console.", "std::cout", "printf(")
-_WRITES_FIELD = lambda: F.exists(FIELDS, lambda f: T.written(BODY, f["name"]))
+_CONSOLE = lambda: T.has(body(), "Console.", "std::cout", "printf(")
+_WRITES_FIELD = lambda: F.exists(fields(), lambda f: T.written(body(), f["name"]))
 
 POSTCONDITIONS = (
     Rule("post-name-pattern", _name_pattern, False),
     Rule("post-return-type", _return_type, False),
     # The wording of fixed sentences is kept letter by letter.
-    Rule("post-throw-present", lambda: when((F.size(THROWN) > 0) | (HAS_BODY & T.matches(BODY, r"\bthrow\b")), finding("May throw an exception under certain input conditions. cee Errors section for details")), False),
+    Rule("post-throw-present", lambda: when((F.size(thrown()) > 0) | (has_body() & T.matches(body(), r"\bthrow\b")), finding("May throw an exception under certain input conditions. cee Errors section for details")), False),
     Rule("post-state-mutation", lambda: when(_WRITES_FIELD(), finding("Modifies internal object state; call GetX() methods after this to observe changes"))),
-    Rule("post-async", lambda: when(F.upper(NAME).contains("ASYNC") | F.upper(RETURNS).contains("TASK"), finding("Executes asynchronously; the caller must await this method to observe the result", "Medium")), False),
-    Rule("post-constructor", lambda: when((NAME == F.col("class_name")) & (NAME != ""), finding("Initializes a new instance of the object with the provided parameter values")), False),
-    Rule("post-loop-result", lambda: when(~T.is_void(RETURNS) & BODY.rlike(r"(?iU)\bforeach\b|\bfor\s*\(|\bwhile\s*\("), finding("Processes multiple elements and returns an aggregated or transformed result", "Medium"))),
+    Rule("post-async", lambda: when(F.upper(name_()).contains("ASYNC") | F.upper(returns()).contains("TASK"), finding("Executes asynchronously; the caller must await this method to observe the result", "Medium")), False),
+    Rule("post-constructor", lambda: when((name_() == F.col("class_name")) & (name_() != ""), finding("Initializes a new instance of the object with the provided parameter values")), False),
+    Rule("post-loop-result", lambda: when(~T.is_void(returns()) & body().rlike(r"(?iU)\bforeach\b|\bfor\s*\(|\bwhile\s*\("), finding("Processes multiple elements and returns an aggregated or transformed result", "Medium"))),
     Rule("post-console-side-effect", lambda: when(_CONSOLE(), finding("Produces visible output to the console as a side effect of execution"))),
-    Rule("post-power-sqrt", lambda: when(T.is_floating(RETURNS) & BODY.rlike(r"(?iU)\b(?:pow|sqrt)\s*\("), finding("Returns a mathematically computed numeric result; may return NaN for invalid inputs"))),
+    Rule("post-power-sqrt", lambda: when(T.is_floating(returns()) & body().rlike(r"(?iU)\b(?:pow|sqrt)\s*\("), finding("Returns a mathematically computed numeric result; may return NaN for invalid inputs"))),
 )
 
 
 def _changed_fields(template: str, kind: str, *patterns: str) -> Callable[[], Column]:
-    return lambda: each(F.filter(FIELDS, lambda f: T.uses(BODY, f["name"], *patterns)), lambda f: finding(say(template, f["name"]), "High", f["name"], kind))
+    return lambda: each(F.filter(fields(), lambda f: T.uses(body(), f["name"], *patterns)), lambda f: finding(say(template, f["name"]), "High", f["name"], kind))
 
 
 STATE_CHANGES = (
     Rule("field-increment", _changed_fields("Internal field {} is incremented or decremented by this method", "ObjectStateModified", r"\b{}\s*(?:\+\+|--)", r"(?:\+\+|--)\s*{}\b")),
     Rule("field-assignment", _changed_fields("Internal field {} is assigned a new value by this method", "FieldModified", r"\b{}\s*=(?!=)")),
-    Rule("collection-modify", lambda: when(T.matches(BODY, r"\.(?:Add|Remove|Push_back|Pop_back|Insert|Erase)\s*\("), finding("A collection owned or passed into this method is modified", kind="CollectionModified"))),
+    Rule("collection-modify", lambda: when(T.matches(body(), r"\.(?:Add|Remove|Push_back|Pop_back|Insert|Erase)\s*\("), finding("A collection owned or passed into this method is modified", kind="CollectionModified"))),
     Rule("console-output", lambda: when(_CONSOLE(), finding("Writes output to the console during method execution", kind="ConsoleOutput"))),
-    Rule("file-write", lambda: when(T.has(BODY, "File.Write", "File.Open", "fstream", "ofstream", "fopen("), finding("Performs a file write or open-for-write operation on disk", "Medium", kind="FileWrite"))),
-    Rule("database-write", lambda: when(BODY.rlike(r"(?iU)\b(?:ExecuteNonQuery|SaveChanges|INSERT\s+INTO|UPDATE\s+\w+)\b"), finding("Performs a database write operation that persists changed data", "Medium", kind="DatabaseWrite"))),
-    Rule("network-call", lambda: when(T.has(BODY, "HttpClient", "WebRequest", "curl_", "socket("), finding("Makes a network call to an external service or remote host", "Medium", kind="NetworkCall"))),
-    Rule("async-state", lambda: when(BODY.contains("await "), finding("Awaits one or more asynchronous operations during execution", "Medium", kind="NetworkCall"))),
-    Rule("exception-swallowed", lambda: when(T.swallows(BODY), finding("Catches exceptions internally. come error conditions may be silently handled", "Medium", kind="ObjectStateModified"))),
+    Rule("file-write", lambda: when(T.has(body(), "File.Write", "File.Open", "fstream", "ofstream", "fopen("), finding("Performs a file write or open-for-write operation on disk", "Medium", kind="FileWrite"))),
+    Rule("database-write", lambda: when(body().rlike(r"(?iU)\b(?:ExecuteNonQuery|SaveChanges|INSERT\s+INTO|UPDATE\s+\w+)\b"), finding("Performs a database write operation that persists changed data", "Medium", kind="DatabaseWrite"))),
+    Rule("network-call", lambda: when(T.has(body(), "HttpClient", "WebRequest", "curl_", "socket("), finding("Makes a network call to an external service or remote host", "Medium", kind="NetworkCall"))),
+    Rule("async-state", lambda: when(body().contains("await "), finding("Awaits one or more asynchronous operations during execution", "Medium", kind="NetworkCall"))),
+    Rule("exception-swallowed", lambda: when(T.swallows(body()), finding("Catches exceptions internally. come error conditions may be silently handled", "Medium", kind="ObjectStateModified"))),
 )
 
 
 def _divides(p: Column) -> Column:
     n = p["name"]
-    guarded = BODY.contains(F.concat(F.lit("if ("), n)) | BODY.contains(F.concat(F.lit("if("), n)) | BODY.contains(F.concat(n, F.lit(" != 0"))) | BODY.contains(F.concat(n, F.lit(" > 0")))
-    return T.uses(BODY, n, r"/\s*{}\b", r"/\s*\(\s*{}\s*\)") & ~guarded
+    guarded = body().contains(F.concat(F.lit("if ("), n)) | body().contains(F.concat(F.lit("if("), n)) | body().contains(F.concat(n, F.lit(" != 0"))) | body().contains(F.concat(n, F.lit(" > 0")))
+    return T.uses(body(), n, r"/\s*{}\b", r"/\s*\(\s*{}\s*\)") & ~guarded
 
 
 def _dereferences(p: Column) -> Column:
     n = p["name"]
     guarded = F.lit(False)
     for tail in (" == null", " != null", " == nullptr"):
-        guarded = guarded | BODY.contains(F.concat(n, F.lit(tail)))
-    return (BODY.contains(F.concat(n, F.lit("."))) | BODY.contains(F.concat(n, F.lit("->")))) & ~guarded & ~BODY.contains(F.concat(F.lit("ThrowIfNull("), n))
+        guarded = guarded | body().contains(F.concat(n, F.lit(tail)))
+    return (body().contains(F.concat(n, F.lit("."))) | body().contains(F.concat(n, F.lit("->")))) & ~guarded & ~body().contains(F.concat(F.lit("ThrowIfNull("), n))
 
 
 # In risks, kind holds the type of the exception.
 RUNTIME_RISKS = (
-    Rule("divide-by-zero", lambda: each(F.filter(PARAMS, _divides), lambda p: finding(say("Possible divide-by-zero when '{}' is zero.", p["name"]), "Medium"))),
-    Rule("int-parse", lambda: when(T.matches(BODY, r"\bint\.Parse\s*\("), finding("int.Parse may throw on invalid input.", kind="FormatException"), finding("int.Parse may overflow for out-of-range values.", "Medium", kind="OverflowException"))),
+    Rule("divide-by-zero", lambda: each(F.filter(params(), _divides), lambda p: finding(say("Possible divide-by-zero when '{}' is zero.", p["name"]), "Medium"))),
+    Rule("int-parse", lambda: when(T.matches(body(), r"\bint\.Parse\s*\("), finding("int.Parse may throw on invalid input.", kind="FormatException"), finding("int.Parse may overflow for out-of-range values.", "Medium", kind="OverflowException"))),
     Rule("file-open", lambda: when(
-        T.has(BODY, "File.Open", "fopen("), finding("File open may fail if the path is missing or inaccessible.", "Medium", kind="IOException"),
+        T.has(body(), "File.Open", "fopen("), finding("File open may fail if the path is missing or inaccessible.", "Medium", kind="IOException"),
         finding("File open may be denied due to permissions.", "Medium", kind="UnauthorizedAccessException"), finding("File open may fail when the file does not exist.", "Medium", kind="FileNotFoundException"))),
-    Rule("parser-thrown", lambda: each(THROWN, lambda t: finding(say("Method may throw {}.", t), kind=t)), False),
-    Rule("null-dereference", lambda: each(F.filter(PARAMS, _dereferences), lambda p: finding(
+    Rule("parser-thrown", lambda: each(thrown(), lambda t: finding(say("Method may throw {}.", t), kind=t)), False),
+    Rule("null-dereference", lambda: each(F.filter(params(), _dereferences), lambda p: finding(
         say("Possible null dereference on '{}'.", p["name"]), "Low", kind=F.when(F.col("language") == "C++", "undefined behavior").otherwise("NullReferenceException")))),
 )
 
@@ -231,28 +240,28 @@ _MUTATOR = r"\.(?:Add|Remove|Push_back|Insert|Erase)\s*\("
 
 
 def _recursion() -> Column:
-    brace = F.instr(BODY, "{")
-    head = F.substring(BODY, F.lit(1), brace - 1)
-    inner = F.when((brace > 1) & T.uses(head, NAME, r"\b{}\s*\("), F.substring(BODY, brace + 1, F.length(BODY))).otherwise(BODY)
-    return when((brace > 0) & T.uses(inner, NAME, r"\b{}\s*\("), finding("Calls itself recursively.", kind="UsesRecursion"))
+    brace = F.instr(body(), "{")
+    head = F.substring(body(), F.lit(1), brace - 1)
+    inner = F.when((brace > 1) & T.uses(head, name_(), r"\b{}\s*\("), F.substring(body(), brace + 1, F.length(body()))).otherwise(body())
+    return when((brace > 0) & T.uses(inner, name_(), r"\b{}\s*\("), finding("Calls itself recursively.", kind="UsesRecursion"))
 
 
 def _pure() -> Column:
-    impure = HAS_BODY & (T.has(BODY, "Console.", "std::cout", "File.", "fstream", "HttpClient") | T.matches(BODY, _DATABASE) | _WRITES_FIELD() | T.matches(BODY, _MUTATOR))
-    sure = F.when(HAS_BODY, "Medium").otherwise("Low")
-    seen = F.when(HAS_BODY, "No side effects detected from current rules.").otherwise("Assumed pure; no method body available for side-effect scan.")
+    impure = has_body() & (T.has(body(), "Console.", "std::cout", "File.", "fstream", "HttpClient") | T.matches(body(), _DATABASE) | _WRITES_FIELD() | T.matches(body(), _MUTATOR))
+    sure = F.when(has_body(), "Medium").otherwise("Low")
+    seen = F.when(has_body(), "No side effects detected from current rules.").otherwise("Assumed pure; no method body available for side-effect scan.")
     return F.when(F.coalesce(impure, F.lit(False)), F.array(finding("Method has observable side effects.", kind="Impure"))).otherwise(F.array(finding(seen, sure, kind="Pure"), finding("Does not modify tracked fields or collections.", sure, kind="Stateless")))
 
 
 DESIGN_CONSTRAINTS = (
-    Rule("uses-console", lambda: when(T.has(BODY, "Console.", "std::cout"), finding("Uses console output.", kind="UsesConsole"))),
-    Rule("uses-files", lambda: when(T.has(BODY, "File.", "fstream"), finding("Uses file I/O.", kind="UsesFiles"))),
-    Rule("uses-database", lambda: when(T.matches(BODY, _DATABASE), finding("Uses database APIs.", kind="UsesDatabase"))),
-    Rule("uses-network", lambda: when(T.has(BODY, "HttpClient", "WebRequest", "socket("), finding("Uses network APIs.", kind="UsesNetwork"))),
-    Rule("uses-static", lambda: when(T.matches(BODY, r"\b[A-Z][A-Za-z0-9_]*\.[A-Z][A-Za-z0-9_]*\s*\("), finding("Calls static members on a type.", "Medium", kind="UsesStaticMembers"))),
+    Rule("uses-console", lambda: when(T.has(body(), "Console.", "std::cout"), finding("Uses console output.", kind="UsesConsole"))),
+    Rule("uses-files", lambda: when(T.has(body(), "File.", "fstream"), finding("Uses file I/O.", kind="UsesFiles"))),
+    Rule("uses-database", lambda: when(T.matches(body(), _DATABASE), finding("Uses database APIs.", kind="UsesDatabase"))),
+    Rule("uses-network", lambda: when(T.has(body(), "HttpClient", "WebRequest", "socket("), finding("Uses network APIs.", kind="UsesNetwork"))),
+    Rule("uses-static", lambda: when(T.matches(body(), r"\b[A-Z][A-Za-z0-9_]*\.[A-Z][A-Za-z0-9_]*\s*\("), finding("Calls static members on a type.", "Medium", kind="UsesStaticMembers"))),
     Rule("uses-recursion", _recursion),
-    Rule("uses-sync", lambda: when(T.has(BODY, "lock (", "Monitor.", "std::mutex", "std::lock_guard"), finding("Uses thread synchronization.", kind="UsesThreadSynchronization"))),
-    Rule("stateful", lambda: F.when(_WRITES_FIELD(), F.array(finding("Mutates instance or class state.", kind="Stateful"))).otherwise(when(T.matches(BODY, _MUTATOR), finding("Mutates a collection.", kind="Stateful")))),
+    Rule("uses-sync", lambda: when(T.has(body(), "lock (", "Monitor.", "std::mutex", "std::lock_guard"), finding("Uses thread synchronization.", kind="UsesThreadSynchronization"))),
+    Rule("stateful", lambda: F.when(_WRITES_FIELD(), F.array(finding("Mutates instance or class state.", kind="Stateful"))).otherwise(when(T.matches(body(), _MUTATOR), finding("Mutates a collection.", kind="Stateful")))),
     Rule("pure-impure", _pure, False),
 )
 
@@ -266,7 +275,7 @@ EXTERNAL = (
 
 
 def _names(pattern: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(BODY, F.lit("(?U)" + pattern), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(body(), F.lit("(?U)" + pattern), F.lit(1)))
 
 
 def _as_subjects(names: Column, kind: str, confidence: str) -> Column:
@@ -274,9 +283,9 @@ def _as_subjects(names: Column, kind: str, confidence: str) -> Column:
 
 
 DEPENDENCY_RULES = (
-    Rule("method-calls", lambda: _as_subjects(F.filter(_names(r"\b" + T.IDENT + r"\s*\("), lambda n: ~n.isin(*KEYWORDS) & (n != NAME)), "MethodCall", "Medium")),
-    Rule("external-apis", lambda: _as_subjects(F.filter(F.array(*[F.when(T.matches(BODY, p), F.lit(n)) for p, n in EXTERNAL]), lambda n: n.isNotNull()), "ExternalApi", "High")),
-    Rule("class-dependencies", lambda: _as_subjects(DEPENDENCIES, "ReferencedClass", "High"), False),
+    Rule("method-calls", lambda: _as_subjects(F.filter(_names(r"\b" + T.IDENT + r"\s*\("), lambda n: ~n.isin(*KEYWORDS) & (n != name_())), "MethodCall", "Medium")),
+    Rule("external-apis", lambda: _as_subjects(F.filter(F.array(*[F.when(T.matches(body(), p), F.lit(n)) for p, n in EXTERNAL]), lambda n: n.isNotNull()), "ExternalApi", "High")),
+    Rule("class-dependencies", lambda: _as_subjects(class_dependencies(), "ReferencedClass", "High"), False),
     Rule("namespaces", lambda: _as_subjects(
         F.array_distinct(F.concat(_names(r"\b" + T.IDENT + r"\s*::\s*[A-Za-z_][\w]*"), F.filter(_names(r"\b" + T.IDENT + r"\.[A-Za-z_][\w]*\s*\("), lambda n: n != "this"))), "Namespace", "Medium")),
 )
@@ -297,7 +306,7 @@ def _tagged(found: Column, rule_id: str) -> Column:
 
 
 def _scoped(variables: Column, scope: str, blind: str) -> Column:
-    return F.transform(variables, lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"), F.lit(scope).alias("scope"), F.when(HAS_BODY, "High").otherwise(blind).alias("confidence")))
+    return F.transform(variables, lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"), F.lit(scope).alias("scope"), F.when(has_body(), "High").otherwise(blind).alias("confidence")))
 
 
 def findings(methods: DataFrame, analyzer: str) -> DataFrame:
@@ -308,7 +317,7 @@ def findings(methods: DataFrame, analyzer: str) -> DataFrame:
     for rule in rules:
         found = rule.build().cast(FINDING)
         if rule.needs_body:
-            found = F.when(HAS_BODY, found).otherwise(F.array().cast(FINDING))
+            found = F.when(has_body(), found).otherwise(F.array().cast(FINDING))
         groups.append(_tagged(found, rule.id))
     rows = parsed.select("method_id", F.posexplode(F.concat(*groups)).alias("emit_ord", "row"))
     rows = rows.select("method_id", "row.rule_id", "emit_ord", "row.f.kind", "row.f.subject", "row.f.description", "row.f.confidence")

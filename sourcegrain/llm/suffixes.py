@@ -161,6 +161,17 @@ _NAMES = ["shard", "rid", "th", "start", "many", "place", "raw", "twice"]
 _TYPES = [pa.int64()] * 6 + [pa.binary(), pa.bool_()]
 
 
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    """Spans (rid, th, start, many) of window starts, those that touch as one."""
+    out: list[list[int]] = []
+    for rid, th, start, many in sorted(spans):
+        if out and out[-1][:2] == [rid, th] and start <= out[-1][2] + out[-1][3]:
+            out[-1][3] = max(out[-1][3], start + many - out[-1][2])
+        else:
+            out.append([rid, th, start, many])
+    return out
+
+
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """texts, and spans: (rid, th, first, last) ranges of window starts whose window starts elsewhere too."""
     texts, candidates, hot = anchors.find(rows, lambda column: scan(column, window), "suffixes", False)
@@ -197,7 +208,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
                             if not old[7]:
                                 old[7] = True
                                 settled.append(old[1:5])
-                out = [[None, *x, None, None, None] for x in settled] + list(first.values())
+                out = [[None, *x, None, None, None] for x in merged(settled)] + list(first.values())
                 columns = list(zip(*out, strict=True)) or [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 

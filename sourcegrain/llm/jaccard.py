@@ -24,11 +24,15 @@ from .grams import FOLDED, buffers, gram_hashes, word_hashes
 
 #: Signatures that a task gathers before it hands them on.
 FLUSH = 1_000_000
-#: Members of a block that one task joins at once.
-CHUNK = 2_000
-#: Words of the bitmap of a set: 64 * 64 bits.
-BITMAP = 64
-LEAF, FANOUT = 16, 8
+#: Weight of the members that one task joins at once, in longs: a set weighs its shingles and its bitmap.
+CHUNK = 4_000_000
+#: Words of the bitmap of a set: 64 * 64 bits; of the folded one that is looked at first.
+BITMAP, FOLDED_BITMAP = 64, 16
+LEAF, FANOUT = 64, 4
+#: Pairs of tree nodes that are looked at together.
+SLICE = 20_000
+#: A signature's last bits hold its class of sizes.
+CLASS_BITS = np.uint64(127)
 BATCH_BYTES = 2 << 20
 #: Hashes of ids that are broadcast, at most: 2^21 longs.
 BUCKETS = 1 << 21
@@ -73,9 +77,10 @@ class Scheme:
             edge = np.flatnonzero(part[1:] != part[:-1]) + 1
             start, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(part)]])
             label = np.uint64(i * int(_B) % (1 << 64)) + part[start] * _A
-            out.append(mix64((sums[end] - sums[start]) ^ mix64(label)))
+            sig = [mix64((sums[end] - sums[start]) ^ mix64(label))]
             if len(start) < self.need[i]:
-                out.append(mix64(np.array([i], np.uint64) ^ _B))
+                sig.append(mix64(np.array([i], np.uint64) ^ _B))
+            out += [(x & ~CLASS_BITS) | np.uint64(i % 128) for x in sig]
         return np.concatenate(out)
 
 
@@ -98,21 +103,27 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix64(np.add.reduce(mix64(shingles ^ _B), keepdims=True) + length)[0] >> np.uint64(1))
 
 
-def _edges_of(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows with equal signatures, those of other nodes joined to the smallest: the distinct
-    signatures with their smallest node, and the edges (node, smallest)."""
+def _edges_of(sig: np.ndarray, node: np.ndarray):
+    """Of rows with equal signatures, those of other nodes joined to the smallest: the distinct signatures
+    with their smallest node, and per class of sizes a forest of the edges (node, smallest, class)."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
     low = node[first][np.cumsum(first) - 1]
     other = node != low
-    return sig[first], node[first], node[other], low[other]
+    a, b, kind = node[other], low[other], (sig[other] & CLASS_BITS).astype(np.int64)
+    edges = [np.zeros((3, 0), np.int64)]
+    for c in np.unique(kind).tolist():
+        some = kind == c
+        x, y = forest(a[some], b[some])
+        edges.append(np.stack([x, y, np.full(len(x), c)]))
+    return sig[first], node[first], *np.concatenate(edges, axis=1)
 
 
-ROW = "part int, doc_id long, th long, n_shingles long, node long, other long, payload binary"
-_NAMES = ["part", "doc_id", "th", "n_shingles", "node", "other", "payload"]
-_TYPES = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
+ROW = "part int, doc_id long, th long, n_shingles long, node long, other long, class long, payload binary"
+_NAMES = ["part", "doc_id", "th", "n_shingles", "node", "other", "class", "payload"]
+_TYPES = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -121,7 +132,7 @@ def _rows(**columns) -> pa.RecordBatch:
 
 
 def nodes_and_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, n_shingles, node) of every document, and the candidate edges (node, other).
+    """Rows of two kinds: (doc_id, n_shingles, node) of every document, and the candidate edges (node, other, class).
 
     Signatures travel as binary columns of a hash range each. A task keeps one
     node for each of its signatures, so a group of any size sends at most one
@@ -133,10 +144,9 @@ def nodes_and_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         scheme, sigs, names, held = Scheme(num, den), [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sig, node, a, b = _edges_of(np.concatenate(sigs), np.repeat(np.array([n for n, _ in names], np.int64), [c for _, c in names]))
-            a, b = forest(a, b)
+            sig, node, a, b, kind = _edges_of(np.concatenate(sigs), np.repeat(np.array([n for n, _ in names], np.int64), [c for _, c in names]))
             if len(a):
-                yield _rows(part=(a % n_parts).astype(np.int32), node=a, other=b)
+                yield _rows(part=(a % n_parts).astype(np.int32), node=a, other=b, **{"class": kind})
             part = ((sig >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
             cuts = np.searchsorted(part, np.arange(n_parts + 1)).tolist()
             full = [p for p in range(n_parts) if cuts[p] < cuts[p + 1]]
@@ -171,9 +181,8 @@ def nodes_and_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 sigs.append(both[: len(both) // 2].view(np.uint64))
                 nodes.append(both[len(both) // 2 :])
         if sigs:
-            _, _, a, b = _edges_of(np.concatenate(sigs), np.concatenate(nodes))
-            a, b = forest(a, b)
-            yield _rows(part=np.zeros(len(a), np.int32), node=a, other=b)
+            _, _, a, b, kind = _edges_of(np.concatenate(sigs), np.concatenate(nodes))
+            yield _rows(part=np.zeros(len(a), np.int32), node=a, other=b, **{"class": kind})
 
     spreads = docs.select("doc_id", "th", F.col("text").cast("string").alias("text")).mapInArrow(spread, ROW)
     return spreads.repartition(n_parts // 4, "part").mapInArrow(meet, ROW).drop("part", "payload")
@@ -189,6 +198,8 @@ class SignatureTree:
             bit = s & np.uint64(BITMAP * 64 - 1)
             np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
         self.excess = self.size - np.bitwise_count(self.bits).sum(axis=1)
+        self.folded = np.bitwise_or.reduce(self.bits.reshape(len(sets), BITMAP // FOLDED_BITMAP, FOLDED_BITMAP), axis=1)
+        self.folded_excess = self.size - np.bitwise_count(self.folded).sum(axis=1)
         #: Per level: bitmap, smallest and largest size, largest excess; level 0 has LEAF sets a node.
         self.levels = []
         width, bits, low, high, excess = LEAF, self.bits, self.size, self.size, self.excess
@@ -204,7 +215,21 @@ class SignatureTree:
     def can_link(self, level: int, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
         """Whether any pair of sets under node pairs (i, j) of a level can reach the threshold."""
         bits, low, high, excess = self.levels[level]
-        return reachable(bits[i] & bits[j], low[i], low[j], high[i], high[j], excess[i], excess[j], num, den)
+        out = [np.zeros(0, bool)]
+        for k in range(0, len(i), SLICE):
+            x, y = i[k : k + SLICE], j[k : k + SLICE]
+            out.append(reachable(bits[x] & bits[y], low[x], low[y], high[x], high[y], excess[x], excess[y], num, den))
+        return np.concatenate(out)
+
+    def pairs(self, a: int, b: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of sets of leaves a and b whose bitmaps allow the threshold: folded bitmaps first."""
+        rows, columns = np.arange(a * LEAF, min(len(self.size), a * LEAF + LEAF)), np.arange(b * LEAF, min(len(self.size), b * LEAF + LEAF))
+        x, y = rows[:, None], columns[None, :]
+        keep = reachable(self.folded[x] & self.folded[y], self.size[x], self.size[y], self.size[x], self.size[y], self.folded_excess[x], self.folded_excess[y], num, den)
+        at = np.nonzero(keep & (x < y))
+        x, y = rows[at[0]], columns[at[1]]
+        keep = reachable(self.bits[x] & self.bits[y], self.size[x], self.size[y], self.size[x], self.size[y], self.excess[x], self.excess[y], num, den)
+        return x[keep], y[keep]
 
 
 def reachable(common, low_i, low_j, high_i, high_j, excess_i, excess_j, num: int, den: int) -> np.ndarray:
@@ -233,12 +258,9 @@ def tree_links(sets: list[np.ndarray], group: list[int], queries: list[bool] | N
             inside = (i < n) & (j < n) & (i <= j)
             i, j = i[inside], j[inside]
     for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        rows, columns = np.arange(a * LEAF, min(len(sets), a * LEAF + LEAF)), np.arange(b * LEAF, min(len(sets), b * LEAF + LEAF))
-        x, y = np.repeat(rows, len(columns)), np.tile(columns, len(rows))
-        pairs = (x < y) & (asks[x] | asks[y])
-        x, y = x[pairs], y[pairs]
-        keep = reachable(tree.bits[x] & tree.bits[y], tree.size[x], tree.size[y], tree.size[x], tree.size[y], tree.excess[x], tree.excess[y], num, den)
-        for p, q in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+        x, y = tree.pairs(a, b, num, den)
+        wanted = asks[x] | asks[y]
+        for p, q in zip(x[wanted].tolist(), y[wanted].tolist(), strict=True):
             if union.find(p) != union.find(q):
                 both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
                 if den * both >= num * (len(sets[p]) + len(sets[q]) - both):
@@ -284,24 +306,24 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _large_links(members: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links among the members (block, node, text) of blocks above CHUNK members.
+    """Links among the members (block, node, own_weight, text) of blocks that weigh more than CHUNK.
 
     Two rounds over random chunks find most links. What isn't in a block's
     largest component by then is a query set, compared with all members of the
     block in pairs of chunks, so that every link between components is found.
     """
-    members = cut(members.join(sizes, "block").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("long")), "large")
+    members = cut(members.join(sizes, "block").withColumn("chunks", F.ceil(2 * F.col("weight") / CHUNK).cast("long")), "large")
     rounds = []
     for salt in range(2):
         chunk = F.xxhash64("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("chunks")), F.lit(salt))
         rounds.append(members.select(chunk.alias("task_key"), "node", F.col("node").alias("grp"), F.lit(True).alias("asks"), "text"))
     links = cut(_block_links(rounds[0].unionByName(rounds[1]), k, num, den), "links")
     roots = components(links)
-    group = cut(members.select("node", "block").join(roots, "node", "left").select("node", "block", F.coalesce("root", "node").alias("grp")), "groups")
-    per_group = group.groupBy("block", "grp").agg(F.count("*").alias("n"))
+    group = cut(members.select("node", "block", "own_weight").join(roots, "node", "left").select("node", "block", "own_weight", F.coalesce("root", "node").alias("grp")), "groups")
+    per_group = group.groupBy("block", "grp").agg(F.sum("own_weight").alias("n"))
     largest = per_group.groupBy("block").agg(F.max_by("grp", F.struct("n", "grp")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest")).filter("rest > 0")
-    asked = group.join(largest, "block").drop("block").withColumn("asks", F.col("grp") != F.col("largest"))
-    placed = members.join(asked, "node").withColumn("ask_chunks", F.ceil(F.col("rest") / CHUNK).cast("long"))
+    asked = group.drop("own_weight").join(largest, "block").withColumn("asks", F.col("grp") != F.col("largest"))
+    placed = members.join(asked, ["block", "node"]).withColumn("ask_chunks", F.ceil(2 * F.col("rest") / CHUNK).cast("long"))
     row, column = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")), F.pmod(F.xxhash64("node", F.lit(3)), F.col("ask_chunks"))
     spans = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     all_rows = placed.withColumn("i", row).withColumn("j", spans("ask_chunks")).withColumn("asks", F.lit(False))
@@ -324,21 +346,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), "text")
     found = cut(nodes_and_edges(rows, k, num, den), "jaccard")
     nodes = found.filter(F.col("other").isNull()).select("doc_id", "th", "n_shingles", "node")
-    blocks = cut(components(found.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b"))), "blocks")
+    # Sets of one class of sizes, or of two that meet, make blocks of their own.
+    edges = found.filter(F.col("other").isNotNull())
+    edges = cut(edges.select("node", "other", "class", F.xxhash64("node", "class").alias("a"), F.xxhash64("other", "class").alias("b")), "candidates")
+    placed = edges.select("node", F.col("a").alias("id")).unionByName(edges.select(F.col("other").alias("node"), F.col("b").alias("id"))).distinct()
+    blocks = placed.join(components(edges.select("a", "b")).withColumnRenamed("node", "id"), "id").groupBy("node").agg(F.collect_set("root").alias("blocks"))
     # One text a node stands for its set.
-    chosen = nodes.join(blocks, "node").groupBy("node").agg(F.min(ranked_id(F.col("doc_id"))).alias("first_id"), F.first("root").alias("block"))
-    chosen = cut(chosen, "chosen")
+    firsts = nodes.groupBy("node").agg(F.min(ranked_id(F.col("doc_id"))).alias("first_id"), (F.first("n_shingles") + BITMAP).alias("own_weight"))
+    chosen = cut(firsts.join(blocks, "node"), "chosen")
     # Texts of other documents are mostly left out before the shuffle, by at most BUCKETS hashes of the chosen ids.
     bucket = F.pmod(F.xxhash64("first_id"), F.lit(BUCKETS))
     hashes = chosen.select(bucket.alias("bucket")).distinct()
     texts = rows.withColumn("first_id", ranked_id(F.col("doc_id"))).select("first_id", "text", bucket.alias("bucket"))
     texts = cut(texts.join(F.broadcast(hashes), "bucket", "left_semi").select("first_id", "text").join(chosen.hint("merge"), "first_id"), "candidates")
-    sizes = cut(chosen.groupBy("block").agg(F.count("*").alias("size")).filter(F.col("size") > CHUNK), "sizes")
+    texts = texts.withColumn("block", F.explode("blocks")).drop("blocks")
+    sizes = chosen.select(F.explode("blocks").alias("block"), "own_weight").groupBy("block").agg(F.sum("own_weight").alias("weight"))
+    sizes = cut(sizes.filter(F.col("weight") > CHUNK), "sizes")
     large = not sizes.isEmpty()
     small = texts.join(sizes, "block", "left_anti") if large else texts
     links = _block_links(small.select(F.col("block").alias("task_key"), "node", F.col("node").alias("grp"), F.lit(True).alias("asks"), "text"), k, num, den)
     if large:
-        links = links.unionByName(_large_links(texts.select("block", "node", "text"), sizes, k, num, den))
+        links = links.unionByName(_large_links(texts.select("block", "node", "own_weight", "text"), sizes, k, num, den))
     roots = cut(components(links), "roots")
     # The empty set links with nothing: such documents are nodes of their own.
     own = F.when(F.col("node") < 0, F.struct(F.lit(-1).cast("long").alias("root"), ranked_id(F.col("doc_id")).alias("alone")))

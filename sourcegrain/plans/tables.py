@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import describe, prompts, structure
+from ..operators import describe, prompts, reports, structure
 from ..sources import files
 from ..streaming.throttle import throttle
 
@@ -247,3 +247,49 @@ def describe_methods(spark, sf_dir):
     small = F.transform(words, lambda w: F.when(w.rlike(r"^\p{Lu}{2}"), w).otherwise(F.lower(w)))
     listed = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), F.col("p_size") % 4)
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(small, " ").alias("words"), describe.inflect(F.lower(F.get(words, F.lit(0)))).alias("verb"), describe.join_names(listed).alias("names"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT p_brand, p_name FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_name) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM p)
+SELECT p_brand, string_agg(p_name, ', ' ORDER BY p_name) || CASE WHEN max(n) > 8 THEN ' and ' || (max(n) - 8) || ' more' ELSE '' END AS names FROM r WHERE k <= 8 GROUP BY p_brand""")
+def project_context(spark, sf_dir):
+    return reports.top_names(table(spark, sf_dir, "part"), ["p_brand"], "p_name", 8)
+
+
+@query("""
+WITH m AS (SELECT DISTINCT user_id FROM events), h AS (SELECT * FROM (VALUES (0, 'view', 'Views'), (1, 'purchase', 'Purchases'), (2, 'refund', 'Refunds')) AS v(k, section, heading)),
+l AS (SELECT user_id, k, 0 AS p, '### ' || heading AS line FROM m, h
+  UNION ALL SELECT user_id, k, row_number() OVER (PARTITION BY user_id, k ORDER BY event_id), '- event ' || event_id FROM events JOIN h ON event_type = section
+  UNION ALL SELECT user_id, k, 1, '_(none detected)_' FROM m, h WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = m.user_id AND e.event_type = h.section))
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY k, p)::INTEGER AS pos, line FROM l""")
+def export_markdown_lines(spark, sf_dir):
+    findings = table(spark, sf_dir, "events").select(F.col("user_id").alias("method_id"), F.col("event_type").alias("section"), F.col("event_id").alias("ord"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("description"))
+    lines = reports.markdown_lines(findings, [("view", "Views"), ("purchase", "Purchases"), ("refund", "Refunds")])
+    return lines.withColumnRenamed("method_id", "user_id")
+
+
+@query("""
+SELECT l_orderkey AS method_id, '{"method":' || l_orderkey || ',"findings":[' || string_agg('{"rule":"' || l_returnflag || '","text":"part ' || l_partkey || '"}', ',' ORDER BY l_linenumber, l_returnflag, 'part ' || l_partkey) || ']}' AS json
+FROM lineitem GROUP BY l_orderkey""")
+def export_json_rows(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return reports.json_rows(lines.select(F.col("l_orderkey").alias("method_id"), F.col("l_linenumber").alias("ord"), F.col("l_returnflag").alias("rule_id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("description")))
+
+
+@query("SELECT user_id, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
+def category_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT s_suppkey, coalesce(a.p_name, b.p_name, c.p_name) AS found
+FROM supplier LEFT JOIN part a ON a.p_partkey = s_suppkey * 3 AND s_suppkey % 2 = 0 LEFT JOIN part b ON b.p_partkey = s_suppkey + 7 AND s_suppkey % 3 = 0 LEFT JOIN part c ON c.p_partkey = s_suppkey""")
+def lookup_priority(spark, sf_dir):
+    supplier, part = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    # Each supplier asks for up to three keys in order of preference; the first that a part has wins.
+    key = F.col("s_suppkey")
+    asks = F.array(F.when(key % 2 == 0, key * 3), F.when(key % 3 == 0, key + 7), key)
+    wanted = supplier.select("s_suppkey", F.posexplode(asks).alias("preference", "p_partkey")).filter(F.col("p_partkey").isNotNull())
+    hits = wanted.join(part.select("p_partkey", "p_name"), "p_partkey", "left")
+    return hits.groupBy("s_suppkey").agg(F.min_by("p_name", F.when(F.col("p_name").isNotNull(), F.col("preference"))).alias("found"))

@@ -189,6 +189,39 @@ LIMIT_TEMPLATES = (
 )
 
 
+#: Templates for execution steps: (name, return type, locals with initial values, fields, body, expected (kind, description)).
+FLOW_TEMPLATES = (
+    (
+        "sum", "int", (("total", "int", "0"),), (), "int sum(Node* node) { if (node == nullptr) { throw E(); } int total = 0; for (int i = 0; i < {n}; i++) { total += node->value(i); } return total; }",
+        (
+            ("Validation", "Validate that node is not null before proceeding"), ("Initialization", "Initialize total to accumulate the computed result"), ("LoopProcessing", "Iterate over the elements to process each item sequentially"),
+            ("Calculation", "Accumulate the running total into total"), ("Delegation", "Delegate the value processing to the responsible component"), ("ReturnResult", "Return the total value to the caller"),
+        ),
+    ),
+    (
+        "tick", "void", (), (("count", "int"),), "void tick() { count = count + {n}; std::cout << count; std::cout << 1; }",
+        (("Calculation", "Calculate the result and store it in count"), ("StateUpdate", "Update the count field to reflect this operation"), ("ConsoleOutput", "Output information to the console during execution")),
+    ),
+    ("ok", "bool", (), (), "bool ok() { return {n} > 0; }", (("ReturnResult", "Return true if the operation succeeded, false otherwise"),)),
+    ("nop", "void", (), (), "void nop() { }", (("Calculation", "Execute the nop operation using the provided inputs"),)),
+    (
+        "load", "std::string", (), (), "std::string load() { try { ifstream in; store.Save(in); bus.Send({n}); } catch (E) { printf(\"x\"); } return text; }",
+        (
+            ("Delegation", "Dispatch the result to the target destination"), ("FileOperation", "Perform the required file system operation"), ("DatabaseOperation", "Persist the processed data to the storage layer"),
+            ("ConsoleOutput", "Output information to the console during execution"), ("ExceptionHandling", "Handle potential exceptions internally to ensure graceful recovery"), ("ReturnResult", "Return the resulting text value to the caller"),
+        ),
+    ),
+    (
+        "busy", "double", (), (("a", "int"), ("b", "int")), "double busy() { x += 1; p.f(); y += 2; p.g(); z += 3; p.h(); std::cout << {n}; fopen(n); q.Persist(); while (a) { a--; } return x; }",
+        (
+            ("LoopProcessing", "Iterate over the elements to process each item sequentially"), ("Calculation", "Perform the core processing logic on the provided inputs"), ("StateUpdate", "Update the a field to reflect this operation"),
+            ("FileOperation", "Perform the required file system operation"), ("DatabaseOperation", "Persist the processed data to the storage layer"), ("ConsoleOutput", "Output information to the console during execution"),
+            ("ReturnResult", "Return the computed double result to the caller"),
+        ),
+    ),
+)
+
+
 def _strings(values) -> F.Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
@@ -226,6 +259,25 @@ def limit_methods(part: DataFrame) -> DataFrame:
     return _written(part, [_method("Operate", "void", params, body, (), locals_, (), "C#") for params, locals_, body, *_ in LIMIT_TEMPLATES])
 
 
+def flow_methods(part: DataFrame) -> DataFrame:
+    """One method per part, from FLOW_TEMPLATES."""
+    started = "array<struct<name:string,type:string,initial_value:string>>"
+    rows = [
+        F.struct(
+            F.lit(name).alias("method_name"), F.lit(returns).alias("return_type"), _numbered(body).alias("body"), _variables(fields).alias("fields"),
+            F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type"), F.lit(v).alias("initial_value")) for n, t, v in locals_]).cast(started).alias("locals"),
+        )
+        for name, returns, locals_, fields, body, _ in FLOW_TEMPLATES
+    ]
+    return _written(part, rows)
+
+
+def flow_sql() -> str:
+    rows = [(i, k + 1, *step) for i, t in enumerate(FLOW_TEMPLATES) for k, step in enumerate(t[-1])]
+    values = ", ".join(f"({i}, {k}, {_quoted(kind)}, {_quoted(text)})" for i, k, kind, text in rows)
+    return f"SELECT p_partkey AS method_id, step, kind, description FROM part JOIN (VALUES {values}) AS v(t, step, kind, description) ON p_partkey % {len(FLOW_TEMPLATES)} = t"
+
+
 def _quoted(value) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 

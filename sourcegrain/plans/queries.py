@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import limits, rules
+from ..operators import flow, limits, rules
 from . import corpus, tables
 
 FINDING = ["method_id", "rule_id", "kind", "subject", "description", "confidence"]
@@ -33,7 +33,11 @@ def variable_usage(spark, sf_dir):
     return rules.variable_usage(corpus.methods(table(spark, sf_dir, "part")))
 
 
-QUERIES |= {"variable_limits": variable_limits, "variable_usage": variable_usage}
-SQL |= {"variable_limits": corpus.limits_sql(), "variable_usage": corpus.usage_sql()}
+def execution_steps(spark, sf_dir):
+    return flow.execution_steps(corpus.flow_methods(table(spark, sf_dir, "part")))
+
+
+QUERIES |= {"execution_steps": execution_steps, "variable_limits": variable_limits, "variable_usage": variable_usage}
+SQL |= {"execution_steps": corpus.flow_sql(), "variable_limits": corpus.limits_sql(), "variable_usage": corpus.usage_sql()}
 QUERIES |= tables.QUERIES
 SQL |= tables.SQL

@@ -121,3 +121,47 @@ def keep_good(docs: DataFrame) -> DataFrame:
     good = quality(docs).filter("kept").select(ranked_id(F.col("doc_id")).alias("_rid"), F.col("lang_key").alias("_lang"), F.col("th").alias("_th"))
     named = docs.withColumns({"_rid": ranked_id(F.col("doc_id")), "_lang": F.coalesce(F.col("lang"), F.lit("")), "_th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     return named.join(good, ["_rid", "_lang", "_th"], "left_semi").select(*docs.columns)
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _sql_count(keep: str) -> str:
+    negated = f"[^{keep[1:]}" if not keep.startswith("[^") else f"[{keep[2:]}"
+    pattern = negated.replace("'", "\\x27")
+    return f"length(regexp_replace(body, '{pattern}+', '', 'g'))"
+
+
+def _sql_distance(p: str, q: str) -> str:
+    a, b = f"({p}[i] / list_sum({p})::DOUBLE)", f"({q}[i] / list_sum({q})::DOUBLE)"
+    term = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({a} + {b}) / 2)) ELSE 0 END"
+    return f"sqrt(greatest(0, list_sum([{term(a)} + {term(b)} for i in range(1, len({p}) + 1)]) / 2))"
+
+
+_N, _M = len(CLASSES) + 2, BINS + 1
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang_key, coalesce(text, '') AS body FROM documents),
+t AS (SELECT *, regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+') AS words, [x for x in str_split(body, chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines,
+  CASE {" ".join(f"WHEN lang_key = '{k}' THEN {_sql_list(w)}" for k, w in COMMON.items())} ELSE [] END AS common FROM d),
+g AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM t WHERE len(words) >= 3)),
+m AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, w) AS c FROM g) WHERE c > 1),
+v AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM m) GROUP BY r),
+b AS (SELECT r, u.w, count(*) AS c FROM (SELECT r, common, unnest(words) AS w FROM t) u WHERE list_contains(common, u.w) GROUP BY 1, 2),
+h AS (SELECT r, map(list(w), list(c)) AS counts FROM b GROUP BY r),
+f AS (
+  SELECT t.r, doc_id, lang_key, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, {_sql_count(SYMBOLS)}::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words, length(body) AS n_chars_all,
+    [{", ".join(_sql_count(c) for c in CLASSES)}] AS classes,
+    [CASE WHEN k <= len(common) THEN coalesce(element_at(counts, common[k])[1], 0) ELSE 0 END for k in range(1, {BINS + 1})] AS bins
+  FROM t LEFT JOIN v USING (r) LEFT JOIN h ON h.r = t.r),
+s AS (
+  SELECT *, list_concat(classes, [n_chars_all - word_chars, word_chars - list_sum(classes)::BIGINT]) AS ch, list_concat(bins, [n_words - list_sum(bins)::BIGINT]) AS wh,
+    n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+q AS (SELECT lang_key, [{", ".join(f"sum(ch[{i + 1}])" for i in range(_N))}] AS rch, [{", ".join(f"sum(wh[{i + 1}])" for i in range(_M))}] AS rwh FROM s WHERE NOT base_failed GROUP BY lang_key),
+z AS (
+  SELECT s.*, CASE WHEN n_chars_all >= {MIN_CHARS} AND n_words >= {MIN_WORDS} AND rch IS NOT NULL THEN {_sql_distance("ch", "rch")} ELSE 0 END AS dc,
+    CASE WHEN n_chars_all >= {MIN_CHARS} AND n_words >= {MIN_WORDS} AND rwh IS NOT NULL THEN {_sql_distance("wh", "rwh")} ELSE 0 END AS dw
+  FROM s LEFT JOIN q USING (lang_key))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND dc <= {MAX_CHAR_DISTANCE} AND dw <= {MAX_WORD_DISTANCE} AS kept FROM z
+"""

@@ -57,4 +57,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_source_mixing": mixing.SQL, "op6_exact_top_k": vectors.SQL, "op10_license_scan": licenses.SQL}
+    return {"op1_quality_rules": quality.SQL, "op3_source_mixing": mixing.SQL, "op6_exact_top_k": vectors.SQL, "op10_license_scan": licenses.SQL}

@@ -138,7 +138,24 @@ def others(methods: DataFrame, declared: DataFrame) -> DataFrame:
     tested = rejected.select("method_id", F.explode(F.concat(*[F.regexp_extract_all("condition", F.lit("(?U)" + p), F.lit(1)) for p in (T.IDENT + r"\s*==\s*null(?:ptr)?\b", T.IDENT + r"\s+is\s+null\b", r"IsNullOr(?:Empty|WhiteSpace)\s*\(\s*" + T.IDENT)])).alias("name"))
     thrown = rows.select("method_id", F.explode(F.regexp_extract_all("code", F.lit(r"(?U)ThrowIfNull(?:OrEmpty|OrWhiteSpace)?\s*\(\s*" + T.IDENT), F.lit(1))).alias("name"))
     present = thrown.unionByName(tested).select("method_id", "name", F.lit("Presence").alias("kind"), F.lit(7).alias("rule_ord"), F.lit("Guard").alias("source"), F.lit("must not be null").alias("text"))
-    return member.unionByName(size).unionByName(present.distinct())
+    # Bounds that are other variables: the first of each side.
+    named = rejected.select("method_id", F.posexplode(_triples(F.col("condition"), T.IDENT + r"\s*(<=|>=|<|>)\s*([A-Za-z_]\w*)")).alias("seq", "c"))
+    known = declared.select("method_id", F.col("name").alias("bound"))
+    named = named.select("method_id", "seq", F.col("c.name").alias("name"), F.col("c.op").alias("op"), F.col("c.value").alias("bound")).join(known, ["method_id", "bound"])
+    side = lambda sign: F.min(F.when(F.col("op").startswith(sign), F.struct("seq", "bound")))["bound"]
+    between = named.groupBy("method_id", "name").agg(side("<").alias("low"), side(">").alias("high")).filter(F.col("low").isNotNull() & F.col("high").isNotNull())
+    between = between.select("method_id", "name", F.lit("Range").alias("kind"), F.lit(5).alias("rule_ord"), F.lit("Guard").alias("source"), F.concat(F.lit("between "), "low", F.lit(" and "), "high").alias("text"))
+    letter = r"('(?:\\.|[^'\\])')"
+    spans = _triples(F.col("code"), T.IDENT + r"\s*>=\s*" + letter + r"\s*&&\s*\1\s*<=\s*" + letter)
+    letters = rows.select("method_id", F.explode(spans).alias("c")).select(
+        "method_id", F.col("c.name").alias("name"), F.lit("Range").alias("kind"), F.lit(4).alias("rule_ord"), F.lit("Guard").alias("source"), F.concat(F.col("c.op"), F.lit(" to "), F.col("c.value")).alias("text"),
+    )
+    # A divisor, unless its zero is left before it is used.
+    divisor = F.array_distinct(F.regexp_extract_all("code", F.lit(r"(?U)[/%]\s*" + T.IDENT + r"\b(?!\s*[.\[(])"), F.lit(1)))
+    divided = rows.select("method_id", "code", F.explode(divisor).alias("name"))
+    handled = T.uses(F.col("code"), F.col("name"), r"\bif\s*\([^)]*\b{}\s*==\s*0\b[^)]*\)[\s\x7B]*(?:return|continue|throw)\b")
+    divided = divided.filter(~handled).select("method_id", "name", F.lit("Range").alias("kind"), F.lit(8).alias("rule_ord"), F.lit("Guard").alias("source"), F.lit("must not be zero").alias("text"))
+    return member.unionByName(size).unionByName(present.distinct()).unionByName(between).unionByName(letters).unionByName(divided)
 
 
 def declared_types(declared: DataFrame) -> DataFrame:

@@ -173,19 +173,26 @@ TEMPLATES = (
     ),
 )
 
-#: Templates for limits: (parameters, locals, body with {n} and {n+k}, SQL of the limit over n, name, scope, source).
+#: Templates for limits: (parameters, locals, body with {n} and {n+k}, expected (SQL of the limit over n, name, scope, source)).
 LIMIT_TEMPLATES = (
-    (("int size",), (), "{ if (size < 1 || size > {n}) throw new E(); }", "CASE WHEN n = 1 THEN 'exactly 1' ELSE '1 to ' || n END", "size", "Parameter", "Guard"),
-    (("int level",), (), "{ if (level <= 2 || level >= {n+10}) { throw new E(); } }", "'3 to ' || (n + 9)", "level", "Parameter", "Guard"),
-    (("double rate",), (), "{ if (rate < 0) throw new E(); if (rate < {n}) throw new E(); }", "n || ' or greater'", "rate", "Parameter", "Guard"),
-    (("int v",), (), "{ v = Math.Clamp(v, 2, {n+5}); }", "'2 to ' || (n + 5)", "v", "Parameter", "Clamp"),
-    (("int k",), (), "{ if (k != 3 && k != 5 && k != {n+7}) throw new E(); }", "'3, 5 or ' || (n + 7)", "k", "Parameter", "Guard"),
-    (("string s",), (), "{ if (s.Length > {n}) throw new E(); }", "'at most ' || n || CASE WHEN n = 1 THEN ' character' ELSE ' characters' END", "s", "Parameter", "Guard"),
-    (("List<int> xs",), (), "{ if (xs.Count == 0) throw new E({n}); }", "'at least 1 item'", "xs", "Parameter", "Guard"),
-    (("Order o",), (), "{ if (o is null) throw new E({n}); }", "'must not be null'", "o", "Parameter", "Guard"),
-    ((), (("i", "int"),), "{ for (int i = 0; i < {n+1}; i++) { Use(i); } }", "'0 to ' || n", "i", "Local", "LoopBound"),
-    (("byte b",), (), "{ Use(b, {n}); }", "'0 to 255'", "b", "Parameter", "DeclaredType"),
-    (("int n",), (), "{ // if (n < 1) throw new E();\n Use(n, {n}); }", "'any whole number'", "n", "Parameter", "DeclaredType"),
+    (("int size",), (), "{ if (size < 1 || size > {n}) throw new E(); }", (("CASE WHEN n = 1 THEN 'exactly 1' ELSE '1 to ' || n END", "size", "Parameter", "Guard"),)),
+    (("int level",), (), "{ if (level <= 2 || level >= {n+10}) { throw new E(); } }", (("'3 to ' || (n + 9)", "level", "Parameter", "Guard"),)),
+    (("double rate",), (), "{ if (rate < 0) throw new E(); if (rate < {n}) throw new E(); }", (("n || ' or greater'", "rate", "Parameter", "Guard"),)),
+    (("int v",), (), "{ v = Math.Clamp(v, 2, {n+5}); }", (("'2 to ' || (n + 5)", "v", "Parameter", "Clamp"),)),
+    (("int k",), (), "{ if (k != 3 && k != 5 && k != {n+7}) throw new E(); }", (("'3, 5 or ' || (n + 7)", "k", "Parameter", "Guard"),)),
+    (("string s",), (), "{ if (s.Length > {n}) throw new E(); }", (("'at most ' || n || CASE WHEN n = 1 THEN ' character' ELSE ' characters' END", "s", "Parameter", "Guard"),)),
+    (("List<int> xs",), (), "{ if (xs.Count == 0) throw new E({n}); }", (("'at least 1 item'", "xs", "Parameter", "Guard"),)),
+    (("Order o",), (), "{ if (o is null) throw new E({n}); }", (("'must not be null'", "o", "Parameter", "Guard"),)),
+    ((), (("i", "int"),), "{ for (int i = 0; i < {n+1}; i++) { Use(i); } }", (("'0 to ' || n", "i", "Local", "LoopBound"),)),
+    (("byte b",), (), "{ Use(b, {n}); }", (("'0 to 255'", "b", "Parameter", "DeclaredType"),)),
+    (("int n",), (), "{ // if (n < 1) throw new E();\n Use(n, {n}); }", (("'any whole number'", "n", "Parameter", "DeclaredType"),)),
+    (
+        ("int v", "int lo", "int hi"), (), "{ if (v < lo || v > hi) throw new E({n}); }",
+        (("'between lo and hi'", "v", "Parameter", "Guard"), ("'any whole number'", "lo", "Parameter", "DeclaredType"), ("'any whole number'", "hi", "Parameter", "DeclaredType")),
+    ),
+    (("char c",), (), "{ if (c >= 'b' && c <= 'y') Use(c, {n}); }", (("'''b'' to ''y'''", "c", "Parameter", "Guard"),)),
+    (("int a", "int d"), (), "{ return a / d + {n}; }", (("'any whole number'", "a", "Parameter", "DeclaredType"), ("'must not be zero'", "d", "Parameter", "Guard"))),
+    (("int a", "int d"), (), "{ if (d == 0) return {n}; return a / d; }", (("'any whole number'", "a", "Parameter", "DeclaredType"), ("'any whole number'", "d", "Parameter", "DeclaredType"))),
 )
 
 
@@ -256,7 +263,7 @@ def methods(part: DataFrame) -> DataFrame:
 
 def limit_methods(part: DataFrame) -> DataFrame:
     """One method per part, from LIMIT_TEMPLATES."""
-    return _written(part, [_method("Operate", "void", params, body, (), locals_, (), "C#") for params, locals_, body, *_ in LIMIT_TEMPLATES])
+    return _written(part, [_method("Operate", "void", params, body, (), locals_, (), "C#") for params, locals_, body, _ in LIMIT_TEMPLATES])
 
 
 def flow_methods(part: DataFrame) -> DataFrame:
@@ -295,6 +302,6 @@ def usage_sql() -> str:
 
 
 def limits_sql() -> str:
-    pick = lambda get: "CASE p_partkey % " + str(len(LIMIT_TEMPLATES)) + " " + " ".join(f"WHEN {i} THEN {get(t)}" for i, t in enumerate(LIMIT_TEMPLATES)) + " END"
-    inner = "(SELECT p_partkey, p_size AS n FROM part)"
-    return f"SELECT p_partkey AS method_id, {pick(lambda t: _quoted(t[4]))} AS name, {pick(lambda t: _quoted(t[5]))} AS scope, {pick(lambda t: t[3])} AS \"limit\", {pick(lambda t: _quoted(t[6]))} AS source FROM {inner}"
+    rows = [(i, *expected) for i, t in enumerate(LIMIT_TEMPLATES) for expected in t[-1]]
+    one = 'SELECT p_partkey AS method_id, {} AS name, {} AS scope, {} AS "limit", {} AS source FROM (SELECT p_partkey, p_size AS n FROM part) WHERE p_partkey % {} = {}'
+    return " UNION ALL ".join(one.format(_quoted(name), _quoted(scope), limit, _quoted(source), len(LIMIT_TEMPLATES), i) for i, limit, name, scope, source in rows)

@@ -25,7 +25,7 @@ from .grams import FOLDED, buffers, gram_hashes, word_hashes
 #: Signatures that a task gathers before it hands them on.
 FLUSH = 1_000_000
 #: Weight of the members that one task joins at once, in longs: a set weighs its shingles and its bitmap.
-CHUNK = 4_000_000
+CHUNK = 16_000_000
 #: Words of the bitmap of a set: 64 * 64 bits; of the folded one that is looked at first.
 BITMAP, FOLDED_BITMAP = 64, 16
 LEAF, FANOUT = 64, 4

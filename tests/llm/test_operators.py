@@ -142,7 +142,7 @@ def linked(k, num, den):
     return collections.Counter((rows[i][0], len(sets[i]), low[root[i]]) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize(("k", "num", "den", "chunk"), [(4, 85, 100, 4_000_000), (5, 4, 5, 400)])
+@pytest.mark.parametrize(("k", "num", "den", "chunk"), [(4, 85, 100, 16_000_000), (5, 4, 5, 400)])
 def test_jaccard(docs, monkeypatch, k, num, den, chunk):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
     assert grouped(jaccard.jaccard_components(docs, k, num, den).select("doc_id", "n_shingles", "component_id")) == linked(k, num, den)

@@ -1,9 +1,9 @@
 """Permitted values of variables, inferred from guards, clamps, loops and types.
 
-Facts are extracted per method with regular expressions and combined
-relationally: bounds become rows, the tightest bound of a side wins by an
-ordered minimum, kinds are kept first-wins by rule order, and a variable's
-kinds are joined to one sentence.
+Everything a limit rests on stands in one method, so the facts are extracted
+once per row as arrays and each declared variable picks its own from them:
+the tightest bounds of a side (ties by place), the first finding of a kind by
+rule order, and one sentence over its kinds. Nothing is joined or shuffled.
 """
 
 from __future__ import annotations
@@ -19,15 +19,13 @@ for _ in range(4):
     _PARENS = r"(?:[^()]|\(" + _PARENS + r"\))*"
 #: A condition whose statement, or the first one of its block, throws.
 REJECTION = r"(?s)\bif\s*\((" + _PARENS + r")\)\s*\{?\s*throw\b"
+_LETTER = r"('(?:\\.|[^'\\])')"
+#: The text behind // and in strings is left out of facts; one longer than this has none.
+MAX_BODY = 100_000
 
 #: The values of built-in types (normalised name, sentence).
-TYPE_RANGES = (
-    ("BOOL", "true or false"), ("BYTE", "0 to 255"), ("SBYTE", "-128 to 127"), ("SHORT", "-32768 to 32767"), ("USHORT", "0 to 65535"),
-)
-#: Order of kinds in a sentence.
-KINDS = ("Presence", "Membership", "Range", "Size", "DeclaredType")
-
-LIMIT = "array<struct<name:string,op:string,value:string>>"
+TYPE_RANGES = (("BOOL", "true or false"), ("BYTE", "0 to 255"), ("SBYTE", "-128 to 127"), ("SHORT", "-32768 to 32767"), ("USHORT", "0 to 65535"))
+VALUE = "decimal(28,6)"
 
 
 def number(value: Column) -> Column:
@@ -36,142 +34,163 @@ def number(value: Column) -> Column:
     return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 
-def _triples(text: Column, pattern: str, op: str | None = None) -> Column:
-    """(name, op, value) of each match: groups 1, 2, 3, or 1 and 2 with a fixed op."""
-    groups = [F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(i)) for i in ((1, 2, 3) if op is None else (1, 2))]
-    if op is None:
-        return F.arrays_zip(groups[0].alias("name"), groups[1].alias("op"), groups[2].alias("value"))
-    return F.zip_with(*groups, lambda n, v: F.struct(n.alias("name"), F.lit(op).alias("op"), v.alias("value")))
-
-
-def _placed(names: Column, scope: str, order: int) -> Column:
-    return F.transform(names, lambda v: F.struct(v["name"].alias("name"), F.struct(F.lit(order).alias("scope_ord"), F.lit(scope).alias("scope"), v["type"].alias("type")).alias("v")))
-
-
-def variables(methods: DataFrame) -> DataFrame:
-    """method_id, name, type, scope: parameters before locals before fields; the first of a name wins."""
-    columns = (("parsed", "Parameter", 0), ("locals", "Local", 1), ("fields", "Field", 2))
-    scopes = [_placed(F.col(c), scope, order) for c, scope, order in columns]
-    rows = methods.withColumn("parsed", T.parse_parameters(F.col("params"))).select("method_id", F.explode(F.concat(*scopes)).alias("x"))
-    best = rows.groupBy("method_id", F.col("x.name").alias("name")).agg(F.min("x.v").alias("v"))
-    return best.select("method_id", "name", "v.type", "v.scope", "v.scope_ord")
-
-
-def is_fractional(type_: Column) -> Column:
-    return type_.rlike(r"(?i)double|float|decimal")
-
-
-def bounds(methods: DataFrame) -> DataFrame:
-    """method_id, name, rule_ord, source, side, value, open, seq: one row per bound that a method sets."""
-    code = T.without_comments_and_strings(F.col("body"))
-    rows = methods.select("method_id", code.alias("code"))
-    rejected = rows.select("method_id", F.posexplode(F.regexp_extract_all("code", F.lit(REJECTION), F.lit(1))).alias("line", "condition"))
-    compared = rejected.select("method_id", "line", _triples(F.col("condition"), T.IDENT + r"\s*(<=|>=|<|>)\s*(" + NUMBER + r")").alias("found"))
-    # A conjunction over several variables says nothing about one of them.
-    names = F.array_distinct(F.transform("found", lambda c: c["name"]))
-    single = rejected.select("method_id", "line", "condition").join(compared.withColumn("several", F.size(names) > 1), ["method_id", "line"])
-    single = single.filter(~(F.col("several") & F.col("condition").contains("&&")))
-    guards = single.select("method_id", "line", F.posexplode("found").alias("k", "c"))
-    guards = guards.select(
-        "method_id", F.col("c.name").alias("name"), F.lit(0).alias("rule_ord"), F.lit("Guard").alias("source"),
-        F.when(F.col("c.op").startswith("<"), "low").otherwise("high").alias("side"), F.col("c.value").cast("decimal(28,6)").alias("value"), F.col("c.op").endswith("=").alias("open"), (F.col("line") * 1000 + F.col("k")).alias("seq"),
-    )
-    clamp = r"(?U)\b(?:Math\.Clamp|std::clamp|clamp)\s*\(\s*" + T.IDENT + rf"\s*,\s*({NUMBER})\s*,\s*({NUMBER})\s*\)"
-    loop = r"(?U)\bfor\s*\(\s*(?:[\w:<>]+\s+)?" + T.IDENT + rf"\s*=\s*({NUMBER})\s*;\s*\1\s*<(=?)\s*({NUMBER})\s*;"
-    group = lambda p, i: F.regexp_extract_all("code", F.lit(p), F.lit(i))
-    ranged = []
-    for pattern, order, source, low, high, closed in ((clamp, 3, "Clamp", 2, 3, None), (loop, 10, "LoopBound", 2, 4, 3)):
-        zipped = F.arrays_zip(group(pattern, 1).alias("name"), group(pattern, low).alias("low"), group(pattern, high).alias("high"), (group(pattern, closed) if closed else F.transform(group(pattern, 1), lambda _: F.lit("="))).alias("closed"))
-        found = rows.select("method_id", F.posexplode(zipped).alias("seq", "c"))
-        sides = F.array(
-            F.struct(F.lit("low").alias("side"), F.col("c.low").cast("decimal(28,6)").alias("value"), F.lit(False).alias("open")),
-            F.struct(F.lit("high").alias("side"), F.col("c.high").cast("decimal(28,6)").alias("value"), (F.col("c.closed") == "").alias("open")),
+def _groups(text: Column, pattern: str, **groups: int) -> Column:
+    """The matches of a pattern as structs of the named groups."""
+    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(g)).alias(name) for name, g in groups.items()])
+
+
+def _spread(conditions: Column, make) -> Column:
+    return F.flatten(F.transform(conditions, make))
+
+
+def declared(params: Column, locals_: Column, fields: Column) -> Column:
+    """name, type, scope: parameters before locals before fields; the first of a name wins."""
+
+    def scoped(variables: Column, scope: str) -> Column:
+        return F.transform(variables, lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"), F.lit(scope).alias("scope")))
+
+    every = F.concat(scoped(T.parse_parameters(params), "Parameter"), scoped(locals_, "Local"), scoped(fields, "Field"))
+    return T.bind(every, lambda a: F.filter(a, lambda v, i: F.array_position(F.transform(a, lambda x: x["name"]), v["name"]) == i + 1))
+
+
+def facts(code: Column) -> Column:
+    """What the code says of its variables: bounds, members, sizes, named bounds, letters, null tests, divisors."""
+
+    def of_conditions(conditions: Column) -> Column:
+        def guards(condition: Column) -> Column:
+            def kept(found: Column) -> Column:
+                # A conjunction over several variables says nothing about one of them.
+                several = (F.size(F.array_distinct(F.transform(found, lambda c: c["name"]))) > 1) & condition.contains("&&")
+                return F.filter(found, lambda _: ~several)
+
+            return T.bind(_groups(condition, T.IDENT + r"\s*(<=|>=|<|>)\s*(" + NUMBER + r")", name=1, op=2, value=3), kept)
+
+        def members(condition: Column) -> Column:
+            def one(found: Column) -> Column:
+                names, values = (F.array_distinct(F.transform(found, _field(key))) for key in ("name", "value"))
+                ok = condition.contains("&&") & (F.size(names) == 1) & (F.size(values) >= 2)
+                return F.filter(F.array(F.struct(F.get(names, F.lit(0)).alias("name"), values.alias("values"))), lambda _: ok)
+
+            return T.bind(_groups(condition, T.IDENT + rf"\s*!=\s*({NUMBER})", name=1, value=2), one)
+
+        nulls = [T.IDENT + r"\s*==\s*null(?:ptr)?\b", T.IDENT + r"\s+is\s+null\b", r"IsNullOr(?:Empty|WhiteSpace)\s*\(\s*" + T.IDENT]
+        return F.struct(
+            _spread(conditions, guards).alias("guards"),
+            _spread(conditions, members).alias("members"),
+            _spread(conditions, lambda c: _groups(c, T.IDENT + r"\.(?:Length|Count|Size|length\(\)|size\(\))\s*(==|!=|<=|>=|<|>)\s*(\d+)", name=1, op=2, value=3)).alias("sizes"),
+            _spread(conditions, lambda c: _groups(c, T.IDENT + r"\s*(<=|>=|<|>)\s*([A-Za-z_]\w*)", name=1, op=2, value=3)).alias("named"),
+            F.concat(F.regexp_extract_all(code, F.lit(r"(?U)ThrowIfNull(?:OrEmpty|OrWhiteSpace)?\s*\(\s*" + T.IDENT), F.lit(1)), _spread(conditions, lambda c: F.concat(*[F.regexp_extract_all(c, F.lit("(?U)" + p), F.lit(1)) for p in nulls]))).alias("nulls"),
+            _groups(code, r"\b(?:Math\.Clamp|std::clamp|clamp)\s*\(\s*" + T.IDENT + rf"\s*,\s*({NUMBER})\s*,\s*({NUMBER})\s*\)", name=1, low=2, high=3).alias("clamps"),
+            _groups(code, r"\bfor\s*\(\s*(?:[\w:<>]+\s+)?" + T.IDENT + rf"\s*=\s*({NUMBER})\s*;\s*\1\s*<(=?)\s*({NUMBER})\s*;", name=1, low=2, closed=3, high=4).alias("loops"),
+            _groups(code, T.IDENT + r"\s*>=\s*" + _LETTER + r"\s*&&\s*\1\s*<=\s*" + _LETTER, name=1, low=2, high=3).alias("letters"),
+            F.regexp_extract_all(code, F.lit(r"(?U)[/%]\s*" + T.IDENT + r"\b(?!\s*[.\[(])"), F.lit(1)).alias("divisors"),
+        )
+
+    return T.bind(F.regexp_extract_all(code, F.lit(REJECTION), F.lit(1)), of_conditions)
+
+
+def _field(name: str):
+    return lambda c: c[name]
+
+
+def _bounds_of(found: Column, name: Column) -> Column:
+    """The guards of a variable as bounds: side, value, open."""
+    own = F.filter(found, lambda g: g["name"] == name)
+    return F.transform(own, lambda g: F.struct(g["op"].startswith("<").alias("low"), g["value"].cast(VALUE).alias("value"), g["op"].endswith("=").alias("open")))
+
+
+def _pair_of(found: Column, name: Column, closed: bool) -> Column:
+    """The bounds of a variable's first clamp or loop."""
+    own = F.slice(F.filter(found, lambda g: g["name"] == name), 1, 1)
+    is_open = (lambda g: F.lit(False)) if closed else (lambda g: g["closed"] == "")
+    return F.flatten(F.transform(own, lambda g: F.array(
+        F.struct(F.lit(True).alias("low"), g["low"].cast(VALUE).alias("value"), F.lit(False).alias("open")), F.struct(F.lit(False).alias("low"), g["high"].cast(VALUE).alias("value"), is_open(g).alias("open")))))
+
+
+def _range(bounds: Column, type_: Column) -> Column:
+    """The sentence of the tightest bounds; null without any, or where none fits between them."""
+    whole_type = ~type_.rlike(r"(?i)double|float|decimal")
+
+    def tightest(low: bool) -> Column:
+        def place(b: Column, i: Column) -> Column:
+            whole = whole_type & (b["value"] % 1 == 0)
+            value = F.when(b["open"] & whole, b["value"] + (1 if low else -1)).otherwise(b["value"]).cast(VALUE)
+            return F.struct((-value if low else value).cast(VALUE).alias("o"), i.alias("seq"), value.alias("value"), (b["open"] & ~whole).alias("open"))
+
+        return F.array_min(F.transform(F.filter(bounds, lambda b: b["low"] == low), place))
+
+    def text(x: Column) -> Column:
+        low, high = x["low"]["value"], x["high"]["value"]
+        from_ = F.when(x["low"]["open"], F.concat(F.lit("greater than "), number(low))).otherwise(F.concat(number(low), F.lit(" or greater")))
+        to = F.when(x["high"]["open"], F.concat(F.lit("less than "), number(high))).otherwise(F.concat(number(high), F.lit(" or less")))
+        any_open = x["low"]["open"] | x["high"]["open"]
+        start = F.when(x["low"]["open"], from_).otherwise(F.concat(F.lit("at least "), number(low)))
+        return (
+            F.when(low.isNull() & high.isNull(), F.lit(None)).when(high.isNull(), from_).when(low.isNull(), to).when((low > high) | ((low == high) & any_open), F.lit(None))
+            .when(any_open, F.concat(start, F.lit(", "), to)).when(low == high, F.concat(F.lit("exactly "), number(low))).otherwise(F.concat(number(low), F.lit(" to "), number(high)))
+        )
+
+    return T.bind(F.struct(tightest(True).alias("low"), tightest(False).alias("high")), text)
+
+
+def _size(found: Column, v: Column) -> Column:
+    def text(c: Column) -> Column:
+        n, op = c["value"].cast("long"), c["op"]
+
+        def line(head: str, n: Column) -> Column:
+            unit = F.concat(F.when(T.is_string(v["type"]), "character").otherwise("item"), F.when(n == 1, "").otherwise("s"))
+            return F.concat(F.lit(head), n.cast("string"), F.lit(" "), unit)
+
+        return (
+            F.when((op == "==") & (n == 0), line("at least ", F.lit(1))).when(op == "==", line("not ", n)).when(op == "!=", line("exactly ", n)).when(op == ">", line("at most ", n))
+            .when(op == ">=", line("at most ", n - 1)).when(op == "<", line("at least ", n)).otherwise(line("at least ", n + 1))
         )
-        ranged.append(found.select("method_id", F.col("c.name").alias("name"), F.lit(order).alias("rule_ord"), F.lit(source).alias("source"), F.explode(sides).alias("s"), "seq").select("method_id", "name", "rule_ord", "source", "s.*", "seq"))
-    return guards.unionByName(ranged[0]).unionByName(ranged[1])
-
-
-def ranges(methods: DataFrame, declared: DataFrame) -> DataFrame:
-    """method_id, name, kind, rule_ord, source, text of numeric ranges; the tightest bounds win, ties by place."""
-    known = bounds(methods).join(declared.select("method_id", "name", "type"), ["method_id", "name"])
-    whole = ~is_fractional(F.col("type")) & (F.col("value") % 1 == 0)
-    step = F.when(F.col("side") == "low", F.lit(1)).otherwise(F.lit(-1))
-    known = known.withColumn("value", F.when(F.col("open") & whole, F.col("value") + step).otherwise(F.col("value")).cast("decimal(28,6)")).withColumn("open", F.col("open") & ~whole)
-    side = lambda s, order: F.min(F.when(F.col("side") == s, F.struct(order.alias("o"), "seq", "value", "open"))).alias(s)
-    both = known.groupBy("method_id", "name", "rule_ord", "source").agg(side("low", -F.col("value")), side("high", F.col("value")))
-    low, high = F.col("low.value"), F.col("high.value")
-    from_ = F.when(F.col("low.open"), F.concat(F.lit("greater than "), number(low))).otherwise(F.concat(number(low), F.lit(" or greater")))
-    to = F.when(F.col("high.open"), F.concat(F.lit("less than "), number(high))).otherwise(F.concat(number(high), F.lit(" or less")))
-    any_open = F.col("low.open") | F.col("high.open")
-    text = (
-        F.when(F.col("high").isNull(), from_).when(F.col("low").isNull(), to)
-        .when(~any_open & (low == high), F.concat(F.lit("exactly "), number(low)))
-        .when(~any_open, F.concat(number(low), F.lit(" to "), number(high)))
-        .otherwise(F.concat(F.when(F.col("low.open"), from_).otherwise(F.concat(F.lit("at least "), number(low))), F.lit(", "), to))
-    )
-    empty = (low > high) | ((low == high) & any_open)
-    return both.filter(~F.coalesce(empty, F.lit(False))).select("method_id", "name", F.lit("Range").alias("kind"), "rule_ord", "source", text.alias("text"))
-
-
-def others(methods: DataFrame, declared: DataFrame) -> DataFrame:
-    """Membership, size and presence limits, in the columns of ranges()."""
-    code = T.without_comments_and_strings(F.col("body"))
-    rows = methods.select("method_id", code.alias("code"))
-    rejected = rows.select("method_id", F.explode(F.regexp_extract_all("code", F.lit(REJECTION), F.lit(1))).alias("condition"))
-    unequal = _triples(F.col("condition"), T.IDENT + rf"\s*!=\s*({NUMBER})", "!=")
-    member = rejected.filter(F.col("condition").contains("&&")).select("method_id", unequal.alias("found")).filter(F.size(F.array_distinct(F.transform("found", lambda c: c["name"]))) == 1)
-    values = F.array_distinct(F.transform("found", lambda c: c["value"]))
-    member = member.filter(F.size(values) >= 2).select(
-        "method_id", F.get("found", F.lit(0))["name"].alias("name"), F.lit("Membership").alias("kind"), F.lit(2).alias("rule_ord"), F.lit("Guard").alias("source"),
-        F.concat(F.array_join(F.slice(values, 1, F.size(values) - 1), ", "), F.lit(" or "), F.element_at(values, -1)).alias("text"),
-    )
-    sized = rejected.select("method_id", F.explode(_triples(F.col("condition"), T.IDENT + r"\.(?:Length|Count|Size|length\(\)|size\(\))\s*(==|!=|<=|>=|<|>)\s*(\d+)")).alias("c"))
-    sized = sized.select("method_id", F.col("c.name").alias("name"), F.col("c.op").alias("op"), F.col("c.value").cast("long").alias("n")).join(declared.select("method_id", "name", "type"), ["method_id", "name"])
-    unit = lambda n: F.concat(F.when(T.is_string(F.col("type")), "character").otherwise("item"), F.when(n == 1, "").otherwise("s"))
-    line = lambda head, n: F.concat(F.lit(head), n.cast("string"), F.lit(" "), unit(n))
-    n = F.col("n")
-    wording = (
-        F.when((F.col("op") == "==") & (n == 0), line("at least ", F.lit(1))).when(F.col("op") == "==", line("not ", n)).when(F.col("op") == "!=", line("exactly ", n))
-        .when(F.col("op") == ">", line("at most ", n)).when(F.col("op") == ">=", line("at most ", n - 1)).when(F.col("op") == "<", line("at least ", n)).otherwise(line("at least ", n + 1))
-    )
-    size = sized.select("method_id", "name", F.lit("Size").alias("kind"), F.lit(6).alias("rule_ord"), F.lit("Guard").alias("source"), wording.alias("text"))
-    tested = rejected.select("method_id", F.explode(F.concat(*[F.regexp_extract_all("condition", F.lit("(?U)" + p), F.lit(1)) for p in (T.IDENT + r"\s*==\s*null(?:ptr)?\b", T.IDENT + r"\s+is\s+null\b", r"IsNullOr(?:Empty|WhiteSpace)\s*\(\s*" + T.IDENT)])).alias("name"))
-    thrown = rows.select("method_id", F.explode(F.regexp_extract_all("code", F.lit(r"(?U)ThrowIfNull(?:OrEmpty|OrWhiteSpace)?\s*\(\s*" + T.IDENT), F.lit(1))).alias("name"))
-    present = thrown.unionByName(tested).select("method_id", "name", F.lit("Presence").alias("kind"), F.lit(7).alias("rule_ord"), F.lit("Guard").alias("source"), F.lit("must not be null").alias("text"))
-    # Bounds that are other variables: the first of each side.
-    named = rejected.select("method_id", F.posexplode(_triples(F.col("condition"), T.IDENT + r"\s*(<=|>=|<|>)\s*([A-Za-z_]\w*)")).alias("seq", "c"))
-    known = declared.select("method_id", F.col("name").alias("bound"))
-    named = named.select("method_id", "seq", F.col("c.name").alias("name"), F.col("c.op").alias("op"), F.col("c.value").alias("bound")).join(known, ["method_id", "bound"])
-    side = lambda sign: F.min(F.when(F.col("op").startswith(sign), F.struct("seq", "bound")))["bound"]
-    between = named.groupBy("method_id", "name").agg(side("<").alias("low"), side(">").alias("high")).filter(F.col("low").isNotNull() & F.col("high").isNotNull())
-    between = between.select("method_id", "name", F.lit("Range").alias("kind"), F.lit(5).alias("rule_ord"), F.lit("Guard").alias("source"), F.concat(F.lit("between "), "low", F.lit(" and "), "high").alias("text"))
-    letter = r"('(?:\\.|[^'\\])')"
-    spans = _triples(F.col("code"), T.IDENT + r"\s*>=\s*" + letter + r"\s*&&\s*\1\s*<=\s*" + letter)
-    letters = rows.select("method_id", F.explode(spans).alias("c")).select(
-        "method_id", F.col("c.name").alias("name"), F.lit("Range").alias("kind"), F.lit(4).alias("rule_ord"), F.lit("Guard").alias("source"), F.concat(F.col("c.op"), F.lit(" to "), F.col("c.value")).alias("text"),
-    )
-    # A divisor, unless its zero is left before it is used.
-    divisor = F.array_distinct(F.regexp_extract_all("code", F.lit(r"(?U)[/%]\s*" + T.IDENT + r"\b(?!\s*[.\[(])"), F.lit(1)))
-    divided = rows.select("method_id", "code", F.explode(divisor).alias("name"))
-    handled = T.uses(F.col("code"), F.col("name"), r"\bif\s*\([^)]*\b{}\s*==\s*0\b[^)]*\)[\s\x7B]*(?:return|continue|throw)\b")
-    divided = divided.filter(~handled).select("method_id", "name", F.lit("Range").alias("kind"), F.lit(8).alias("rule_ord"), F.lit("Guard").alias("source"), F.lit("must not be zero").alias("text"))
-    return member.unionByName(size).unionByName(present.distinct()).unionByName(between).unionByName(letters).unionByName(divided)
-
-
-def declared_types(declared: DataFrame) -> DataFrame:
-    normal = F.upper(F.regexp_replace("type", r"\bconst\b|&|std::|\s", ""))
+
+    return F.get(F.transform(F.filter(found, lambda c: c["name"] == v["name"]), text), F.lit(0))
+
+
+def _symbolic(found: Column, names: Column, name: Column) -> Column:
+    own = F.filter(found, lambda c: (c["name"] == name) & F.array_contains(names, c["value"]))
+    first = lambda sign: F.get(F.filter(own, lambda c: c["op"].startswith(sign)), F.lit(0))["value"]
+    return F.concat(F.lit("between "), first("<"), F.lit(" and "), first(">"))
+
+
+def _divisor(code: Column, found: Column, name: Column) -> Column:
+    """A divisor must not be zero, unless its zero is left before it is used."""
+    handled = T.uses(code, name, r"\bif\s*\([^)]*\b{}\s*==\s*0\b[^)]*\)[\s\x7B]*(?:return|continue|throw)\b")
+    return F.when(F.array_contains(found, name), F.when(~handled, "must not be zero"))
+
+
+def type_text(type_: Column) -> Column:
+    normal = F.upper(F.regexp_replace(type_, r"\bconst\b|&|std::|\s", ""))
     known = F.coalesce(*[F.when(normal == name, text) for name, text in TYPE_RANGES])
     other = F.when(normal.isin("INT", "LONG", "UINT", "ULONG"), "any whole number").when(normal.isin("FLOAT", "DOUBLE", "DECIMAL"), "any number").when(normal == "STRING", "any text").when(normal == "CHAR", "any character")
-    return declared.select("method_id", "name", F.lit("DeclaredType").alias("kind"), F.lit(11).alias("rule_ord"), F.lit("DeclaredType").alias("source"), F.coalesce(known, other, F.when(T.is_collection(F.col("type")), "any number of items"), F.concat(F.lit("any "), "type", F.lit(" value"))).alias("text"))
+    return F.coalesce(known, other, F.when(T.is_collection(type_), "any number of items"), F.concat(F.lit("any "), type_, F.lit(" value")))
+
+
+def _limit(v: Column, f: Column, code: Column, names: Column) -> Column:
+    """limit and source of one variable: its kinds in order, the first finding of each."""
+    part = lambda text, source="Guard": F.when(text.isNotNull(), F.struct(text.alias("text"), F.lit(source).alias("source")))
+    letters = F.get(F.transform(F.filter(f["letters"], lambda c: c["name"] == v["name"]), lambda c: F.concat(c["low"], F.lit(" to "), c["high"])), F.lit(0))
+    member = F.get(F.filter(f["members"], lambda m: m["name"] == v["name"]), F.lit(0))["values"]
+    listed = F.concat(F.array_join(F.slice(member, 1, F.size(member) - 1), ", "), F.lit(" or "), F.element_at(member, -1))
+    range_ = F.coalesce(
+        part(_range(_bounds_of(f["guards"], v["name"]), v["type"])), part(_range(_pair_of(f["clamps"], v["name"], True), v["type"]), "Clamp"), part(letters),
+        part(_symbolic(f["named"], names, v["name"])), part(_divisor(code, f["divisors"], v["name"])), part(_range(_pair_of(f["loops"], v["name"], False), v["type"]), "LoopBound"),
+    )
+    null = F.when(F.array_contains(f["nulls"], v["name"]), "must not be null")
+    known = F.filter(F.array(part(null), part(F.when(member.isNotNull(), listed)), range_, part(_size(f["sizes"], v))), lambda p: p.isNotNull())
+    return T.bind(F.when(F.size(known) > 0, known).otherwise(F.array(part(type_text(v["type"]), "DeclaredType"))), lambda k: F.struct(
+        v["name"].alias("name"), v["scope"].alias("scope"), F.array_join(F.transform(k, _field("text")), ", ").alias("limit"), F.get(k, F.lit(0))["source"].alias("source")))
 
 
 def variable_limits(methods: DataFrame) -> DataFrame:
     """method_id, name, scope, limit, source: what each variable may hold, strongest evidence first."""
-    declared = variables(methods)
-    found = ranges(methods, declared).unionByName(others(methods, declared)).unionByName(declared_types(declared))
-    first = found.groupBy("method_id", "name", "kind").agg(F.min(F.struct("rule_ord", "source", "text")).alias("f"))
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    parts = first.groupBy("method_id", "name").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "kind", F.col("f.text").alias("text"), F.col("f.source").alias("source"), F.col("f.rule_ord").alias("rule_ord")))).alias("parts"))
-    known = F.filter("parts", lambda p: p["kind"] != "DeclaredType")
-    parts = parts.withColumn("parts", F.when(F.size(known) > 0, known).otherwise(F.col("parts")))
-    return parts.join(declared, ["method_id", "name"]).select("method_id", "name", "scope", F.array_join(F.transform("parts", lambda p: p["text"]), ", ").alias("limit"), F.get("parts", F.lit(0))["source"].alias("source"))
+    body = F.coalesce(F.col("body"), F.lit(""))
+    code = F.when(F.length(body) > MAX_BODY, "").otherwise(T.without_comments_and_strings(body))
+
+    def limits(x: Column) -> Column:
+        return F.transform(x["vars"], lambda v: _limit(v, x["facts"], x["code"], F.transform(x["vars"], _field("name"))))
+
+    row = T.bind(code, lambda c: F.struct(c.alias("code"), facts(c).alias("facts"), declared(F.col("params"), F.col("locals"), F.col("fields")).alias("vars")))
+    return methods.select("method_id", F.inline(T.bind(row, limits)))

@@ -29,15 +29,17 @@ STEPS = "array<struct<pos:int,kind:string,text:string>>"
 def located(body: Column, pattern: str, *groups: int) -> Column:
     """Every match of pattern: its place from 0, and the groups as g0, g1, ..."""
     full = F.lit("(?U)" + pattern)
-    whole = F.regexp_extract_all(body, full, F.lit(0))
+    kind = "array<struct<pos:int" + "".join(f",g{i}:string" for i in range(len(groups))) + ">>"
 
-    def places(x: Column) -> Column:
+    def places(whole: Column, between: Column) -> Column:
         """Lengths of what comes before each match: the pieces between matches and the matches before it."""
-        return F.transform(x["whole"], lambda _, k: (_total(F.slice(x["between"], 1, k + 1)) + _total(F.slice(x["whole"], 1, k))).cast("int"))
+        return F.transform(whole, lambda _, k: (_total(F.slice(between, 1, k + 1)) + _total(F.slice(whole, 1, k))).cast("int"))
 
-    both = T.bind(F.struct(whole.alias("whole"), F.split(body, "(?U)" + pattern).alias("between")), places)
-    parts = [F.regexp_extract_all(body, full, F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups)]
-    return F.arrays_zip(both.alias("pos"), *parts)
+    def found(whole: Column) -> Column:
+        at = T.bind(F.split(body, "(?U)" + pattern), lambda between: places(whole, between))
+        return F.arrays_zip(at.alias("pos"), *[F.regexp_extract_all(body, full, F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups)])
+
+    return T.bind(F.regexp_extract_all(body, full, F.lit(0)), lambda whole: F.when(F.size(whole) > 0, found(whole)).otherwise(F.array()).cast(kind))
 
 
 def _total(texts: Column) -> Column:

@@ -152,6 +152,17 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE_TYPES, strict=True)], _PIECE_NAMES)
 
 
+def joined(settled: list[tuple]) -> list[tuple]:
+    """Rows of settled spans, those of a text that touch as one."""
+    out: list[tuple] = []
+    for row in sorted(settled, key=lambda r: (r[1], r[2], r[5])):
+        if out and out[-1][1:3] == row[1:3] and row[5] <= out[-1][6] + 1:
+            out[-1] = (*out[-1][:6], max(out[-1][6], row[6]))
+        else:
+            out.append(row)
+    return out
+
+
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """texts, and spans: (rid, th, first, last) ranges of window starts that also occur in a text with a smaller rid."""
     texts, candidates, hot = anchors.find(rows, lambda column: scan(column, window), "passages", True)
@@ -191,7 +202,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
                                 best[shard, raw] = row
                             elif old[2:4] != row[2:4]:
                                 best[shard, raw, row[2], row[3]] = row
-                yield _pieces(out + list(best.values()))
+                yield _pieces(joined(out) + list(best.values()))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, waiting, n_waiting = None, [], [], 0
@@ -241,8 +252,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
         waiting += close()
         yield from solve()
 
-    spread = F.coalesce(F.col("shard"), F.xxhash64("rid"))
-    dealt = asked.mapInArrow(emit, PIECE).withColumn("deal", spread).repartition("deal").sortWithinPartitions("shard").drop("deal")
+    dealt = asked.mapInArrow(emit, PIECE).repartition(F.coalesce("shard", F.xxhash64("rid"))).sortWithinPartitions("shard")
     return texts, dealt.mapInArrow(search, "rid long, th long, first long, last long")
 
 

@@ -8,6 +8,7 @@ smallest. The state of a shard is its open bins, so memory stays bounded.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections import deque
@@ -26,8 +27,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: Pieces that one shard packs; a shard's waste doesn't grow with its pieces.
 SHARD_ROWS = 100_000
-#: Distinct words whose ids a task remembers.
-CACHE_WORDS = 1_000_000
+#: Distinct words whose ids a task remembers, and those that a worker keeps after it: the first ones, which are the common ones.
+CACHE_WORDS, KEPT_WORDS = 500_000, 150_000
 #: Bytes of text whose words are looked up together.
 BATCH_BYTES = 2 << 20
 
@@ -96,13 +97,16 @@ class WordTokenizer:
         cache.update((word, cache[key] + tail_ids[tail]) for word, key, tail in split)
         cache.update(zip(other, self._encode(other), strict=True))
 
+    def trim(self) -> None:
+        self.cache = dict(itertools.islice(self.cache.items(), KEPT_WORDS))
+
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [text.split() for text in texts]
         missing = set().union(*split).difference(self.cache)
         if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = set().union(*split)
+            self.trim()
+            missing = set().union(*split).difference(self.cache)
         if missing:
             self.learn(missing)
         get = self.cache.__getitem__
@@ -138,6 +142,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
                     rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut_up, PIECES)
 

@@ -181,7 +181,7 @@ class SumOfSquares:
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """parts with sequence_id and offset. Shards take the pieces by hash, in its order, so reruns agree."""
+    """parts with sequence_id and offset. Shards take the pieces by hash, the longest first, ties in its order, so reruns agree."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = SumOfSquares(capacity)
@@ -195,7 +195,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
 
     shards = max(1, -(-parts.count() // shard_rows))
     dealt = parts.withColumn("order", F.xxhash64("doc_id", "piece", "ids_crc32")).repartition(shards, "order")
-    return dealt.sortWithinPartitions("order", "doc_id", "piece", "ids_crc32", "length").select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(fill, PIECES + ", sequence_id long, offset long")
+    return dealt.sortWithinPartitions(F.col("length").desc(), "order", "doc_id", "piece", "ids_crc32").select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(fill, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ranked_id, small_batches
+from .common import cut, ranked_id, small_batches, tidy
 from .grams import window_minima
 
 #: Anchors that a task gathers before it hands them on.
@@ -165,7 +165,7 @@ def find(rows: DataFrame, scan: Callable[[pa.Array], tuple[np.ndarray, np.ndarra
             yield _rows(part=np.zeros(int(kept.sum()), np.int32), rid=rid[kept], anchor=key[kept])
             yield _rows(part=np.zeros(int(hot.sum()), np.int32), anchor=key[at[hot]], many=total[hot])
 
-    found = cut(rows.mapInArrow(spread, ROW).repartition(n_parts // 4, "part").mapInArrow(meet, ROW).drop("part", "payload"), name)
+    found = cut(rows.mapInArrow(tidy(spread), ROW).repartition(n_parts // 4, "part").mapInArrow(tidy(meet), ROW).drop("part", "payload"), name)
     texts = found.filter(F.col("sequence").isNotNull()).select("rid", "th", "n_units", "sequence")
     candidates = found.filter(F.col("sequence").isNull() & F.col("rid").isNotNull()).select("rid", "anchor")
     hot = found.filter(F.col("many").isNotNull()).select("anchor", "many").orderBy(F.col("many").desc(), "anchor").limit(MAX_HOT).collect()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, mix64, ranked_id, small_batches
+from .common import NO_ID, cut, mix64, ranked_id, small_batches, tidy
 from .components import UnionFind, components, forest
 from .grams import FOLDED, buffers, gram_hashes, word_hashes
 
@@ -184,8 +184,8 @@ def nodes_and_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             _, _, a, b, kind = _edges_of(np.concatenate(sigs), np.concatenate(nodes))
             yield _rows(part=np.zeros(len(a), np.int32), node=a, other=b, **{"class": kind})
 
-    spreads = docs.select("doc_id", "th", F.col("text").cast("string").alias("text")).mapInArrow(spread, ROW)
-    return spreads.repartition(n_parts // 4, "part").mapInArrow(meet, ROW).drop("part", "payload")
+    spreads = docs.select("doc_id", "th", F.col("text").cast("string").alias("text")).mapInArrow(tidy(spread), ROW)
+    return spreads.repartition(n_parts // 4, "part").mapInArrow(tidy(meet), ROW).drop("part", "payload")
 
 
 class SignatureTree:
@@ -298,7 +298,7 @@ def _block_links(members: DataFrame, k: int, num: int, den: int) -> DataFrame:
             yield _pairs(list(solve(list(block.values()))))
 
     dealt = members.repartition("task_key").sortWithinPartitions("task_key")
-    return dealt.select("task_key", "node", "grp", "asks", "text").mapInArrow(run, "a long, b long")
+    return dealt.select("task_key", "node", "grp", "asks", "text").mapInArrow(tidy(run), "a long, b long")
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:

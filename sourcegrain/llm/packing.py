@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_bytes
+from .common import cut, small_batches, text_bytes, tidy
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
         encoder.trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut_up, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(cut_up), PIECES)
 
 
 class SumOfSquares:
@@ -195,7 +195,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
 
     shards = max(1, -(-parts.count() // shard_rows))
     dealt = parts.withColumn("order", F.xxhash64("doc_id", "piece", "ids_crc32")).repartition(shards, "order")
-    return dealt.sortWithinPartitions(F.col("length").desc(), "order", "doc_id", "piece", "ids_crc32").select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(fill, PIECES + ", sequence_id long, offset long")
+    return dealt.sortWithinPartitions(F.col("length").desc(), "order", "doc_id", "piece", "ids_crc32").select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(tidy(fill), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import cut, mix64, small_batches
+from .common import cut, mix64, small_batches, tidy
 from .grams import buffers, gram_hashes, word_hashes
 
 WINDOW, GRAM = 13, 5
@@ -252,8 +252,8 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
         waiting += close()
         yield from solve()
 
-    dealt = asked.mapInArrow(emit, PIECE).repartition(F.coalesce("shard", F.xxhash64("rid"))).sortWithinPartitions("shard")
-    return texts, dealt.mapInArrow(search, "rid long, th long, first long, last long")
+    dealt = asked.mapInArrow(tidy(emit), PIECE).repartition(F.coalesce("shard", F.xxhash64("rid"))).sortWithinPartitions("shard")
+    return texts, dealt.mapInArrow(tidy(search), "rid long, th long, first long, last long")
 
 
 def dedup_passages(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -299,4 +299,4 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *[part.column(c) for c in carried]], ["doc_id", "n_words", "n_removed", "kept_text", *carried])
 
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in carried)
-    return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string" + kinds)
+    return joined.mapInArrow(tidy(keep), "doc_id long, n_words long, n_removed long, kept_text string" + kinds)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import cut, mix64, small_batches
+from .common import cut, mix64, small_batches, tidy
 from .grams import buffers, powers, prefix_hashes
 
 WINDOW, GRAM = 400, 48
@@ -259,8 +259,8 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
         close()
         yield solve()
 
-    dealt = asked.mapInArrow(emit, PIECE).withColumn("deal", F.coalesce(F.col("shard"), F.xxhash64("rid"))).repartition("deal").sortWithinPartitions("shard").drop("deal")
-    return texts, dealt.mapInArrow(search, "rid long, th long, first long, last long")
+    dealt = asked.mapInArrow(tidy(emit), PIECE).withColumn("deal", F.coalesce(F.col("shard"), F.xxhash64("rid"))).repartition("deal").sortWithinPartitions("shard").drop("deal")
+    return texts, dealt.mapInArrow(tidy(search), "rid long, th long, first long, last long")
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -301,4 +301,4 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     kept.append(left)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(tidy(keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -5,7 +5,9 @@ tell the labels apart: words and word beginnings chosen by chi-square. They
 are kept in an inverted index whose postings carry the largest weight of each
 block of examples; a query scores blocks from the highest bound down and stops
 when no block can reach its k-th similarity. Votes weigh by similarity, and
-the smoothed share of the toxic ones is the score.
+the smoothed share of the toxic ones is the score. The number of neighbours,
+the weight of word beginnings and the share that becomes a score of 0.5 are
+chosen by cross-validation among the folds that aren't held out.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ from .common import small_batches
 
 #: Labelled rows that are learnt from, at most: the first by hash of doc_id.
 MAX_LABELLED = 20_000
-#: Terms kept, and the fewest labelled documents that must hold one.
-MAX_TERMS, MIN_DOCS = 400, 5
+#: The fewest labelled documents that must hold a kept term.
+MIN_DOCS = 5
 #: Least chi-square of a kept term (one degree of freedom).
 MIN_CHI2 = 30.0
 BLOCK = 64
-NEIGHBOURS = 15
+#: Tried by cross-validation, ties to the first: neighbours, and weights of word beginnings beside whole words.
+NEIGHBOURS, PREFIX_WEIGHTS = (15, 8, 25, 40, 60), (1.0, 0.5, 0.25)
 #: Weight of the prior share of toxic examples in a vote.
 PRIOR_WEIGHT = 0.5
 PREFIXES = (4, 5, 6, 7)
@@ -103,6 +106,40 @@ class BlockMaxIndex:
         return best
 
 
+def weights_of(df: dict[str, int], n: int, prefix_weight: float) -> dict[str, float]:
+    """Inverse document frequencies of terms; those of word beginnings are lowered."""
+    return {t: math.log((1 + n) / (1 + m)) * (prefix_weight if t.endswith("*") else 1.0) for t, m in df.items()}
+
+
+def all_nearest(index: BlockMaxIndex, vector: dict[str, float], k: int) -> list[tuple[float, int]]:
+    """As index.nearest, by a scan of whole postings: quicker where k is large and nothing can be passed over."""
+    scores = np.zeros(index.n)
+    for t, q in vector.items():
+        if t in index.postings:
+            at, weights, *_ = index.postings[t]
+            scores[at] += q * weights
+    found = np.flatnonzero(scores > 0)
+    if len(found) > k:
+        found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
+    order = np.lexsort((found, -scores[found]))[:k]
+    return [(float(scores[i]), i) for i in found[order].tolist()]
+
+
+def best_cut(scores: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """(F1, cut) of the cut with the largest F1, halfway to the next lower score; ties to the higher cut."""
+    order = np.argsort(-scores, kind="stable")
+    s, y = scores[order], toxic[order]
+    f1 = 2 * np.cumsum(y) / (np.arange(1, len(s) + 1) + max(1, y.sum()))
+    f1[:-1][s[1:] == s[:-1]] = -1.0
+    at = int(np.argmax(f1))
+    return float(f1[at]), float((s[at] + (s[at + 1] if at + 1 < len(s) else 0.0)) / 2)
+
+
+def calibrated(share: float, cut: float) -> float:
+    """A share as a score that is 0.5 at the cut: the odds divided by those of the cut."""
+    return share * (1 - cut) / (share * (1 - cut) + cut * (1 - share)) if 0 < share < 1 else share
+
+
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
@@ -114,41 +151,104 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
-def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[BlockMaxIndex, list[tuple[int, int]], float] | None:
-    """The index of the examples, their (doc_id, toxic), and the toxic share; None without labelled rows."""
-    sample = sample_labelled(docs, labels, limit)
-    per_class = {r.toxic: r.n for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    n, n_toxic = sum(per_class.values()), per_class.get(1, 0)
-    if not n:
+#: The folds that are learnt from.
+FOLDS = (1, 2, 3, 4)
+
+
+def cross_validate(spark, rows: list[tuple[int, int, dict[str, int]]], terms: dict[int, dict[str, int]], sizes: dict[int, tuple[int, int]]) -> tuple[int, float, float]:
+    """(neighbours, prefix weight, cut) of the largest F1 over rows (fold, toxic, counts), each fold scored by the other ones.
+
+    terms and sizes: by the fold left out, the document frequencies of the terms
+    that the others choose, and their numbers of rows and of toxic ones.
+    """
+    tries = [(g, w) for w in PREFIX_WEIGHTS for g in FOLDS if sizes[g][0] and any(f == g for f, _, _ in rows)]
+    if not tries:
+        return NEIGHBOURS[0], PREFIX_WEIGHTS[0], 0.5
+    shared = spark.sparkContext.broadcast((rows, terms, sizes))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, terms, sizes = shared.value
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                left_out, weight = tries[i]
+                n, n_toxic = sizes[left_out]
+                marks = [(0, y) for f, y, _ in rows if f != left_out]
+                index = BlockMaxIndex([h for f, _, h in rows if f != left_out], weights_of(terms[left_out], n, weight))
+                blank = [y for (_, y), held in zip(marks, (bool(index.vector(h)) for f, _, h in rows if f != left_out), strict=True) if not held]
+                floor = (sum(blank) + n_toxic / n) / (len(blank) + 1)
+                known: dict[tuple, list[float]] = {}
+                out, toxic = [], []
+                for f, y, held in rows:
+                    if f == left_out:
+                        key = tuple(sorted((t, m) for t, m in held.items() if t in index.idf))
+                        if key not in known:
+                            near = all_nearest(index, index.vector(dict(key)), max(NEIGHBOURS))
+                            known[key] = [vote(near[:k], marks, n_toxic / n) if near else floor for k in NEIGHBOURS]
+                        out.append(known[key])
+                        toxic.append(y)
+                for j, k in enumerate(NEIGHBOURS):
+                    yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([k], pa.int64()), pa.array([[s[j] for s in out]], pa.list_(pa.float64())), pa.array([toxic], pa.list_(pa.int64()))], ["weight", "k", "scores", "toxic"])
+
+    # A score a labelled row and try, so 15 times `limit` numbers at most.
+    found = spark.range(0, len(tries), 1, len(tries)).mapInArrow(score, "weight double, k long, scores array<double>, toxic array<long>").collect()
+    best = (-1.0, NEIGHBOURS[0], PREFIX_WEIGHTS[0], 0.5)
+    for weight in PREFIX_WEIGHTS:
+        for k in NEIGHBOURS:
+            own = [r for r in found if r.weight == weight and r.k == k]
+            toxic = np.array([y for r in own for y in r.toxic])
+            f1, cut = best_cut(np.array([s for r in own for s in r.scores]), toxic) if toxic.any() else (0.0, 0.5)
+            if f1 > best[0]:
+                best = (f1, k, weight, cut)
+    return best[1:]
+
+
+def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[BlockMaxIndex, list[tuple[int, int]], float, int, float] | None:
+    """The index of the examples, their (doc_id, toxic), the toxic share, neighbours and cut; None without labelled rows."""
+    sample = sample_labelled(docs, labels, limit).withColumn("fold", fold(F.col("doc_id")).cast("int"))
+    per_class = {(r.fold, r.toxic): r.n for r in sample.groupBy("fold", (F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    if not per_class:
         return None
+    # By the fold left out (0: none), the rows and toxic rows of the others.
+    sizes = {g: (sum(m for (f, _), m in per_class.items() if f != g), sum(m for (f, y), m in per_class.items() if f != g and y)) for g in (0, *FOLDS)}
+    n, n_toxic = sizes[0]
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             total, toxic = Counter(), Counter()
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                held = term_counts(text).keys()
+            for text, y, f in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+                held = [(t, f) for t in term_counts(text)]
                 total.update(held)
                 if y > 0:
                     toxic.update(held)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([toxic[t] for t in total], pa.int64())], ["term", "df", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in total], pa.string()), pa.array([f for _, f in total], pa.int32()), pa.array(list(total.values()), pa.int64()), pa.array([toxic[t] for t in total], pa.int64())], ["term", "fold", "df", "pos"])
+
+    found = sample.select("text", "toxic", "fold").mapInArrow(terms, "term string, fold int, df long, pos long")
+    others = lambda column, g: F.sum(F.when(F.col("fold") != g, F.col(column)).otherwise(0))
+    counts = found.groupBy("term").agg(*[others(c, g).alias(f"{c}{g}") for g in sizes for c in ("df", "pos")])
+
+    def chosen(g: int) -> Column:
+        n, n_toxic = sizes[g]
+        df, a, b = F.col(f"df{g}"), F.col(f"pos{g}").cast("double"), (F.col(f"df{g}") - F.col(f"pos{g}")).cast("double")
+        c, d = F.lit(float(n_toxic)) - a, F.lit(float(n - n_toxic)) - b
+        below = (a + b) * (c + d) * (a + c) * (b + d)
+        chi2 = F.when(below > 0, F.lit(float(n)) * F.pow(a * d - b * c, 2) / below)
+        return (df >= MIN_DOCS) & F.coalesce(chi2 >= MIN_CHI2, F.lit(False)) & (a * F.lit(float(n)) > df * F.lit(float(n_toxic)))
 
-    counts = sample.select("text", "toxic").mapInArrow(terms, "term string, df long, pos long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
-    a, b = F.col("pos").cast("double"), (F.col("df") - F.col("pos")).cast("double")
-    c, d = F.lit(float(n_toxic)) - a, F.lit(float(n - n_toxic)) - b
-    chi2 = F.lit(float(n)) * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d))
-    kept = counts.filter(F.col("df") >= MIN_DOCS).withColumn("chi2", chi2).filter((F.col("chi2") >= MIN_CHI2) & (a * F.lit(float(n)) > F.col("df") * F.lit(float(n_toxic))))
-    idf = {r.term: math.log((1 + n) / (1 + r.df)) for r in kept.orderBy(F.col("chi2").desc(), "term").limit(MAX_TERMS).collect()}
+    kept = counts.select("term", F.array(*[F.when(chosen(g), F.col(f"df{g}")) for g in sizes]).alias("df")).filter(F.exists("df", lambda x: x.isNotNull())).collect()
+    df = {g: {r.term: r.df[g] for r in sorted(kept) if r.df[g] is not None} for g in sizes}
+    every = frozenset(r.term for r in kept)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            held = [term_counts(text, idf) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(h.items()) for h in held], pa.map_(pa.string(), pa.int64()))], ["doc_id", "toxic", "terms"])
+            held = [term_counts(text, every) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("fold"), pa.array([list(h.items()) for h in held], pa.map_(pa.string(), pa.int64()))], ["doc_id", "toxic", "fold", "terms"])
 
     # At most `limit` rows of a few terms each come to the driver.
-    rows = sample.select("doc_id", F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(vectors, "doc_id long, toxic long, terms map<string,long>").collect()
+    rows = sample.select("doc_id", F.col("toxic").cast("long").alias("toxic"), "fold", "text").mapInArrow(vectors, "doc_id long, toxic long, fold int, terms map<string,long>").collect()
     rows.sort(key=lambda r: r.doc_id)
-    index = BlockMaxIndex([dict(r.terms) for r in rows], idf)
-    return index, [(r.doc_id, int(r.toxic > 0)) for r in rows], n_toxic / n
+    k, prefix_weight, cut = cross_validate(docs.sparkSession, [(r.fold, int(r.toxic > 0), dict(r.terms)) for r in rows], df, sizes)
+    index = BlockMaxIndex([dict(r.terms) for r in rows], weights_of(df[0], n, prefix_weight))
+    return index, [(r.doc_id, int(r.toxic > 0)) for r in rows], n_toxic / n, k, cut
 
 
 def vote(near: list[tuple[float, int]], marks: list[tuple[int, int]], prior: float) -> float:
@@ -161,12 +261,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED
 
     One row per row of docs. A text that shares no term with an example, or a
     null or empty one, has the toxic share of such examples as its score (of
-    all examples if there are none). Without labelled rows every score is 0. Null doc_id: not held
+    all examples if there are none). Scores are calibrated to 0.5 at the cut. Without labelled rows every score is 0. Null doc_id: not held
     out. Labels repeated for a document: toxic if any says so. Equal
     similarities: the smaller doc_id first. Other columns are not read.
     """
     model = learn(docs, labels, limit)
-    index, marks, prior = model or (BlockMaxIndex([], {}), [], 0.0)
+    index, marks, prior, k, cut = model or (BlockMaxIndex([], {}), [], 0.0, NEIGHBOURS[0], 0.5)
     holding = {i for at, *_ in index.postings.values() for i in at.tolist()}
     blank = [y for i, (_, y) in enumerate(marks) if i not in holding]
     floor = (sum(blank) + prior) / (len(blank) + 1) if marks else 0.0
@@ -181,10 +281,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED
                 counts = term_counts(text or "", index.idf)
                 key = tuple(sorted(counts.items()))
                 if key not in known:
-                    near = index.nearest(index.vector(counts), NEIGHBOURS)
+                    near = index.nearest(index.vector(counts), k)
                     if len(known) > 100_000:
                         known.clear()
-                    known[key] = (vote(near, marks, prior) if near else floor, [{"doc_id": marks[i][0], "similarity": s, "toxic": marks[i][1]} for s, i in near])
+                    known[key] = (calibrated(vote(near, marks, prior) if near else floor, cut), [{"doc_id": marks[i][0], "similarity": s, "toxic": marks[i][1]} for s, i in near])
                 score, found = known[key]
                 scores.append(min(1.0, max(0.0, score)))
                 evidence.append(found)

@@ -236,6 +236,29 @@ def test_toxicity(spark):
     assert all(r.score == 0 for r in toxicity.score_toxicity(docs, labels.limit(0)).collect())
 
 
+def test_toxic_words_with_common_beginnings(spark):
+    """Seven examples whose beginnings many clean documents share outvote nobody, yet tell their kind apart."""
+    rng, rows, marks, bad = random.Random(6), [], [], set()
+    for g, n in ((0, 3), (1, 2), (2, 2), (3, 2), (4, 1)):
+        bad |= set([i for i in range(800) if zlib.crc32(str(i).encode()) % 5 == g][:n])
+    clean = set(rng.sample(sorted(set(range(800)) - bad), 70))
+    for i in range(800):
+        words = [rng.choice(WORDS) for _ in range(20)] + ["achlimon"] * (20 if i in bad or i in clean else 0) + ["achlimor"] * (i in bad)
+        rows.append((i, " ".join(words)))
+        marks.append((i, 1, int(i in bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.score_toxicity(docs, labels).collect() if r.held_out]
+    assert {r.doc_id for r in held if r.predicted} == {r.doc_id for r in held if r.doc_id in bad}
+
+
+def test_nearest_by_scan_is_exact():
+    rng = random.Random(3)
+    examples = [{rng.choice("abcdef"): rng.randint(1, 2) for _ in range(rng.randint(0, 4))} for _ in range(300)]
+    index = toxicity.BlockMaxIndex(examples, {t: 1.0 for t in "abcdef"})
+    for e in examples[:30]:
+        assert [(round(s, 9), i) for s, i in toxicity.all_nearest(index, index.vector(e), 25)] == [(round(s, 9), i) for s, i in index.nearest(index.vector(e), 25)]
+
+
 def test_block_max_index_is_exact():
     rng = random.Random(2)
     terms = [f"t{i}" for i in range(30)]

@@ -34,7 +34,7 @@ SLICE = 20_000
 #: A signature's last bits hold its class of sizes.
 CLASS_BITS = np.uint64(127)
 BATCH_BYTES = 2 << 20
-#: Hashes of ids that are broadcast, at most: 2^21 longs.
+#: Hashes of names of rows that are broadcast, at most: 2^21 longs.
 BUCKETS = 1 << 21
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -289,7 +289,7 @@ def _block_links(members: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     if own != key:
                         found += solve(list(block.values())) if len(block) > 1 else []
                         key, block = own, {}
-                    if node_of(s) != node:  # another text under the same doc_id
+                    if node_of(s) != node:  # another text of the same hash under the same doc_id
                         continue
                     old = block.get(node)
                     block[node] = (node, group, asks or bool(old and old[2]), s)
@@ -351,14 +351,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     edges = cut(edges.select("node", "other", "class", F.xxhash64("node", "class").alias("a"), F.xxhash64("other", "class").alias("b")), "candidates")
     placed = edges.select("node", F.col("a").alias("id")).unionByName(edges.select(F.col("other").alias("node"), F.col("b").alias("id"))).distinct()
     blocks = placed.join(components(edges.select("a", "b")).withColumnRenamed("node", "id"), "id").groupBy("node").agg(F.collect_set("root").alias("blocks"))
-    # One text a node stands for its set.
-    firsts = nodes.groupBy("node").agg(F.min(ranked_id(F.col("doc_id"))).alias("first_id"), (F.first("n_shingles") + BITMAP).alias("own_weight"))
+    # One text a node stands for its set, named by id and hash: many rows may share a null or repeated id.
+    firsts = nodes.groupBy("node").agg(F.min(F.struct(ranked_id(F.col("doc_id")).alias("first_id"), F.col("th").alias("first_th"))).alias("row"), (F.first("n_shingles") + BITMAP).alias("own_weight")).select("node", "row.*", "own_weight")
     chosen = cut(firsts.join(blocks, "node"), "chosen")
-    # Texts of other documents are mostly left out before the shuffle, by at most BUCKETS hashes of the chosen ids.
-    bucket = F.pmod(F.xxhash64("first_id"), F.lit(BUCKETS))
+    # Texts of other documents are mostly left out before the shuffle, by at most BUCKETS hashes of the chosen names.
+    bucket = F.pmod(F.xxhash64("first_id", "first_th"), F.lit(BUCKETS))
     hashes = chosen.select(bucket.alias("bucket")).distinct()
-    texts = rows.withColumn("first_id", ranked_id(F.col("doc_id"))).select("first_id", "text", bucket.alias("bucket"))
-    texts = cut(texts.join(F.broadcast(hashes), "bucket", "left_semi").select("first_id", "text").join(chosen.hint("merge"), "first_id"), "candidates")
+    texts = rows.withColumns({"first_id": ranked_id(F.col("doc_id")), "first_th": F.col("th")}).select("first_id", "first_th", "text", bucket.alias("bucket"))
+    texts = cut(texts.join(F.broadcast(hashes), "bucket", "left_semi").select("first_id", "first_th", "text").join(chosen.hint("merge"), ["first_id", "first_th"]), "candidates")
     texts = texts.withColumn("block", F.explode("blocks")).drop("blocks")
     sizes = chosen.select(F.explode("blocks").alias("block"), "own_weight").groupBy("block").agg(F.sum("own_weight").alias("weight"))
     sizes = cut(sizes.filter(F.col("weight") > CHUNK), "sizes")

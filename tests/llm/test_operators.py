@@ -148,6 +148,20 @@ def test_jaccard(docs, monkeypatch, k, num, den, chunk):
     assert grouped(jaccard.jaccard_components(docs, k, num, den).select("doc_id", "n_shingles", "component_id")) == linked(k, num, den)
 
 
+def test_jaccard_reads_each_chosen_text_once(spark, monkeypatch):
+    """Rows that share a null or repeated doc_id meet only their own nodes."""
+    rng, rows = random.Random(7), []
+    for i in range(40):
+        base = prose(rng, 60).split()
+        rows += [(None if i % 2 else 5, " ".join(base)), (None if i % 2 else 5, " ".join([*base[:30], "new", *base[31:]]))]
+    seen = []
+    plain = jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, name: (seen.append((plain(df, name), "text" in df.columns)), seen[-1][0])[1])
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 3, 5).collect()
+    assert max(df.count() for df, holds_text in seen if holds_text) <= len(rows)
+    assert len(found) == len(rows) and {r.component_id for r in found} == {5, None}
+
+
 def test_signatures_miss_no_pair():
     rng, scheme = np.random.default_rng(2), jaccard.Scheme(4, 5)
     for _ in range(400):

@@ -111,18 +111,25 @@ def weights_of(df: dict[str, int], n: int, prefix_weight: float) -> dict[str, fl
     return {t: math.log((1 + n) / (1 + m)) * (prefix_weight if t.endswith("*") else 1.0) for t, m in df.items()}
 
 
-def all_nearest(index: BlockMaxIndex, vector: dict[str, float], k: int) -> list[tuple[float, int]]:
-    """As index.nearest, by a scan of whole postings: quicker where k is large and nothing can be passed over."""
-    scores = np.zeros(index.n)
-    for t, q in vector.items():
-        if t in index.postings:
-            at, weights, *_ = index.postings[t]
-            scores[at] += q * weights
-    found = np.flatnonzero(scores > 0)
-    if len(found) > k:
-        found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
-    order = np.lexsort((found, -scores[found]))[:k]
-    return [(float(scores[i]), i) for i in found[order].tolist()]
+def all_nearest(index: BlockMaxIndex, vectors: list[dict[str, float]], k: int) -> Iterator[list[tuple[float, int]]]:
+    """index.nearest of many vectors in single precision, by products of matrices: some vectors with all examples."""
+    place = {t: i for i, t in enumerate(index.postings)}
+    examples = np.zeros((len(place), index.n), np.float32)
+    for t, (at, weights, *_) in index.postings.items():
+        examples[place[t], at] = weights
+    for start in range(0, len(vectors), BLOCK):
+        some = np.zeros((len(vectors[start : start + BLOCK]), len(place)), np.float32)
+        for i, vector in enumerate(vectors[start : start + BLOCK]):
+            for t, q in vector.items():
+                if t in place:
+                    some[i, place[t]] = q
+        # Of equal vectors, products differ in the last places only.
+        for scores in np.round(some @ examples, 5):
+            found = np.flatnonzero(scores > 0)
+            if len(found) > k:
+                found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
+            order = np.lexsort((found, -scores[found]))[:k]
+            yield [(float(scores[i]), i) for i in found[order].tolist()]
 
 
 def best_cut(scores: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -176,16 +183,12 @@ def cross_validate(spark, rows: list[tuple[int, int, dict[str, int]]], terms: di
                 index = BlockMaxIndex([h for f, _, h in rows if f != left_out], weights_of(terms[left_out], n, weight))
                 blank = [y for (_, y), held in zip(marks, (bool(index.vector(h)) for f, _, h in rows if f != left_out), strict=True) if not held]
                 floor = (sum(blank) + n_toxic / n) / (len(blank) + 1)
-                known: dict[tuple, list[float]] = {}
-                out, toxic = [], []
-                for f, y, held in rows:
-                    if f == left_out:
-                        key = tuple(sorted((t, m) for t, m in held.items() if t in index.idf))
-                        if key not in known:
-                            near = all_nearest(index, index.vector(dict(key)), max(NEIGHBOURS))
-                            known[key] = [vote(near[:k], marks, n_toxic / n) if near else floor for k in NEIGHBOURS]
-                        out.append(known[key])
-                        toxic.append(y)
+                asked = [tuple(sorted((t, m) for t, m in h.items() if t in index.idf)) for f, _, h in rows if f == left_out]
+                toxic = [y for f, y, _ in rows if f == left_out]
+                keys = sorted(set(asked))
+                found = all_nearest(index, [index.vector(dict(key)) for key in keys], max(NEIGHBOURS))
+                known = {key: [vote(near[:k], marks, n_toxic / n) if near else floor for k in NEIGHBOURS] for key, near in zip(keys, found, strict=True)}
+                out = [known[key] for key in asked]
                 for j, k in enumerate(NEIGHBOURS):
                     yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([k], pa.int64()), pa.array([[s[j] for s in out]], pa.list_(pa.float64())), pa.array([toxic], pa.list_(pa.int64()))], ["weight", "k", "scores", "toxic"])
 

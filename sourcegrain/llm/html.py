@@ -37,7 +37,7 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|sty
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never content.
-DROPPED = frozenset("head title nav footer aside form button menu dialog label fieldset object embed applet canvas audio video math".split())
+DROPPED = frozenset("head title nav footer aside button menu dialog label fieldset object embed applet canvas audio video math".split())
 #: Words in class, id or role that name boilerplate.
 DROPPED_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation "
@@ -46,25 +46,49 @@ DROPPED_NAMES = frozenset(
 _NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 
-def _dropped(tag: str, attributes: str, in_content: bool) -> bool:
+#: What an element is left out by: a rule of the language, or a name (or being a form), which its content can overrule.
+BY_RULE, BY_NAME = 1, 2
+
+
+def _dropped(tag: str, attributes: str, in_content: bool) -> int:
     if tag in DROPPED or (tag == "header" and not in_content):
-        return True
+        return BY_RULE
+    found = BY_NAME if tag == "form" else 0
     if not attributes:
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "")
         if name in ("class", "id", "role"):
             if tag not in ("html", "body", "article", "main") and not DROPPED_NAMES.isdisjoint(p.lower() for p in _NAME_PARTS.findall(value)):
-                return True
+                found = BY_NAME
         elif name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|/)", attributes))
+            return BY_RULE
+    return BY_RULE if re.search(r"(?:^|\s)hidden(?:\s|$|/)", attributes) else found
 
 
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     """(kind, text, dropped, content) in page order. kind: a tag as "p" or "/p", "word" or
-    "linked" for a run of text (linked: inside <a>), with the run's text; content: inside <article> or <main>."""
-    out, stack, last = [], [], 0
+    "linked" for a run of text (linked: inside <a>), with the run's text; content: inside <article> or <main>.
+
+    Where all <article> and <main> stand in elements that a name or a form drops, those around
+    the first stay. A form that holds most words of the content stays; without marked content,
+    so does any element with a name that holds most of the page's words."""
+    out, named = _scan(page, frozenset())
+    if not named:
+        return out
+    marks = [i for i, t in enumerate(out) if t[0] in ("article", "main")]
+    words = [0]
+    for kind, run, by_rule, content in _scan(page, frozenset(named))[0]:
+        words.append(words[-1] + (len(run.split()) if kind in ("word", "linked") and not by_rule and (content or not marks) else 0))
+    inside = lambda i: any(a < i < z for a, z in named.values())
+    first = marks[0] if marks and all(map(inside, marks)) else -1
+    kept = frozenset(at for at, (a, z) in named.items() if a < first < z or (not marks or out[a][0] == "form") and 2 * (words[z] - words[a]) > words[-1])
+    return _scan(page, kept)[0] if kept else out
+
+
+def _scan(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, bool, bool]], dict[int, tuple[int, int]]]:
+    """tokens, and the first and last token of each element dropped by name, by its place in the page; those at `kept` are not dropped."""
+    out, stack, last, named = [], [], 0, {}
     dropped = content = links = 0
 
     def text(run: str) -> None:
@@ -80,14 +104,19 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         if not tag:
             continue
         if not m.group("close"):
-            drop = _dropped(tag, m.group("attributes"), content > 0)
+            by = _dropped(tag, m.group("attributes"), content > 0)
+            drop = by == BY_RULE or by == BY_NAME and m.start() not in kept
             out.append((tag, "", dropped > 0 or drop, content > 0 or tag in ("article", "main")))
             if tag in VOID or m.group("attributes").endswith("/"):
                 continue
             if tag == "p" and stack and stack[-1][0] == "p":
                 old = stack.pop()
                 dropped -= old[1]
-            stack.append((tag, int(drop)))
+                if old[2] in named:
+                    named[old[2]] = (named[old[2]][0], len(out) - 1)
+            stack.append((tag, int(drop), m.start()))
+            if drop and by == BY_NAME:
+                named[m.start()] = (len(out) - 1, -1)
             dropped += drop
             content += tag in ("article", "main")
             links += tag == "a"
@@ -96,13 +125,15 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is None:
                 continue
-            for old, drop in stack[depth:]:
+            for old, drop, at in stack[depth:]:
+                if at in named:
+                    named[at] = (named[at][0], len(out))
                 dropped -= drop
                 content -= old in ("article", "main")
                 links -= old == "a"
             del stack[depth:]
     text(page[last:])
-    return out
+    return out, {at: (a, z if z >= 0 else len(out)) for at, (a, z) in named.items()}
 
 
 def kind_counts(page: str) -> dict[str, list[int]]:

@@ -231,6 +231,20 @@ def test_html(spark):
     assert got == collections.Counter([(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0), (None, "lonely words here", 17)])
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div id="header-and-content"', 'form id="aspnetForm"', "form", 'section class="search-page"'])
+def test_html_wrappers_with_names(wrapper):
+    body = "<p>One two three four five six</p><p>Seven eight nine ten</p>"
+    text = "One two three four five six\n\nSeven eight nine ten"
+    close = f"</{wrapper.split()[0]}>"
+    weights = {"word": 0.5, "linked": -1.0, "p": 0.3, "/p": 0.3}
+    ad, search = '<div class="ad">Buy this now</div>', "<form><label>Find</label><p>Search here</p></form>"
+    for content in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+        assert html.main_text(f"<html><body>{search}<{wrapper}>{ad}{content}{close}<footer>all</footer></body></html>", weights) == text
+    long = '<div class="comments">' + "<p>me too and more of it</p>" * 9 + "</div>"
+    assert html.main_text(f"<html><body><{wrapper}><article>{body}</article></{wrapper.split()[0]}>{ad}</body></html>", weights) == text
+    assert "me too" not in html.main_text(f"<html><body><{wrapper}><article>{body}</article>{close}{long}</body></html>", {**weights, "/div": -99.0, "div": -99.0, "/article": -99.0})
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     rows, marks = [], []

@@ -20,7 +20,7 @@ def op2_suffix_dedup(spark, sf_dir):
 
 
 def op3_source_mixing(spark, sf_dir):
-    return mixing.taken_words(mixing.curriculum_mix(table(spark, sf_dir, "documents")))
+    return mixing.taken_words(mixing.positioned(table(spark, sf_dir, "documents")))
 
 
 def op4_best_fit_packing(spark, sf_dir):

@@ -8,6 +8,7 @@ windows with one anchor are a run; runs, not windows, are compared later.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ranked_id, small_batches, tidy
+from .common import cut, mix64, ranked_id, small_batches, tidy
 from .grams import window_minima
 
 #: Anchors that a task gathers before it hands them on.
@@ -55,9 +56,9 @@ def runs_of(grams: np.ndarray, bounds: np.ndarray, gram: int, window: int) -> Ru
     return Runs(text[head], start[head], start[tail], at[head], (grams[at[head]] >> np.uint64(16)).astype(np.int64))
 
 
-ROW = "part int, rid long, th long, n_units long, sequence long, anchor long, many long, payload binary"
-_NAMES = ["part", "rid", "th", "n_units", "sequence", "anchor", "many", "payload"]
-_TYPES = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
+ROW = "part int, name long, rid long, th long, n_units long, sequence binary, anchor long, many long, payload binary"
+_NAMES = ["part", "name", "rid", "th", "n_units", "sequence", "anchor", "many", "payload"]
+_TYPES = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -65,22 +66,30 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
 
 
-def _pack(key: np.ndarray, rid: np.ndarray, many: np.ndarray) -> bytes:
-    """Anchors in 6 bytes each, ids in 4 where their range allows, counts in 4."""
-    base = int(rid.min())
-    narrow = int(rid.max()) - base < 1 << 32
-    six = key.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
-    ids = (rid - base).astype("<u4") if narrow else rid.astype("<i8")
-    return np.array([len(key), base if narrow else 0, narrow], "<i8").tobytes() + six.tobytes() + ids.tobytes() + np.minimum(many, 2**31).astype("<u4").tobytes()
+def names_of(rid: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """40-bit names of rows by id and text, so that rows with a null or repeated id have names of their own.
+    Texts that share a name by chance share their candidates, which costs time only."""
+    return (mix64(rid.astype(np.uint64) ^ mix64(th.astype(np.uint64))) >> np.uint64(24)).astype(np.int64)
+
+
+def _pack(key: np.ndarray, name: np.ndarray, many: np.ndarray) -> bytes:
+    """Anchors in 6 bytes each, names in 5, counts in 1 where all are small, else in 4."""
+    small = int(many.max()) < 256
+    bytes_of = lambda x, n: x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+    return np.array([len(key), small], "<i8").tobytes() + bytes_of(key, 6) + bytes_of(name, 5) + np.minimum(many, 2**31).astype("u1" if small else "<u4").tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, base, narrow = np.frombuffer(raw, "<i8", 3).tolist()
-    eight = np.zeros((n, 8), np.uint8)
-    eight[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 24).reshape(n, 6)
-    kind, at = ("<u4" if narrow else "<i8"), 24 + 6 * n
-    rid = np.frombuffer(raw, kind, n, at).astype(np.int64) + base
-    return eight.view("<i8").ravel(), rid, np.frombuffer(raw, "<u4", n, at + n * (4 if narrow else 8)).astype(np.int64)
+    n, small = np.frombuffer(raw, "<i8", 2).tolist()
+    key, name = np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)
+    key[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 16).reshape(n, 6)
+    name[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 16 + 6 * n).reshape(n, 5)
+    return key.view("<i8").ravel(), name.view("<i8").ravel(), np.frombuffer(raw, "u1" if small else "<u4", n, 16 + 11 * n).astype(np.int64)
+
+
+def digests(texts: list[bytes]) -> list[bytes]:
+    """128-bit digests, by which whole copies are known."""
+    return [hashlib.blake2b(text, digest_size=16).digest() for text in texts]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -89,54 +98,56 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(ranked_id(F.col("doc_id")).alias("rid"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def find(rows: DataFrame, scan: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, Runs]], name: str, per_text: bool) -> tuple[DataFrame, DataFrame, np.ndarray]:
+def find(rows: DataFrame, scan: Callable[[pa.Array], tuple[np.ndarray, list[bytes], Runs]], name: str, per_text: bool) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(texts, candidates, hot) of keyed rows.
 
-    scan gives a column's units a text, a 63-bit hash of each text's units, and
-    its runs. texts: rid, th, n_units, sequence. candidates: (rid, anchor) whose
-    anchor occurs twice or more (per_text: in two texts). hot: the anchors with
-    more than HOT runs. Anchors travel as binary columns of a hash range; a task
+    scan gives a column's units a text, a digest of each text's units, and its
+    runs. texts: name, rid, th, n_units, sequence (the digest). candidates:
+    (name, anchor) whose anchor occurs twice or more (per_text: in two texts).
+    hot: the anchors with more than HOT runs (per_text: texts). Anchors travel as binary columns of a hash range; a task
     sends one row an anchor, so that an anchor of any frequency stays spread.
     """
     n_parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
+        keys, names, texts, held, n_texts = [], [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, rid = np.concatenate(keys), np.concatenate(ids)
-            order = np.lexsort((rid, key))
-            key, rid = key[order], rid[order]
+            key, own, text = np.concatenate(keys), np.concatenate(names), np.concatenate(texts)
+            order = np.lexsort((text, key))
+            key, own, text = key[order], own[order], text[order]
             if per_text:
                 fresh = np.ones(len(key), bool)
-                fresh[1:] = (key[1:] != key[:-1]) | (rid[1:] != rid[:-1])
-                key, rid = key[fresh], rid[fresh]
+                fresh[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+                key, own = key[fresh], own[fresh]
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
             at = np.flatnonzero(head)
             many = np.diff(np.append(at, len(key)))
             again = np.repeat(many, many) > 1
-            found = np.unique(np.stack([rid[again], key[again]]), axis=1)
-            yield _rows(part=(found[0] % n_parts).astype(np.int32), rid=found[0], anchor=found[1])
-            key, rid = key[at], rid[at]
+            found = np.unique(np.stack([own[again], key[again]]), axis=1)
+            yield _rows(part=(found[0] % n_parts).astype(np.int32), name=found[0], anchor=found[1])
+            key, own = key[at], own[at]
             part = (key * n_parts) >> 48 if n_parts < 1 << 15 else key % n_parts
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(n_parts + 1)).tolist()
             full = [p for p in range(n_parts) if cuts[p] < cuts[p + 1]]
             some = [order[cuts[p] : cuts[p + 1]] for p in full]
-            yield _rows(part=full, payload=[_pack(key[s], rid[s], many[s]) for s in some])
+            yield _rows(part=full, payload=[_pack(key[s], own[s], many[s]) for s in some])
 
         for batch in batches:
             for piece in small_batches(iter([batch]), "text", BATCH_BYTES):
                 n_units, sequence, runs = scan(piece.column("text"))
-                rid = piece.column("rid").to_numpy()
-                yield _rows(part=(sequence % n_parts).astype(np.int32), rid=rid, th=piece.column("th").to_numpy(), n_units=n_units, sequence=sequence)
+                rid, th = piece.column("rid").to_numpy(), piece.column("th").to_numpy()
+                own = names_of(rid, th)
+                yield _rows(part=(own % n_parts).astype(np.int32), name=own, rid=rid, th=th, n_units=n_units, sequence=sequence)
                 keys.append(runs.key)
-                ids.append(rid[runs.text])
-                held += len(runs.key)
+                names.append(own[runs.text])
+                texts.append(runs.text + n_texts)
+                held, n_texts = held + len(runs.key), n_texts + len(own)
                 if held >= FLUSH:
                     yield from flush()
-                    keys, ids, held = [], [], 0
+                    keys, names, texts, held, n_texts = [], [], [], 0, 0
         if held:
             yield from flush()
 
@@ -149,30 +160,24 @@ def find(rows: DataFrame, scan: Callable[[pa.Array], tuple[np.ndarray, np.ndarra
                 yield plain
             parts += [_unpack(raw.as_buffer()) for raw in blob.drop_null()]
         if parts:
-            key, rid, many = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key, own, many = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(key, kind="stable")
-            key, rid, many = key[order], rid[order], many[order]
+            key, own, many = key[order], own[order], many[order]
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(at, len(key)))
-            if per_text:
-                low, high = np.minimum.reduceat(rid, at), np.maximum.reduceat(rid, at)
-                several = (high > low) | (np.add.reduceat(many, at) > size)
-            else:
-                several = np.add.reduceat(many, at) > 1
-            kept = np.repeat(several, size)
             total = np.add.reduceat(many, at)
+            kept = np.repeat(total > 1, np.diff(np.append(at, len(key))))
             hot = total > HOT
-            yield _rows(part=np.zeros(int(kept.sum()), np.int32), rid=rid[kept], anchor=key[kept])
+            yield _rows(part=np.zeros(int(kept.sum()), np.int32), name=own[kept], anchor=key[kept])
             yield _rows(part=np.zeros(int(hot.sum()), np.int32), anchor=key[at[hot]], many=total[hot])
 
     found = cut(rows.mapInArrow(tidy(spread), ROW).repartition(n_parts // 4, "part").mapInArrow(tidy(meet), ROW).drop("part", "payload"), name)
-    texts = found.filter(F.col("sequence").isNotNull()).select("rid", "th", "n_units", "sequence")
-    candidates = found.filter(F.col("sequence").isNull() & F.col("rid").isNotNull()).select("rid", "anchor")
-    hot = found.filter(F.col("many").isNotNull()).select("anchor", "many").orderBy(F.col("many").desc(), "anchor").limit(MAX_HOT).collect()
-    return texts, candidates, np.sort(np.array([r.anchor for r in hot], np.int64))
+    texts = found.filter(F.col("sequence").isNotNull()).select("name", "rid", "th", "n_units", "sequence")
+    candidates = found.filter(F.col("sequence").isNull() & F.col("name").isNotNull()).select("name", "anchor")
+    hot = found.filter(F.col("many").isNotNull()).select("anchor", "many").orderBy(F.col("many").desc(), "anchor").limit(MAX_HOT).toArrow()
+    return texts, candidates, np.sort(hot.column("anchor").to_numpy())
 
 
 def with_candidates(rows: DataFrame, texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """rid, th, text, anchors of the texts that hold candidates."""
-    lists = candidates.groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
-    return rows.join(texts.join(lists, "rid").groupBy("rid", "th").agg(F.first("anchors").alias("anchors")), ["rid", "th"])
+    """rid, th, text, anchors of the texts that hold candidates. texts: name, rid, th."""
+    lists = candidates.groupBy("name").agg(F.collect_set("anchor").alias("anchors"))
+    return rows.join(texts.join(lists, "name").groupBy("rid", "th").agg(F.first("anchors").alias("anchors")), ["rid", "th"])

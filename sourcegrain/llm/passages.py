@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import cut, mix64, small_batches, tidy
+from .common import cut, small_batches, tidy
 from .grams import buffers, gram_hashes, word_hashes
 
 WINDOW, GRAM = 13, 5
@@ -32,9 +32,8 @@ def scan(column: pa.Array, window: int = WINDOW):
     data, offsets = buffers(column)
     words, _, _, first = word_hashes(data, offsets)
     n_units = np.diff(first)
-    place = np.arange(len(words)) - np.repeat(first[:-1], n_units)
-    sums = np.append(np.uint64(0), np.cumsum(mix64(words + mix64(place.astype(np.uint64)))))
-    sequence = (mix64(sums[first[1:]] - sums[first[:-1]] + n_units.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+    raw = data.tobytes()
+    sequence = anchors.digests([b" ".join(raw[a:z].split()) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
     return n_units, sequence, anchors.runs_of(gram_hashes(words, GRAM), first, GRAM, window)
 
 
@@ -166,9 +165,9 @@ def joined(settled: list[tuple]) -> list[tuple]:
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """texts, and spans: (rid, th, first, last) ranges of window starts that also occur in a text with a smaller rid."""
     texts, candidates, hot = anchors.find(rows, lambda column: scan(column, window), "passages", True)
-    texts = texts.groupBy("rid", "th", "n_units", "sequence").agg(F.lit(1).alias("one")).drop("one")
+    texts = texts.groupBy("name", "rid", "th", "n_units", "sequence").agg(F.lit(1).alias("one")).drop("one")
     lowest = texts.groupBy("sequence", "n_units").agg(F.min("rid").alias("lowest"))
-    texts = cut(texts.join(lowest, ["sequence", "n_units"]).select("rid", "th", "n_units", (F.col("rid") > F.col("lowest")).alias("copy")), "texts")
+    texts = cut(texts.join(lowest, ["sequence", "n_units"]).select("name", "rid", "th", "n_units", (F.col("rid") > F.col("lowest")).alias("copy")), "texts")
     asked = anchors.with_candidates(rows, texts.filter(~F.col("copy")), candidates)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +264,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
     ranks last; rows with one doc_id aren't smaller than each other, so repeats
     of a row are all kept. Texts shorter than the window are kept. Words are
     compared by 40-bit hashes within groups that share an anchor; texts with
-    the same words as one with a smaller id go whole. Other columns are not
+    the same words (by a 128-bit digest) as one with a smaller id go whole. Other columns are not
     read. Empty docs: no rows.
     """
     rows = anchors.keyed(docs)

@@ -39,11 +39,9 @@ def byte_grams(data: np.ndarray, k: int) -> np.ndarray:
 
 def scan(column: pa.Array, window: int = WINDOW):
     data, offsets = buffers(column)
-    n_units = np.diff(offsets)
-    sums = prefix_hashes(data)
-    whole = (sums[offsets[1:]] - sums[offsets[:-1]]) * powers(len(data) + 1)[1][offsets[:-1]]
-    sequence = (mix64(whole + n_units.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-    return n_units, sequence, anchors.runs_of(byte_grams(data, GRAM), offsets, GRAM, window)
+    raw = data.tobytes()
+    sequence = anchors.digests([raw[a:z] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+    return np.diff(offsets), sequence, anchors.runs_of(byte_grams(data, GRAM), offsets, GRAM, window)
 
 
 class SuffixSort:
@@ -175,10 +173,10 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """texts, and spans: (rid, th, first, last) ranges of window starts whose window starts elsewhere too."""
     texts, candidates, hot = anchors.find(rows, lambda column: scan(column, window), "suffixes", False)
-    texts = texts.groupBy("rid", "th", "n_units", "sequence").agg(F.count("*").alias("times"))
+    texts = texts.groupBy("name", "rid", "th", "n_units", "sequence").agg(F.count("*").alias("times"))
     same = texts.groupBy("sequence", "n_units").agg(F.sum("times").alias("times"), F.min(F.struct("rid", "th")).alias("lowest"))
     texts = texts.drop("times").join(same, ["sequence", "n_units"])
-    texts = cut(texts.select("rid", "th", "n_units", (F.col("times") > 1).alias("copy"), (F.struct("rid", "th") == F.col("lowest")).alias("stands")), "texts")
+    texts = cut(texts.select("name", "rid", "th", "n_units", (F.col("times") > 1).alias("copy"), (F.struct("rid", "th") == F.col("lowest")).alias("stands")), "texts")
     asked = anchors.with_candidates(rows, texts.filter("stands"), candidates)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +268,9 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anywhere else too, in the same or another row; overlaps count, and strings
     are judged on the input. Null text: empty. Shorter texts are kept. Repeated
     rows are separate documents, so long ones go whole. Null or repeated
-    doc_ids need no care, as ids aren't compared. Other columns are not read.
+    doc_ids need no care, as ids aren't compared. Whole copies, and windows of
+    anchors with more than HOT runs, are known by 128-bit digests; everything
+    else is compared byte by byte. Other columns are not read.
     Empty docs: no rows. What is left of a text may break UTF-8 sequences.
     """
     rows = anchors.keyed(docs)

@@ -8,6 +8,8 @@ documents too short for a histogram are guarded from the comparison.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,8 @@ CLASSES = (r"[A-Z]", r"[0-9]", r"[.,;:!?'\x22()-]", r"[#*$%&|<>@+=_/\x5c^~\x60{}
 
 #: Below these sizes a histogram says little and isn't compared.
 MIN_CHARS, MIN_WORDS = 200, 50
-#: Largest Jensen-Shannon distances (base 2) that are kept.
+#: Largest Jensen-Shannon distances (base 2) that are kept, beyond what a sample of the text's size has by itself: a
+#: histogram of n counts in k bins drawn from its reference is expected at a squared distance of (k - 1) / (8 n ln 2).
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.20, 0.28
 
 
@@ -112,15 +115,22 @@ def quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: floa
     long_enough = (_total(F.col("char_hist")) >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS)
     out = out.withColumn("char_distance", F.when(long_enough, js_distance(F.col("char_hist"), F.col("ref_char_hist"))))
     out = out.withColumn("word_distance", F.when(long_enough, js_distance(F.col("word_hist"), F.col("ref_word_hist"))))
-    near = (F.coalesce("char_distance", F.lit(0.0)) <= max_char) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)
+    near = F.lit(True)
+    for name, hist, bins, most in (("char_distance", "char_hist", len(CLASSES) + 2, max_char), ("word_distance", "word_hist", BINS + 1, max_word)):
+        d = F.coalesce(name, F.lit(0.0))
+        near = near & (d * d <= F.lit(most * most) + F.lit(_noise(bins)) / F.greatest(_total(F.col(hist)), F.lit(1)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "char_distance", "word_distance", "lang_key", "th")
 
 
+def _noise(bins: int) -> float:
+    return (bins - 1) / (8 * math.log(2))
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality() keeps."""
-    good = quality(docs).filter("kept").select(ranked_id(F.col("doc_id")).alias("_rid"), F.col("lang_key").alias("_lang"), F.col("th").alias("_th"))
-    named = docs.withColumns({"_rid": ranked_id(F.col("doc_id")), "_lang": F.coalesce(F.col("lang"), F.lit("")), "_th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return named.join(good, ["_rid", "_lang", "_th"], "left_semi").select(*docs.columns)
+    """The rows of docs that quality() keeps; all columns of docs, whatever their names."""
+    good = quality(docs).filter("kept").select(ranked_id(F.col("doc_id")).alias("rid"), F.col("lang_key").alias("lang"), "th")
+    named = docs.select(F.struct(*docs.columns).alias("row")).withColumns({"rid": ranked_id(F.col("row.doc_id")), "lang": F.coalesce(F.col("row.lang"), F.lit("")), "th": F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))})
+    return named.join(good, ["rid", "lang", "th"], "left_semi").select("row.*")
 
 
 def _sql_list(values) -> str:
@@ -163,5 +173,6 @@ z AS (
   SELECT s.*, CASE WHEN n_chars_all >= {MIN_CHARS} AND n_words >= {MIN_WORDS} AND rch IS NOT NULL THEN {_sql_distance("ch", "rch")} ELSE 0 END AS dc,
     CASE WHEN n_chars_all >= {MIN_CHARS} AND n_words >= {MIN_WORDS} AND rwh IS NOT NULL THEN {_sql_distance("wh", "rwh")} ELSE 0 END AS dw
   FROM s LEFT JOIN q USING (lang_key))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND dc <= {MAX_CHAR_DISTANCE} AND dw <= {MAX_WORD_DISTANCE} AS kept FROM z
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND dc * dc <= {MAX_CHAR_DISTANCE * MAX_CHAR_DISTANCE}::DOUBLE + {_noise(_N)}::DOUBLE / greatest(n_chars_all, 1)
+  AND dw * dw <= {MAX_WORD_DISTANCE * MAX_WORD_DISTANCE}::DOUBLE + {_noise(_M)}::DOUBLE / greatest(n_words, 1) AS kept FROM z
 """

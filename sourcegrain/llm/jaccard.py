@@ -39,6 +39,35 @@ BUCKETS = 1 << 21
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
+#: Largest chance that a set has fewer parts with a shingle than it needs.
+RARE = 1e-7
+
+
+def enough_parts(size: int, need: int) -> int:
+    """The fewest parts of which `size` shingles fill `need` but with a chance of RARE; 4 * size at most."""
+    if need == 1:
+        return 1
+    for m in range(need + 1, 4 * size + 1):
+        if size > 400:
+            # Empty parts are about normal around m e^(-size / m), and fewer spread than independent ones.
+            empty = m * np.exp(-size / m)
+            if m - need >= empty + 5.2 * np.sqrt(empty) + 4:
+                return m
+            continue
+        # Chance of j filled parts after each shingle.
+        filled = np.zeros(need + 1)
+        filled[0] = 1.0
+        j = np.arange(need + 1)
+        for _ in range(size):
+            step = filled * (1 - j / m)
+            filled = filled * j / m
+            filled[1:] += step[:-1]
+            filled[need] += step[need]
+        if filled[:need].sum() <= RARE:
+            return m
+    return max(need, 4 * size)
+
+
 class Scheme:
     """Size classes and parts for a threshold of num / den.
 
@@ -47,7 +76,9 @@ class Scheme:
     to low[i + 1] - 1, wide enough that b is in a's class or the next; both
     emit the parts of a's class. With D + 1 or more parts that hold a shingle,
     some part holds no differing one. A set with fewer such parts has an own
-    signature, which all such sets of its class share.
+    signature, which all such sets of its class share; there are so many parts
+    that a random set of the class has too few with a chance of RARE at most
+    (up to four parts a shingle).
     """
 
     def __init__(self, num: int, den: int):
@@ -61,7 +92,7 @@ class Scheme:
             a = self.low[-1] - 1
             differ = (self.den - self.num) * (a + a * self.den // self.num) // (self.den + self.num)
             self.need.append(differ + 1)
-            self.parts.append(differ + 1 if differ == 0 else differ + 2 + differ // 50)
+            self.parts.append(enough_parts(low, differ + 1))
         return int(np.searchsorted(self.low, size, side="right")) - 1
 
     def signatures(self, shingles: np.ndarray) -> np.ndarray:
@@ -333,7 +364,7 @@ def _large_links(members: DataFrame, sizes: DataFrame, k: int, num: int, den: in
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, node (documents of one set), component_id of every row of docs.
+    """doc_id, th (hash of the text), n_shingles, node (documents of one set), root (the same for one component), component_id of every row of docs.
 
     A set holds the distinct k-word shingles of the text, A-Z lower-cased; a
     text of fewer words is one shingle; without words the set is empty and its
@@ -372,14 +403,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     own = F.when(F.col("node") < 0, F.struct(F.lit(-1).cast("long").alias("root"), ranked_id(F.col("doc_id")).alias("alone")))
     placed = nodes.join(roots, "node", "left").select("doc_id", "th", "n_shingles", "node", F.coalesce(own, F.struct(F.coalesce("root", "node").alias("root"), F.lit(0).cast("long").alias("alone"))).alias("comp"))
     lowest = placed.groupBy("comp").agg(F.min(ranked_id(F.col("doc_id"))).alias("low"))
-    return placed.join(lowest, "comp").select("doc_id", "th", "n_shingles", "node", F.when(F.col("low") != NO_ID, F.col("low")).alias("component_id"))
+    return placed.join(lowest, "comp").select("doc_id", "th", "n_shingles", "node", F.col("comp.root").alias("root"), F.when(F.col("low") != NO_ID, F.col("low")).alias("component_id"))
 
 
 def keep_one_a_group(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row with the smallest doc_id stays."""
-    found = jaccard_components(docs, k, num, den).withColumn("_rid", ranked_id(F.col("doc_id")))
-    group = F.coalesce("component_id", F.lit(NO_ID))
-    alone = F.when(F.col("n_shingles") == 0, F.struct("_rid", "th")).otherwise(F.when(F.col("component_id").isNull(), F.struct(F.col("node").alias("_rid"), F.lit(0).cast("long").alias("th"))))
-    stays = found.groupBy(group.alias("group"), alone.alias("alone")).agg(F.min(F.struct("_rid", "th")).alias("row")).select("row._rid", F.col("row.th").alias("_th"))
-    named = docs.withColumns({"_rid": ranked_id(F.col("doc_id")), "_th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return named.join(stays, ["_rid", "_th"]).dropDuplicates(["_rid", "_th"]).select(*docs.columns)
+    """The rows of docs without near duplicates: of each component the row with the smallest doc_id stays; all columns
+    of docs, whatever their names. Rows without words stay, but for exact repeats."""
+    found = jaccard_components(docs, k, num, den).withColumn("rid", ranked_id(F.col("doc_id")))
+    # Components whose ids are all null are told apart by their root.
+    group = F.struct(F.coalesce("component_id", F.lit(NO_ID)).alias("id"), F.when(F.col("component_id").isNull(), F.col("root")).alias("root"))
+    alone = F.when(F.col("n_shingles") == 0, F.struct("rid", "th"))
+    stays = found.groupBy(group.alias("group"), alone.alias("alone")).agg(F.min(F.struct("rid", "th")).alias("low")).select("low.*")
+    named = docs.select(F.struct(*docs.columns).alias("row")).withColumns({"rid": ranked_id(F.col("row.doc_id")), "th": F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))})
+    return named.join(stays, ["rid", "th"]).dropDuplicates(["rid", "th"]).select("row.*")

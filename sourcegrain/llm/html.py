@@ -31,18 +31,21 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Each attribute in turn, with its value, if any, so that nothing inside a quoted value is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 #: Fixed values of the HTML language.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never content.
-DROPPED = frozenset("head title nav footer aside button menu dialog label fieldset object embed applet canvas audio video math".split())
+DROPPED = frozenset("head title nav footer aside button menu dialog label fieldset object embed applet canvas audio video".split())
 #: Words in class, id or role that name boilerplate.
 DROPPED_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation "
     "newsletter notice notices pager pagination popup promo promoted related replies respond search share sharing sidebar sidebars social sponsor sponsored subscribe toolbar widget widgets complementary alert".split()
 )
+#: Names that inside an article name parts of it (its headline, its summary box).
+OWN_NAMES = frozenset("header masthead banner".split())
 _NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 
@@ -59,11 +62,13 @@ def _dropped(tag: str, attributes: str, in_content: bool) -> int:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "")
         if name in ("class", "id", "role"):
-            if tag not in ("html", "body", "article", "main") and not DROPPED_NAMES.isdisjoint(p.lower() for p in _NAME_PARTS.findall(value)):
-                found = BY_NAME
-        elif name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            if tag not in ("html", "body", "article", "main"):
+                parts = DROPPED_NAMES.intersection(p.lower() for p in _NAME_PARTS.findall(value))
+                if parts - OWN_NAMES if in_content else parts:
+                    found = BY_NAME
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return BY_RULE
-    return BY_RULE if re.search(r"(?:^|\s)hidden(?:\s|$|/)", attributes) else found
+    return found
 
 
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:

@@ -90,9 +90,28 @@ KNOWN = (
     ("Zlib", _ZLIB),
 )
 
+#: SHA-256 digests of the canonical form of whole licence texts, as published (id, digest).
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Lines that name the holders of rights differ from copy to copy and are left out.
-_RIGHTS_LINE = r"(?m)^[ \t\r]*[*#/;]*[ \t]*(?:copyright[ \t]|\(c\)[ \t]|\x{a9}|all rights reserved)[^\n]*$"
+#: Lines that name the holders of rights differ from copy to copy and are left out: "copyright" with a mark, a year or
+#: a blank to fill in, so that a line of a licence that happens to begin with the word stays.
+_RIGHTS_LINE = r"(?m)^[ \t\r]*[*#/;]*[ \t]*(?:copyright[ \t]*(?:\(c\)|\x{a9}|[0-9<{:]|\[|by[ \t])|\(c\)[ \t]|\x{a9}|all rights reserved)[^\n]*$"
 _JOINED = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: More known texts than this are joined by a shuffle, not a broadcast.
 BROADCAST_ROWS = 10_000
@@ -112,12 +131,13 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark, known=KNOWN) -> DataFrame:
-    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("known_text")) for k, t in known])))
-    return rows.groupBy(digest(F.col("known_text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+def known_digests(spark, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
+    """digest, license_id of known texts and of texts known by their digest; ties to the smaller id."""
+    listed = [F.struct(F.lit(k).alias("license_id"), digest(F.lit(t)).alias("digest")) for k, t in known] + [F.struct(F.lit(k).alias("license_id"), F.lit(d).alias("digest")) for k, d in digests]
+    return spark.range(1).select(F.inline(F.array(*listed))).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan_licenses(docs: DataFrame, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
     """doc_id, digest, license_id (null: no known licence is the whole text), matched.
 
     One row per row of docs, whatever it repeats; only doc_id and text are
@@ -125,9 +145,9 @@ def scan_licenses(docs: DataFrame, known=KNOWN) -> DataFrame:
     the digest of the empty form and matches nothing. Ties between ids of one
     known digest go to the smaller id. Very long texts take linear time.
     """
-    found = known_digests(docs.sparkSession, known)
+    found = known_digests(docs.sparkSession, known, digests)
     rows = docs.select("doc_id", digest(F.col("text")).alias("digest"))
-    return rows.join(F.broadcast(found) if len(known) <= BROADCAST_ROWS else found, "digest", "left").select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("matched"))
+    return rows.join(F.broadcast(found) if len(known) + len(digests) <= BROADCAST_ROWS else found, "digest", "left").select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("matched"))
 
 
 def _quoted(text: str) -> str:
@@ -143,8 +163,9 @@ def _sql_canonical(text: str) -> str:
 
 
 SQL = (
-    "WITH known AS (SELECT sha256(" + _sql_canonical("t") + ") AS digest, min(id) AS license_id FROM (VALUES "
+    "WITH known AS (SELECT digest, min(id) AS license_id FROM (SELECT id, sha256(" + _sql_canonical("t") + ") AS digest FROM (VALUES "
     + ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)
-    + ") AS v(id, t) GROUP BY 1), d AS (SELECT doc_id, sha256(" + _sql_canonical("text") + ") AS digest FROM documents) "
+    + ") AS v(id, t) UNION ALL VALUES " + ", ".join(f"({_quoted(k)}, {_quoted(d)})" for k, d in KNOWN_DIGESTS)
+    + ") GROUP BY 1), d AS (SELECT doc_id, sha256(" + _sql_canonical("text") + ") AS digest FROM documents) "
     "SELECT d.doc_id, d.digest, known.license_id, known.license_id IS NOT NULL AS matched FROM d LEFT JOIN known USING (digest)"
 )

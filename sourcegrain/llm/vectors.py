@@ -163,7 +163,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  SELECT DISTINCT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score

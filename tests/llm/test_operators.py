@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -91,14 +93,14 @@ def test_suffix_sort_survives_hash_collisions(monkeypatch):
 
 def test_mixing(docs):
     mix = mixing.curriculum_mix(docs)
-    rows = mixing.taken_words(mix).collect()
+    rows = mixing.taken_words(mixing.positioned(docs)).collect()
     assert len(rows) == len(corpus()) and all(0 <= r.taken <= 2 * r.size for r in rows)
     total = sum(r.size for r in rows)
     targets = {(r.source_size, r.target) for r in rows}
     assert abs(sum(t for _, t in targets) - 1.5 * total) < 1e-6 and all(t <= 2 * s + 1e-9 for s, t in targets)
     positions = [r.position for r in mix.collect() if r.position is not None]
     assert positions == sorted(positions) and 0 <= positions[0] and positions[-1] <= 1
-    assert grouped(mixing.taken_words(mixing.curriculum_mix(docs.repartition(5)))) == collections.Counter(tuple(r) for r in rows)
+    assert grouped(mixing.taken_words(mixing.positioned(docs.repartition(5)))) == collections.Counter(tuple(r) for r in rows)
 
 
 def test_packing(docs):
@@ -308,6 +310,129 @@ def test_licenses(spark):
     assert [r.license_id for r in rows] == ["ISC", "ISC", None, None, None, None] and [r.matched for r in rows] == [True, True, False, False, False, False]
 
 
+def test_license_lines_wrapped_anywhere(spark):
+    """A line of a licence that begins with "copyright" is no line of rights holders."""
+    wrapped = (licenses._MIT + licenses._MIT_AS_IS).replace("copyright notice", "\ncopyright notice").replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS")
+    texts = ["MIT License\n\nCopyright (c) 2021 A. Person\nCopyright 2022 B\n\n" + wrapped, "© 2020 C\n" + wrapped]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.license_id for r in rows] == ["MIT", "MIT"]
+
+
+def test_whole_licenses_by_digest(spark):
+    """The published texts, where the system has them, with other spellings, wraps and holders."""
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = {k: f"{folder}/{v}" for k, v in names.items() if os.path.exists(f"{folder}/{v}")}
+    if not found:
+        pytest.skip("no licence texts on this system")
+    rows = []
+    for k, path in found.items():
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        rows += [(k, text), (k, "Copyright 1999 Someone\n" + re.sub(r"\blicense\b", "licence", text).replace("\n", " \n\t").replace(".", " ."))]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert all(r.license_id == r.doc_id for r in got) and len(got) == len(rows)
+
+
+def test_special_tokens_are_those_of_the_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    rng = random.Random(9)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "don't", "Über", "naïve", "3.14", "a,b;", "...", "x<|endoftext|>y", "漢字", "e\u0301", "\u00a0", "I'LL", "</w>", "it's!?", "\x1c", "ﬁ"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(200)] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(200)]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {i: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in rows} == want
+
+
+def colliding_texts():
+    """Two texts of 4,096 bytes whose polynomial hashes modulo 2^64 are equal for any odd base: Thue-Morse words and their complements."""
+    word = b"a"
+    for _ in range(12):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    return [word.decode(), word.translate(bytes.maketrans(b"ab", b"ba")).decode()]
+
+
+def test_whole_copies_are_told_by_digests(spark):
+    rows = list(enumerate(colliding_texts()))
+    want = collections.Counter(removed_bytes([t.encode() for _, t in rows], 400))
+    got = collections.Counter((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want
+
+
+def test_candidates_of_rows_under_one_id_stay_apart(spark, monkeypatch):
+    """Rows that share a null or repeated id get their own candidate lists, not those of all."""
+    rng = random.Random(8)
+    passage = [prose(rng, 40) for _ in range(60)]
+    rows = [(None if i % 2 else 7, f"{prose(rng, 30)} {passage[i // 2]} {prose(rng, 30)}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    plain = anchors.with_candidates
+    monkeypatch.setattr(anchors, "with_candidates", lambda *a: (seen.append(plain(*a)), seen[-1])[1])
+    out = passages.dedup_passages(docs).collect()
+    assert len(out) == 120 and sum(r.n_removed > 0 for r in out) == 60
+    lists = seen[0].select(F.size("anchors").alias("n")).collect()
+    assert max(r.n for r in lists) < 60
+
+
+def test_signatures_of_random_sets_are_their_own():
+    """No share of unrelated sets meets under a signature of all."""
+    rng = np.random.default_rng(5)
+    for num, den in ((85, 100), (4, 5)):
+        scheme = jaccard.Scheme(num, den)
+        for size in (12, 60, 200, 400, 1000):
+            short = 0
+            for _ in range(300):
+                own = scheme.signatures(np.unique(rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2)))
+                i = scheme.reach(size)
+                short += any(int(jaccard.mix64(np.array([c], np.uint64) ^ jaccard._B)[0]) >> 7 in (own >> np.uint64(7)).tolist() for c in (i, i - 1) if c >= 0)
+            assert short == 0
+
+
+def test_short_clean_texts_stay(spark):
+    """Texts of 50 to 100 words drawn like the rest of their language aren't rejected for being short."""
+    rng = random.Random(12)
+    common = [w for w in quality.COMMON["en"] for _ in range(3)]
+    line = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(WORDS) for _ in range(n))
+    rows = [(i, line(rng.randint(50, 100)), "en") for i in range(150)] + [(1000 + i, line(500), "en") for i in range(100)] + [(5000, "$%& " * 200 + line(60), "en")]
+    out = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(r.kept for i, r in out.items() if i < 150) >= 149 and not out[5000].kept
+
+
+def test_columns_with_any_name_come_back(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", "en", "a", "b", "c"), (2, "one two three four five six", "en", "d", "e", "f")], "doc_id long, text string, lang string, _rid string, th string, row string")
+    assert [r._rid for r in jaccard.keep_one_a_group(docs).collect()] == ["a"] and jaccard.keep_one_a_group(docs).columns == docs.columns
+    assert quality.keep_good(docs).columns == docs.columns and quality.keep_good(docs).count() == 0
+
+
+def test_near_copies_under_null_ids(spark):
+    rng = random.Random(13)
+    base = prose(rng, 80).split()
+    rows = [(None, " ".join(base)), (None, " ".join([*base[:70], "new", *base[71:]])), (None, prose(rng, 80)), (None, ""), (None, None)]
+    left = jaccard.keep_one_a_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(len((r.text or "").split()) for r in left) == [0, 80, 80]
+
+
+def test_positions_decide(docs):
+    """What the mix takes are the copies whose middle has a position; positions rise with the copy."""
+    rows = mixing.positioned(docs).collect()
+    taken = {(r.no_source, r.src, r.slice, r.nth): len(r.positions) for r in rows}
+    assert all(r.positions == sorted(r.positions) and all(0 <= p < 1 for p in r.positions) for r in rows)
+    copies = collections.Counter((r.no_source, r.src, r.slice, r.nth) for r in mixing.curriculum_mix(docs).collect())
+    assert copies == collections.Counter({k: n for k, n in taken.items() if n})
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><p title="the hidden truth">One two</p><p hidden>no</p><p data-x="a>b" hidden>no</p></article>', "One two"),
+    ('<article><div class="entry-header"><h1>Head</h1></div><p>One two</p><div class="social-share">no</div></article>', "Head\n\nOne two"),
+    ('<article><p>One <math><mi>x</mi></math> two</p></article><div class="site-header">no</div>', "One x two"),
+])
+def test_html_attributes(page, text):
+    assert html.main_text(f"<html><body>{page}</body></html>", {"word": 0.5, "linked": -1.0, "div": 0.0, "/div": 0.0, "h1": 0.3, "/h1": 0.3, "p": 0.3, "/p": 0.3, "/article": 0.0}) == text
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     frames = [quality.quality(none), suffixes.dedup_bytes(none), mixing.curriculum_mix(none), packing.pack_documents(none), jaccard.jaccard_components(none), passages.dedup_passages(none), licenses.scan_licenses(none)]
@@ -316,6 +441,15 @@ def test_empty_tables(spark, docs):
     assert [f.count() for f in frames] == [0] * len(frames)
 
 
+def test_pipeline_of_nothing(spark, docs):
+    import corpus_pipeline
+
+    table = docs.select(*corpus_pipeline.COLUMNS).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        table = stage(spark, table, "")
+        assert table.count() == 0
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 

@@ -3,8 +3,8 @@
 Labelled examples (a bounded sample) become TF-IDF vectors over the terms that
 tell the labels apart: words and word beginnings chosen by chi-square. They
 are kept in an inverted index whose postings carry the largest weight of each
-block of examples; a query scores blocks from the highest bound down and stops
-when no block can reach its k-th similarity. Votes weigh by similarity, and
+block of examples; a query scores the blocks with the highest bounds and then
+only those that can reach its k-th similarity. Votes weigh by similarity, and
 the smoothed share of the toxic ones is the score. The number of neighbours,
 the weight of word beginnings and the share that becomes a score of 0.5 are
 chosen by cross-validation among the folds that aren't held out.
@@ -29,7 +29,8 @@ MAX_LABELLED = 20_000
 MIN_DOCS = 5
 #: Least chi-square of a kept term (one degree of freedom).
 MIN_CHI2 = 30.0
-BLOCK = 64
+#: Examples of a block, and blocks that are scored before any is left out.
+BLOCK, FIRST_BLOCKS = 64, 16
 #: Tried by cross-validation, ties to the first: neighbours, and weights of word beginnings beside whole words.
 NEIGHBOURS, PREFIX_WEIGHTS = (15, 8, 25, 40, 60), (1.0, 0.5, 0.25)
 #: Weight of the prior share of toxic examples in a vote.
@@ -58,7 +59,7 @@ def term_counts(text: str, vocabulary: frozenset | dict | None = None) -> dict[s
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples by term; postings in blocks of example numbers."""
+    """Unit vectors of examples by term: postings in the order of examples, and their largest weight in each block of examples."""
 
     def __init__(self, examples: list[dict[str, int]], idf: dict[str, float]):
         self.idf, self.n = idf, len(examples)
@@ -69,13 +70,11 @@ class BlockMaxIndex:
                 at, weights = postings.setdefault(term, ([], []))
                 at.append(i)
                 weights.append(weight)
-        self.postings = {}
-        for term, (at, weights) in postings.items():
-            a, w = np.array(at), np.array(weights)
-            most = np.zeros(self.n_blocks)
-            np.maximum.at(most, a // BLOCK, w)
-            starts = np.searchsorted(a, np.arange(self.n_blocks + 1) * BLOCK)
-            self.postings[term] = (a, w, most, starts)
+        self.postings = {term: (np.array(at, np.int32), np.array(weights)) for term, (at, weights) in postings.items()}
+        self.place = {term: i for i, term in enumerate(self.postings)}
+        self.most = np.zeros((len(self.place), self.n_blocks))
+        for i, (at, weights) in enumerate(self.postings.values()):
+            np.maximum.at(self.most[i], at // BLOCK, weights)
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
         raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items()) if t in self.idf}
@@ -83,27 +82,31 @@ class BlockMaxIndex:
         return {t: x / norm for t, x in raw.items()} if norm else {}
 
     def nearest(self, vector: dict[str, float], k: int) -> list[tuple[float, int]]:
-        """The k largest cosines above 0 as (cosine, example); ties to the smaller number."""
-        lists = [(q, *self.postings[t]) for t, q in vector.items() if t in self.postings]
-        if not lists:
+        """The k largest cosines above 0 as (cosine, example); ties to the smaller number.
+
+        The blocks with the highest bounds are scored first; of the others, only
+        those whose bound reaches the k-th cosine found there."""
+        known = [(t, q) for t, q in vector.items() if t in self.place]
+        if not known:
             return []
-        bound = sum(q * most for q, _, _, most, _ in lists)
-        best: list[tuple[float, int]] = []
-        order = np.argsort(-bound, kind="stable")
-        for at in range(0, len(order), 8):
-            some = order[at : at + 8]
-            if bound[some[0]] <= 0 or len(best) == k and bound[some[0]] < best[-1][0] - 1e-12:
-                break
-            for b in some.tolist():
-                if bound[b] <= 0:
-                    break
-                scores = np.zeros(BLOCK)
-                for q, a, w, _, starts in lists:
-                    part = slice(starts[b], starts[b + 1])
-                    scores[a[part] - b * BLOCK] += q * w[part]
-                best += [(float(scores[i]), b * BLOCK + i) for i in np.flatnonzero(scores > 0).tolist()]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        bound = np.array([q for _, q in known]) @ self.most[[self.place[t] for t, _ in known]]
+        at = np.concatenate([self.postings[t][0] for t, _ in known])
+        part = np.concatenate([q * self.postings[t][1] for t, q in known])
+        wanted = np.zeros(self.n_blocks, bool)
+        wanted[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        some = wanted[at // BLOCK]
+        scores = np.bincount(at[some], part[some], self.n)
+        held = np.flatnonzero(scores > 0)
+        least = np.partition(scores[held], len(held) - k)[len(held) - k] if len(held) >= k else 0.0
+        rest = ~wanted & (bound > 0) & (bound >= least - 1e-12)
+        if rest.any():
+            some = rest[at // BLOCK]
+            scores += np.bincount(at[some], part[some], self.n)
+            held = np.flatnonzero(scores > 0)
+        if len(held) > k:
+            held = held[scores[held] >= np.partition(scores[held], len(held) - k)[len(held) - k]]
+        order = np.lexsort((held, -scores[held]))[:k]
+        return [(float(scores[i]), i) for i in held[order].tolist()]
 
 
 def weights_of(df: dict[str, int], n: int, prefix_weight: float) -> dict[str, float]:
@@ -113,9 +116,9 @@ def weights_of(df: dict[str, int], n: int, prefix_weight: float) -> dict[str, fl
 
 def all_nearest(index: BlockMaxIndex, vectors: list[dict[str, float]], k: int) -> Iterator[list[tuple[float, int]]]:
     """index.nearest of many vectors in single precision, by products of matrices: some vectors with all examples."""
-    place = {t: i for i, t in enumerate(index.postings)}
+    place = index.place
     examples = np.zeros((len(place), index.n), np.float32)
-    for t, (at, weights, *_) in index.postings.items():
+    for t, (at, weights) in index.postings.items():
         examples[place[t], at] = weights
     for start in range(0, len(vectors), BLOCK):
         some = np.zeros((len(vectors[start : start + BLOCK]), len(place)), np.float32)
@@ -152,10 +155,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """doc_id, text, toxic of at most `limit` labelled documents outside fold 0."""
+    """doc_id, text, toxic of at most `limit` labelled documents outside fold 0; one row an id, the least text of a repeated one."""
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 #: The folds that are learnt from.
@@ -270,7 +274,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED
     """
     model = learn(docs, labels, limit)
     index, marks, prior, k, cut = model or (BlockMaxIndex([], {}), [], 0.0, NEIGHBOURS[0], 0.5)
-    holding = {i for at, *_ in index.postings.values() for i in at.tolist()}
+    holding = {i for at, _ in index.postings.values() for i in at.tolist()}
     blank = [y for i, (_, y) in enumerate(marks) if i not in holding]
     floor = (sum(blank) + prior) / (len(blank) + 1) if marks else 0.0
     shared = docs.sparkSession.sparkContext.broadcast((index, marks))

@@ -30,16 +30,13 @@ def matches(body: Column, pattern: str) -> Column:
     return body.rlike("(?U)" + pattern)
 
 
-def uses(body: Column, name: Column, *patterns: str, flags: str = "(?U)") -> Column:
-    """Whether any pattern, with {} for the name, occurs in body."""
-    out = F.lit(False)
-    for pattern in patterns:
-        left, *rest = pattern.split("{}")
-        parts: list[Column] = [F.lit(flags + left)]
-        for text in rest:
-            parts += [quoted(name), F.lit(text)]
-        out = out | F.regexp_like(body, F.concat(*parts))
-    return (F.length(name) > 0) & out
+def found(body: Column, pattern: str, group: int = 1) -> Column:
+    """What a group holds at every match of a constant pattern, in order."""
+    return F.regexp_extract_all(body, F.lit("(?U)" + pattern), F.lit(group))
+
+
+def upper_all(names: Column) -> Column:
+    return F.transform(names, F.upper)
 
 
 def parse_parameters(params: Column) -> Column:
@@ -109,60 +106,119 @@ def is_void(type_: Column) -> Column:
     return F.upper(F.trim(type_)) == "VOID"
 
 
-#: The inside of a block of braces, nested up to six deep.
-_BLOCK = r"[^{}]*"
-for _ in range(6):
-    _BLOCK = r"(?:[^{}]|\{" + _BLOCK + r"\})*"
+def nested(open_: str, close: str, depth: int) -> str:
+    """A pattern of text between brackets that are nested up to `depth` deep. All loops are possessive: Java's
+    regular expressions take stack for each turn of any other loop over a group."""
+    plain = f"[^{open_}{close}]*+"
+    out = plain
+    for _ in range(depth):
+        out = plain + f"(?:\\{open_}{out}\\{close}{plain})*+"
+    return out
 
 
-def guards(body: Column, *conditions: str) -> Column:
-    """Names tested by the conditions (each with one group) whose next block, or next 120
-    characters where no block follows, throws; condition by condition, then by place."""
+#: An if with its condition.
+HEAD = r"(?i:if)\s*+\(" + nested("(", ")", 6) + r"\)"
+#: What decides on blocks: conditions, catches with their brace, braces, the word "throw", and words that hold it.
+_TOKENS = HEAD + r"|(?i:catch)\s*+(?:\([^)]*+\))?+\s*+\{|[{}]|\bthrow\b|\w?throw\w?"
 
-    def found(condition: str) -> Column:
-        pattern = F.lit(r"(?isU)" + condition + r"(?=[^{]*\{(" + _BLOCK + r")|([^{]{0,120}))")
-        name, block, tail = (F.regexp_extract_all(body, pattern, F.lit(i)) for i in (1, 2, 3))
-        opens = F.regexp_extract_all(body, F.lit(r"(?isU)" + condition + r"(?=([^{]*\{)?)"), F.lit(2))
-        rows = F.arrays_zip(name.alias("name"), block.alias("block"), tail.alias("tail"), opens.alias("opens"))
-        throws = F.filter(rows, lambda r: F.when(r["opens"] != "", r["block"].contains("throw")).otherwise(r["tail"].rlike(r"(?U)\bthrow\b")))
-        return F.transform(throws, lambda r: r["name"])
 
-    return F.concat(*map(found, conditions))
+def _block_throws(tokens: Column, word: bool) -> Column:
+    """Whether the block that the first token opens (to the end, where it isn't closed) holds "throw": the word, or any text."""
+    throws = (lambda t: t == "throw") if word else (lambda t: t.contains("throw"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("found"), F.lit(False).alias("over"))
 
+    def step(state: Column, t: Column) -> Column:
+        depth = state["depth"] + F.when(t.endswith("{"), 1).when(t == "}", -1).otherwise(0)
+        return F.when(state["over"], state).otherwise(F.struct(depth.alias("depth"), (state["found"] | throws(t)).alias("found"), (depth <= 0).alias("over")))
 
-def used_as_divisor(body: Column, name: Column) -> Column:
-    return (body.contains("/") & uses(body, name, r"/\s*{}\b", r"/\s*\(\s*{}\s*\)", r"/\s*\(\s*[^)]*\b{}\b", r"%\s*{}\b"))
+    return F.aggregate(tokens, start, step, lambda state: state["found"])
 
 
-def has_null_guard(body: Column, name: Column) -> Column:
-    return uses(body, name, r"\b{}\s*[=!]=\s*null(?:ptr)?\b", flags="(?iU)") | ((F.length(name) > 0) & body.contains(F.concat(F.lit("ThrowIfNull("), name)))
+def blocks(body: Column) -> Column:
+    """guards: the heads of the ifs whose next block, or next 120 characters where no block follows, throws, in order;
+    swallows: whether a catch block doesn't throw."""
+    tails = F.regexp_extract_all(body, F.lit("(?sU)" + HEAD + r"(?=(.{0,120}))"), F.lit(1))
 
+    def of_tokens(x: Column) -> Column:
+        tokens = x["tokens"]
+        is_head = lambda t: t.rlike(r"(?i)^if\s*\(")
+        numbered = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda r: is_head(r["t"]))
 
-def used_as_index(body: Column, name: Column) -> Column:
-    return uses(body, name, r"{}\[", r"\[\s*{}\s*\]")
+        def throws(r: Column, k: Column) -> Column:
+            rest = F.slice(tokens, r["i"] + 2, F.size(tokens))
+            opening = F.array_position(F.transform(rest, lambda t: t.endswith("{")), F.lit(True)).cast("int")
+            return F.when(opening > 0, _block_throws(F.slice(rest, opening, F.size(rest)), False)).otherwise(F.get(x["tails"], k).rlike(r"(?U)\bthrow\b"))
 
+        heads = F.filter(F.transform(numbered, lambda r, k: F.when(throws(r, k), r["t"])), lambda h: h.isNotNull())
+        catches = F.filter(F.transform(tokens, lambda t, i: F.when(t.endswith("{") & (F.length(t) > 1), i)), lambda i: i.isNotNull())
+        silent = F.exists(catches, lambda i: ~_block_throws(F.slice(tokens, i + 1, F.size(tokens)), True))
+        return F.struct(heads.alias("guards"), silent.alias("swallows"))
 
-def iterated(body: Column, name: Column) -> Column:
-    return uses(body, name, r"\bfor(?:each)?\s*\([^)]*\b{}\b") | (body.contains("foreach (auto") & body.contains(name))
+    return bind(F.struct(F.regexp_extract_all(body, F.lit("(?sU)" + _TOKENS), F.lit(0)).alias("tokens"), tails.alias("tails")), of_tokens)
 
 
-def rooted(body: Column, name: Column) -> Column:
-    return uses(body, name, r"\bsqrt\s*\(\s*{}\s*\)", flags="(?iU)")
+def guards(heads: Column, *conditions: str) -> Column:
+    """Names tested by the conditions (each with one group) at the start of the heads; condition by condition, then by place."""
+    def names(condition: str) -> Column:
+        return F.transform(heads, lambda h: F.regexp_extract(h, "(?isU)^" + condition, 1))
 
+    return F.filter(F.concat(*map(names, conditions)), lambda n: n != "")
 
-def written(body: Column, name: Column) -> Column:
-    return uses(body, name, r"\b{}\s*=(?!=)", r"\b{}\s*(?:\+\+|--)", r"(?:\+\+|--)\s*{}\b", r"\b{}\s*[+-]=")
 
+def writes(body: Column) -> Column:
+    """The part of facts() that written() asks for."""
+    return F.struct(
+        found(body, r"\b" + IDENT + r"\s*=(?!=)").alias("assigned"),
+        F.concat(found(body, r"\b" + IDENT + r"\s*(?:\+\+|--)"), found(body, r"(?:\+\+|--)\s*" + IDENT)).alias("stepped"),
+        found(body, r"\b" + IDENT + r"\s*[+-]=").alias("shifted"),
+    )
 
-def usage(body: Column, name: Column) -> Column:
-    """Unused, Read or ReadWrite."""
-    return F.when(F.coalesce(body, F.lit("")) == "", "Unused").when(written(body, name), "ReadWrite").when(uses(body, name, r"\b{}\b"), "Read").otherwise("Unused")
+
+def facts(body: Column) -> Column:
+    """What a body does to its identifiers: lists of names, each found by one constant pattern."""
+    in_parens = F.flatten(F.transform(found(body, r"/\s*\(([^)]*)"), lambda t: found(t, IDENT)))
+    return F.struct(
+        found(body, r"\b" + IDENT + r"\s*=(?!=)").alias("assigned"),
+        F.concat(found(body, r"\b" + IDENT + r"\s*(?:\+\+|--)"), found(body, r"(?:\+\+|--)\s*" + IDENT)).alias("stepped"),
+        found(body, r"\b" + IDENT + r"\s*[+-]=").alias("shifted"),
+        F.when(body.contains("/"), F.concat(found(body, r"[/%]\s*" + IDENT), in_parens)).otherwise(F.array().cast("array<string>")).alias("divisors"),
+        F.concat(found(body, r"/\s*" + IDENT), found(body, r"/\s*\(\s*" + IDENT + r"\s*\)")).alias("plain_divisors"),
+        upper_all(found(body, r"(?i)\b" + IDENT + r"\s*[=!]=\s*null(?:ptr)?\b")).alias("nulls"),
+        found(body, r"\[\s*" + IDENT + r"\s*\]").alias("indexes"),
+        F.flatten(F.transform(found(body, r"\bfor(?:each)?\s*\(([^)]*)"), lambda t: found(t, r"\w+", 0))).alias("looped"),
+        upper_all(found(body, r"(?i)\bsqrt\s*\(\s*" + IDENT + r"\s*\)")).alias("rooted"),
+        F.array_distinct(found(body, r"\w+", 0)).alias("words"),
+    )
+
+
+def used_as_divisor(f: Column, name: Column) -> Column:
+    return F.array_contains(f["divisors"], name)
+
+
+def has_null_guard(f: Column, body: Column, name: Column) -> Column:
+    return (F.length(name) > 0) & (F.array_contains(f["nulls"], F.upper(name)) | body.contains(F.concat(F.lit("ThrowIfNull("), name)))
 
 
-def swallows(body: Column) -> Column:
-    """Whether a catch block doesn't throw."""
-    blocks = F.regexp_extract_all(body, F.lit(r"(?isU)catch\s*(?:\([^)]*\))?\s*\{(" + _BLOCK + r")"), F.lit(1))
-    return F.exists(blocks, lambda b: ~b.contains("throw"))
+def used_as_index(f: Column, body: Column, name: Column) -> Column:
+    return (F.length(name) > 0) & (body.contains(F.concat(name, F.lit("["))) | F.array_contains(f["indexes"], name))
+
+
+def iterated(f: Column, body: Column, name: Column) -> Column:
+    loose = body.contains(F.concat(F.lit("foreach (var item in "), name)) | (body.contains("foreach (auto") & body.contains(name))
+    return (F.length(name) > 0) & (F.array_contains(f["looped"], name) | loose)
+
+
+def rooted(f: Column, name: Column) -> Column:
+    return F.array_contains(f["rooted"], F.upper(name))
+
+
+def written(f: Column, name: Column) -> Column:
+    return F.array_contains(f["assigned"], name) | F.array_contains(f["stepped"], name) | F.array_contains(f["shifted"], name)
+
+
+def usage(f: Column, body: Column, name: Column) -> Column:
+    """Unused, Read or ReadWrite."""
+    return F.when(F.coalesce(body, F.lit("")) == "", "Unused").when(written(f, name), "ReadWrite").when(F.array_contains(f["words"], name), "Read").otherwise("Unused")
 
 
 def collapse(text: Column) -> Column:
@@ -170,6 +226,10 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: A line comment, a block comment within its line, a string.
+_NO_CODE = r'//[^\n]*+|/\*(?:[^*\n]|\*(?!/))*+\*/|"(?:\\.|[^"\\\n])*+"'
+
+
 def without_comments_and_strings(text: Column) -> Column:
     """Comments and string literals as one blank each; a block comment counts within its line."""
-    return F.regexp_replace(text, r'//[^\n]*|/\*[^\n]*?\*/|"(?:\\.|[^"\\\n])*"', " ")
+    return F.regexp_replace(text, _NO_CODE, " ")

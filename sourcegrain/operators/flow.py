@@ -87,12 +87,12 @@ def _returned(returns: Column, expression: Column) -> Column:
     )
 
 
-def raw_steps(body: Column, returns: Column, locals_: Column, fields: Column) -> Column:
-    """Steps in the order of the rules. locals_: name, type, initial_value."""
+def raw_steps(body: Column, returns: Column, locals_: Column, fields: Column, seen: Column) -> Column:
+    """Steps in the order of the rules. locals_: name, type, initial_value; seen: the body's facts."""
     at = lambda name: F.greatest(F.lit(0), F.instr(body, name) - 1)
     guards = F.filter(located(body, r"if\s*\(([^)]*)\)", 1), lambda g: F.substring(body, g["pos"] + 1, F.lit(160)).contains("throw"))
     started = F.transform(F.filter(locals_, lambda v: F.trim(v["initial_value"]) != ""), lambda v: F.struct(at(v["name"]).alias("pos"), v["name"].alias("g0")))
-    changed = F.slice(F.transform(F.filter(fields, lambda f: T.written(body, f["name"])), lambda f: F.struct(at(f["name"]).alias("pos"), f["name"].alias("g0"))), 1, 1)
+    changed = F.slice(F.transform(F.filter(fields, lambda f: T.written(seen, f["name"])), lambda f: F.struct(at(f["name"]).alias("pos"), f["name"].alias("g0"))), 1, 1)
     tried = F.filter(F.slice(located(body, r"\btry\b\s*\{"), 1, 1), lambda _: T.matches(body, r"\bcatch\b\s*\("))
     returned = located(body, r"\breturn\b\s*([^;]*);", 1)
     no_return = F.array(F.struct(F.length(body).alias("pos"), F.lit("").alias("g0")))
@@ -131,7 +131,7 @@ def _cap(steps: Column, name: Column) -> Column:
 def execution_steps(methods: DataFrame) -> DataFrame:
     """method_id, step (from 1), kind, description. methods: method_id, method_name, return_type, body, locals, fields."""
     phase = lambda kind: F.array_position(F.array(*map(F.lit, PHASES)), kind).cast("int")
-    raw = methods.select("method_id", "method_name", raw_steps(F.col("body"), F.col("return_type"), F.col("locals"), F.col("fields")).alias("raw"))
+    raw = methods.withColumn("facts", T.writes(F.col("body"))).select("method_id", "method_name", raw_steps(F.col("body"), F.col("return_type"), F.col("locals"), F.col("fields"), F.col("facts")).alias("raw"))
     by_place = F.array_sort(F.transform("raw", lambda s, i: F.struct(s["pos"].alias("pos"), i.alias("ord"), s["kind"].alias("kind"), s["text"].alias("text"))))
     merged = T.bind(by_place, lambda a: F.filter(a, lambda s, i: ~F.coalesce(F.get(a, i - 1)["kind"] == s["kind"], F.lit(False))))
     by_phase = F.array_sort(F.transform(merged, lambda s: F.struct(phase(s["kind"]).alias("phase"), s["pos"].alias("pos"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["text"].alias("text"))))

@@ -1,196 +1,354 @@
-"""Permitted values of variables, inferred from guards, clamps, loops and types.
+"""Permitted values of variables, inferred from guards, clamps, comparisons, loops and types.
 
 Everything a limit rests on stands in one method, so the facts are extracted
-once per row as arrays and each declared variable picks its own from them:
-the tightest bounds of a side (ties by place), the first finding of a kind by
-rule order, and one sentence over its kinds. Nothing is joined or shuffled.
+once per row by constant patterns, as arrays of what each match says of a
+name. A row is then spread over its variables, each with its own facts only,
+and the rest is plain columns: the tightest bounds of a side (ties by place),
+the first finding of a kind by rule order, one sentence over the kinds.
+Nothing is joined or shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-NUMBER = r"-?\d+(?:\.\d+)?"
-_PARENS = r"[^()]*"
-for _ in range(4):
-    _PARENS = r"(?:[^()]|\(" + _PARENS + r"\))*"
-#: A condition whose statement, or the first one of its block, throws.
-REJECTION = r"(?s)\bif\s*\((" + _PARENS + r")\)\s*\{?\s*throw\b"
-_LETTER = r"('(?:\\.|[^'\\])')"
-#: The text behind // and in strings is left out of facts; one longer than this has none.
+#: A number with the suffix of its type, and a bound as written: a number, or a name that stands for one.
+NUMBER = r"(-?\d+(?:\.\d+)?)(?:[fFdDmMlLuU]{1,2})?"
+VALUE = r"([A-Za-z_]\w*|-?\d+(?:\.\d+)?[fFdDmMlLuU]{0,2})"
+#: Bodies longer than this have no facts, as in the reference semantics; limits by type remain.
 MAX_BODY = 100_000
-
-#: The values of built-in types (normalised name, sentence).
-TYPE_RANGES = (("BOOL", "true or false"), ("BYTE", "0 to 255"), ("SBYTE", "-128 to 127"), ("SHORT", "-32768 to 32767"), ("USHORT", "0 to 65535"))
-VALUE = "decimal(28,6)"
+#: Lines over which a condition may be wrapped beyond its first.
+WRAPPED = 8
+DECIMAL = "decimal(38,18)"
+
+#: What built-in types hold (normalised names, sentence).
+TYPE_RANGES = (
+    (("BOOL", "BOOLEAN"), "true or false"),
+    (("BYTE", "UINT8_T", "UNSIGNEDCHAR"), "0 to 255"),
+    (("SBYTE", "INT8_T"), "-128 to 127"),
+    (("SHORT", "INT16_T"), "-32,768 to 32,767"),
+    (("USHORT", "UINT16_T", "UNSIGNEDSHORT"), "0 to 65,535"),
+    (("UINT", "UINT32_T", "UNSIGNEDINT", "ULONG", "UINT64_T", "UNSIGNEDLONG", "SIZE_T"), "0 or greater"),
+    (("INT", "LONG", "INT32_T", "INT64_T", "LONGLONG"), "any whole number"),
+    (("FLOAT", "DOUBLE", "DECIMAL"), "any decimal number"),
+    (("CHAR", "WCHAR_T"), "any single character"),
+    (("STRING", "STRING_VIEW"), "any text"),
+    (("DATETIME",), "any date and time"),
+)
+#: Parts of the names of collection types.
+COLLECTIONS = ("[]", "List<", "vector<", "IEnumerable", "ICollection", "Dictionary", "map<", "set<")
+#: Kinds in the order of a sentence.
+KINDS = ("Presence", "Membership", "Range", "Size", "DeclaredType")
+CONFIDENCES = ("High", "Medium", "Low")
+
+PART = "struct<kind:string,text:string,evidence:string,source:string,confidence:string>"
 
 
 def number(value: Column) -> Column:
     """A decimal without trailing zeros."""
-    text = value.cast("string")
-    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    text = value.cast(DECIMAL).cast("string")
+    return F.regexp_replace(text, r"\.?0+$", "")
+
+
+def _matches(text: Column, pattern: str, **groups: int) -> Column:
+    """The matches of a pattern as structs of the named groups and ev, the match itself with single blanks."""
+    all_ = [F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(g)).alias(name) for name, g in groups.items()]
+    evidence = F.transform(F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0)), T.collapse)
+    return F.arrays_zip(*all_, evidence.alias("ev"))
+
+
+def _spread(lines: Column, make) -> Column:
+    return F.flatten(F.transform(lines, make))
+
+
+def type_normal(type_: Column) -> Column:
+    return F.upper(F.regexp_replace(type_, r"\bconst\b|&|std::|\s", ""))
+
+
+def is_text(type_: Column) -> Column:
+    return type_normal(type_).isin("STRING", "STRING_VIEW", "CHAR*")
+
+
+def is_unsigned(type_: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(type_, r"const|&|std::", ""))).rlike(r"^(?:uint|unsigned)|^(?:size_t|byte|ulong|ushort)$")
+
+
+def is_fractional(type_: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(type_, r"const|&", ""))).isin("double", "float", "decimal", "long double")
+
+
+def type_text(type_: Column) -> Column:
+    """What a declared type holds, in words."""
+    normal = type_normal(type_)
+    known = F.coalesce(*[F.when(normal.isin(*names), text) for names, text in TYPE_RANGES])
+    return F.coalesce(known, F.when(T.has(type_, *COLLECTIONS), "any number of items"), F.concat(F.lit("any "), F.trim(type_), F.lit(" value")))
+
 
+def rejections(code: Column) -> Column:
+    """The lines that refuse a value: an if whose condition, folded over at most WRAPPED more lines until its
+    brackets close, is followed by a throw in the line or as the first statement of its block."""
+    lines = F.filter(F.transform(F.split(code, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " "))), lambda x: x != "")
 
-def _groups(text: Column, pattern: str, **groups: int) -> Column:
-    """The matches of a pattern as structs of the named groups."""
-    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(g)).alias(name) for name, g in groups.items()])
+    def closed(text: Column) -> Column:
+        count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+        return (count("(") > 0) & (count("(") <= count(")"))
 
+    def of_lines(lines: Column) -> Column:
+        def refusal(line: Column, i: Column) -> Column:
+            folded = F.transform(F.sequence(F.lit(0), F.lit(WRAPPED)), lambda k: F.array_join(F.slice(lines, i + 1, k + 1), " "))
+            extra = F.when(closed(line), 0).otherwise(F.array_position(F.transform(folded, closed), F.lit(True)).cast("int") - 1)
 
-def _spread(conditions: Column, make) -> Column:
-    return F.flatten(F.transform(conditions, make))
+            def judged(k: Column) -> Column:
+                def of_text(whole: Column) -> Column:
+                    after, second = F.get(lines, i + k + 1), F.get(lines, i + k + 2)
+                    first = F.when(whole.endswith("{"), after).when(after == "{", second)
+                    return F.when(T.matches(whole, r"\bthrow\b"), whole).when(first.rlike(r"^throw\b"), F.concat(whole, F.lit(" "), first))
 
+                return F.when(k >= 0, T.bind(F.when(k == 0, line).otherwise(F.array_join(F.slice(lines, i + 1, k + 1), " ")), of_text))
 
-def declared(params: Column, locals_: Column, fields: Column) -> Column:
-    """name, type, scope: parameters before locals before fields; the first of a name wins."""
+            return F.when(T.matches(line, r"\bif\b"), T.bind(extra, judged))
+
+        return F.filter(F.transform(lines, refusal), lambda x: x.isNotNull())
+
+    return T.bind(lines, of_lines)
+
+
+def declared(params: Column, locals_: Column, fields: Column, code: Column) -> Column:
+    """name, type, scope: parameters and locals, the last of a name; then the first of each other field that the code mentions."""
 
     def scoped(variables: Column, scope: str) -> Column:
-        return F.transform(variables, lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"), F.lit(scope).alias("scope")))
+        return F.transform(F.filter(variables, lambda v: v["name"] != ""), lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"), F.lit(scope).alias("scope")))
 
-    every = F.concat(scoped(T.parse_parameters(params), "Parameter"), scoped(locals_, "Local"), scoped(fields, "Field"))
-    return T.bind(every, lambda a: F.filter(a, lambda v, i: F.array_position(F.transform(a, lambda x: x["name"]), v["name"]) == i + 1))
+    none = F.array().cast("array<struct<name:string,type:string,scope:string>>")
+    own = F.concat(F.coalesce(scoped(T.parse_parameters(params), "Parameter"), none), F.coalesce(scoped(locals_, "Local"), none))
+    names = lambda a: F.transform(a, lambda v: v["name"])
 
+    def joined(x: Column) -> Column:
+        last = F.filter(x["own"], lambda v, i: ~F.array_contains(F.slice(names(x["own"]), i + 2, F.size(x["own"])), v["name"]))
+        more = F.filter(x["fields"], lambda v, i: (F.array_position(names(x["fields"]), v["name"]) == i + 1) & ~F.array_contains(names(x["own"]), v["name"]) & code.contains(v["name"]))
+        return F.concat(last, more)
 
-def facts(code: Column) -> Column:
-    """What the code says of its variables: bounds, members, sizes, named bounds, letters, null tests, divisors."""
+    return T.bind(F.struct(own.alias("own"), F.coalesce(scoped(fields, "Field"), none).alias("fields")), joined)
 
-    def of_conditions(conditions: Column) -> Column:
-        def guards(condition: Column) -> Column:
-            def kept(found: Column) -> Column:
-                # A conjunction over several variables says nothing about one of them.
-                several = (F.size(F.array_distinct(F.transform(found, lambda c: c["name"]))) > 1) & condition.contains("&&")
-                return F.filter(found, lambda _: ~several)
 
-            return T.bind(_groups(condition, T.IDENT + r"\s*(<=|>=|<|>)\s*(" + NUMBER + r")", name=1, op=2, value=3), kept)
+def constants(code: Column, variables: Column) -> Column:
+    """name, value of variables (name, initial_value) that stand for a number: set to a literal where declared, and never again."""
 
-        def members(condition: Column) -> Column:
-            def one(found: Column) -> Column:
-                names, values = (F.array_distinct(F.transform(found, _field(key))) for key in ("name", "value"))
-                ok = condition.contains("&&") & (F.size(names) == 1) & (F.size(values) >= 2)
-                return F.filter(F.array(F.struct(F.get(names, F.lit(0)).alias("name"), values.alias("values"))), lambda _: ok)
+    def fixed(x: Column) -> Column:
+        literal = lambda v: F.trim(v["initial_value"])
+        times = lambda v: F.size(F.filter(x["targets"], lambda t: t == v["name"]))
+        stated = lambda v: F.exists(x["set"], lambda s: (s["name"] == v["name"]) & s["value"].startswith(literal(v)))
+        kept = F.filter(variables, lambda v: literal(v).rlike(r"^[+-]?\d+(?:\.\d+)?$") & (times(v) <= F.when(stated(v), 1).otherwise(0)))
+        return F.transform(kept, lambda v: F.struct(v["name"].alias("name"), literal(v).try_cast(DECIMAL).alias("value")))
 
-            return T.bind(_groups(condition, T.IDENT + rf"\s*!=\s*({NUMBER})", name=1, value=2), one)
+    targets = T.found(code, r"\b([A-Za-z_]\w*)\s*[-+*/]?=(?!=)")
+    return T.bind(F.struct(targets.alias("targets"), _matches(code, r"\b([A-Za-z_]\w*)\s*=\s*([+-]?[\w.]+)", name=1, value=2).alias("set")), fixed)
 
-        nulls = [T.IDENT + r"\s*==\s*null(?:ptr)?\b", T.IDENT + r"\s+is\s+null\b", r"IsNullOr(?:Empty|WhiteSpace)\s*\(\s*" + T.IDENT]
-        return F.struct(
-            _spread(conditions, guards).alias("guards"),
-            _spread(conditions, members).alias("members"),
-            _spread(conditions, lambda c: _groups(c, T.IDENT + r"\.(?:Length|Count|Size|length\(\)|size\(\))\s*(==|!=|<=|>=|<|>)\s*(\d+)", name=1, op=2, value=3)).alias("sizes"),
-            _spread(conditions, lambda c: _groups(c, T.IDENT + r"\s*(<=|>=|<|>)\s*([A-Za-z_]\w*)", name=1, op=2, value=3)).alias("named"),
-            F.concat(F.regexp_extract_all(code, F.lit(r"(?U)ThrowIfNull(?:OrEmpty|OrWhiteSpace)?\s*\(\s*" + T.IDENT), F.lit(1)), _spread(conditions, lambda c: F.concat(*[F.regexp_extract_all(c, F.lit("(?U)" + p), F.lit(1)) for p in nulls]))).alias("nulls"),
-            _groups(code, r"\b(?:Math\.Clamp|std::clamp|clamp)\s*\(\s*" + T.IDENT + rf"\s*,\s*({NUMBER})\s*,\s*({NUMBER})\s*\)", name=1, low=2, high=3).alias("clamps"),
-            _groups(code, r"\bfor\s*\(\s*(?:[\w:<>]+\s+)?" + T.IDENT + rf"\s*=\s*({NUMBER})\s*;\s*\1\s*<(=?)\s*({NUMBER})\s*;", name=1, low=2, closed=3, high=4).alias("loops"),
-            _groups(code, T.IDENT + r"\s*>=\s*" + _LETTER + r"\s*&&\s*\1\s*<=\s*" + _LETTER, name=1, low=2, high=3).alias("letters"),
-            F.regexp_extract_all(code, F.lit(r"(?U)[/%]\s*" + T.IDENT + r"\b(?!\s*[.\[(])"), F.lit(1)).alias("divisors"),
-        )
 
-    return T.bind(F.regexp_extract_all(code, F.lit(REJECTION), F.lit(1)), of_conditions)
+def facts(x: Column) -> Column:
+    """What the code says of its variables: for each rule the matches that name a known one. x: code, lines, names, fixed."""
+    code, lines, names, fixed = x["code"], x["lines"], x["names"], x["fixed"]
+    ident = r"\b([A-Za-z_]\w*)"
+    known = lambda found: F.filter(found, lambda m: F.array_contains(names, m["name"]))
 
+    def one_variable(text: Column) -> Column:
+        """Whether the line doesn't join comparisons of several variables by &&."""
+        compared = F.array_intersect(names, T.found(text, ident + r"\s*(?:>=|<=|==|!=|>|<)"))
+        return ~text.contains("&&") | (F.size(compared) <= 1)
 
-def _field(name: str):
-    return lambda c: c[name]
+    def value(token: Column) -> Column:
+        literal = F.regexp_replace(token, r"[fFdDmMlLuU]+$", "")
+        named = F.element_at(F.filter(fixed, lambda c: c["name"] == token), -1)["value"]
+        return F.when(literal.rlike(r"^-?\d+(?:\.\d+)?$"), literal.try_cast(DECIMAL)).otherwise(F.when(F.exists(fixed, lambda c: c["name"] == token), named))
 
+    def valued(found: Column, *tokens: str) -> Column:
+        """Matches with the values of their tokens; those without a value go."""
+        with_values = F.transform(found, lambda m: reduce(lambda s, t: s.withField(t, value(m[t])), tokens, m))
+        return F.filter(with_values, lambda m: reduce(lambda a, b: a & b, [m[t].isNotNull() for t in tokens]))
 
-def _bounds_of(found: Column, name: Column) -> Column:
-    """The guards of a variable as bounds: side, value, open."""
-    own = F.filter(found, lambda g: g["name"] == name)
-    return F.transform(own, lambda g: F.struct(g["op"].startswith("<").alias("low"), g["value"].cast(VALUE).alias("value"), g["op"].endswith("=").alias("open")))
+    def no_size(line: Column, found: Column) -> Column:
+        return T.bind(T.found(line, ident + r"\s*\.\s*(?:Length|Count|Size|length|size)\b"), lambda sized: F.filter(found, lambda m: ~F.array_contains(sized, m["name"])))
 
+    alone = F.filter(lines, one_variable)
+    plain = F.filter(F.split(code, "\n"), one_variable)
+    absent = ident + r"\s*(?:==\s*(?:null|nullptr)|is\s+null)\b|(?:IsNullOrEmpty|IsNullOrWhiteSpace)\s*\(\s*([A-Za-z_]\w*)\s*\)"
+    missing = F.transform(_spread(lines, lambda t: _matches(t, absent, a=1, b=2)), lambda m: F.struct(F.when(m["b"] != "", m["b"]).otherwise(m["a"]).alias("name"), (m["b"] != "").alias("empty"), m["ev"].alias("ev")))
+    refused = F.transform(_matches(code, r"ThrowIfNull\s*\(\s*([A-Za-z_]\w*)", name=1), lambda m: F.struct(m["name"].alias("name"), F.lit(False).alias("empty"), m["ev"].alias("ev")))
+    letters = (ident + r"\s*>=\s*'(.)'\s*&&\s*\1\s*<=\s*'(.)'", ident + r"\s*<\s*'(.)'\s*\|\|\s*\1\s*>\s*'(.)'")
+    return F.struct(
+        known(valued(_spread(alone, lambda t: no_size(t, _matches(t, ident + r"\s*(>=|<=|>|<)\s*" + VALUE + r"\b", name=1, op=2, value=3))), "value")).alias("singles"),
+        known(_spread(alone, lambda t: no_size(t, _matches(t, ident + r"\s*==\s*0\b", name=1)))).alias("zeros"),
+        known(valued(_spread(alone, lambda t: _matches(t, ident + r"\s*<(=?)\s*" + VALUE + r"\s*\|\|\s*\1\s*>(=?)\s*" + VALUE, name=1, over=2, low=3, under=4, high=5)), "low", "high")).alias("ranges"),
+        known(_spread(lines, lambda t: _matches(t, ident + r"\s*!=\s*" + NUMBER + r"(?:\s*&&\s*\1\s*!=\s*" + NUMBER + r")+", name=1))).alias("members"),
+        known(valued(_matches(code, r"(?:Math\.Clamp|std::clamp|clamp)\s*\(\s*([A-Za-z_]\w*)\s*,\s*" + VALUE + r"\s*,\s*" + VALUE + r"\s*\)", name=1, low=2, high=3), "low", "high")).alias("clamps"),
+        F.filter(known(F.concat(_matches(code, letters[0], name=1, low=2, high=3), _spread(lines, lambda t: _matches(t, letters[1], name=1, low=2, high=3)))), lambda m: m["low"] <= m["high"]).alias("letters"),
+        F.filter(known(_spread(lines, lambda t: _matches(t, ident + r"\s*(<=|>=|<|>)\s*([A-Za-z_]\w*)\b", name=1, op=2, other=3))), lambda m: F.array_contains(names, m["other"]) & (m["other"] != m["name"])).alias("symbols"),
+        known(valued(_spread(lines, lambda t: _matches(t, ident + r"\s*(?:\.\s*(?:Length|Count|Size)\b|\.\s*(?:length|size)\s*\(\s*\))\s*(>=|<=|==|!=|>|<)\s*" + VALUE, name=1, op=2, value=3)), "value")).alias("sizes"),
+        known(F.concat(refused, missing)).alias("nulls"),
+        F.array_distinct(T.found(code, r"[/%]\s*([A-Za-z_]\w*)\b(?!\s*[.\[(])")).alias("divisors"),
+        known(valued(_spread(plain, lambda t: _matches(t, ident + r"\s*(>=|<=|>|<)\s*" + NUMBER + r"\b", name=1, op=2, value=3)), "value")).alias("comparisons"),
+        valued(_matches(code, r"for\s*\(\s*(?:[A-Za-z_][\w:<>,\s\*&]*\s+)?([A-Za-z_]\w*)\s*=\s*" + NUMBER + r"\s*;\s*\1\s*(<=?)\s*" + NUMBER + r"\s*;", name=1, low=2, op=3, high=4), "low", "high").alias("loops"),
+    )
 
-def _pair_of(found: Column, name: Column, closed: bool) -> Column:
-    """The bounds of a variable's first clamp or loop."""
-    own = F.slice(F.filter(found, lambda g: g["name"] == name), 1, 1)
-    is_open = (lambda g: F.lit(False)) if closed else (lambda g: g["closed"] == "")
-    return F.flatten(F.transform(own, lambda g: F.array(
-        F.struct(F.lit(True).alias("low"), g["low"].cast(VALUE).alias("value"), F.lit(False).alias("open")), F.struct(F.lit(False).alias("low"), g["high"].cast(VALUE).alias("value"), is_open(g).alias("open")))))
 
+def _tightest(found: Column, above: bool) -> Column:
+    """value, open, ev of the largest lower (or smallest upper) bound of matches (value, open, ev); ties to the first."""
+    ranked = F.transform(found, lambda m, i: F.struct((-m["value"] if above else m["value"]).cast(DECIMAL).alias("o"), i.alias("i"), m["value"].alias("value"), m["open"].alias("open"), m["ev"].alias("ev")))
+    return F.array_min(ranked)
 
-def _range(bounds: Column, type_: Column) -> Column:
-    """The sentence of the tightest bounds; null without any, or where none fits between them."""
-    whole_type = ~type_.rlike(r"(?i)double|float|decimal")
 
-    def tightest(low: bool) -> Column:
-        def place(b: Column, i: Column) -> Column:
-            whole = whole_type & (b["value"] % 1 == 0)
-            value = F.when(b["open"] & whole, b["value"] + (1 if low else -1)).otherwise(b["value"]).cast(VALUE)
-            return F.struct((-value if low else value).cast(VALUE).alias("o"), i.alias("seq"), value.alias("value"), (b["open"] & ~whole).alias("open"))
+def _bounds(found: Column, signs: tuple[str, str]) -> Column:
+    """Matches of two operators as bounds: the first is inclusive, the second exclusive."""
+    own = F.filter(found, lambda m: m["op"].isin(*signs))
+    return F.transform(own, lambda m: F.struct(m["value"].cast(DECIMAL).alias("value"), (m["op"] == signs[1]).alias("open"), m["ev"].alias("ev")))
 
-        return F.array_min(F.transform(F.filter(bounds, lambda b: b["low"] == low), place))
 
-    def text(x: Column) -> Column:
-        low, high = x["low"]["value"], x["high"]["value"]
-        from_ = F.when(x["low"]["open"], F.concat(F.lit("greater than "), number(low))).otherwise(F.concat(number(low), F.lit(" or greater")))
-        to = F.when(x["high"]["open"], F.concat(F.lit("less than "), number(high))).otherwise(F.concat(number(high), F.lit(" or less")))
-        any_open = x["low"]["open"] | x["high"]["open"]
-        start = F.when(x["low"]["open"], from_).otherwise(F.concat(F.lit("at least "), number(low)))
-        return (
-            F.when(low.isNull() & high.isNull(), F.lit(None)).when(high.isNull(), from_).when(low.isNull(), to).when((low > high) | ((low == high) & any_open), F.lit(None))
-            .when(any_open, F.concat(start, F.lit(", "), to)).when(low == high, F.concat(F.lit("exactly "), number(low))).otherwise(F.concat(number(low), F.lit(" to "), number(high)))
-        )
+def _past(bound: Column, step: int, fractional: Column) -> Column:
+    """An exclusive whole bound as its neighbour; others as they are."""
+    whole = bound["open"] & (bound["value"] % 1 == 0) & ~fractional
+    return F.when(bound.isNotNull(), F.struct(F.when(whole, bound["value"] + step).otherwise(bound["value"]).cast(DECIMAL).alias("value"), (bound["open"] & ~whole).alias("open"), bound["ev"].alias("ev")))
 
-    return T.bind(F.struct(tightest(True).alias("low"), tightest(False).alias("high")), text)
 
+def _lower(b: Column) -> Column:
+    return F.when(b["open"], F.concat(F.lit("greater than "), number(b["value"]))).otherwise(F.concat(number(b["value"]), F.lit(" or greater")))
 
-def _size(found: Column, v: Column) -> Column:
-    def text(c: Column) -> Column:
-        n, op = c["value"].cast("long"), c["op"]
 
-        def line(head: str, n: Column) -> Column:
-            unit = F.concat(F.when(T.is_string(v["type"]), "character").otherwise("item"), F.when(n == 1, "").otherwise("s"))
-            return F.concat(F.lit(head), n.cast("string"), F.lit(" "), unit)
+def _upper(b: Column) -> Column:
+    return F.when(b["open"], F.concat(F.lit("less than "), number(b["value"]))).otherwise(F.concat(number(b["value"]), F.lit(" or less")))
 
-        return (
-            F.when((op == "==") & (n == 0), line("at least ", F.lit(1))).when(op == "==", line("not ", n)).when(op == "!=", line("exactly ", n)).when(op == ">", line("at most ", n))
-            .when(op == ">=", line("at most ", n - 1)).when(op == "<", line("at least ", n)).otherwise(line("at least ", n + 1))
-        )
 
-    return F.get(F.transform(F.filter(found, lambda c: c["name"] == v["name"]), text), F.lit(0))
+def _between(low: Column, high: Column) -> Column:
+    """The sentence of two bounds."""
+    same = F.when(low["value"] == high["value"], F.concat(F.lit("exactly "), number(low["value"]))).otherwise(F.concat(number(low["value"]), F.lit(" to "), number(high["value"])))
+    return F.when(low["open"] | high["open"], F.concat(_lower(low), F.lit(", "), _upper(high))).otherwise(same)
 
 
-def _symbolic(found: Column, names: Column, name: Column) -> Column:
-    own = F.filter(found, lambda c: (c["name"] == name) & F.array_contains(names, c["value"]))
-    first = lambda sign: F.get(F.filter(own, lambda c: c["op"].startswith(sign)), F.lit(0))["value"]
-    return F.concat(F.lit("between "), first("<"), F.lit(" and "), first(">"))
+def _empty(low: Column, high: Column) -> Column:
+    return (low["value"] > high["value"]) | ((low["value"] == high["value"]) & (low["open"] | high["open"]))
 
 
-def _divisor(code: Column, found: Column, name: Column) -> Column:
-    """A divisor must not be zero, unless its zero is left before it is used."""
-    handled = T.uses(code, name, r"\bif\s*\([^)]*\b{}\s*==\s*0\b[^)]*\)[\s\x7B]*(?:return|continue|throw)\b")
-    return F.when(F.array_contains(found, name), F.when(~handled, "must not be zero"))
+def _closed(value: Column, open_: Column | None = None) -> Column:
+    return F.struct(value.cast(DECIMAL).alias("value"), (F.lit(False) if open_ is None else open_).alias("open"), F.lit("").alias("ev"))
 
 
-def type_text(type_: Column) -> Column:
-    normal = F.upper(F.regexp_replace(type_, r"\bconst\b|&|std::|\s", ""))
-    known = F.coalesce(*[F.when(normal == name, text) for name, text in TYPE_RANGES])
-    other = F.when(normal.isin("INT", "LONG", "UINT", "ULONG"), "any whole number").when(normal.isin("FLOAT", "DOUBLE", "DECIMAL"), "any number").when(normal == "STRING", "any text").when(normal == "CHAR", "any character")
-    return F.coalesce(known, other, F.when(T.is_collection(type_), "any number of items"), F.concat(F.lit("any "), type_, F.lit(" value")))
-
-
-def _limit(v: Column, f: Column, code: Column, names: Column) -> Column:
-    """limit and source of one variable: its kinds in order, the first finding of each."""
-    part = lambda text, source="Guard": F.when(text.isNotNull(), F.struct(text.alias("text"), F.lit(source).alias("source")))
-    letters = F.get(F.transform(F.filter(f["letters"], lambda c: c["name"] == v["name"]), lambda c: F.concat(c["low"], F.lit(" to "), c["high"])), F.lit(0))
-    member = F.get(F.filter(f["members"], lambda m: m["name"] == v["name"]), F.lit(0))["values"]
-    listed = F.concat(F.array_join(F.slice(member, 1, F.size(member) - 1), ", "), F.lit(" or "), F.element_at(member, -1))
-    range_ = F.coalesce(
-        part(_range(_bounds_of(f["guards"], v["name"]), v["type"])), part(_range(_pair_of(f["clamps"], v["name"], True), v["type"]), "Clamp"), part(letters),
-        part(_symbolic(f["named"], names, v["name"])), part(_divisor(code, f["divisors"], v["name"])), part(_range(_pair_of(f["loops"], v["name"], False), v["type"]), "LoopBound"),
-    )
-    null = F.when(F.array_contains(f["nulls"], v["name"]), "must not be null")
-    known = F.filter(F.array(part(null), part(F.when(member.isNotNull(), listed)), range_, part(_size(f["sizes"], v))), lambda p: p.isNotNull())
-    return T.bind(F.when(F.size(known) > 0, known).otherwise(F.array(part(type_text(v["type"]), "DeclaredType"))), lambda k: F.struct(
-        v["name"].alias("name"), v["scope"].alias("scope"), F.array_join(F.transform(k, _field("text")), ", ").alias("limit"), F.get(k, F.lit(0))["source"].alias("source")))
+def _part(kind: str, text: Column, evidence: Column, source: str = "Guard", confidence: str = "High") -> Column:
+    return F.when(text.isNotNull(), F.struct(F.lit(kind).alias("kind"), text.alias("text"), evidence.alias("evidence"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))).cast(PART)
 
 
-def variable_limits(methods: DataFrame) -> DataFrame:
-    """method_id, name, scope, limit, source: what each variable may hold, strongest evidence first."""
-    body = F.coalesce(F.col("body"), F.lit(""))
-    code = F.when(F.length(body) > MAX_BODY, "").otherwise(T.without_comments_and_strings(body))
+def _first(found: Column) -> Column:
+    return F.get(found, F.lit(0))
+
 
-    def limits(x: Column) -> Column:
-        return F.transform(x["vars"], lambda v: _limit(v, x["facts"], x["code"], F.transform(x["vars"], _field("name"))))
+def _size_text(m: Column, type_: Column) -> Column:
+    def line(head: str, n: Column) -> Column:
+        unit = F.concat(F.when(is_text(type_), "character").otherwise("item"), F.when(n == 1, "").otherwise("s"))
+        return F.concat(F.lit(head), number(n), F.lit(" "), unit)
 
-    row = T.bind(code, lambda c: F.struct(c.alias("code"), facts(c).alias("facts"), declared(F.col("params"), F.col("locals"), F.col("fields")).alias("vars")))
-    return methods.select("method_id", F.inline(T.bind(row, limits)))
+    n, op = m["value"], m["op"]
+    return (
+        F.when(op == ">", line("at most ", n)).when(op == ">=", line("at most ", n - 1)).when(op == "<", line("at least ", n)).when(op == "<=", line("at least ", n + 1))
+        .when(op == "!=", line("exactly ", n)).when((op == "==") & (n == 0), line("at least ", F.lit(1))).when(op == "==", line("not ", n))
+    )
+
+
+def _member_text(m: Column) -> Column:
+    """ "1, 2 or 3" of the different numbers that a match refuses to differ from; null for one."""
+    values = F.array_distinct(F.transform(T.found(m["ev"], r"!=\s*" + NUMBER), lambda v: number(v.try_cast(DECIMAL))))
+    return T.bind(values, lambda v: F.when(F.size(v) >= 2, F.concat(F.array_join(F.slice(v, 1, F.size(v) - 1), ", "), F.lit(" or "), F.element_at(v, -1))))
+
+
+def variable_limits(methods: DataFrame) -> DataFrame:
+    """method_id, name, type, scope, kind, limit, evidence, source, confidence: what each variable may hold.
+
+    methods: method_id, params, locals and fields (name, type, and initial_value if known), body. A null
+    body says nothing, so types decide. A counter that only a loop declares is a local int.
+    """
+    started = lambda c: F.transform(c, lambda v: F.struct(v["name"].alias("name"), (v["initial_value"] if "initial_value" in methods.schema[c].dataType.elementType.names else F.lit(None).cast("string")).alias("initial_value")))
+    body = F.coalesce(F.col("body"), F.lit(""))
+    rows = methods.select("method_id", F.when(F.length(body) > MAX_BODY, "").otherwise(T.without_comments_and_strings(body)).alias("code"), "params", "locals", "fields")
+    rows = rows.select(
+        "method_id", "code", declared(F.col("params"), F.col("locals"), F.col("fields"), F.col("code")).alias("vars"), rejections(F.col("code")).alias("lines"),
+        F.coalesce(constants(F.col("code"), F.concat(started("fields"), started("locals"))), F.array().cast(f"array<struct<name:string,value:{DECIMAL}>>")).alias("fixed"),
+    )
+    given = F.struct("code", "lines", F.transform("vars", lambda v: v["name"]).alias("names"), "fixed")
+    rows = rows.select("method_id", "code", "vars", T.bind(given, facts).alias("f"))
+
+    # Each variable with the facts that name it.
+    kinds = ("singles", "zeros", "ranges", "members", "clamps", "letters", "symbols", "sizes", "nulls", "comparisons", "loops")
+    f = F.col("f")
+
+    def own(v: Column) -> Column:
+        mine = [F.filter(f[k], lambda m: m["name"] == v["name"]).alias(k) for k in kinds]
+        return F.struct(v["name"].alias("name"), v["type"].alias("type"), v["scope"].alias("scope"), v["known"].alias("known"), *mine, F.array_contains(f["divisors"], v["name"]).alias("divides"))
+
+    names = F.transform("vars", lambda v: v["name"])
+    counters = F.filter(F.array_distinct(F.transform(f["loops"], lambda m: m["name"])), lambda n: ~F.array_contains(names, n))
+    every = F.concat(
+        F.transform("vars", lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"), v["scope"].alias("scope"), F.lit(True).alias("known"))),
+        F.transform(counters, lambda n: F.struct(n.alias("name"), F.lit("int").alias("type"), F.lit("Local").alias("scope"), F.lit(False).alias("known"))),
+    )
+    rows = rows.select("method_id", "code", F.explode(F.transform(every, own)).alias("v")).select("method_id", "code", "v.*")
+
+    # The tightest bounds. Refusing x == 0 lifts a floor of zero, and that of an unsigned type.
+    zero = F.transform("zeros", lambda m: F.struct(F.lit(0).cast(DECIMAL).alias("value"), F.lit(True).alias("open"), m["ev"].alias("ev")))
+    rows = rows.withColumns({
+        "fractional": is_fractional(F.col("type")), "low": _tightest(_bounds(F.col("singles"), ("<", "<=")), True), "high": _tightest(_bounds(F.col("singles"), (">", ">=")), False),
+        "below": _tightest(_bounds(F.col("comparisons"), (">=", ">")), True), "above": _tightest(_bounds(F.col("comparisons"), ("<=", "<")), False),
+    })
+    lift = _past(_first(zero), 1, F.col("fractional"))
+    lifts = (F.size("zeros") > 0) & (is_unsigned(F.col("type")) | F.coalesce(F.col("low.value") == 0, F.lit(False)))
+    bound = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.value").alias("value"), F.col(f"{c}.open").alias("open"), F.col(f"{c}.ev").alias("ev")))
+    rows = rows.withColumns({
+        "low": F.when(lifts & F.coalesce(lift["value"] > F.col("low.value"), F.lit(True)), lift).otherwise(bound("low")), "high": bound("high"), "below": bound("below"), "above": bound("above"),
+        "first_range": _first(F.filter(F.transform("ranges", lambda m: F.struct(
+            _past(F.struct(m["low"].alias("value"), (m["over"] == "=").alias("open"), m["ev"].alias("ev")), 1, F.col("fractional")).alias("low"),
+            _past(F.struct(m["high"].alias("value"), (m["under"] == "=").alias("open"), m["ev"].alias("ev")), -1, F.col("fractional")).alias("high"))), lambda r: r["low"]["value"] <= r["high"]["value"])),
+        "clamp": _first(F.filter("clamps", lambda m: m["low"] <= m["high"])), "letter": _first(F.col("letters")),
+        "loop": _first(F.filter(F.transform("loops", lambda m: F.struct(m["low"].alias("low"), F.when((m["op"] == "<") & (m["high"] % 1 == 0), m["high"] - 1).otherwise(m["high"]).cast(DECIMAL).alias("high"), ((m["op"] == "<") & (m["high"] % 1 != 0)).alias("open"), m["ev"].alias("ev"))), lambda m: m["low"] <= m["high"])),
+        "from": _first(F.filter("symbols", lambda m: m["op"].startswith("<"))), "to": _first(F.filter("symbols", lambda m: m["op"].startswith(">"))),
+    })
+    rows = rows.withColumns({"low_in": _past(F.col("low"), 1, F.col("fractional")), "high_in": _past(F.col("high"), -1, F.col("fractional"))})
+    low, high = F.col("low"), F.col("high")
+    both = low.isNotNull() & high.isNotNull()
+    single = F.when(both, F.when(~_empty(F.col("low_in"), F.col("high_in")), _between(F.col("low_in"), F.col("high_in")))).when(low.isNotNull(), _lower(low)).when(high.isNotNull(), _upper(high))
+    symbolic = F.when(F.col("from.other") != F.col("to.other"), F.concat(F.lit("between "), F.col("from.other"), F.lit(" and "), F.col("to.other")))
+    compared = F.when(~_empty(F.col("below"), F.col("above")), _between(F.col("below"), F.col("above")))
+    divides = F.when(F.col("divides") & ~F.coalesce(_zero_handled(F.col("code"), F.col("name")), F.lit(False)), F.lit("must not be zero"))
+    loop_text = F.when(F.col("loop").isNotNull(), _between(_closed(F.col("loop.low")), _closed(F.col("loop.high"), F.col("loop.open"))))
+    size, null = _first(F.col("sizes")), _first(F.col("nulls"))
+    members = F.filter(F.transform("members", lambda m: _part("Membership", _member_text(m), m["ev"])), lambda p: p.isNotNull())
+    range_ = F.coalesce(
+        _part("Range", single, F.concat_ws("; ", F.col("low.ev"), F.col("high.ev"))),
+        _part("Range", F.when(F.col("first_range").isNotNull(), _between(F.col("first_range.low"), F.col("first_range.high"))), F.col("first_range.low.ev")),
+        _part("Range", F.when(F.col("clamp").isNotNull(), _between(_closed(F.col("clamp.low")), _closed(F.col("clamp.high")))), F.col("clamp.ev"), "Clamp"),
+        _part("Range", F.concat(F.lit("'"), F.col("letter.low"), F.lit("' to '"), F.col("letter.high"), F.lit("'")), F.col("letter.ev")),
+        _part("Range", symbolic, F.concat_ws("; ", F.col("from.ev"), F.col("to.ev"))),
+        _part("Range", divides, F.concat(F.lit("used as a divisor: / "), F.col("name")), "Guard", "Medium"),
+        _part("Range", compared, F.concat_ws(", ", F.col("below.ev"), F.col("above.ev")), "Comparison", "Medium"),
+        _part("Range", loop_text, F.regexp_replace("loop.ev", r"[; ]+$", ""), "LoopBound", "Medium"),
+    )
+    null_text = F.when(null["empty"] & is_text(F.col("type")), "must not be empty").when(null.isNotNull(), "must not be null")
+    found = F.filter(F.array(_part("Presence", null_text, null["ev"]), _first(members), range_, _part("Size", _size_text(size, F.col("type")), size["ev"])), lambda p: p.isNotNull())
+    by_type = F.filter(F.array(_part("DeclaredType", F.when(F.col("known"), type_text(F.col("type"))), F.concat(F.lit("declared as "), F.col("type")), "DeclaredType", "Low")), lambda p: p.isNotNull())
+    rows = rows.select("method_id", "name", "type", "scope", T.bind(found, lambda p: F.when(F.size(p) > 0, p).otherwise(by_type)).alias("parts")).filter(F.size("parts") > 0)
+    strongest = F.array_min(F.transform("parts", lambda p, i: F.struct(F.array_position(F.array(*map(F.lit, CONFIDENCES)), p["confidence"]).alias("o"), i.alias("i"), p["source"].alias("source"), p["confidence"].alias("confidence"))))
+    rows = rows.withColumn("best", strongest)
+    listed = lambda field: F.transform("parts", lambda p: p[field])
+    return rows.select(
+        "method_id", "name", "type", "scope", F.col("parts")[0]["kind"].alias("kind"), F.array_join(listed("text"), ", ").alias("limit"), F.array_join(F.array_distinct(listed("evidence")), "; ").alias("evidence"),
+        F.col("best.source").alias("source"), F.col("best.confidence").alias("confidence"),
+    )
+
+
+def _zero_handled(code: Column, name: Column) -> Column:
+    """Whether zero is tested and left by return or continue before the statement of the first division by the name."""
+    quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
+    before = _first(F.regexp_extract_all(code, F.concat(F.lit(r"(?sU)^(.*?)[/%]\s*"), quoted, F.lit(r"\b(?!\s*[.\[(])")), F.lit(1)))
+    statements = F.regexp_extract(before, r"(?s)^(.*)[;{}]", 1)
+    test = F.concat(F.lit(r"(?sU)(?:\b"), quoted, F.lit(r"\s*==\s*0\b|\b0\s*==\s*"), quoted, F.lit(r"\b).*\b(?:return|continue)\b"))
+    return F.regexp_like(statements, test)

@@ -1,9 +1,10 @@
 """The inference rules: what a method requires, ensures, changes, risks and depends on.
 
 A rule is an expression over one row of methods that gives an array of
-findings. An analyser concatenates its rules' arrays in order, so all of them
-are evaluated in one pass over the methods, without joins or shuffles; only
-first-wins deduplication sorts, inside the row.
+findings. An analyser concatenates its rules' arrays in order and, where it is
+first-wins distinct, filters them within the row, so any number of analysers
+is evaluated in one pass over the methods, without joins or shuffles. What the
+rules ask of a body is extracted once a row by constant patterns (`prepared`).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import wording
 
 FINDING = "array<struct<kind:string,subject:string,description:string,confidence:string>>"
 
@@ -51,8 +53,8 @@ def _column(name: str) -> Callable[[], Column]:
     return lambda: F.col(name)
 
 
-# Columns are made when a rule is built, as that needs a session.
-body, params, name_, returns = map(_column, ("body", "parsed", "method_name", "return_type"))
+# Columns are made when a rule is built, as that needs a session. facts and guards are those of prepared().
+body, params, name_, returns, facts, guarded_heads = map(_column, ("body", "parsed", "method_name", "return_type", "facts", "blocks.guards"))
 fields, thrown, op_limits, class_dependencies = map(_column, ("fields", "thrown", "op_limits", "class_dependencies"))
 
 
@@ -64,7 +66,7 @@ _IF = r"if\s*\(\s*" + T.IDENT
 
 
 def _guarded(template: str, *conditions: str) -> Callable[[], Column]:
-    return lambda: each(T.guards(body(), *conditions), lambda n: finding(say(template, n), subject=n))
+    return lambda: each(T.guards(guarded_heads(), *conditions), lambda n: finding(say(template, n), subject=n))
 
 
 def _parameters(template: str, keep: Callable[[Column], Column], confidence: str = "Medium") -> Callable[[], Column]:
@@ -78,10 +80,10 @@ def _is_parameter(name: Column) -> Column:
 def _guard_zero() -> Column:
     def one(n: Column) -> Column:
         who = F.when(_is_parameter(n), say("Parameter {}", n)).otherwise(say("Value {}, computed in this method,", n))
-        why = F.when(T.used_as_divisor(body(), n), "; division by zero will throw an exception").otherwise("; the method throws when it is zero")
+        why = F.when(T.used_as_divisor(facts(), n), "; division by zero will throw an exception").otherwise("; the method throws when it is zero")
         return finding(F.concat(who, F.lit(" must not be zero"), why), subject=n)
 
-    return each(T.guards(body(), _IF + r"\s*==\s*0\s*\)"), one)
+    return each(T.guards(guarded_heads(), _IF + r"\s*==\s*0\s*\)"), one)
 
 
 _NULL = "Parameter {} must not be null before calling this method"
@@ -95,12 +97,12 @@ def _throw_if_null() -> Column:
 
 
 def _range_check() -> Column:
-    names = T.guards(body(), *[_IF + rf"\s*{op}\s*[^)]+\)" for op in ("<", ">", "<=", ">=")], _IF + r"\s*<\s*[^|]+\|\|\s*\1\s*>\s*[^)]+\)")
+    names = T.guards(guarded_heads(), *[_IF + rf"\s*{op}\s*[^)]+\)" for op in ("<", ">", "<=", ">=")], _IF + r"\s*<\s*[^|]+\|\|\s*\1\s*>\s*[^)]+\)")
     return each(F.filter(names, _is_parameter), lambda n: finding(say("Parameter {} must be within the valid range accepted by this method", n), subject=n))
 
 
 def _count_check() -> Column:
-    empty = T.guards(body(), _IF + r"\.Count\s*==\s*0\s*\)", _IF + r"\.size\s*\(\s*\)\s*==\s*0\s*\)", _IF + r"\.Length\s*==\s*0\s*\)")
+    empty = T.guards(guarded_heads(), _IF + r"\.Count\s*==\s*0\s*\)", _IF + r"\.size\s*\(\s*\)\s*==\s*0\s*\)", _IF + r"\.Length\s*==\s*0\s*\)")
     return each(F.filter(params(), lambda p: T.is_collection(p["type"]) & F.array_contains(empty, p["name"])), lambda p: finding(say("Parameter {} must contain at least one element before calling this method", p["name"]), subject=p["name"]))
 
 
@@ -118,21 +120,23 @@ PRECONDITIONS = (
         _EMPTY, _IF + r'\s*==\s*""\s*\)', _IF + r"\s*==\s*string\.Empty\s*\)", *[r"if\s*\(\s*string\.IsNullOr" + w + r"\s*\(\s*" + T.IDENT + r"\s*\)\s*\)" for w in ("Empty", "WhiteSpace")], _IF + r"\.empty\s*\(\s*\)\s*\)")),
     Rule("throw-if-null", _throw_if_null),
     Rule("param-type-numeric", _parameters("Parameter {} should be a finite numeric value; NaN and Infinity may produce unexpected results", lambda p: T.is_floating(p["type"])), False),
-    Rule("param-type-string", _parameters("Parameter {} should not be null or empty when passed into this method", lambda p: T.is_string(p["type"]) & ~T.has_null_guard(body(), p["name"]))),
-    Rule("param-type-index", _parameters("Parameter {} must be within valid index bounds for the accessed collection", lambda p: T.is_numeric(p["type"]) & T.used_as_index(body(), p["name"]))),
-    Rule("param-type-collection", _parameters("Parameter {} must not be null and should contain at least one element if iterated", lambda p: T.is_collection(p["type"]) & T.iterated(body(), p["name"]))),
-    Rule("param-sqrt", _parameters("Parameter {} passed to square root should be non-negative; negative values produce NaN", lambda p: T.rooted(body(), p["name"]), "High")),
+    Rule("param-type-string", _parameters("Parameter {} should not be null or empty when passed into this method", lambda p: T.is_string(p["type"]) & ~T.has_null_guard(facts(), body(), p["name"]))),
+    Rule("param-type-index", _parameters("Parameter {} must be within valid index bounds for the accessed collection", lambda p: T.is_numeric(p["type"]) & T.used_as_index(facts(), body(), p["name"]))),
+    Rule("param-type-collection", _parameters("Parameter {} must not be null and should contain at least one element if iterated", lambda p: T.is_collection(p["type"]) & T.iterated(facts(), body(), p["name"]))),
+    Rule("param-sqrt", _parameters("Parameter {} passed to square root should be non-negative; negative values produce NaN", lambda p: T.rooted(facts(), p["name"]), "High")),
     Rule("param-file-io", lambda: when(
         T.has(body(), "File.Read", "File.Write", "File.Open", "StreamReader", "StreamWriter", "ifstream", "ofstream", "fopen("),
         finding("File path parameter must point to an accessible file; throws if file does not exist or access is denied", "Medium"))),
-    Rule("parser-operational-limit", lambda: each(op_limits(), lambda l: finding(l, subject=F.nullif(F.regexp_extract(l, r"Parameter\s+(\w+)\s+", 1), F.lit("")))), False),
+    Rule("parser-operational-limit", lambda: each(
+        F.filter(F.transform(op_limits(), lambda l: wording.limit_sentence(l, params(), facts(), body())), lambda l: l != ""),
+        lambda l: finding(l, subject=F.nullif(F.regexp_extract(l, r"Parameter\s+(\w+)\s+", 1), F.lit("")))), False),
     Rule("guard-range-check", _range_check),
     Rule("param-bool-flag", _parameters("Parameter {} is a boolean flag that controls method behavior", lambda p: F.upper(p["type"]) == "BOOL", "Low"), False),
     Rule("param-enum-type", _typed("Parameter {} must be a valid {} value recognized by this method", lambda p: T.is_class_like(p["type"]) & ~T.is_string(p["type"]), "Medium"), False),
     Rule("guard-string-length", _guarded(
         "Parameter {} must not be empty; minimum length is required", _IF + r"\.Length\s*==\s*0\s*\)", _IF + r"\.Length\s*<\s*\d+\s*\)", _IF + r"\.length\s*\(\s*\)\s*==\s*0\s*\)", _IF + r"\.length\s*\(\s*\)\s*<\s*\d+\s*\)", _IF + r"\.size\s*\(\s*\)\s*==\s*0\s*\)")),
     Rule("guard-count-check", _count_check),
-    Rule("param-object-type", _typed("Parameter {} must be a properly initialized {} instance", lambda p: T.is_class_like(p["type"]) & ~T.has_null_guard(body(), p["name"]), "Low")),
+    Rule("param-object-type", _typed("Parameter {} must be a properly initialized {} instance", lambda p: T.is_class_like(p["type"]) & ~T.has_null_guard(facts(), body(), p["name"]), "Low")),
     Rule("guard-try-pattern", lambda: when(F.trim(body()).rlike(r"(?i)^try\s*\{") & body().rlike(r"(?i)\bcatch\s*\("), finding("This method handles exceptions internally; callers do not need to wrap it in try-catch", "Medium"))),
 )
 
@@ -176,7 +180,7 @@ def _return_type() -> Column:
 
 
 _CONSOLE = lambda: T.has(body(), "Console.", "std::cout", "printf(")
-_WRITES_FIELD = lambda: F.exists(fields(), lambda f: T.written(body(), f["name"]))
+_WRITES_FIELD = lambda: F.exists(fields(), lambda f: T.written(facts(), f["name"]))
 
 POSTCONDITIONS = (
     Rule("post-name-pattern", _name_pattern, False),
@@ -192,27 +196,27 @@ POSTCONDITIONS = (
 )
 
 
-def _changed_fields(template: str, kind: str, *patterns: str) -> Callable[[], Column]:
-    return lambda: each(F.filter(fields(), lambda f: T.uses(body(), f["name"], *patterns)), lambda f: finding(say(template, f["name"]), "High", f["name"], kind))
+def _changed_fields(template: str, kind: str, how: str) -> Callable[[], Column]:
+    return lambda: each(F.filter(fields(), lambda f: F.array_contains(facts()[how], f["name"])), lambda f: finding(say(template, f["name"]), "High", f["name"], kind))
 
 
 STATE_CHANGES = (
-    Rule("field-increment", _changed_fields("Internal field {} is incremented or decremented by this method", "ObjectStateModified", r"\b{}\s*(?:\+\+|--)", r"(?:\+\+|--)\s*{}\b")),
-    Rule("field-assignment", _changed_fields("Internal field {} is assigned a new value by this method", "FieldModified", r"\b{}\s*=(?!=)")),
+    Rule("field-increment", _changed_fields("Internal field {} is incremented or decremented by this method", "ObjectStateModified", "stepped")),
+    Rule("field-assignment", _changed_fields("Internal field {} is assigned a new value by this method", "FieldModified", "assigned")),
     Rule("collection-modify", lambda: when(T.matches(body(), r"\.(?:Add|Remove|Push_back|Pop_back|Insert|Erase)\s*\("), finding("A collection owned or passed into this method is modified", kind="CollectionModified"))),
     Rule("console-output", lambda: when(_CONSOLE(), finding("Writes output to the console during method execution", kind="ConsoleOutput"))),
     Rule("file-write", lambda: when(T.has(body(), "File.Write", "File.Open", "fstream", "ofstream", "fopen("), finding("Performs a file write or open-for-write operation on disk", "Medium", kind="FileWrite"))),
     Rule("database-write", lambda: when(body().rlike(r"(?iU)\b(?:ExecuteNonQuery|SaveChanges|INSERT\s+INTO|UPDATE\s+\w+)\b"), finding("Performs a database write operation that persists changed data", "Medium", kind="DatabaseWrite"))),
     Rule("network-call", lambda: when(T.has(body(), "HttpClient", "WebRequest", "curl_", "socket("), finding("Makes a network call to an external service or remote host", "Medium", kind="NetworkCall"))),
     Rule("async-state", lambda: when(body().contains("await "), finding("Awaits one or more asynchronous operations during execution", "Medium", kind="NetworkCall"))),
-    Rule("exception-swallowed", lambda: when(T.swallows(body()), finding("Catches exceptions internally. come error conditions may be silently handled", "Medium", kind="ObjectStateModified"))),
+    Rule("exception-swallowed", lambda: when(F.col("blocks.swallows"), finding("Catches exceptions internally. come error conditions may be silently handled", "Medium", kind="ObjectStateModified"))),
 )
 
 
 def _divides(p: Column) -> Column:
     n = p["name"]
     guarded = body().contains(F.concat(F.lit("if ("), n)) | body().contains(F.concat(F.lit("if("), n)) | body().contains(F.concat(n, F.lit(" != 0"))) | body().contains(F.concat(n, F.lit(" > 0")))
-    return T.uses(body(), n, r"/\s*{}\b", r"/\s*\(\s*{}\s*\)") & ~guarded
+    return F.array_contains(facts()["plain_divisors"], n) & ~guarded
 
 
 def _dereferences(p: Column) -> Column:
@@ -241,9 +245,10 @@ _MUTATOR = r"\.(?:Add|Remove|Push_back|Insert|Erase)\s*\("
 
 def _recursion() -> Column:
     brace = F.instr(body(), "{")
-    head = F.substring(body(), F.lit(1), brace - 1)
-    inner = F.when((brace > 1) & T.uses(head, name_(), r"\b{}\s*\("), F.substring(body(), brace + 1, F.length(body()))).otherwise(body())
-    return when((brace > 0) & T.uses(inner, name_(), r"\b{}\s*\("), finding("Calls itself recursively.", kind="UsesRecursion"))
+    calls = lambda text: F.array_contains(T.found(text, r"\b" + T.IDENT + r"\s*\("), name_())
+    # What stands before the first brace is the signature, if it names the method.
+    inner = F.when((brace > 1) & calls(F.substring(body(), F.lit(1), brace - 1)), F.substring(body(), brace + 1, F.length(body()))).otherwise(body())
+    return when((brace > 0) & calls(inner), finding("Calls itself recursively.", kind="UsesRecursion"))
 
 
 def _pure() -> Column:
@@ -301,39 +306,65 @@ ANALYZERS: dict[str, tuple[tuple[Rule, ...], Callable[[Column], Column] | None]]
 }
 
 
-def _tagged(found: Column, rule_id: str) -> Column:
-    return F.transform(found, lambda f: F.struct(F.lit(rule_id).alias("rule_id"), f.alias("f")))
+ROW = "array<struct<analyzer:string,rule_id:string,emit_ord:int,f:struct<kind:string,subject:string,description:string,confidence:string>>>"
 
 
-def _scoped(variables: Column, scope: str, blind: str) -> Column:
-    return F.transform(variables, lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"), F.lit(scope).alias("scope"), F.when(has_body(), "High").otherwise(blind).alias("confidence")))
+def register(analyzer: str, rule: Rule, analyzers=None) -> dict:
+    """The analysers with a rule added at the end of one of them, or of a new one."""
+    analyzers = ANALYZERS if analyzers is None else analyzers
+    rules, key = analyzers.get(analyzer, ((), None))
+    return {**analyzers, analyzer: ((*rules, rule), key)}
+
+
+def prepared(methods: DataFrame) -> DataFrame:
+    """methods with parsed (type and name of parameters), facts and blocks of the body."""
+    return methods.withColumns({"parsed": T.parse_parameters(F.col("params")), "facts": T.facts(F.col("body")), "blocks": T.blocks(F.col("body"))})
+
+
+def _tagged(found: Column, rule_id: str) -> Column:
+    return F.transform(found, lambda f: F.struct(F.lit(rule_id).alias("rule_id"), f.alias("f")))
 
 
-def findings(methods: DataFrame, analyzer: str) -> DataFrame:
-    """method_id, rule_id, emit_ord, kind, subject, description, confidence of one analyser, in the order of its rules."""
-    rules, key = ANALYZERS[analyzer]
-    parsed = methods.withColumn("parsed", T.parse_parameters(F.col("params")))
+def _found(analyzer: str, analyzers: dict) -> Column:
+    """The findings of one analyser as an array, in the order of its rules."""
+    rules, key = analyzers[analyzer]
     groups = []
     for rule in rules:
         found = rule.build().cast(FINDING)
         if rule.needs_body:
             found = F.when(has_body(), found).otherwise(F.array().cast(FINDING))
         groups.append(_tagged(found, rule.id))
-    rows = parsed.select("method_id", F.posexplode(F.concat(*groups)).alias("emit_ord", "row"))
-    rows = rows.select("method_id", "row.rule_id", "emit_ord", "row.f.kind", "row.f.subject", "row.f.description", "row.f.confidence")
+    every = F.transform(F.concat(*groups), lambda r, i: F.struct(F.lit(analyzer).alias("analyzer"), r["rule_id"].alias("rule_id"), i.alias("emit_ord"), r["f"].alias("f"))).cast(ROW)
     if key is None:
-        return rows
-    # A method's findings come from one row, so this groups without moving more than its own rows.
-    first = rows.groupBy("method_id", key({c: F.col(c) for c in rows.columns}).alias("key")).agg(F.min(F.struct("emit_ord", "rule_id", "kind", "subject", "description", "confidence")).alias("f"))
-    return first.select("method_id", "f.rule_id", "f.emit_ord", "f.kind", "f.subject", "f.description", "f.confidence")
+        return every
+    # The first finding of a key wins.
+    first = lambda x: F.filter(x["rows"], lambda r, i: F.array_position(x["keys"], F.get(x["keys"], i)) == i + 1)
+    return T.bind(every, lambda rows: T.bind(F.struct(rows.alias("rows"), F.transform(rows, lambda r: key(r["f"])).alias("keys")), first))
+
+
+def analyses(methods: DataFrame, names=None, analyzers=None) -> DataFrame:
+    """method_id, analyzer, rule_id, emit_ord, kind, subject, description, confidence: the analysers (by default all)
+    in one pass over the methods. Methods with one id, or none, are each their own. No methods: no rows."""
+    analyzers = ANALYZERS if analyzers is None else analyzers
+    rows = prepared(methods).select("method_id", F.explode(F.concat(*[_found(a, analyzers) for a in names or analyzers])).alias("r"))
+    return rows.select("method_id", "r.analyzer", "r.rule_id", "r.emit_ord", "r.f.kind", "r.f.subject", "r.f.description", "r.f.confidence")
+
+
+def findings(methods: DataFrame, analyzer: str, analyzers=None) -> DataFrame:
+    """analyses() of one analyser, without its name."""
+    return analyses(methods, [analyzer], analyzers).drop("analyzer")
+
+
+def _scoped(variables: Column, scope: str, blind: str) -> Column:
+    return F.transform(variables, lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"), F.lit(scope).alias("scope"), F.when(has_body(), "High").otherwise(blind).alias("confidence")))
 
 
 def variable_usage(methods: DataFrame) -> DataFrame:
     """method_id, name, type, scope, usage, confidence of parameters, locals, fields and properties."""
-    parsed = methods.withColumn("parsed", T.parse_parameters(F.col("params")))
     scopes = [_scoped(F.col(c), scope, blind) for c, scope, blind in (("parsed", "Parameter", "Low"), ("locals", "Local", "Medium"), ("fields", "Field", "Low"), ("properties", "Property", "Low"))]
-    rows = parsed.select("method_id", "body", F.explode(F.concat(*scopes)).alias("v"))
-    return rows.select("method_id", "v.name", "v.type", "v.scope", T.usage(F.col("body"), F.col("v.name")).alias("usage"), "v.confidence")
+    rows = methods.withColumns({"parsed": T.parse_parameters(F.col("params")), "facts": T.facts(F.col("body"))})
+    every = F.transform(F.concat(*scopes), lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"), v["scope"].alias("scope"), T.usage(facts(), body(), v["name"]).alias("usage"), v["confidence"].alias("confidence")))
+    return rows.select("method_id", F.inline(every))
 
 
 def catalogue(spark) -> DataFrame:

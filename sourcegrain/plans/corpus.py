@@ -25,6 +25,8 @@ class Template:
     locals: tuple[tuple[str, str], ...] = ()
     thrown: tuple[str, ...] = ()
     language: str = "C#"
+    op_limits: tuple[str, ...] = ()
+    class_dependencies: tuple[str, ...] = ()
     #: Analyser -> (rule_id, kind, subject, description, confidence) in order.
     expected: dict[str, tuple[tuple, ...]] = field(default_factory=dict)
     #: (name, type, scope, usage, confidence).
@@ -159,6 +161,128 @@ TEMPLATES = (
         },
         usage=(("node", "Node*", "Parameter", "Read", "High"),),
     ),
+    Template(
+        "Reserve", "void", ("string {v}", "int amount", "List<Order> rows", "int[] grid", "int at"), "{ if ({v} == null) { throw new ArgumentNullException(); } if (amount < 0) { throw new E(); } if (rows.Count == 0) { throw new E(); } grid[at] = {n}; }", thrown=("ArgumentNullException",),
+        expected={
+            "preconditions": (
+                ("guard-null", None, "{v}", "Parameter {v} must not be null before calling this method", "High"),
+                ("guard-lt-zero", None, "amount", "Parameter amount must not be negative; negative values are rejected", "High"),
+                ("param-type-index", None, "at", "Parameter at must be within valid index bounds for the accessed collection", "Medium"),
+                ("guard-range-check", None, "amount", "Parameter amount must be within the valid range accepted by this method", "High"),
+                ("guard-count-check", None, "rows", "Parameter rows must contain at least one element before calling this method", "High"),
+            ),
+            "postconditions": (("post-return-type", None, None, "This method performs an action and returns no value", "High"), _THROWS,),
+            "runtime_risks": (("parser-thrown", "ArgumentNullException", None, "Method may throw ArgumentNullException.", "High"), ("null-dereference", "NullReferenceException", None, "Possible null dereference on 'rows'.", "Low"),),
+            "design_constraints": _PURE,
+            "dependencies": (_call("ArgumentNullException"), _call("E"),),
+        },
+        usage=(("{v}", "string", "Parameter", "Read", "High"), ("amount", "int", "Parameter", "Read", "High"), ("rows", "List<Order>", "Parameter", "Read", "High"), ("grid", "int[]", "Parameter", "Read", "High"), ("at", "int", "Parameter", "Read", "High"),),
+    ),
+    Template(
+        "Sample", "Sample", ("string {v}",), "{ if (string.IsNullOrEmpty({v})) { throw new ArgumentException(); } title = {v}; limit = {n}; }", fields=(("title", "string"), ("limit", "int")),
+        expected={
+            "preconditions": (("guard-empty-string", None, "{v}", "Parameter {v} must not be null or empty before calling this method", "High"), ("param-type-string", None, "{v}", "Parameter {v} should not be null or empty when passed into this method", "Medium"),),
+            "postconditions": (
+                _THROWS,
+                ("post-state-mutation", None, None, "Modifies internal object state; call GetX() methods after this to observe changes", "High"),
+                ("post-constructor", None, None, "Initializes a new instance of the object with the provided parameter values", "High"),
+            ),
+            "state_changes": (("field-assignment", "FieldModified", "title", "Internal field title is assigned a new value by this method", "High"), ("field-assignment", "FieldModified", "limit", "Internal field limit is assigned a new value by this method", "High"),),
+            "design_constraints": (("stateful", "Stateful", None, "Mutates instance or class state.", "High"), _IMPURE,),
+            "dependencies": (
+                _call("IsNullOrEmpty"),
+                _call("ArgumentException"),
+                _space("string"),
+            ),
+        },
+        usage=(("{v}", "string", "Parameter", "Read", "High"), ("title", "string", "Field", "ReadWrite", "High"), ("limit", "int", "Field", "ReadWrite", "High"),),
+    ),
+    Template(
+        "LoadAll", "string", ("string path", "int {v}"), "{ if ({v} <= 0) { throw new E(); } lock (gate) { var f = File.Open(path); File.WriteAllText(path, {n}); } return f.Text; }",
+        expected={
+            "preconditions": (
+                ("guard-lte-zero", None, "{v}", "Parameter {v} must be greater than zero; zero or negative values are rejected", "High"),
+                ("param-type-string", None, "path", "Parameter path should not be null or empty when passed into this method", "Medium"),
+                ("param-file-io", None, None, "File path parameter must point to an accessible file; throws if file does not exist or access is denied", "Medium"),
+                ("guard-range-check", None, "{v}", "Parameter {v} must be within the valid range accepted by this method", "High"),
+            ),
+            "postconditions": (("post-name-pattern", None, None, "Retrieves data from storage; may throw if source is unavailable", "High"), _THROWS,),
+            "state_changes": (("file-write", "FileWrite", None, "Performs a file write or open-for-write operation on disk", "Medium"),),
+            "runtime_risks": (
+                ("file-open", "IOException", None, "File open may fail if the path is missing or inaccessible.", "Medium"),
+                ("file-open", "UnauthorizedAccessException", None, "File open may be denied due to permissions.", "Medium"),
+                ("file-open", "FileNotFoundException", None, "File open may fail when the file does not exist.", "Medium"),
+            ),
+            "design_constraints": (
+                ("uses-files", "UsesFiles", None, "Uses file I/O.", "High"),
+                _STATIC,
+                ("uses-sync", "UsesThreadSynchronization", None, "Uses thread synchronization.", "High"),
+                _IMPURE,
+            ),
+            "dependencies": (
+                _call("E"),
+                _call("lock"),
+                _call("Open"),
+                _call("WriteAllText"),
+                ("external-apis", "ExternalApi", "System.IO.File", "System.IO.File", "High"),
+                _space("File"),
+            ),
+        },
+        usage=(("path", "string", "Parameter", "Read", "High"), ("{v}", "int", "Parameter", "Read", "High"),),
+    ),
+    Template(
+        "Push", "Task", ("Order {v}",), "{ var web = new HttpClient(); web.Send({v}.Id, {n}); db.SaveChanges(); }", class_dependencies=("Order", "Store"),
+        expected={
+            "preconditions": (("param-enum-type", None, "{v}", "Parameter {v} must be a valid Order value recognized by this method", "Medium"), ("param-object-type", None, "{v}", "Parameter {v} must be a properly initialized Order instance", "Low"),),
+            "postconditions": (("post-async", None, None, "Executes asynchronously; the caller must await this method to observe the result", "Medium"),),
+            "state_changes": (("database-write", "DatabaseWrite", None, "Performs a database write operation that persists changed data", "Medium"), ("network-call", "NetworkCall", None, "Makes a network call to an external service or remote host", "Medium"),),
+            "runtime_risks": (("null-dereference", "NullReferenceException", None, "Possible null dereference on '{v}'.", "Low"),),
+            "design_constraints": (
+                ("uses-database", "UsesDatabase", None, "Uses database APIs.", "High"),
+                ("uses-network", "UsesNetwork", None, "Uses network APIs.", "High"),
+                _IMPURE,
+            ),
+            "dependencies": (
+                _call("HttpClient"),
+                _call("Send"),
+                _call("SaveChanges"),
+                ("external-apis", "ExternalApi", "System.Net.Http.HttpClient", "System.Net.Http.HttpClient", "High"),
+                ("class-dependencies", "ReferencedClass", "Order", "Order", "High"),
+                ("class-dependencies", "ReferencedClass", "Store", "Store", "High"),
+                _space("web"),
+                _space("db"),
+            ),
+        },
+        usage=(("{v}", "Order", "Parameter", "Read", "High"),),
+    ),
+    Template(
+        "Guarded", "int", ("string {v}",), "try { return Parse({v}) + {n}; } catch (FormatException e) { throw; }", op_limits=("When {v} == null", "{v}: Must not be zero (used as a divisor)", "{v} >= 5", "!Ready({v}) && open"),
+        expected={
+            "preconditions": (
+                ("param-type-string", None, "{v}", "Parameter {v} should not be null or empty when passed into this method", "Medium"),
+                ("parser-operational-limit", None, None, "{V} must not be null before this method executes", "High"),
+                ("parser-operational-limit", None, None, "{V} must not be zero; used as a divisor in this method", "High"),
+                ("parser-operational-limit", None, None, "{V} must satisfy the required condition described by {v} is less than 5", "High"),
+                ("parser-operational-limit", None, None, "The method rejects input where !Ready({v}) && open", "High"),
+                ("guard-try-pattern", None, None, "This method handles exceptions internally; callers do not need to wrap it in try-catch", "Medium"),
+            ),
+            "postconditions": (("post-return-type", None, None, "Returns a numeric result as int", "High"), _THROWS,),
+            "design_constraints": _PURE,
+            "dependencies": (_call("Parse"),),
+        },
+        usage=(("{v}", "string", "Parameter", "Read", "High"),),
+    ),
+    Template(
+        "Share", "double", ("string name", "int {v}"), "{ if (name.Length < 3) { throw new E(); } return total * {n} / {v}; }",
+        expected={
+            "preconditions": (("param-type-string", None, "name", "Parameter name should not be null or empty when passed into this method", "Medium"), ("guard-string-length", None, "name", "Parameter name must not be empty; minimum length is required", "High"),),
+            "postconditions": (("post-return-type", None, None, "Returns a numeric result as double", "High"), _THROWS,),
+            "runtime_risks": (("divide-by-zero", None, None, "Possible divide-by-zero when '{v}' is zero.", "Medium"), ("null-dereference", "NullReferenceException", None, "Possible null dereference on 'name'.", "Low"),),
+            "design_constraints": _PURE,
+            "dependencies": (_call("E"),),
+        },
+        usage=(("name", "string", "Parameter", "Read", "High"), ("{v}", "int", "Parameter", "Read", "High"),),
+    ),
     Template(
         "GetRate", "decimal", ("DateTime day",), "",
         expected={
@@ -173,18 +297,19 @@ TEMPLATES = (
     ),
 )
 
-#: Templates for limits: (parameters, locals, body with {n} and {n+k}, expected (SQL of the limit over n, name, scope, source)).
+#: Templates for limits: (parameters, locals, body with {n}, {n+k} and {v}, expected (SQL of the limit over n, name, scope, source)).
 LIMIT_TEMPLATES = (
-    (("int size",), (), "{ if (size < 1 || size > {n}) throw new E(); }", (("CASE WHEN n = 1 THEN 'exactly 1' ELSE '1 to ' || n END", "size", "Parameter", "Guard"),)),
+    (("int {v}",), (), "{ if ({v} < 1 || {v} > {n}) throw new E(); }", (("CASE WHEN n = 1 THEN 'exactly 1' ELSE '1 to ' || n END", "{v}", "Parameter", "Guard"),)),
     (("int level",), (), "{ if (level <= 2 || level >= {n+10}) { throw new E(); } }", (("'3 to ' || (n + 9)", "level", "Parameter", "Guard"),)),
     (("double rate",), (), "{ if (rate < 0) throw new E(); if (rate < {n}) throw new E(); }", (("n || ' or greater'", "rate", "Parameter", "Guard"),)),
-    (("int v",), (), "{ v = Math.Clamp(v, 2, {n+5}); }", (("'2 to ' || (n + 5)", "v", "Parameter", "Clamp"),)),
+    (("int {v}",), (), "{ {v} = Math.Clamp({v}, 2, {n+5}); }", (("'2 to ' || (n + 5)", "{v}", "Parameter", "Clamp"),)),
     (("int k",), (), "{ if (k != 3 && k != 5 && k != {n+7}) throw new E(); }", (("'3, 5 or ' || (n + 7)", "k", "Parameter", "Guard"),)),
     (("string s",), (), "{ if (s.Length > {n}) throw new E(); }", (("'at most ' || n || CASE WHEN n = 1 THEN ' character' ELSE ' characters' END", "s", "Parameter", "Guard"),)),
     (("List<int> xs",), (), "{ if (xs.Count == 0) throw new E({n}); }", (("'at least 1 item'", "xs", "Parameter", "Guard"),)),
-    (("Order o",), (), "{ if (o is null) throw new E({n}); }", (("'must not be null'", "o", "Parameter", "Guard"),)),
-    ((), (("i", "int"),), "{ for (int i = 0; i < {n+1}; i++) { Use(i); } }", (("'0 to ' || n", "i", "Local", "LoopBound"),)),
-    (("byte b",), (), "{ Use(b, {n}); }", (("'0 to 255'", "b", "Parameter", "DeclaredType"),)),
+    (("Order {v}",), (), "{ if ({v} is null) throw new E({n}); }", (("'must not be null'", "{v}", "Parameter", "Guard"),)),
+    ((), (("i", "int"),), "{ for (int i = 0; i < {n+1}; i++) { Use(i); } }", (("CASE WHEN n = 0 THEN 'exactly 0' ELSE '0 to ' || n END", "i", "Local", "LoopBound"),)),
+    (("byte b", "short s", "ushort u", "size_t z"), (), "{ Use(b, {n}); }", (
+        ("'0 to 255'", "b", "Parameter", "DeclaredType"), ("'-32,768 to 32,767'", "s", "Parameter", "DeclaredType"), ("'0 to 65,535'", "u", "Parameter", "DeclaredType"), ("'0 or greater'", "z", "Parameter", "DeclaredType"))),
     (("int n",), (), "{ // if (n < 1) throw new E();\n Use(n, {n}); }", (("'any whole number'", "n", "Parameter", "DeclaredType"),)),
     (
         ("int v", "int lo", "int hi"), (), "{ if (v < lo || v > hi) throw new E({n}); }",
@@ -193,6 +318,12 @@ LIMIT_TEMPLATES = (
     (("char c",), (), "{ if (c >= 'b' && c <= 'y') Use(c, {n}); }", (("'''b'' to ''y'''", "c", "Parameter", "Guard"),)),
     (("int a", "int d"), (), "{ return a / d + {n}; }", (("'any whole number'", "a", "Parameter", "DeclaredType"), ("'must not be zero'", "d", "Parameter", "Guard"))),
     (("int a", "int d"), (), "{ if (d == 0) return {n}; return a / d; }", (("'any whole number'", "a", "Parameter", "DeclaredType"), ("'any whole number'", "d", "Parameter", "DeclaredType"))),
+    (("int {v}",), (), "{ if ({v} <= {n}) throw new E(); }", (("'greater than ' || n", "{v}", "Parameter", "Guard"),)),
+    (("int month",), (), "{ if (month >= 1 && month <= {n+1}) Use(month); }", (("CASE WHEN n = 0 THEN 'exactly 1' ELSE '1 to ' || (n + 1) END", "month", "Parameter", "Comparison"),)),
+    (("uint {v}",), (), "{ if ({v} == 0) throw new E(); if ({v} > {n+1}) throw new E(); }", (("CASE WHEN n = 0 THEN 'exactly 1' ELSE '1 to ' || (n + 1) END", "{v}", "Parameter", "Guard"),)),
+    (("string {v}",), (), "{ if ({v} == null) throw new E(); if ({v}.Length > {n+1}) throw new E(); }", (("'must not be null, at most ' || (n + 1) || CASE WHEN n = 0 THEN ' character' ELSE ' characters' END", "{v}", "Parameter", "Guard"),)),
+    (("int level",), (), "{\n if (level < 1 ||\n     level > {n+1})\n {\n  throw new E();\n }\n}", (("CASE WHEN n = 0 THEN 'exactly 1' ELSE '1 to ' || (n + 1) END", "level", "Parameter", "Guard"),)),
+    (("int a", "int b"), (), "{ if (a > 0 && b > {n}) throw new E(); }", (("'any whole number'", "a", "Parameter", "DeclaredType"), ("'any whole number'", "b", "Parameter", "DeclaredType"))),
 )
 
 
@@ -230,35 +361,47 @@ FLOW_TEMPLATES = (
 
 
 def _strings(values) -> F.Column:
-    return F.array(*map(F.lit, values)).cast("array<string>")
+    return F.array(*map(_named, values)).cast("array<string>")
 
 
 def _variables(values) -> F.Column:
-    return F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in values]).cast(VARIABLES)
+    return F.array(*[F.struct(_named(n).alias("name"), F.lit(t).alias("type")) for n, t in values]).cast(VARIABLES)
+
+
+def _named(text: str) -> F.Column:
+    """The text with the row's brand, as an identifier, for {v}."""
+    return F.replace(F.lit(text), F.lit("{v}"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))) if "{v}" in text else F.lit(text)
 
 
 def _numbered(text: str) -> F.Column:
-    out = F.lit(text)
+    out = _named(text)
     for k in (0, 1, 5, 7, 10):
         out = F.replace(out, F.lit("{n+%d}" % k if k else "{n}"), (F.col("p_size") + k).cast("string"))
     return out
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where a small table is read by fewer tasks: few bytes move, and much is computed on each."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _written(part: DataFrame, rows: list[F.Column]) -> DataFrame:
+    part = spread(part.select("p_partkey", "p_size", "p_brand"))
     chosen = F.element_at(F.array(*rows), (F.pmod(F.col("p_partkey"), F.lit(len(rows))) + 1).cast("int"))
     return part.select(F.col("p_partkey").alias("method_id"), chosen.alias("m")).select("method_id", F.lit("Sample").alias("class_name"), "m.*")
 
 
-def _method(name, returns, params, body, fields, locals_, thrown, language) -> F.Column:
+def _method(name, returns, params, body, fields, locals_, thrown, language, op_limits=(), class_dependencies=()) -> F.Column:
     return F.struct(
         F.lit(name).alias("method_name"), F.lit(returns).alias("return_type"), F.lit(language).alias("language"), _strings(params).alias("params"), _numbered(body).alias("body"), _variables(fields).alias("fields"),
-        _variables(locals_).alias("locals"), _variables(()).alias("properties"), _strings(thrown).alias("thrown"), _strings(()).alias("op_limits"), _strings(()).alias("class_dependencies"),
+        _variables(locals_).alias("locals"), _variables(()).alias("properties"), _strings(thrown).alias("thrown"), _strings(op_limits).alias("op_limits"), _strings(class_dependencies).alias("class_dependencies"),
     )
 
 
 def methods(part: DataFrame) -> DataFrame:
     """One method per part, from TEMPLATES."""
-    return _written(part, [_method(t.name, t.returns, t.params, t.body, t.fields, t.locals, t.thrown, t.language) for t in TEMPLATES])
+    return _written(part, [_method(t.name, t.returns, t.params, t.body, t.fields, t.locals, t.thrown, t.language, t.op_limits, t.class_dependencies) for t in TEMPLATES])
 
 
 def limit_methods(part: DataFrame) -> DataFrame:
@@ -289,19 +432,29 @@ def _quoted(value) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
 
+def _own(column: str) -> str:
+    """The column with the row's brand for {v}, and with a capital for {V}."""
+    brand = "replace(p_brand, '#', '')"
+    return f"replace(replace({column}, '{{v}}', lower({brand})), '{{V}}', {brand}) AS {column}"
+
+
 def findings_sql(analyzer: str) -> str:
     rows = [(i, *f) for i, t in enumerate(TEMPLATES) for f in t.expected.get(analyzer, ())]
     values = ", ".join(f"({i}, {', '.join(map(_quoted, f))})" for i, *f in rows)
-    return f"SELECT p_partkey AS method_id, rule_id, kind, subject, description, confidence FROM part JOIN (VALUES {values}) AS v(t, rule_id, kind, subject, description, confidence) ON p_partkey % {len(TEMPLATES)} = t"
+    return f"SELECT p_partkey AS method_id, rule_id, kind, {_own('subject')}, {_own('description')}, confidence FROM part JOIN (VALUES {values}) AS v(t, rule_id, kind, subject, description, confidence) ON p_partkey % {len(TEMPLATES)} = t"
+
+
+def analyses_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{a}' AS analyzer, * FROM ({findings_sql(a)})" for a in ("preconditions", "postconditions", "state_changes", "runtime_risks", "design_constraints", "dependencies"))
 
 
 def usage_sql() -> str:
     rows = [(i, *u) for i, t in enumerate(TEMPLATES) for u in t.usage]
     values = ", ".join(f"({i}, {', '.join(map(_quoted, u))})" for i, *u in rows)
-    return f"SELECT p_partkey AS method_id, name, type, scope, usage, confidence FROM part JOIN (VALUES {values}) AS v(t, name, type, scope, usage, confidence) ON p_partkey % {len(TEMPLATES)} = t"
+    return f"SELECT p_partkey AS method_id, {_own('name')}, type, scope, usage, confidence FROM part JOIN (VALUES {values}) AS v(t, name, type, scope, usage, confidence) ON p_partkey % {len(TEMPLATES)} = t"
 
 
 def limits_sql() -> str:
     rows = [(i, *expected) for i, t in enumerate(LIMIT_TEMPLATES) for expected in t[-1]]
-    one = 'SELECT p_partkey AS method_id, {} AS name, {} AS scope, {} AS "limit", {} AS source FROM (SELECT p_partkey, p_size AS n FROM part) WHERE p_partkey % {} = {}'
+    one = 'SELECT p_partkey AS method_id, replace({}, \'{{v}}\', lower(replace(p_brand, \'#\', \'\'))) AS name, {} AS scope, {} AS "limit", {} AS source FROM (SELECT p_partkey, p_size AS n, p_brand FROM part) WHERE p_partkey % {} = {}'
     return " UNION ALL ".join(one.format(_quoted(name), _quoted(scope), limit, _quoted(source), len(LIMIT_TEMPLATES), i) for i, limit, name, scope, source in rows)

@@ -26,7 +26,12 @@ SQL = {name: corpus.findings_sql(name) for name in rules.ANALYZERS}
 
 
 def variable_limits(spark, sf_dir):
-    return limits.variable_limits(corpus.limit_methods(table(spark, sf_dir, "part")))
+    return limits.variable_limits(corpus.limit_methods(table(spark, sf_dir, "part"))).select("method_id", "name", "scope", "limit", "source")
+
+
+def method_analyses(spark, sf_dir):
+    """All rules of all analysers in one pass."""
+    return rules.analyses(corpus.methods(table(spark, sf_dir, "part"))).select("analyzer", *FINDING)
 
 
 def variable_usage(spark, sf_dir):
@@ -37,7 +42,7 @@ def execution_steps(spark, sf_dir):
     return flow.execution_steps(corpus.flow_methods(table(spark, sf_dir, "part")))
 
 
-QUERIES |= {"execution_steps": execution_steps, "variable_limits": variable_limits, "variable_usage": variable_usage}
-SQL |= {"execution_steps": corpus.flow_sql(), "variable_limits": corpus.limits_sql(), "variable_usage": corpus.usage_sql()}
+QUERIES |= {"method_analyses": method_analyses, "execution_steps": execution_steps, "variable_limits": variable_limits, "variable_usage": variable_usage}
+SQL |= {"method_analyses": corpus.analyses_sql(), "execution_steps": corpus.flow_sql(), "variable_limits": corpus.limits_sql(), "variable_usage": corpus.usage_sql()}
 QUERIES |= tables.QUERIES
 SQL |= tables.SQL

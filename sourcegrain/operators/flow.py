@@ -128,13 +128,121 @@ def _cap(steps: Column, name: Column) -> Column:
     return F.when(F.size(steps) == 0, none).when(F.size(steps) <= LIMIT, steps).otherwise(T.bind(merge(steps), shorten))
 
 
-def execution_steps(methods: DataFrame) -> DataFrame:
-    """method_id, step (from 1), kind, description. methods: method_id, method_name, return_type, body, locals, fields."""
+def ordered(raw: DataFrame) -> DataFrame:
+    """method_id, step (from 1), kind, description of raw steps: merged in the order of places, sorted by phase, capped. raw: method_id, method_name, raw."""
     phase = lambda kind: F.array_position(F.array(*map(F.lit, PHASES)), kind).cast("int")
-    raw = methods.withColumn("facts", T.writes(F.col("body"))).select("method_id", "method_name", raw_steps(F.col("body"), F.col("return_type"), F.col("locals"), F.col("fields"), F.col("facts")).alias("raw"))
     by_place = F.array_sort(F.transform("raw", lambda s, i: F.struct(s["pos"].alias("pos"), i.alias("ord"), s["kind"].alias("kind"), s["text"].alias("text"))))
     merged = T.bind(by_place, lambda a: F.filter(a, lambda s, i: ~F.coalesce(F.get(a, i - 1)["kind"] == s["kind"], F.lit(False))))
     by_phase = F.array_sort(F.transform(merged, lambda s: F.struct(phase(s["kind"]).alias("phase"), s["pos"].alias("pos"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["text"].alias("text"))))
     capped = raw.select("method_id", T.bind(by_phase, lambda a: _cap(a, F.col("method_name"))).alias("steps"))
     rows = capped.select("method_id", F.posexplode("steps").alias("k", "s"))
     return rows.select("method_id", (F.col("k") + 1).alias("step"), F.col("s.kind").alias("kind"), F.col("s.text").alias("description"))
+
+
+def execution_steps(methods: DataFrame) -> DataFrame:
+    """The steps that a method's text shows. methods: method_id, method_name, return_type, body, locals, fields."""
+    rows = methods.withColumn("facts", T.writes(F.col("body")))
+    return ordered(rows.select("method_id", "method_name", raw_steps(F.col("body"), F.col("return_type"), F.col("locals"), F.col("fields"), F.col("facts")).alias("raw")))
+
+
+#: Receivers, and parts of their names, that tell what a C# call is for.
+FILE_TYPES = ("File", "Directory", "Path", "StreamReader", "StreamWriter", "FileStream", "BinaryReader", "BinaryWriter")
+DATABASE_PARTS = ("DbContext", "Repository", "Connection", "Command")
+DATABASE_CALLS = ("SaveChanges", "ExecuteNonQuery", "ExecuteScalar", "ExecuteReader")
+MATH = ("Sqrt", "Pow", "Abs", "Round", "Floor", "Ceiling", "Log", "Sin", "Cos", "Tan", "Exp")
+LOG_CALLS = ("LogInformation", "LogError", "LogWarning", "LogDebug")
+
+
+def classify_call(receiver: Column, name: Column, is_member: Column) -> Column:
+    """kind and text of a C# call, the first that applies; null for a plain call of no known use."""
+    step = lambda kind, text: F.struct(F.lit(kind).alias("kind"), (text if isinstance(text, Column) else F.lit(text)).alias("text"))
+    return (
+        F.when(receiver == "Console", step("ConsoleOutput", "Output information to the console during execution"))
+        .when(receiver.isin(*FILE_TYPES), step("FileOperation", "Perform the required file system operation"))
+        .when(T.has(receiver, *DATABASE_PARTS) | name.isin(*DATABASE_CALLS), step("DatabaseOperation", "Execute the database operation to persist the changes"))
+        .when((receiver == "Math") | name.isin(*MATH), step("Calculation", "Apply the mathematical function to compute the precise result"))
+        .when(F.lower(receiver).contains("log") | name.isin(*LOG_CALLS), step("ExternalCall", "Record the operation details for diagnostic and audit purposes"))
+        .when(name.isin(*PERSIST), step("DatabaseOperation", "Persist the processed data to the storage layer"))
+        .when(name.isin(*DISPATCH), step("Delegation", "Dispatch the result to the target destination"))
+        .when(is_member, step("Delegation", say("Delegate the {} processing to the responsible component", name)))
+    )
+
+
+def csharp_guard(condition: Column) -> Column:
+    """The sentence of a C# guard by its condition."""
+    left = F.coalesce(F.nullif(F.regexp_extract(condition, r"(?U)([A-Za-z_]\w*)\s*(?:==|!=|<=|>=|<|>|is\b)", 1), F.lit("")), F.lit("input"))
+    argument = F.coalesce(F.nullif(F.trim(F.regexp_extract(condition, r"IsNullOr(?:Empty|WhiteSpace)\s*\(([^,)]*)", 1)), F.lit("")), F.lit("input"))
+    return (
+        F.when(condition.rlike(r"^\s*[\w.]*IsNullOr(?:Empty|WhiteSpace)\s*\("), say("Validate that {} is not empty or whitespace", argument))
+        .when(condition.rlike(r"[=!]=\s*null\s*$"), say("Validate that {} is not null before proceeding", left)).when(condition.rlike(r"^[^&|]*(?:==|<=)\s*0(?:\.0*)?\s*$"), say("Verify that {} is non-zero to prevent invalid operations", left))
+        .when(condition.rlike(r"^[^&|]*<\s*0\s*$"), say("Ensure that {} is a positive value as required", left)).otherwise("Validate the input conditions before executing the core logic")
+    )
+
+
+def csharp_loop(kind: Column, collection: Column, nested: Column) -> Column:
+    """The sentence of a loop; nested: whether it stands in another one."""
+    return (
+        F.when(nested, "Traverse the nested structure to process all contained elements").when(kind == "foreach", say("Process each element in {} to produce the result", collection))
+        .when(kind == "for", "Iterate over the index range to process each element sequentially").otherwise("Continue processing until the exit condition is satisfied")
+    )
+
+
+def csharp_steps(body: Column, returns: Column, fields: Column) -> Column:
+    """Steps of a C# body read by constant patterns, in their places: guards that throw, loops, calculations and field
+    updates, calls, exception handling, returns. A loop is nested where the block of an earlier one is still open."""
+    names = F.transform(fields, lambda f: f["name"])
+    guards = located(body, r"\bif\s*+\((" + T.nested("(", ")", 6) + r")\)(?=\s*+\{?\s*+throw\b)", 1)
+    loops = located(body, r"\b(foreach|for|while)\s*\((?:[^()]*?\bin\s+([\w.]+)\s*\))?", 1, 2)
+
+    def inside(x: Column, y: Column) -> Column:
+        between = T.found(F.substring(body, y["pos"] + 1, x["pos"] - y["pos"]), "[{}]", 0)
+        start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("closed"))
+
+        def step(s: Column, t: Column) -> Column:
+            now = s["depth"] + F.when(t == "{", 1).otherwise(-1)
+            return F.struct(now.alias("depth"), (s["closed"] | (now <= 0)).alias("closed"))
+
+        return F.aggregate(between, start, step, lambda s: (s["depth"] > 0) & ~s["closed"])
+
+    assigned = located(body, r"\b([A-Za-z_]\w*)\s*(?:[+\-*/]?=(?![=>])|\+\+|--)\s*([^;]*);", 1, 2)
+    calls = located(body, r"(?:\b([A-Za-z_][\w]*)\s*\.\s*)?\b([A-Za-z_]\w*)\s*\(", 1, 2)
+    tried = F.slice(located(body, r"\btry\s*\{"), 1, 1)
+    returned = F.when(T.is_void(returns), F.array().cast("array<struct<pos:int,g0:string>>")).otherwise(located(body, r"\breturn\b\s*([^;]*);", 1))
+    field_update = lambda a: F.array_contains(names, a["g0"])
+    computed = lambda a: a["g1"].rlike(r"[-+*/%]|\w\s*\(")
+    known = F.filter(F.transform(F.filter(calls, lambda c: ~c["g1"].isin("if", "for", "foreach", "while", "switch", "catch", "return", "new", "lock", "using", "throw")), lambda c: F.struct(c["pos"].alias("pos"), classify_call(F.when(c["g0"] != "", c["g0"]).otherwise(c["g1"]), c["g1"], c["g0"] != "").alias("s"))), lambda c: c["s"].isNotNull())
+    return F.concat(
+        _steps(guards, lambda g: ("Validation", csharp_guard(g["g0"]))),
+        _steps(loops, lambda x: ("LoopProcessing", csharp_loop(x["g0"], x["g1"], F.exists(loops, lambda y: (y["pos"] < x["pos"]) & inside(x, y))))),
+        _steps(F.filter(assigned, lambda a: field_update(a) | computed(a)), lambda a: (F.when(field_update(a), "StateUpdate").otherwise("Calculation"), F.when(field_update(a), say("Update the {} field to reflect this operation", a["g0"])).otherwise(say("Calculate the result and store it in {}", a["g0"])))),
+        _steps(known, lambda c: (c["s"]["kind"], c["s"]["text"])),
+        _steps(tried, lambda _: ("ExceptionHandling", F.when(T.blocks(body)["swallows"], "Handle potential exceptions internally to ensure graceful recovery").otherwise("Catch and re-throw exceptions after performing any necessary cleanup"))),
+        _steps(returned, lambda r: ("ReturnResult", _returned(returns, r["g0"]))),
+    )
+
+
+def fallback_steps(returns: Column, thrown: Column, op_limits: Column, locals_: Column, fields: Column, writes: Column) -> Column:
+    """Steps of a method without a readable body, from what else is known of it."""
+    mentions = lambda *words: F.exists(op_limits, lambda l: T.has(F.lower(l), *words))
+    local = F.get(F.filter(locals_, lambda v: F.trim(v["initial_value"]) != ""), F.lit(0))["name"]
+    field = F.get(fields, F.lit(0))["name"]
+    step = lambda pos, kind, holds, text: F.when(holds, F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("kind"), (text if isinstance(text, Column) else F.lit(text)).alias("text")))
+    steps = F.array(
+        step(0, "Validation", F.size(thrown) > 0, say("Validate the input preconditions; throws {} if violated", F.get(thrown, F.lit(0)))),
+        step(1, "Validation", mentions("null"), "Validate that all reference inputs are non-null before proceeding"), step(2, "Validation", mentions("zero", "division"), "Verify the divisor is non-zero to prevent arithmetic exceptions"),
+        step(3, "Validation", mentions("bounds", "index"), "Validate the index is within the bounds of the target collection"), step(4, "Initialization", local.isNotNull(), say("Initialize {} for use in the processing logic", local)),
+        step(5, "StateUpdate", F.coalesce(T.written(writes, field), F.lit(False)), say("Update the {} field to reflect this operation", field)), step(6, "ReturnResult", ~T.is_void(returns), _returned(returns, F.lit(""))),
+    )
+    return F.filter(steps, lambda s: s.isNotNull()).cast(STEPS)
+
+
+def dispatched_steps(methods: DataFrame) -> DataFrame:
+    """execution_steps() by language: C# bodies by csharp_steps(), others by their text, and methods without steps by
+    what else is known. methods: method_id, method_name, return_type, language, body, locals, fields, thrown, op_limits."""
+    body = F.coalesce(F.trim("body"), F.lit(""))
+    rows = methods.withColumns({"body": body, "facts": T.writes(body)})
+    text = raw_steps(F.col("body"), F.col("return_type"), F.col("locals"), F.col("fields"), F.col("facts"))
+    read = F.when(F.col("body") == "", F.array().cast(STEPS)).when(F.col("language") == "C#", csharp_steps(F.col("body"), F.col("return_type"), F.col("fields"))).otherwise(text)
+    rows = rows.withColumn("read", read)
+    other = fallback_steps(F.col("return_type"), F.col("thrown"), F.col("op_limits"), F.col("locals"), F.col("fields"), F.col("facts"))
+    return ordered(rows.select("method_id", "method_name", F.when(F.size("read") > 0, F.col("read")).otherwise(other).alias("raw")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.declarations import first_of_each
+
 
 def json_rows(findings: DataFrame) -> DataFrame:
     """method_id, json: a method's findings as one object. findings: method_id, ord, rule_id, description."""
@@ -41,3 +43,91 @@ def top_names(rows: DataFrame, group: list[str], name: str, limit: int) -> DataF
     first = ranked.groupBy(*group).agg(F.array_sort(F.collect_list(name)).alias("_names"), F.first("_all").alias("_all"))
     more = F.when(F.col("_all") > limit, F.concat(F.lit(" and "), (F.col("_all") - limit).cast("string"), F.lit(" more"))).otherwise("")
     return first.select(*group, F.concat(F.array_join("_names", ", "), more).alias("names"))
+
+
+def bullet_lines(text: Column) -> Column:
+    """The lines of a text without marks before them; blank lines go, a bracketed message has none."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"[\t\r]", " ")), r"^[-•* ]+", ""))
+    return F.filter(lines, lambda x: (x != "") & ~text.startswith("["))
+
+
+def mandatory_section(heading: str, lines: Column, placeholder: str) -> Column:
+    """A heading and bullets, those that differ in case only once; the placeholder where there are none."""
+    once = first_of_each(lines, F.upper)
+    return F.concat(F.array(F.lit(heading)), F.when(F.size(once) > 0, F.transform(once, lambda x: F.concat(F.lit("• "), x))).otherwise(F.array(F.lit(placeholder))))
+
+
+def structural_json(project: DataFrame, namespaces: DataFrame, links: DataFrame) -> DataFrame:
+    """part, ord, json: a project as JSON lines, so that no row holds all of it: its header with the metrics, a line a
+    namespace, a line a relationship.
+
+    project: projectName, rootPath, filesAnalyzed, filesFailed, metrics (struct). namespaces: namespace, ord, classes.
+    links: ord, source, kind, target, file.
+    """
+    head = project.select(F.lit("project").alias("part"), F.lit(0).cast("long").alias("ord"), F.to_json(F.struct("projectName", "rootPath", "filesAnalyzed", "filesFailed", "metrics")).alias("json"))
+    spaces = namespaces.select(F.lit("namespace").alias("part"), F.col("ord").cast("long").alias("ord"), F.to_json(F.struct(F.col("namespace").alias("name"), "classes")).alias("json"))
+    related = links.select(F.lit("relationship").alias("part"), F.col("ord").cast("long").alias("ord"), F.to_json(F.struct(F.col("source").alias("sourceId"), F.col("target").alias("targetId"), "kind", F.col("file").alias("sourceFile"))).alias("json"))
+    return head.unionByName(spaces).unionByName(related)
+
+
+def full_json(methods: DataFrame, findings: DataFrame, steps: DataFrame, limits: DataFrame) -> DataFrame:
+    """method_id, json: all that was found of a method. methods: method_id, class_name, method_name, path. findings:
+    method_id, analyzer, emit_ord, description. steps: method_id, step, description. limits: as limits.variable_limits gives them."""
+    lists = [F.array_sort(F.collect_list(F.when(F.col("analyzer") == a, F.struct("emit_ord", "description")))).alias(name) for a, name in JSON_LISTS]
+    found = findings.groupBy("method_id").agg(*lists).select("method_id", *[F.transform(name, lambda x: x["description"]).alias(name) for _, name in JSON_LISTS])
+    done = steps.groupBy("method_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "description"))), lambda x: F.struct(x["step"].alias("stepNumber"), x["description"].alias("description"))).alias("executionSteps"))
+    scope = F.array_position(F.array(*map(F.lit, ("Parameter", "Local", "Field"))), F.col("scope"))
+    one = F.struct(scope.alias("o"), "name", "type", "scope", F.col("limit").alias("allowedValues"), F.col("evidence").alias("readFrom"), "source", "confidence")
+    allowed = limits.groupBy("method_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("o")).alias("variableLimits"))
+    rows = methods.join(found, "method_id", "left").join(done, "method_id", "left").join(allowed, "method_id", "left")
+    order = ("preconditions", "postconditions", "stateChanges", "executionSteps", "designConstraints", "runtimeRisks")
+    return rows.select("method_id", F.to_json(F.struct(F.col("class_name").alias("className"), F.col("method_name").alias("methodName"), F.col("path").alias("filePath"), *order, "variableLimits")).alias("json"))
+
+
+#: Analysers and the names of their lists in JSON; headings of a method's sections.
+JSON_LISTS = (("preconditions", "preconditions"), ("postconditions", "postconditions"), ("state_changes", "stateChanges"), ("design_constraints", "designConstraints"), ("runtime_risks", "runtimeRisks"))
+NONE_FOUND = "- _(none detected)_"
+
+
+def structural_markdown(project: DataFrame, namespaces: DataFrame, types: DataFrame, methods: DataFrame, properties: DataFrame, links: DataFrame) -> DataFrame:
+    """section, ord, k, line: a project as Markdown, in the order of section, ord, k.
+
+    project: projectName, filesAnalyzed, classes, methods, properties. namespaces: namespace, ord, classes. types: ord,
+    full_name, kind, access, bases, interfaces, file. methods: type_ord, ord, name, returns, params. properties:
+    type_ord, ord, name, type. links: ord, source, kind, target.
+    """
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    s = lambda c: F.col(c).cast("string")
+
+    def rows(df: DataFrame, section: int, lines: Column, ord_: Column | None = None, k: int | Column = 0) -> DataFrame:
+        keyed = df.select(F.lit(section).alias("section"), (F.lit(0) if ord_ is None else ord_).cast("long").alias("ord"), (F.lit(k) if isinstance(k, int) else k).cast("long").alias("k0"), F.posexplode(lines).alias("i", "line"))
+        return keyed.filter("line is not null").select("section", "ord", (F.col("k0") * 1_000_000 + F.col("i")).alias("k"), "line")
+
+    table_row = lambda *cells: text("| ", *[x for c in cells for x in (c, " | ")][:-1], " |")
+    head = F.array(text("# Project: ", F.col("projectName")), F.lit(""), F.lit("## Overview"), F.lit(""), F.lit("| Metric | Value |"), F.lit("|--------|-------|"), *[table_row(n, s(c)) for n, c in (("Files", "filesAnalyzed"), ("Classes", "classes"), ("Methods", "methods"), ("Properties", "properties"))], F.lit(""), F.lit("## Namespaces"), F.lit(""))
+    spaces = F.concat(F.array(text("### ", F.col("namespace")), F.lit("")), F.when(F.size("classes") > 0, F.concat(F.array(F.lit("**Classes:**")), F.transform("classes", lambda c: F.concat(F.lit("- `"), c, F.lit("`"))), F.array(F.lit("")))).otherwise(F.array().cast("array<string>")))
+    some = lambda lead, c: F.when(F.size(c) > 0, text(lead, F.array_join(c, ", ")))
+    class_head = F.array(text("### ", F.col("full_name")), F.lit(""), text("- **Kind:** ", F.col("kind")), text("- **Access:** ", F.col("access")), some("- **Base types:** ", "bases"), some("- **Interfaces:** ", "interfaces"), text("- **File:** `", F.col("file"), "`"), F.lit(""))
+    has = lambda df: df.select(F.col("type_ord").alias("ord")).distinct()
+    of_type = lambda df, section_k, lines: rows(df, 2, lines, F.col("type_ord"), F.lit(section_k) + F.col("ord"))
+    parts = [
+        rows(project, 0, head), rows(namespaces, 1, spaces, F.col("ord")), rows(project, 2, F.array(F.lit("## Classes"), F.lit("")), F.lit(-1)), rows(types, 2, class_head, F.col("ord")),
+        rows(has(methods), 2, F.array(F.lit("#### Methods"), F.lit(""), F.lit("| Name | Return | Params |"), F.lit("|------|--------|--------|")), F.col("ord"), 1),
+        of_type(methods, 1_000, F.array(table_row(text("`", F.col("name"), "`"), text("`", F.col("returns"), "`"), F.array_join("params", ", ")))), rows(has(methods), 2, F.array(F.lit("")), F.col("ord"), 1_000_000_000),
+        rows(has(properties), 2, F.array(F.lit("#### Properties"), F.lit("")), F.col("ord"), 2_000_000_000), of_type(properties, 2_000_000_001, F.array(text("- `", F.col("type"), " ", F.col("name"), "`"))),
+        rows(has(properties), 2, F.array(F.lit("")), F.col("ord"), 4_000_000_000),
+    ]
+    heads = F.array(F.lit("## Relationships"), F.lit(""), F.lit("| Source | Kind | Target |"), F.lit("|--------|------|--------|"))
+    parts += [rows(links.limit(1), 3, heads, F.lit(-1)), rows(links, 3, F.array(table_row(F.col("source"), F.col("kind"), F.col("target"))), F.col("ord"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def write_lines(lines: DataFrame, order: list[str], column: str, path: str) -> None:
+    """Write a report as text files whose names are in its order; the folder is complete or, by the commit protocol, absent."""
+    lines.orderBy(*order).select(column).write.mode("overwrite").text(path)
+
+
+EXPORTS = {"markdown": structural_markdown, "json": structural_json, "json-full": full_json, "markdown-full": markdown_lines}

@@ -39,3 +39,51 @@ def changed(current: DataFrame, parsed: DataFrame) -> DataFrame:
 def still_there(parsed: DataFrame, current: DataFrame) -> DataFrame:
     """Rows of parsed whose file still exists."""
     return parsed.join(current.select("path"), "path", "left_semi")
+
+
+def read(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """path, mtime, language, text, error of a table of paths: "File path is empty." or "File not found: ..." where there is nothing to read.
+
+    Files are read by their folders, so the paths are joined to what is there.
+    """
+    asked = paths.select(F.coalesce(F.trim("path"), F.lit("")).alias("path"))
+    folders = [r.folder for r in asked.filter("path <> ''").select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder")).distinct().limit(MOST_FOLDERS + 1).collect()]
+    if len(folders) > MOST_FOLDERS:
+        raise ValueError(f"more than {MOST_FOLDERS} folders: scan their root instead")
+    there = [f for f in folders if _exists(spark, f)]
+    found = None
+    for folder in there:
+        one = spark.read.format("binaryFile").load(folder)
+        found = one if found is None else found.unionByName(one)
+    empty = F.when(F.col("path") == "", "File path is empty.")
+    if found is None:
+        return asked.select("path", F.lit(None).cast("timestamp").alias("mtime"), language(F.col("path")).alias("language"), F.lit(None).cast("string").alias("text"), F.coalesce(empty, F.concat(F.lit("File not found: "), "path")).alias("error"))
+    plain = F.regexp_replace("path", "^file:/*", "/")
+    texts = found.select(plain.alias("path"), F.col("modificationTime").alias("mtime"), F.regexp_replace(F.col("content").cast("string"), "^﻿", "").alias("text"))
+    rows = asked.join(texts, "path", "left")
+    return rows.select("path", "mtime", language(F.col("path")).alias("language"), "text", F.coalesce(empty, F.when(F.col("mtime").isNull(), F.concat(F.lit("File not found: "), "path"))).alias("error"))
+
+
+#: Folders that read() lists, at most; their names come to the driver.
+MOST_FOLDERS = 10_000
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
+def load_cache(spark: SparkSession, path: str, version: int, model: str) -> DataFrame:
+    """key, value, created of a saved cache (JSON lines: version, model, key, value, created). What is broken, blank, or of another
+    version or model is left out; without a file there are no rows."""
+    schema = "version int, model string, key string, value string, created long"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "key string, value string, created long")
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    kept = (F.col("version") == version) & (F.upper("model") == model.upper()) & (F.coalesce("key", F.lit("")) != "") & (F.coalesce("value", F.lit("")) != "")
+    return rows.filter(kept).select("key", "value", "created")
+
+
+def save_cache(entries: DataFrame, path: str, version: int, model: str) -> None:
+    """Write key, value, created as load_cache() reads them."""
+    entries.select(F.lit(version).alias("version"), F.lit(model).alias("model"), "key", "value", "created").write.mode("overwrite").json(path)

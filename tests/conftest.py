@@ -14,7 +14,7 @@ def spark():
     top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"{top}/shared").config("spark.sql.warehouse.dir", f"{top}/warehouse").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"{top}/shared").config("spark.sql.warehouse.dir", f"{top}/warehouse").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

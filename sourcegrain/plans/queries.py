@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import flow, limits, rules
-from . import corpus, tables
+from . import corpus, entities, tables
 
 FINDING = ["method_id", "rule_id", "kind", "subject", "description", "confidence"]
 
@@ -46,3 +46,5 @@ QUERIES |= {"method_analyses": method_analyses, "execution_steps": execution_ste
 SQL |= {"method_analyses": corpus.analyses_sql(), "execution_steps": corpus.flow_sql(), "variable_limits": corpus.limits_sql(), "variable_usage": corpus.usage_sql()}
 QUERIES |= tables.QUERIES
 SQL |= tables.SQL
+QUERIES |= entities.QUERIES
+SQL |= entities.SQL

@@ -24,6 +24,8 @@ from .grams import buffers, gram_hashes, word_hashes
 WINDOW, GRAM = 13, 5
 #: Bytes of a word's hash that a shard sees.
 WORD_BYTES = 5
+#: Different pieces that a task compares before it hands them on.
+HELD = 100_000
 #: Runs that one index holds.
 INDEX_RUNS = 4_000
 
@@ -171,6 +173,8 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     asked = anchors.with_candidates(rows, texts.filter(~F.col("copy")), candidates)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of equal pieces, a task hands on that of the smallest document, and settles the others.
+        best: dict[tuple, tuple] = {}
         for batch in batches:
             for part in small_batches(iter([batch]), "text", anchors.BATCH_BYTES):
                 data, offsets = buffers(part.column("text"))
@@ -181,7 +185,6 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
                 cuts = np.searchsorted(runs.text, np.arange(part.num_rows + 1))
                 wanted = np.concatenate([np.isin(runs.key[cuts[i] : cuts[i + 1]], lists[i].values.to_numpy()) for i in range(part.num_rows)] or [np.zeros(0, bool)])
                 is_hot = np.isin(runs.key, hot)
-                best: dict[tuple, tuple] = {}
                 out = []
                 for i in np.flatnonzero(wanted).tolist():
                     t = int(runs.text[i])
@@ -201,7 +204,11 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
                                 best[shard, raw] = row
                             elif old[2:4] != row[2:4]:
                                 best[shard, raw, row[2], row[3]] = row
-                yield _pieces(joined(out) + list(best.values()))
+                yield _pieces(joined(out))
+                if len(best) >= HELD:
+                    yield _pieces(list(best.values()))
+                    best = {}
+        yield _pieces(list(best.values()))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, waiting, n_waiting = None, [], [], 0

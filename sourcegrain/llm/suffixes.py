@@ -25,6 +25,8 @@ from .common import cut, mix64, small_batches, tidy
 from .grams import buffers, powers, prefix_hashes
 
 WINDOW, GRAM = 400, 48
+#: Bytes of different pieces that a task compares before it hands them on.
+HELD_BYTES = 32 << 20
 #: Runs that are sorted together; a group of runs is never divided.
 SORT_RUNS = 2_000
 
@@ -179,7 +181,14 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     texts = cut(texts.select("name", "rid", "th", "n_units", (F.col("times") > 1).alias("copy"), (F.struct("rid", "th") == F.col("lowest")).alias("stands")), "texts")
     asked = anchors.with_candidates(rows, texts.filter("stands"), candidates)
 
+    def pieces(out: list) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[]] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of equal pieces, a task hands on the first, and settles all of them.
+        first: dict[tuple, list] = {}
+        held = 0
         for batch in batches:
             for part in small_batches(iter([batch]), "text", anchors.BATCH_BYTES):
                 data, offsets = buffers(part.column("text"))
@@ -189,7 +198,6 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
                 cuts = np.searchsorted(runs.text, np.arange(part.num_rows + 1))
                 wanted = np.concatenate([np.isin(runs.key[cuts[i] : cuts[i + 1]], lists[i].values.to_numpy()) for i in range(part.num_rows)] or [np.zeros(0, bool)])
                 is_hot = np.isin(runs.key, hot)
-                first: dict[tuple, list] = {}
                 settled = []
                 for i in np.flatnonzero(wanted).tolist():
                     t, a, z = int(runs.text[i]), int(runs.first[i]), int(runs.last[i])
@@ -201,14 +209,17 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
                         key = int.from_bytes(raw[:8], "little", signed=True) if is_hot[i] else int(runs.key[i])
                         row = [key, rids[t], ths[t], s - int(offsets[t]), many, place, raw, False]
                         old = first.setdefault((key, raw), row)
+                        held += len(raw) if old is row else 0
                         if old is not row:
                             settled.append(row[1:5])
                             if not old[7]:
                                 old[7] = True
                                 settled.append(old[1:5])
-                out = [[None, *x, None, None, None] for x in merged(settled)] + list(first.values())
-                columns = list(zip(*out, strict=True)) or [[]] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
+                yield pieces([[None, *x, None, None, None] for x in merged(settled)])
+                if held >= HELD_BYTES:
+                    yield pieces(list(first.values()))
+                    first, held = {}, 0
+        yield pieces(list(first.values()))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}

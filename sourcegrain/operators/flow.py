@@ -134,8 +134,8 @@ def ordered(raw: DataFrame) -> DataFrame:
     by_place = F.array_sort(F.transform("raw", lambda s, i: F.struct(s["pos"].alias("pos"), i.alias("ord"), s["kind"].alias("kind"), s["text"].alias("text"))))
     merged = T.bind(by_place, lambda a: F.filter(a, lambda s, i: ~F.coalesce(F.get(a, i - 1)["kind"] == s["kind"], F.lit(False))))
     by_phase = F.array_sort(F.transform(merged, lambda s: F.struct(phase(s["kind"]).alias("phase"), s["pos"].alias("pos"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["text"].alias("text"))))
-    capped = raw.select("method_id", T.bind(by_phase, lambda a: _cap(a, F.col("method_name"))).alias("steps"))
-    rows = capped.select("method_id", F.posexplode("steps").alias("k", "s"))
+    # The array is exploded where it is made: of a column a filter on its size would be inferred, pushed down and compute it twice.
+    rows = raw.select("method_id", F.posexplode(T.bind(by_phase, lambda a: _cap(a, F.col("method_name")))).alias("k", "s"))
     return rows.select("method_id", (F.col("k") + 1).alias("step"), F.col("s.kind").alias("kind"), F.col("s.text").alias("description"))
 
 

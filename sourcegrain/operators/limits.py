@@ -335,7 +335,9 @@ def variable_limits(methods: DataFrame) -> DataFrame:
     null_text = F.when(null["empty"] & is_text(F.col("type")), "must not be empty").when(null.isNotNull(), "must not be null")
     found = F.filter(F.array(_part("Presence", null_text, null["ev"]), _first(members), range_, _part("Size", _size_text(size, F.col("type")), size["ev"])), lambda p: p.isNotNull())
     by_type = F.filter(F.array(_part("DeclaredType", F.when(F.col("known"), type_text(F.col("type"))), F.concat(F.lit("declared as "), F.col("type")), "DeclaredType", "Low")), lambda p: p.isNotNull())
-    rows = rows.select("method_id", "name", "type", "scope", T.bind(found, lambda p: F.when(F.size(p) > 0, p).otherwise(by_type)).alias("parts")).filter(F.size("parts") > 0)
+    parts = T.bind(found, lambda p: F.when(F.size(p) > 0, p).otherwise(by_type))
+    # A variable without parts goes by exploding none: a filter on them would be pushed down and compute all of them twice.
+    rows = rows.select("method_id", "name", "type", "scope", F.explode(F.filter(F.array(parts), lambda p: F.size(p) > 0)).alias("parts"))
     strongest = F.array_min(F.transform("parts", lambda p, i: F.struct(F.array_position(F.array(*map(F.lit, CONFIDENCES)), p["confidence"]).alias("o"), i.alias("i"), p["source"].alias("source"), p["confidence"].alias("confidence"))))
     rows = rows.withColumn("best", strongest)
     listed = lambda field: F.transform("parts", lambda p: p[field])

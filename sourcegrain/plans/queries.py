@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import flow, limits, rules
-from . import corpus, entities, tables
+from . import corpus, declared, entities, tables
 
 FINDING = ["method_id", "rule_id", "kind", "subject", "description", "confidence"]
 
@@ -48,3 +48,5 @@ QUERIES |= tables.QUERIES
 SQL |= tables.SQL
 QUERIES |= entities.QUERIES
 SQL |= entities.SQL
+QUERIES |= declared.QUERIES
+SQL |= declared.SQL

@@ -130,8 +130,8 @@ def lookup_methods(asked: DataFrame, index: DataFrame) -> DataFrame:
     keys = index.select("key", "method", "place")
     direct = named.join(keys.select(F.col("key").alias("own"), F.col("method").alias("by_own")), "own", "left").join(keys.select(F.col("key").alias("bare"), F.col("method").alias("by_bare")), "bare", "left")
     # Ends of keys by length: the lengths asked for are numbers, so few however many names are asked.
-    lengths = F.broadcast(named.agg(F.array_sort(F.collect_set(F.length("own"))).alias("lengths")))
-    ends = keys.crossJoin(lengths).select("method", "place", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("key")), lambda n: F.substring(F.col("key"), F.length("key") - n + 1, n))).alias("own"))
+    lengths = named.agg(F.array_sort(F.collect_set(F.length("own"))).alias("lengths")).scalar()
+    ends = keys.withColumn("lengths", lengths).select("method", "place", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("key")), lambda n: F.substring(F.col("key"), F.length("key") - n + 1, n))).alias("own"))
     first = ends.join(named.select("own").distinct(), "own", "left_semi").groupBy("own").agg(F.min_by("method", "place").alias("by_end"))
     return direct.join(first, "own", "left").select(*asked.columns, F.coalesce("by_own", "by_bare", "by_end").alias("method"))
 

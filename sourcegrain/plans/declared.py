@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import declarations as D
-from ..operators import flow, prompts, rules, structure
+from ..operators import flow, prompts, reports, rules, structure
 from . import corpus
 
 QUERIES, SQL = {}, {}
@@ -192,3 +192,81 @@ def fallback_steps(spark, sf_dir):
         variables(("{a}", "int")).alias("fields"), pick(2, many("{w}Error"), none).alias("thrown"), pick(3, many("{v} must not be NULL"), many("{v} is zero"), many("{v} is used as an index")).alias("op_limits"),
     )
     return flow.dispatched_steps(rows)
+
+
+@query("""
+SELECT p_partkey AS method_id, 1 AS step, 'Validation' AS kind, CASE n % 4 WHEN 0 THEN 'Validate that ' || v || ' is not null before proceeding' ELSE 'Verify that ' || v || ' is non-zero to prevent invalid operations' END AS description FROM p WHERE n % 4 < 2
+UNION ALL SELECT p_partkey, 2, 'LoopProcessing', CASE n % 4 WHEN 0 THEN 'Process each element in ' || a || ' to produce the result' ELSE 'Iterate over the index range to process each element sequentially' END FROM p WHERE n % 4 < 2
+UNION ALL SELECT p_partkey, 1, 'StateUpdate', 'Update the ' || v || ' field to reflect this operation' FROM p WHERE n % 4 = 2 UNION ALL SELECT p_partkey, 2, 'ConsoleOutput', 'Output information to the console during execution' FROM p WHERE n % 4 = 2
+UNION ALL SELECT p_partkey, 1, 'FileOperation', 'Perform the required file system operation' FROM p WHERE n % 4 = 3 UNION ALL SELECT p_partkey, 2, 'DatabaseOperation', 'Persist the processed data to the storage layer' FROM p WHERE n % 4 = 3
+UNION ALL SELECT p_partkey, 3, 'ExceptionHandling', 'Catch and re-throw exceptions after performing any necessary cleanup' FROM p WHERE n % 4 = 3""")
+def csharp_steps(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    body = pick(
+        4, say("{ if ({v} == null) throw new E(); foreach (var o in {a}) { Use(o); } }"), say("{ if ({v} <= 0) { throw new E(); } for (int i = 0; i < {n}; i++) { while (true) { } } }"),
+        say("{ {v} = {n}; Console.WriteLine({v}); }"), say('{ try { db.Save(); } catch (E) { throw; } File.Delete("{a}"); }'),
+    )
+    rows = parts(spark, sf_dir).select(
+        F.col("p_partkey").alias("method_id"), F.col("w").alias("method_name"), F.lit("void").alias("return_type"), F.lit("C#").alias("language"), body.alias("body"), variables().alias("locals"), variables(("{v}", "int")).alias("fields"),
+        none.alias("thrown"), none.alias("op_limits"),
+    )
+    return flow.dispatched_steps(rows)
+
+
+@query("""
+SELECT p_partkey, '<|im_start|>system' || chr(10) || a || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || CASE n % 3 WHEN 0 THEN 'This is a C# method.' WHEN 1 THEN 'This is a C++ method. Never mention null checks for primitive types (int, double, float, bool, char). Focus on value ranges, mathematical constraints, and state changes.' ELSE '' END || b || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt,
+  CASE WHEN n * 100 > 1024 THEN substr(repeat(p_name, 50), 1, greatest(64, CAST(floor(len(repeat(p_name, 50)) * 1024 / (n * 100)) AS INTEGER))) ELSE repeat(p_name, 50) END AS fitted, substr(p_name, 1, 8) AS snippet, 'kept ' || w AS cleaned FROM p""")
+def prompt_texts(spark, sf_dir):
+    note = prompts.language_note(pick(3, say("src/{w}.CS"), say("src/{w}.hpp"), say("src/{w}.py")))
+    return parts(spark, sf_dir).select(
+        "p_partkey", prompts.chat_prompt("chatml", F.col("a"), F.concat(note, F.col("b"))).alias("prompt"), prompts.within_budget(F.repeat("p_name", F.lit(50)), F.col("n") * 100).alias("fitted"),
+        prompts.snippet(F.concat(F.lit("  "), F.col("p_name")), 8).alias("snippet"), prompts.clean_response(say(" kept {w}<|im_end|> more {a}"), "chatml").alias("cleaned"),
+    )
+
+
+@query("""
+SELECT p_partkey AS id, 'Shop.' || p_type || '.' || w || p_partkey AS method, 'Shop.' || p_type AS type, CASE WHEN n % 2 = 0 THEN b ELSE a END AS merged_summary, CASE WHEN n % 3 = 0 THEN a || ',' || b ELSE '' END AS calls FROM p""")
+def method_detail(spark, sf_dir):
+    rows = parts(spark, sf_dir).withColumns({"name": F.concat("w", F.col("p_partkey").cast("string")), "declaring": F.concat(F.lit("Shop."), "p_type")}).withColumn("full_name", F.concat("declaring", F.lit("."), "name"))
+    methods = rows.select(F.col("p_partkey").alias("ord"), "full_name", F.col("p_type").alias("class_name"), F.col("name").alias("method_name"))
+    types = rows.groupBy("p_type", "declaring").agg(F.min("p_partkey").alias("ord")).select("ord", F.col("p_type").alias("name"), F.col("declaring").alias("full_name"))
+    known = rows.select("full_name", "declaring", F.concat(F.lit(" "), "b").alias("summary"), pick(3, many("{a}", "{b}"), *[F.array().cast("array<string>")] * 2).alias("calls"))
+    asked = rows.select(F.col("p_partkey").alias("id"), F.lower("p_type").alias("class_name"), F.upper("name").alias("method_name"), pick(2, F.lit("  "), F.col("a")).alias("summary"))
+    return structure.detail(asked, methods, types, known).select("id", "method", "type", "merged_summary", F.array_join("call_targets", ",").alias("calls"))
+
+
+@query("""
+SELECT p_partkey AS method_id, '{"className":"' || w || '","methodName":"' || a || '","filePath":"' || b || '.cs","preconditions":["' || v || ' is set"' || CASE WHEN n % 2 = 0 THEN ',"Not ' || n || '"' ELSE '' END || '],"postconditions":[],"stateChanges":[],'
+  || '"executionSteps":[{"stepNumber":1,"description":"Use ' || a || '"},{"stepNumber":2,"description":"Use ' || b || '"}],"designConstraints":[],"runtimeRisks":["May fail"],'
+  || '"variableLimits":[{"name":"' || v || '","type":"int","scope":"Parameter","allowedValues":"at most ' || n || '","readFrom":"x","source":"Guard","confidence":"High"}]}' AS json FROM p""")
+def export_full_json(spark, sf_dir):
+    rows = parts(spark, sf_dir).withColumn("method_id", F.col("p_partkey"))
+    found = lambda analyzer, i, text: F.struct(F.lit(analyzer).alias("analyzer"), F.lit(i).alias("emit_ord"), text.alias("description"))
+    every = F.array(found("preconditions", 0, say("{v} is set")), F.when(F.col("n") % 2 == 0, found("preconditions", 1, say("Not {n}"))), found("runtime_risks", 0, F.lit("May fail")))
+    findings = rows.select("method_id", F.inline(F.filter(every, lambda x: x.isNotNull())))
+    steps = rows.select("method_id", F.posexplode(many("Use {a}", "Use {b}")).alias("k", "description")).select("method_id", (F.col("k") + 1).alias("step"), "description")
+    limits = rows.select("method_id", F.col("v").alias("name"), F.lit("int").alias("type"), F.lit("Parameter").alias("scope"), say("at most {n}").alias("limit"), F.lit("x").alias("evidence"), F.lit("Guard").alias("source"), F.lit("High").alias("confidence"))
+    methods = rows.select("method_id", F.col("w").alias("class_name"), F.col("a").alias("method_name"), F.concat("b", F.lit(".cs")).alias("path"))
+    return reports.full_json(methods, findings, steps, limits)
+
+
+@query("""
+, t AS (SELECT n_nationkey AS k, n_name AS name, r_name AS base FROM nation JOIN region ON r_regionkey = n_regionkey),
+m AS (SELECT DISTINCT k FROM t JOIN supplier ON s_nationkey = k), q AS (SELECT DISTINCT k FROM t JOIN customer ON c_nationkey = k)
+SELECT 0 AS section, unnest(['# Project: P', '', '## Overview', '', '| Metric | Value |', '|--------|-------|', '| Files | 1 |', '| Classes | ' || (SELECT count(*) FROM nation) || ' |', '| Methods | 2 |', '| Properties | 3 |', '', '## Namespaces', '']) AS line
+UNION ALL SELECT 1, unnest(['### ' || base, '', '**Classes:**', '']) FROM t GROUP BY base UNION ALL SELECT 1, '- `' || name || '`' FROM t
+UNION ALL SELECT 2, unnest(['## Classes', '']) UNION ALL SELECT 2, unnest(['### ' || name, '', '- **Kind:** class', '- **Access:** public', '- **Base types:** ' || base, '- **File:** `f' || k || '`', '']) FROM t
+UNION ALL SELECT 2, unnest(['#### Methods', '', '| Name | Return | Params |', '|------|--------|--------|', '']) FROM m UNION ALL SELECT 2, '| `' || s_name || '` | `int` | int a, int b |' FROM supplier JOIN t ON s_nationkey = k
+UNION ALL SELECT 2, unnest(['#### Properties', '', '']) FROM q UNION ALL SELECT 2, '- `' || c_mktsegment || ' ' || c_name || '`' FROM customer JOIN t ON c_nationkey = k
+UNION ALL SELECT 3, unnest(['## Relationships', '', '| Source | Kind | Target |', '|--------|------|--------|']) UNION ALL SELECT 3, '| ' || s_name || ' | CALLS | ' || name || ' |' FROM supplier JOIN t ON s_nationkey = k""")
+def export_structural_markdown(spark, sf_dir):
+    nation, region, supplier, customer = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("nation", "region", "supplier", "customer"))
+    own = nation.join(region, F.col("r_regionkey") == F.col("n_regionkey"))
+    types = own.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("full_name"), F.lit("class").alias("kind"), F.lit("public").alias("access"), F.array("r_name").alias("bases"), F.array().cast("array<string>").alias("interfaces"), F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("file"))
+    project = types.agg(F.lit("P").alias("projectName"), F.lit(1).alias("filesAnalyzed"), F.count("*").alias("classes"), F.lit(2).alias("methods"), F.lit(3).alias("properties"))
+    spaces = structure.grouped_namespaces(own.select(F.col("n_nationkey").alias("ord"), F.col("r_name").alias("namespace"), F.col("n_name").alias("full_name")))
+    run_by = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    methods = run_by.select(F.col("s_nationkey").alias("type_ord"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("name"), F.lit("int").alias("returns"), F.array(F.lit("int a"), F.lit("int b")).alias("params"))
+    properties = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_nationkey").alias("type_ord"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"))
+    links = run_by.select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("source"), F.lit("CALLS").alias("kind"), F.col("n_name").alias("target"))
+    return reports.structural_markdown(project, spaces, types, methods, properties, links).select("section", "line")

@@ -24,7 +24,9 @@ def language(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path, mtime, language, text of the source files under root; broken UTF-8 becomes replacement characters."""
+    """path, mtime, language, text of the source files under root; broken UTF-8 becomes replacement characters. No root: no rows."""
+    if not _exists(spark, root):
+        return spark.createDataFrame([], "path string, mtime timestamp, language string, text string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     kept = files.filter(is_source(F.col("path")) & ~is_excluded(F.replace(F.col("path"), F.lit(root), F.lit(""))))
     text = F.regexp_replace(F.col("content").cast("string"), "^﻿", "")

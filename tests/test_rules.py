@@ -150,6 +150,7 @@ def test_scan_and_rescan(spark, tmp_path):
     for name in ("a.cs", "b.CPP", "c.txt", "bin/d.cs", "sub/e.h"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("class C {}")
+    assert files.scan(spark, str(tmp_path / "nowhere")).collect() == []
     found = files.scan(spark, str(tmp_path)).cache()
     assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["a.cs", "b.CPP", "e.h"]
     assert files.changed(found, found).count() == 0 and files.still_there(found, found.limit(1)).count() == 1

@@ -166,7 +166,7 @@ def merged_summary(own: Column, other: Column) -> Column:
 
 def detail(asked: DataFrame, methods: DataFrame, types: DataFrame, structural: DataFrame) -> DataFrame:
     """asked (id, class_name, method_name, summary) with what the project knows of the method: method, type,
-    merged_summary, call_targets. structural: full_name, declaring, summary, calls."""
+    merged_summary, call_targets. structural: full_name (one row each), declaring, summary, calls."""
     found = lookup_methods(asked, method_index(methods))
     known = structural.select(F.col("full_name").alias("method"), "declaring", F.col("summary").alias("_s"), "calls")
     rows = lookup_types(found.join(known, "method", "left"), type_index(types))

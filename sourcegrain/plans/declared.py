@@ -225,9 +225,9 @@ def prompt_texts(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey AS id, 'Shop.' || p_type || '.' || w || p_partkey AS method, 'Shop.' || p_type AS type, CASE WHEN n % 2 = 0 THEN b ELSE a END AS merged_summary, CASE WHEN n % 3 = 0 THEN a || ',' || b ELSE '' END AS calls FROM p""")
+SELECT p_partkey AS id, 'Shop.' || p_type || '.' || w || '_' || p_partkey AS method, 'Shop.' || p_type AS type, CASE WHEN n % 2 = 0 THEN b ELSE a END AS merged_summary, CASE WHEN n % 3 = 0 THEN a || ',' || b ELSE '' END AS calls FROM p""")
 def method_detail(spark, sf_dir):
-    rows = parts(spark, sf_dir).withColumns({"name": F.concat("w", F.col("p_partkey").cast("string")), "declaring": F.concat(F.lit("Shop."), "p_type")}).withColumn("full_name", F.concat("declaring", F.lit("."), "name"))
+    rows = parts(spark, sf_dir).withColumns({"name": F.concat("w", F.lit("_"), F.col("p_partkey").cast("string")), "declaring": F.concat(F.lit("Shop."), "p_type")}).withColumn("full_name", F.concat("declaring", F.lit("."), "name"))
     methods = rows.select(F.col("p_partkey").alias("ord"), "full_name", F.col("p_type").alias("class_name"), F.col("name").alias("method_name"))
     types = rows.groupBy("p_type", "declaring").agg(F.min("p_partkey").alias("ord")).select("ord", F.col("p_type").alias("name"), F.col("declaring").alias("full_name"))
     known = rows.select("full_name", "declaring", F.concat(F.lit(" "), "b").alias("summary"), pick(3, many("{a}", "{b}"), *[F.array().cast("array<string>")] * 2).alias("calls"))

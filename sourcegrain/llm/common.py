@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only separator of words in these operators.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 
 #: The id that stands for a null doc_id where ids are compared: it ranks last.
 NO_ID = 2**63 - 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html, jaccard, licenses, mixing, packing, passages, quality, suffixes, toxicity, vectors
+from . import html, jaccard, licenses, lines, mixing, packing, passages, quality, repair, suffixes, toxicity, vectors
 from .common import table
 
 RESULT_1 = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -52,9 +52,18 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark, sf_dir):
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql():
-    return {"op1_quality_rules": quality.SQL, "op3_source_mixing": mixing.SQL, "op6_exact_top_k": vectors.SQL, "op10_license_scan": licenses.SQL}
+    return {"op1_quality_rules": quality.SQL, "op3_source_mixing": mixing.SQL, "op6_exact_top_k": vectors.SQL, "op10_license_scan": licenses.SQL, "op11_line_dedup": lines.SQL}

@@ -1,6 +1,7 @@
 """Line dedup, conversation repair and periodic runs against brute force, with every odd case."""
 
 import collections
+import fractions
 import hashlib
 import itertools
 import random
@@ -8,9 +9,9 @@ import re
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
-from sourcegrain.llm import lines, repair
+from sourcegrain.llm import lines, periodic, repair
+from sourcegrain.llm.queries import planted_tail
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -203,3 +204,85 @@ def test_repaired_rows(conversations):
     for r in repair.repair_conversations(rows).collect():
         assert r.repaired_sha256 == sha("\n".join(t for _, t in sorted(texts[r.conv_id].items())))
         assert grammar("".join(t[:1] for _, t in sorted(texts[r.conv_id].items())))
+
+
+def brute_runs(words, least=24, times=3):
+    found = []
+    for q in range(1, len(words) // times + 1):
+        start = 0
+        while start < len(words) - q:
+            end = start
+            while end + q < len(words) and words[end] == words[end + q]:
+                end += 1
+            length = end - start + q
+            if end > start and length >= max(least, times * q):
+                run = words[start : start + length]
+                if all(any(run[i] != run[i + d] for i in range(length - d)) for d in range(1, q)):
+                    found.append((start, length, q))
+            start = max(end, start) + 1
+    return sorted(found)
+
+
+@pytest.mark.parametrize(("least", "times"), [(24, 3), (1, 2), (2, 3)])
+def test_runs_of_all_kinds_of_sequences(least, times):
+    rng = random.Random(least)
+    fibonacci, older = [0, 1], [0]
+    while len(fibonacci) < 150:
+        fibonacci, older = fibonacci + older, fibonacci
+    cases = [[], [0], [0] * 60, [0, 1] * 40, fibonacci, [0, 1, 2] * 9 + [0, 1, 3] * 9]
+    cases += [list(s) for n in range(8) for s in itertools.product(range(2), repeat=n)]
+    for _ in range(150):
+        words = []
+        while len(words) < 120:
+            part = [rng.randrange(3) for _ in range(rng.randrange(1, 9))]
+            words += (part * rng.choice([1, 1, 4, 9]))[: rng.randrange(1, 60)]
+        cases.append(words)
+    for words in cases:
+        assert periodic.runs_of(words, least, times) == brute_runs(words, least, times), words
+
+
+def test_long_runs_take_few_steps():
+    assert periodic.runs_of([0] * 60_000) == [(0, 60_000, 1)]
+    assert periodic.runs_of(list(range(7_000)) * 6) == [(0, 42_000, 7_000)]
+
+
+def run_rows():
+    rng = random.Random(4)
+    texts = [None, "", " \n", "a " * 23, "a " * 24, "a\tb\x0b" * 12, "x " + "a b " * 20 + "a a " * 30, "é ü " * 30, "one two three four five six seven eight " * 3, "same line of words\n" * 2 + "other " * 30]
+    for i in range(60):
+        words = []
+        while len(words) < rng.randrange(20, 400):
+            part = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 30))]
+            words += part * rng.choice([1, 1, 1, 2, 3, 5])
+        texts.append(rng.choice([" ", "  ", "\n"]).join(words))
+    texts += ["a" * 50_000 + " b c" * 3_000, texts[-1], texts[-1]]
+    rows = [(i * 7, t) for i, t in enumerate(texts)] + [(None, "q " * 40), (3, "p q r " * 33)] * 2
+    return [(*r, "s", "t", "g", 1, 2) for r in rows]
+
+
+def test_periodic_runs(spark):
+    rows = run_rows()
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    want, planted = collections.Counter(), 0
+    for doc_id, text, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        tail = planted_tail(doc_id, len(words))
+        if tail:
+            a, p = tail
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+            planted += 1
+        runs = brute_runs(words)
+        gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+        best = min(runs, key=lambda r: (-fractions.Fraction(r[1], r[2]), r[0], r[2]), default=None)
+        want[doc_id, len(words), tuple(runs), best, " ".join(w for i, w in enumerate(words) if i not in gone)] += 1
+    found = periodic.periodic_runs(docs, planted_tail).collect()
+    assert collections.Counter((r.doc_id, r.n_words, tuple(map(tuple, r.runs)), r.strongest and tuple(r.strongest), r.kept_text) for r in found) == want
+    assert planted > 3 and sum(bool(k[2]) for k in want) > 20
+    assert periodic.periodic_runs(docs.limit(0)).count() == 0
+
+
+def test_planted_tail():
+    h = zlib.crc32(b"25")
+    hits = [d for d in range(200) if zlib.crc32(str(d).encode()) % 10 == 0]
+    assert planted_tail(hits[0], 100) == (zlib.crc32(str(hits[0]).encode()) // 10 % 100, 1 + (100 - zlib.crc32(str(hits[0]).encode()) // 10 % 100) // (3 + zlib.crc32(str(hits[0]).encode()) // 10 % 8))
+    assert planted_tail(None, 10) is None and planted_tail(hits[0], 0) is None and (h % 10 == 0) == (planted_tail(25, 5) is not None)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import lexing
 from . import text as T
 
 #: Types that aren't dependencies, and access words from the widest.
@@ -187,20 +188,13 @@ def exception_description(tags: Column, exception: Column) -> Column:
 
 
 def guard_conditions(body: Column) -> Column:
-    """The conditions of ifs that throw at once: in the statement that follows, before any other if in it."""
-    head = r"(?<!\w)if\s*+\((" + T.nested("(", ")", 6) + r")\)(?=\s*+(" + r"\{" + T.nested("{", "}", 4) + r"\}?|[^{;]*+;?))"
-    conditions, statements = (F.regexp_extract_all(body, F.lit("(?sU)" + head), F.lit(i)) for i in (1, 2))
-
-    def throws(statement: Column) -> Column:
-        return T.matches(F.regexp_extract(statement, r"(?sU)^(.*?)(?:\bif\s*\(|$)", 1), r"\bthrow\b")
-
-    kept = F.filter(F.arrays_zip(conditions.alias("c"), statements.alias("s")), lambda r: throws(r["s"]))
-    return F.filter(F.transform(kept, lambda r: T.collapse(r["c"])), lambda c: c != "")
+    """The conditions of ifs that throw at once: in the statement that follows, before any other if in it. Comments and literals aren't read."""
+    return lexing.cpp_guards_of(body)
 
 
 def thrown_types(body: Column) -> Column:
     """Types made where they are thrown, in order."""
-    return F.array_distinct(T.found(T.without_comments_and_strings(body), r"\bthrow\s+([A-Za-z_][\w:]*)\s*[({]"))
+    return F.array_distinct(T.found(lexing.code_of(body), r"\bthrow\s+([A-Za-z_][\w:]*)\s*[({]"))
 
 
 def file_constant(declaration: Column, name: Column) -> Column:

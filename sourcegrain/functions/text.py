@@ -106,57 +106,6 @@ def is_void(type_: Column) -> Column:
     return F.upper(F.trim(type_)) == "VOID"
 
 
-def nested(open_: str, close: str, depth: int) -> str:
-    """A pattern of text between brackets that are nested up to `depth` deep. All loops are possessive: Java's
-    regular expressions take stack for each turn of any other loop over a group."""
-    plain = f"[^{open_}{close}]*+"
-    out = plain
-    for _ in range(depth):
-        out = plain + f"(?:\\{open_}{out}\\{close}{plain})*+"
-    return out
-
-
-#: An if with its condition.
-HEAD = r"(?i:if)\s*+\(" + nested("(", ")", 6) + r"\)"
-#: What decides on blocks: conditions, catches with their brace, braces, the word "throw", and words that hold it.
-_TOKENS = HEAD + r"|(?i:catch)\s*+(?:\([^)]*+\))?+\s*+\{|[{}]|\bthrow\b|\w?throw\w?"
-
-
-def _block_throws(tokens: Column, word: bool) -> Column:
-    """Whether the block that the first token opens (to the end, where it isn't closed) holds "throw": the word, or any text."""
-    throws = (lambda t: t == "throw") if word else (lambda t: t.contains("throw"))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("found"), F.lit(False).alias("over"))
-
-    def step(state: Column, t: Column) -> Column:
-        depth = state["depth"] + F.when(t.endswith("{"), 1).when(t == "}", -1).otherwise(0)
-        return F.when(state["over"], state).otherwise(F.struct(depth.alias("depth"), (state["found"] | throws(t)).alias("found"), (depth <= 0).alias("over")))
-
-    return F.aggregate(tokens, start, step, lambda state: state["found"])
-
-
-def blocks(body: Column) -> Column:
-    """guards: the heads of the ifs whose next block, or next 120 characters where no block follows, throws, in order;
-    swallows: whether a catch block doesn't throw."""
-    tails = F.regexp_extract_all(body, F.lit("(?sU)" + HEAD + r"(?=(.{0,120}))"), F.lit(1))
-
-    def of_tokens(x: Column) -> Column:
-        tokens = x["tokens"]
-        is_head = lambda t: t.rlike(r"(?i)^if\s*\(")
-        numbered = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda r: is_head(r["t"]))
-
-        def throws(r: Column, k: Column) -> Column:
-            rest = F.slice(tokens, r["i"] + 2, F.size(tokens))
-            opening = F.array_position(F.transform(rest, lambda t: t.endswith("{")), F.lit(True)).cast("int")
-            return F.when(opening > 0, _block_throws(F.slice(rest, opening, F.size(rest)), False)).otherwise(F.get(x["tails"], k).rlike(r"(?U)\bthrow\b"))
-
-        heads = F.filter(F.transform(numbered, lambda r, k: F.when(throws(r, k), r["t"])), lambda h: h.isNotNull())
-        catches = F.filter(F.transform(tokens, lambda t, i: F.when(t.endswith("{") & (F.length(t) > 1), i)), lambda i: i.isNotNull())
-        silent = F.exists(catches, lambda i: ~_block_throws(F.slice(tokens, i + 1, F.size(tokens)), True))
-        return F.struct(heads.alias("guards"), silent.alias("swallows"))
-
-    return bind(F.struct(F.regexp_extract_all(body, F.lit("(?sU)" + _TOKENS), F.lit(0)).alias("tokens"), tails.alias("tails")), of_tokens)
-
-
 def guards(heads: Column, *conditions: str) -> Column:
     """Names tested by the conditions (each with one group) at the start of the heads; condition by condition, then by place."""
     def names(condition: str) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexing
 from ..functions import text as T
 from .rules import say
 
@@ -168,57 +169,55 @@ def classify_call(receiver: Column, name: Column, is_member: Column) -> Column:
     )
 
 
-def csharp_guard(condition: Column) -> Column:
-    """The sentence of a C# guard by its condition."""
-    left = F.coalesce(F.nullif(F.regexp_extract(condition, r"(?U)([A-Za-z_]\w*)\s*(?:==|!=|<=|>=|<|>|is\b)", 1), F.lit("")), F.lit("input"))
-    argument = F.coalesce(F.nullif(F.trim(F.regexp_extract(condition, r"IsNullOr(?:Empty|WhiteSpace)\s*\(([^,)]*)", 1)), F.lit("")), F.lit("input"))
+#: The names that a C# condition compares: a name, or the last member of what is called or indexed.
+_LEFT = r"^(?:[\w.\s]*\.|[^&|?]*[)\]]\s*\.)?\s*([A-Za-z_]\w*)\s*"
+
+
+def csharp_guard(condition: Column, flat: Column) -> Column:
+    """The sentence of a C# guard by its condition; flat: the condition with blanks inside its brackets."""
+    outside = lambda pattern: flat.rlike(r"^[^&|?]*" + pattern + "$")
+    left = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(flat, _LEFT + pattern + "$", 1), F.lit("")), F.lit("input"))
+    argument = F.coalesce(F.nullif(F.trim(F.regexp_extract(condition, r"(?s)IsNullOr(?:Empty|WhiteSpace)\s*\(([^,]*?)(?:,.*)?\)$", 1)), F.lit("")), F.lit("input"))
+    null, zero = r"[=!]=\s*null", r"(?:0(?:\.0+)?[fFdD]?|0(?:\.0+)?[mM]|0[uUlL]{1,2})"
     return (
-        F.when(condition.rlike(r"^\s*[\w.]*IsNullOr(?:Empty|WhiteSpace)\s*\("), say("Validate that {} is not empty or whitespace", argument))
-        .when(condition.rlike(r"[=!]=\s*null\s*$"), say("Validate that {} is not null before proceeding", left)).when(condition.rlike(r"^[^&|]*(?:==|<=)\s*0(?:\.0*)?\s*$"), say("Verify that {} is non-zero to prevent invalid operations", left))
-        .when(condition.rlike(r"^[^&|]*<\s*0\s*$"), say("Ensure that {} is a positive value as required", left)).otherwise("Validate the input conditions before executing the core logic")
+        F.when(flat.rlike(r"^[\w.]*IsNullOr(?:Empty|WhiteSpace)\s*\(\s*\)$"), say("Validate that {} is not empty or whitespace", argument))
+        .when(outside(null), say("Validate that {} is not null before proceeding", left(null)))
+        .when(outside(r"[^<>=!](?:==|<=)\s*" + zero), say("Verify that {} is non-zero to prevent invalid operations", left(r"(?:==|<=)\s*" + zero)))
+        .when(outside(r"<\s*" + zero), say("Ensure that {} is a positive value as required", left(r"<\s*" + zero)))
+        .otherwise("Validate the input conditions before executing the core logic")
     )
 
 
 def csharp_loop(kind: Column, collection: Column, nested: Column) -> Column:
-    """The sentence of a loop; nested: whether it stands in another one."""
+    """The sentence of a loop; nested: whether another one stands in it."""
     return (
         F.when(nested, "Traverse the nested structure to process all contained elements").when(kind == "foreach", say("Process each element in {} to produce the result", collection))
         .when(kind == "for", "Iterate over the index range to process each element sequentially").otherwise("Continue processing until the exit condition is satisfied")
     )
 
 
-def csharp_steps(body: Column, returns: Column, fields: Column) -> Column:
-    """Steps of a C# body read by constant patterns, in their places: guards that throw, loops, calculations and field
-    updates, calls, exception handling, returns. A loop is nested where the block of an earlier one is still open."""
-    names = F.transform(fields, lambda f: f["name"])
-    guards = located(body, r"\bif\s*+\((" + T.nested("(", ")", 6) + r")\)(?=\s*+\{?\s*+throw\b)", 1)
-    loops = located(body, r"\b(foreach|for|while)\s*\((?:[^()]*?\bin\s+([\w.]+)\s*\))?", 1, 2)
-
-    def inside(x: Column, y: Column) -> Column:
-        between = T.found(F.substring(body, y["pos"] + 1, x["pos"] - y["pos"]), "[{}]", 0)
-        start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("closed"))
+def csharp_steps(facts: Column, returns: Column, fields: Column) -> Column:
+    """Steps of a C# body from its facts (lexing.facts_of), in their places: guards that throw, locals, loops, calculations and
+    updates of fields, calls, exception handling, returns. Comments and literals are no code there."""
+    step = lambda kind, text: F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), (text if isinstance(text, Column) else F.lit(text)).alias("text"))
+    is_field = lambda f: F.exists(fields, lambda x: x["name"] == f["a"])
 
-        def step(s: Column, t: Column) -> Column:
-            now = s["depth"] + F.when(t == "{", 1).otherwise(-1)
-            return F.struct(now.alias("depth"), (s["closed"] | (now <= 0)).alias("closed"))
+    def one(f: Column) -> Column:
+        target = F.coalesce(f["a"], F.lit("result"))
+        found = (
+            F.when((f["kind"] == "if") & f["flag"], step("Validation", csharp_guard(f["a"], f["b"])))
+            .when(f["kind"] == "local", step("Initialization", F.when(F.lower(f["a"]).isin(*ACCUMULATORS), say("Initialize {} to accumulate the computed result", f["a"])).otherwise(say("Initialize {} for use in the processing logic", f["a"]))))
+            .when(f["kind"].isin("foreach", "for", "while"), step("LoopProcessing", csharp_loop(f["kind"], f["a"], f["flag"])))
+            .when((f["kind"] == "set") & is_field(f), step("StateUpdate", say("Update the {} field with the new computed value", f["a"])))
+            .when((f["kind"] == "set") & f["flag"], step("Calculation", F.when(f["b"].isin("+=", "-=", "*="), say("Accumulate the running total into {}", target)).otherwise(say("Calculate the result and store it in {}", target))))
+            .when((f["kind"] == "step") & is_field(f), step("StateUpdate", say("Increment the {} counter to record this operation", f["a"])))
+            .when(f["kind"] == "try", step("ExceptionHandling", F.when(f["flag"], "Catch and re-throw exceptions after performing any necessary cleanup").otherwise("Handle potential exceptions internally to ensure graceful recovery")))
+            .when(f["kind"] == "call", classify_call(f["a"], f["b"], f["flag"]))
+            .when((f["kind"] == "return") & ~T.is_void(returns), step("ReturnResult", _returned(returns, F.coalesce(f["a"], F.lit("")))))
+        )
+        return F.struct(f["pos"].alias("pos"), found["kind"].alias("kind"), found["text"].alias("text"))
 
-        return F.aggregate(between, start, step, lambda s: (s["depth"] > 0) & ~s["closed"])
-
-    assigned = located(body, r"\b([A-Za-z_]\w*)\s*(?:[+\-*/]?=(?![=>])|\+\+|--)\s*([^;]*);", 1, 2)
-    calls = located(body, r"(?:\b([A-Za-z_][\w]*)\s*\.\s*)?\b([A-Za-z_]\w*)\s*\(", 1, 2)
-    tried = F.slice(located(body, r"\btry\s*\{"), 1, 1)
-    returned = F.when(T.is_void(returns), F.array().cast("array<struct<pos:int,g0:string>>")).otherwise(located(body, r"\breturn\b\s*([^;]*);", 1))
-    field_update = lambda a: F.array_contains(names, a["g0"])
-    computed = lambda a: a["g1"].rlike(r"[-+*/%]|\w\s*\(")
-    known = F.filter(F.transform(F.filter(calls, lambda c: ~c["g1"].isin("if", "for", "foreach", "while", "switch", "catch", "return", "new", "lock", "using", "throw")), lambda c: F.struct(c["pos"].alias("pos"), classify_call(F.when(c["g0"] != "", c["g0"]).otherwise(c["g1"]), c["g1"], c["g0"] != "").alias("s"))), lambda c: c["s"].isNotNull())
-    return F.concat(
-        _steps(guards, lambda g: ("Validation", csharp_guard(g["g0"]))),
-        _steps(loops, lambda x: ("LoopProcessing", csharp_loop(x["g0"], x["g1"], F.exists(loops, lambda y: (y["pos"] < x["pos"]) & inside(x, y))))),
-        _steps(F.filter(assigned, lambda a: field_update(a) | computed(a)), lambda a: (F.when(field_update(a), "StateUpdate").otherwise("Calculation"), F.when(field_update(a), say("Update the {} field to reflect this operation", a["g0"])).otherwise(say("Calculate the result and store it in {}", a["g0"])))),
-        _steps(known, lambda c: (c["s"]["kind"], c["s"]["text"])),
-        _steps(tried, lambda _: ("ExceptionHandling", F.when(T.blocks(body)["swallows"], "Handle potential exceptions internally to ensure graceful recovery").otherwise("Catch and re-throw exceptions after performing any necessary cleanup"))),
-        _steps(returned, lambda r: ("ReturnResult", _returned(returns, r["g0"]))),
-    )
+    return F.filter(F.transform(facts, one), lambda s: s["kind"].isNotNull()).cast(STEPS)
 
 
 def fallback_steps(returns: Column, thrown: Column, op_limits: Column, locals_: Column, fields: Column, writes: Column) -> Column:
@@ -240,9 +239,11 @@ def dispatched_steps(methods: DataFrame) -> DataFrame:
     """execution_steps() by language: C# bodies by csharp_steps(), others by their text, and methods without steps by
     what else is known. methods: method_id, method_name, return_type, language, body, locals, fields, thrown, op_limits."""
     body = F.coalesce(F.trim("body"), F.lit(""))
-    rows = methods.withColumns({"body": body, "facts": T.writes(body)})
+    # Only C# bodies go through the scanner.
+    code = lexing.facts_of(F.when(F.col("language") == "C#", body))
+    rows = methods.withColumns({"body": body, "facts": T.writes(body), "code": code})
     text = raw_steps(F.col("body"), F.col("return_type"), F.col("locals"), F.col("fields"), F.col("facts"))
-    read = F.when(F.col("body") == "", F.array().cast(STEPS)).when(F.col("language") == "C#", csharp_steps(F.col("body"), F.col("return_type"), F.col("fields"))).otherwise(text)
+    read = F.when(F.col("body") == "", F.array().cast(STEPS)).when(F.col("language") == "C#", csharp_steps(F.col("code"), F.col("return_type"), F.col("fields"))).otherwise(text)
     rows = rows.withColumn("read", read)
     other = fallback_steps(F.col("return_type"), F.col("thrown"), F.col("op_limits"), F.col("locals"), F.col("fields"), F.col("facts"))
     return ordered(rows.select("method_id", "method_name", F.when(F.size("read") > 0, F.col("read")).otherwise(other).alias("raw")))

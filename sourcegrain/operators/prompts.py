@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lexing
 from ..functions import text as T
 from ..functions.text import bind
 
@@ -233,7 +234,7 @@ def verified_facts(methods: DataFrame) -> DataFrame:
     methods: method_name, language, body, calls, thrown, fields (name, type). A null body is blank.
     """
     body = F.trim(F.coalesce(F.col("body"), F.lit("")))
-    rows = methods.withColumn("_b", body).withColumns({"_w": T.writes(F.col("_b")), "_swallows": T.blocks(F.col("_b"))["swallows"]})
+    rows = methods.withColumn("_b", body).withColumns({"_w": T.writes(F.col("_b")), "_swallows": lexing.guards_of(F.col("_b"))["swallows"]})
     b = F.col("_b")
     any_body = b != ""
     when = lambda c, text: F.when(c, text if isinstance(text, Column) else F.lit(text))

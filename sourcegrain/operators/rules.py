@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexing
 from ..functions import text as T
 from . import wording
 
@@ -318,7 +319,7 @@ def register(analyzer: str, rule: Rule, analyzers=None) -> dict:
 
 def prepared(methods: DataFrame) -> DataFrame:
     """methods with parsed (type and name of parameters), facts and blocks of the body."""
-    return methods.withColumns({"parsed": T.parse_parameters(F.col("params")), "facts": T.facts(F.col("body")), "blocks": T.blocks(F.col("body"))})
+    return methods.withColumns({"parsed": T.parse_parameters(F.col("params")), "facts": T.facts(F.col("body")), "blocks": lexing.guards_of(F.col("body"))})
 
 
 def _tagged(found: Column, rule_id: str) -> Column:

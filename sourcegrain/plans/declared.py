@@ -194,20 +194,83 @@ def fallback_steps(spark, sf_dir):
     return flow.dispatched_steps(rows)
 
 
-@query("""
-SELECT p_partkey AS method_id, 1 AS step, 'Validation' AS kind, CASE n % 4 WHEN 0 THEN 'Validate that ' || v || ' is not null before proceeding' ELSE 'Verify that ' || v || ' is non-zero to prevent invalid operations' END AS description FROM p WHERE n % 4 < 2
-UNION ALL SELECT p_partkey, 2, 'LoopProcessing', CASE n % 4 WHEN 0 THEN 'Process each element in ' || a || ' to produce the result' ELSE 'Iterate over the index range to process each element sequentially' END FROM p WHERE n % 4 < 2
-UNION ALL SELECT p_partkey, 1, 'StateUpdate', 'Update the ' || v || ' field to reflect this operation' FROM p WHERE n % 4 = 2 UNION ALL SELECT p_partkey, 2, 'ConsoleOutput', 'Output information to the console during execution' FROM p WHERE n % 4 = 2
-UNION ALL SELECT p_partkey, 1, 'FileOperation', 'Perform the required file system operation' FROM p WHERE n % 4 = 3 UNION ALL SELECT p_partkey, 2, 'DatabaseOperation', 'Persist the processed data to the storage layer' FROM p WHERE n % 4 = 3
-UNION ALL SELECT p_partkey, 3, 'ExceptionHandling', 'Catch and re-throw exceptions after performing any necessary cleanup' FROM p WHERE n % 4 = 3""")
+#: Clauses of C# bodies, by group: (text, steps it gives). One clause of each group stands in a body, chosen by a digit of its own.
+STEP_CLAUSES = (
+    (
+        ("// if ({v} == null) throw; Console.WriteLine({n});\n", ()), ("/* File.Delete({a});\n while (x) {{ */ ", ()), ('var {b}s = "File.Delete(a); while (x) \\" {{";\n', (("Initialization", "Initialize {b}s for use in the processing logic"),)),
+        ('string {b}s = @"a "" }} throw; {n}"; ', (("Initialization", "Initialize {b}s for use in the processing logic"),)), ("char {b}c = '{{', {a}c = '\\''; ", (("Initialization", "Initialize {b}c for use in the processing logic"),)),
+    ),
+    (
+        ("if ({v} == null) throw new E(); ", (("Validation", "Validate that {v} is not null before proceeding"),)), ("if (box.{v} <= 0) {{ Stop(); throw new E(); }} ", (("Validation", "Verify that {v} is non-zero to prevent invalid operations"),)),
+        ("if ({v} < 0)\n throw new E(); ", (("Validation", "Ensure that {v} is a positive value as required"),)), ("if (string.IsNullOrEmpty({v})) {{ if (deep) {{ throw new E(); }} }} ", (("Validation", "Validate that {v} is not empty or whitespace"), ("Delegation", "Delegate the IsNullOrEmpty processing to the responsible component"), ("Validation", "Validate the input conditions before executing the core logic"))),
+        ("if (" + "(" * 40 + "{v} == 0" + ")" * 40 + ") throw new E(); ", (("Validation", "Validate the input conditions before executing the core logic"),)), ("if ({v} == null || {n} < 0) throw new E(); ", (("Validation", "Validate the input conditions before executing the core logic"),)),
+        ("if ({v} == null) return; ", (("ReturnResult", "Return the resulting value to the caller"),)), ("if (!Ready({v}, f(1))) Log = () => throw new E(); ", ()),
+    ),
+    (
+        ("foreach (var o in {a}s.All(1)) {{ Use(o); }} ", (("LoopProcessing", "Process each element in {a}s.All(1) to produce the result"), ("Delegation", "Delegate the All processing to the responsible component"))), ("for (int i = 0; i < {n}; i++) {{ while (ready) Use(i); }} ", (("LoopProcessing", "Traverse the nested structure to process all contained elements"),)),
+        ("while ({v} > 0) {{ Use(i => i); }} ", (("LoopProcessing", "Continue processing until the exit condition is satisfied"),)), ("do {{ Use({n}); }} while ({v} > {n}); ", ()), ("for (;;) Use(1); ", (("LoopProcessing", "Iterate over the index range to process each element sequentially"),)),
+    ),
+    (
+        ("{a}x = {n} + f({v}); ", (("Calculation", "Calculate the result and store it in {a}x"),)), ("total += {n} * 2; ", (("Calculation", "Accumulate the running total into total"),)), ("{a}x = {v}; ", ()), ("{a}x = new List<int>(); ", ()), ("rows[{n}] = Get({v}); ", (("Calculation", "Calculate the result and store it in result"),)),
+        ("count = {n}; ", (("StateUpdate", "Update the count field with the new computed value"),)), ("this.count++; ", (("StateUpdate", "Increment the count counter to record this operation"),)), ("var {a}x = {n} + 1; ", (("Initialization", "Initialize {a}x for use in the processing logic"),)),
+    ),
+    (
+        ("Console.WriteLine($\"{{Math.Abs({n})}} of {{ {v} }}\"); ", (("ConsoleOutput", "Output information to the console during execution"), ("Calculation", "Apply the mathematical function to compute the precise result"))), ("File.Delete(\"while (x)\"); ", (("FileOperation", "Perform the required file system operation"),)),
+        ("{a}Repository.Add({v}); ", (("DatabaseOperation", "Execute the database operation to persist the changes"),)), ("Log.Info({n}); ", (("ExternalCall", "Record the operation details for diagnostic and audit purposes"),)), ("bus.Publish({v}); ", (("Delegation", "Dispatch the result to the target destination"),)),
+        ("store.Save({v}); ", (("DatabaseOperation", "Persist the processed data to the storage layer"),)), ("{a}.{w}({n}); ", (("Delegation", "Delegate the {w} processing to the responsible component"),)), ("Use({v}); ", ()),
+    ),
+    (
+        ("try {{ Use(1); }} catch (E e) when (e.Ok) {{ throw; }} ", (("ExceptionHandling", "Catch and re-throw exceptions after performing any necessary cleanup"),)), ("try {{ Use(1); }} catch {{ }} finally {{ if (x) throw; }} ", (("ExceptionHandling", "Handle potential exceptions internally to ensure graceful recovery"), ("Validation", "Validate the input conditions before executing the core logic"))), ("", ()),
+    ),
+    (
+        ("return box.{v}; ", (("ReturnResult", "Return the {v} value to the caller"),)), ("return {n} + 1; ", (("ReturnResult", "Return the resulting value to the caller"),)), ("return; ", (("ReturnResult", "Return the resulting value to the caller"),)),
+    ),
+)
+#: The digit of a group: a scrambled key, divided by how many bodies the groups before it make.
+_SCRAMBLE, _MODULUS = 7919, 1_000_003
+
+
+def _digits():
+    step, out = 1, []
+    for group in STEP_CLAUSES:
+        out.append((step, len(group)))
+        step *= len(group)
+    return out
+
+
+def _sql_text(template: str) -> str:
+    """A clause's sentence in SQL, over the columns of p."""
+    out = "'" + template.replace("'", "''") + "'"
+    for name in "abvw":
+        out = f"replace({out}, '{{{name}}}', {name})" if "{" + name + "}" in template else out
+    return out
+
+
+def _step_rows() -> str:
+    rows = []
+    for g, (group, (step, size)) in enumerate(zip(STEP_CLAUSES, _digits(), strict=True)):
+        for i, (_, steps) in enumerate(group):
+            rows += [f"SELECT p_partkey AS method_id, {g * 10 + k} AS pos, '{kind}' AS kind, {_sql_text(text)} AS description FROM k WHERE d // {step} % {size} = {i}" for k, (kind, text) in enumerate(steps)]
+    return " UNION ALL ".join(rows)
+
+
+@query(f"""
+, k AS (SELECT *, p_partkey * {_SCRAMBLE} % {_MODULUS} AS d FROM p), s AS ({_step_rows()}),
+m AS (SELECT * FROM (SELECT *, lag(kind) OVER (PARTITION BY method_id ORDER BY pos) AS before FROM s) WHERE kind IS DISTINCT FROM before),
+o AS (SELECT *, list_position({list(flow.PHASES)}, kind) AS phase, count(*) OVER (PARTITION BY method_id) AS n_steps FROM m),
+f AS (SELECT *, kind IN ('Calculation', 'Delegation') AS core, row_number() OVER (PARTITION BY method_id, kind IN ('Calculation', 'Delegation') ORDER BY phase, pos) AS nth FROM o),
+c AS (SELECT method_id, pos, phase, CASE WHEN n_steps > 8 AND core THEN 'Calculation' ELSE kind END AS kind, CASE WHEN n_steps > 8 AND core THEN 'Perform the core processing logic on the provided inputs' ELSE description END AS description FROM f WHERE n_steps <= 8 OR NOT core OR nth = 1),
+t AS (SELECT *, count(*) OVER (PARTITION BY method_id) AS n_left, row_number() OVER (PARTITION BY method_id, kind = 'ReturnResult' ORDER BY phase, pos) AS nth FROM c)
+SELECT method_id, row_number() OVER (PARTITION BY method_id ORDER BY phase, pos) AS step, kind, description FROM t WHERE n_left <= 8 OR kind = 'ReturnResult' OR nth <= 7
+UNION ALL SELECT p_partkey, 1, 'Calculation', 'Execute the ' || w || ' operation using the provided inputs' FROM p WHERE p_partkey NOT IN (SELECT method_id FROM s)""")
 def csharp_steps(spark, sf_dir):
+    """C# bodies of independent clauses, with comments, literals and deep brackets that are no code."""
     none = F.array().cast("array<string>")
-    body = pick(
-        4, say("{ if ({v} == null) throw new E(); foreach (var o in {a}) { Use(o); } }"), say("{ if ({v} <= 0) { throw new E(); } for (int i = 0; i < {n}; i++) { while (true) { } } }"),
-        say("{ {v} = {n}; Console.WriteLine({v}); }"), say('{ try { db.Save(); } catch (E) { throw; } File.Delete("{a}"); }'),
-    )
+    d = F.col("p_partkey") * _SCRAMBLE % _MODULUS
+    clauses = [F.element_at(F.array(*[say(text.replace("{{", "\0").replace("}}", "\1")) for text, _ in group]), (F.floor(d / step) % size + 1).cast("int")) for group, (step, size) in zip(STEP_CLAUSES, _digits(), strict=True)]
+    body = F.translate(F.concat(F.lit("public int Run(int at)\n{ "), *clauses, F.lit("}")), "\0\1", "{}")
     rows = parts(spark, sf_dir).select(
-        F.col("p_partkey").alias("method_id"), F.col("w").alias("method_name"), F.lit("void").alias("return_type"), F.lit("C#").alias("language"), body.alias("body"), variables().alias("locals"), variables(("{v}", "int")).alias("fields"),
+        F.col("p_partkey").alias("method_id"), F.col("w").alias("method_name"), F.lit("int").alias("return_type"), F.lit("C#").alias("language"), body.alias("body"), variables().alias("locals"), variables(("count", "int")).alias("fields"),
         none.alias("thrown"), none.alias("op_limits"),
     )
     return flow.dispatched_steps(rows)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourcegrain.functions import declarations as D
+from sourcegrain.functions import lexing
 from sourcegrain.functions import text as T
 from sourcegrain.operators import describe, flow, prompts, reports, structure, wording
 from sourcegrain.sources import files
@@ -184,8 +185,10 @@ def test_csharp_and_fallback_steps(spark):
     assert got[1][0] == ("Validation", "Validate that name is not empty or whitespace") and ("LoopProcessing", "Process each element in orders to produce the result") in got[1]
     assert got[2] == [("Validation", "Validate the input preconditions; throws E if violated"), ("Initialization", "Initialize a for use in the processing logic"), ("ReturnResult", "Return the resulting value to the caller")]
     assert got[3] == [("ConsoleOutput", "Output information to the console during execution")]
-    nested = values(spark, n=flow.csharp_steps(F.lit("{ for (a) { b(); } while (c) { foreach (var x in y) { } } }"), F.lit("void"), F.array().cast("array<struct<name:string,type:string>>")))
-    assert [s.text for s in nested.n if s.kind == "LoopProcessing"] == ["Iterate over the index range to process each element sequentially", "Continue processing until the exit condition is satisfied", "Traverse the nested structure to process all contained elements"]
+    body = F.lit("{ for (a) { b(); } while (c) { foreach (var x in y) { } } }")
+    nested = spark.range(1).select(flow.csharp_steps(lexing.facts_of(body), F.lit("void"), F.array().cast("array<struct<name:string,type:string>>")).alias("n")).first()
+    # A loop is told as nested where another one stands in it.
+    assert [s.text for s in nested.n if s.kind == "LoopProcessing"] == ["Iterate over the index range to process each element sequentially", "Traverse the nested structure to process all contained elements", "Process each element in y to produce the result"]
 
 
 def test_reports(spark, tmp_path):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bind
+from .common import BLANKS, bind, cut
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -56,8 +56,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     lines = long_lines(docs, min_chars)
     # One row a hash: a task sums its own rows first, so a line of many documents is no large group.
     spread = lines.filter("first").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
-    # Skewed partitions of the lines are split by adaptive execution, as the other side holds a hash once.
-    gone = lines.join(spread, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # The hashes are a table of their own: between two plain shuffles adaptive execution splits the partition of a very common
+    # line, whose lines are many while its hash stands there once, or sends few hashes to all lines.
+    gone = lines.join(cut(spread, "common-lines"), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     places = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("place")).alias("gone")).withColumnsRenamed({"doc_id": "g_id", "th": "g_th"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text")).alias("th"), *[F.col(c).alias(f"_{c}") for c in carry])
     found = rows.join(places, rows["doc_id"].eqNullSafe(places["g_id"]) & (rows["th"] == places["g_th"]), "left")

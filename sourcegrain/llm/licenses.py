@@ -110,8 +110,10 @@ KNOWN_DIGESTS = (
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lines that name the holders of rights differ from copy to copy and are left out: "copyright" with a mark, a year or
-#: a blank to fill in, so that a line of a licence that happens to begin with the word stays.
-_RIGHTS_LINE = r"(?m)^[ \t\r]*[*#/;]*[ \t]*(?:copyright[ \t]*(?:\(c\)|\x{a9}|[0-9<{:]|\[|by[ \t])|\(c\)[ \t]|\x{a9}|all rights reserved)[^\n]*$"
+#: a blank to fill in, so that a line of a licence that happens to begin with the word stays; and up to 200 lines of "Copyright" with a name
+#: (a capital letter) at the start of a text, below its title, or at the start of a paragraph, where no licence wraps its own lines.
+_RIGHTS_LINE = r"(?im)^[ \t\r]*[*#/;]*[ \t]*(?:copyright[ \t]*(?:\(c\)|\x{a9}|[0-9<{:]|\[|by[ \t])|\(c\)[ \t]|\x{a9}|all rights reserved)[^\n]*$"
+_HOLDER_LINES = r"(\A(?:[^\n]*\n)?|\n[ \t\r]*\n)(?:[*#/; \t]*(?i:copyright)[ \t]+\p{Lu}[^\n]*(?:\n|\z)){1,200}"
 _JOINED = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: More known texts than this are joined by a shuffle, not a broadcast.
 BROADCAST_ROWS = 10_000
@@ -119,8 +121,8 @@ BROADCAST_ROWS = 10_000
 
 def canonical(text: Column) -> Column:
     """The canonical form: words of lower-case letters and digits with one space between."""
-    out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    out = F.regexp_replace(out, _RIGHTS_LINE, " ")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), _RIGHTS_LINE, " ")
+    out = F.translate(F.regexp_replace(out, _HOLDER_LINES, "$1 "), _UPPER, _LOWER)
     out = F.concat(F.lit(" "), F.regexp_replace(out, _JOINED, "  "), F.lit(" "))
     for variant, plain in SPELLINGS:
         out = F.replace(out, F.lit(f" {variant} "), F.lit(f" {plain} "))
@@ -155,7 +157,8 @@ def _quoted(text: str) -> str:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{_RIGHTS_LINE}', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace(coalesce({text}, ''), '{_RIGHTS_LINE}', ' ', 'g'), '{_HOLDER_LINES}', '\\1 ', 'g')"
+    out = f"translate({out}, '{_UPPER}', '{_LOWER}')"
     out = f"' ' || regexp_replace({out}, '{_JOINED}', '  ', 'g') || ' '"
     for variant, plain in SPELLINGS:
         out = f"replace({out}, ' {variant} ', ' {plain} ')"

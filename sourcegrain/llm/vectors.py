@@ -93,7 +93,7 @@ def integers(embedding: Column, scale: int) -> Column:
 
 
 def _search(rows: DataFrame, k: int) -> DataFrame:
-    """rows: shard, dim, is_query, vec_id, v, floor. Data rows of a shard come first."""
+    """q, query_id, vec_id, score of the best in each shard. rows: shard, dim, is_query, q, vec_id, v, floor; q names a query. Data rows of a shard come first."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree, ids, points = None, None, [], []
@@ -102,7 +102,8 @@ def _search(rows: DataFrame, k: int) -> DataFrame:
             kinds, vec_ids, floors = batch.column("is_query").to_pylist(), batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("floor").to_pylist()
             offsets = batch.column("v").offsets.to_numpy()
             flat = batch.column("v").values.to_numpy(zero_copy_only=False)
-            out: list[tuple[int, int, int]] = []
+            names = batch.column("q").to_pylist()
+            out: list[tuple[int, int, int, int]] = []
             start = 0
             while start < len(keys):
                 end = start
@@ -119,18 +120,18 @@ def _search(rows: DataFrame, k: int) -> DataFrame:
                     limits = tree.bounds(block)
                     for i in range(end - start):
                         own = int(vec_ids[start + i])
-                        out += [(own, v, s) for s, v in tree.top(own, block[i], limits[i].tolist(), k, floors[start + i])]
+                        out += [(names[start + i], own, v, s) for s, v in tree.top(own, block[i], limits[i].tolist(), k, floors[start + i])]
                 start = end
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["q", "query_id", "vec_id", "score"])
 
     shards = max(MIN_SHARDS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(shards, "shard", "dim").sortWithinPartitions("shard", "dim", "is_query", "vec_id")
-    return dealt.select("shard", "dim", "is_query", "vec_id", "v", "floor").mapInArrow(search, "query_id long, vec_id long, score long")
+    return dealt.select("shard", "dim", "is_query", "q", "vec_id", "v", "floor").mapInArrow(search, "q long, query_id long, vec_id long, score long")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = W.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
@@ -140,34 +141,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     Components count as floor(scale * x). Queries are the rows for which
     is_query holds; candidates are all rows but those with the query's vec_id.
     Rows with a null vec_id or vector, or a null or non-finite component, take
-    no part. Vectors of different lengths are not compared. Repeated rows are
-    one vector. With fewer than k candidates all are returned; empty input: no
+    no part. Vectors of different lengths are not compared. Every row counts,
+    also where it repeats another: a candidate that is there twice takes two
+    ranks, and each of the rows that ask under one vec_id has ranks of its
+    own, so that a query_id has them twice. With fewer than k candidates all are returned; empty input: no
     rows. Scores must fit a long.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(finite)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).distinct()
-    rows = cut(rows.withColumn("dim", F.size("v")), "vectors")
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    # A row's number stands once it is written.
+    rows = cut(rows.withColumns({"dim": F.size("v"), "q": F.monotonically_increasing_id()}), "vectors")
     n = max(MIN_SHARDS, -(-rows.count() // SHARD_ROWS))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    data = rows.select(shard.alias("shard"), "dim", F.lit(False).alias("is_query"), "vec_id", "v", F.lit(None).cast("long").alias("floor"))
+    shard = F.pmod(F.xxhash64("vec_id", "q"), F.lit(n)).cast("int")
+    data = rows.select(shard.alias("shard"), "dim", F.lit(False).alias("is_query"), "q", "vec_id", "v", F.lit(None).cast("long").alias("floor"))
     asked = rows.filter("asks")
-    home = asked.select(shard.alias("shard"), "dim", F.lit(True).alias("is_query"), "vec_id", "v", F.lit(None).cast("long").alias("floor"))
+    home = asked.select(shard.alias("shard"), "dim", F.lit(True).alias("is_query"), "q", "vec_id", "v", F.lit(None).cast("long").alias("floor"))
     first = cut(_search(data.unionByName(home), k), "nearest")
-    floor = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    away = asked.join(floor.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("home", shard)
+    floor = first.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    away = asked.join(floor, "q", "left").withColumn("home", shard)
     away = away.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).filter(F.col("shard") != F.col("home"))
-    rest = _search(data.unionByName(away.select("shard", "dim", F.lit(True).alias("is_query"), "vec_id", "v", "floor")), k)
+    rest = _search(data.unionByName(away.select("shard", "dim", F.lit(True).alias("is_query"), "q", "vec_id", "v", "floor")), k)
     return _ranked(first.unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
-WITH v AS (
-  SELECT DISTINCT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS q, vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  SELECT q.q, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
   FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """

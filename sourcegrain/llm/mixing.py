@@ -44,7 +44,8 @@ def source_targets(per_source: DataFrame, weights, slopes, share: float, cap: fl
     level = (
         ranked.withColumn("limit", F.col("source_size") * F.lit(cap))
         .withColumn("full", F.coalesce(F.sum("limit").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("open_weight", F.sum("weight").over(fill.rowsBetween(0, W.unboundedFollowing)))
+        # What is left from here on, as all less a running sum: a frame to the end is summed anew for each row.
+        .withColumn("open_weight", F.sum("weight").over(W.partitionBy()) - F.coalesce(F.sum("weight").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("budget", F.sum("source_size").over(W.partitionBy()) * F.lit(share))
         .withColumn("level", (F.col("budget") - F.col("full")) / F.col("open_weight"))
     )

@@ -80,8 +80,8 @@ class WordTokenizer:
             core = word.rstrip(_TAIL)
             if core.isalpha():
                 key = core.lower()
-            elif core.isascii() or not core.decode("utf-8", "replace").isalpha():
-                other.append(word)
+            elif core.isascii() or not (letters := core.decode("utf-8", "replace")).isalpha() or len(letters.lower()) != len(letters):
+                other.append(word)  # also where a letter in lower case is several characters, which the tail could join
                 continue
             else:
                 key = core
@@ -89,8 +89,8 @@ class WordTokenizer:
                 cores.add(key)
             if key != word:
                 split.append((word, key, word[len(core) :]))
-        letters = list(cores)
-        cache.update(zip(letters, self._encode_letters(letters), strict=True))
+        new = list(cores)
+        cache.update(zip(new, self._encode_letters(new), strict=True))
         tails = list({tail for _, _, tail in split if tail})
         tail_ids = dict(zip(tails, self._encode(tails), strict=True)) | {b"": b""}
         cache.update((word, cache[key] + tail_ids[tail]) for word, key, tail in split)

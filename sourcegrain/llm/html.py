@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,8 +54,27 @@ _NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 BY_RULE, BY_NAME = 1, 2
 
 
-def _dropped(tag: str, attributes: str, in_content: bool) -> int:
-    if tag in DROPPED or (tag == "header" and not in_content):
+#: Words that with a name of boilerplate name a part of a page, not what a text is about ("ad-box", unlike "related-work").
+STRUCTURE_NAMES = frozenset(
+    "area aside bar block body bottom box btn button buttons card center col column container content cta entry feed form global group holder icons in inline inner item items js left link links list main menu page panel post posts reply right "
+    "row rows section site slot small story text thread title top unit widget wrap wrapper".split()
+)
+
+
+def _names_boilerplate(value: str, in_content: bool) -> bool:
+    """Whether a class, id or role names boilerplate: anywhere in it, or inside an article only by a name all of whose parts do or are parts of pages."""
+    if not in_content:
+        return not DROPPED_NAMES.isdisjoint(p.lower() for p in _NAME_PARTS.findall(value))
+    for name in value.split():
+        parts = {p.lower() for p in _NAME_PARTS.findall(name) if not p.isdigit()}
+        own = parts & DROPPED_NAMES
+        if own and not own & OWN_NAMES and parts <= DROPPED_NAMES | STRUCTURE_NAMES:
+            return True
+    return False
+
+
+def _dropped(tag: str, attributes: str, in_content: bool, in_quote: bool) -> int:
+    if tag in DROPPED and not (tag == "footer" and in_quote) or tag == "header" and not in_content:
         return BY_RULE
     found = BY_NAME if tag == "form" else 0
     if not attributes:
@@ -62,10 +82,8 @@ def _dropped(tag: str, attributes: str, in_content: bool) -> int:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "")
         if name in ("class", "id", "role"):
-            if tag not in ("html", "body", "article", "main"):
-                parts = DROPPED_NAMES.intersection(p.lower() for p in _NAME_PARTS.findall(value))
-                if parts - OWN_NAMES if in_content else parts:
-                    found = BY_NAME
+            if tag not in ("html", "body", "article", "main") and _names_boilerplate(value, in_content):
+                found = BY_NAME
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return BY_RULE
     return found
@@ -94,7 +112,8 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
 def _scan(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, bool, bool]], dict[int, tuple[int, int]]]:
     """tokens, and the first and last token of each element dropped by name, by its place in the page; those at `kept` are not dropped."""
     out, stack, last, named = [], [], 0, {}
-    dropped = content = links = 0
+    dropped = content = links = quotes = 0
+    open_now: Counter[str] = Counter()  # elements on the stack by tag: a close without its tag there is passed over at once
 
     def text(run: str) -> None:
         if run and not run.isspace():
@@ -102,24 +121,31 @@ def _scan(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, bool, b
         elif run:
             out.append(("space", run, dropped > 0, content > 0))
 
-    for m in _TOKEN.finditer(page):
+    # Nothing after the last ">" is a tag; looking for one there would start anew at every "<".
+    end = page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, end):
         text(page[last : m.start()])
         last = m.end()
+        if last == end and (m.group("raw") and not re.search(r"</\w+\s*>\Z", m.group()) or m.group().startswith("<!--") and not m.group().endswith("-->")):
+            last = len(page)
         tag = (m.group("tag") or "").lower()
         if not tag:
             continue
         if not m.group("close"):
-            by = _dropped(tag, m.group("attributes"), content > 0)
+            by = _dropped(tag, m.group("attributes"), content > 0, quotes > 0)
             drop = by == BY_RULE or by == BY_NAME and m.start() not in kept
             out.append((tag, "", dropped > 0 or drop, content > 0 or tag in ("article", "main")))
             if tag in VOID or m.group("attributes").endswith("/"):
                 continue
             if tag == "p" and stack and stack[-1][0] == "p":
                 old = stack.pop()
+                open_now["p"] -= 1
                 dropped -= old[1]
                 if old[2] in named:
                     named[old[2]] = (named[old[2]][0], len(out) - 1)
             stack.append((tag, int(drop), m.start()))
+            open_now[tag] += 1
+            quotes += tag == "blockquote"
             if drop and by == BY_NAME:
                 named[m.start()] = (len(out) - 1, -1)
             dropped += drop
@@ -127,17 +153,20 @@ def _scan(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, bool, b
             links += tag == "a"
         else:
             out.append((f"/{tag}", "", dropped > 0, content > 0))
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is None:
+            if not open_now[tag]:
                 continue
+            depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
             for old, drop, at in stack[depth:]:
                 if at in named:
                     named[at] = (named[at][0], len(out))
                 dropped -= drop
                 content -= old in ("article", "main")
                 links -= old == "a"
+                quotes -= old == "blockquote"
+                open_now[old] -= 1
             del stack[depth:]
-    text(page[last:])
+    rest = page[last:]
+    text(rest[: rest.index("<!--")] if "<!--" in rest else rest)
     return out, {at: (a, z if z >= 0 else len(out)) for at, (a, z) in named.items()}
 
 
@@ -181,6 +210,27 @@ def learn_weights(pages: DataFrame, limit: int = LABELLED_PAGES) -> dict[str, fl
     return weights
 
 
+_HEADINGS = frozenset(("h1", "h2", "h3"))
+
+
+def _with_heading(parts: list[tuple[str, str, bool, bool]], start: int) -> int:
+    """start, or where the heading begins that stands right above it: few words between many tags, which a sum of weights leaves out."""
+    i, words = start - 1, False
+    while i >= 0 and not parts[i][2]:
+        kind = parts[i][0]
+        if kind in ("word", "linked"):
+            if not words:
+                break  # text that is no heading
+        elif kind.startswith("/") and kind[1:] in _HEADINGS:
+            words = True
+        elif kind in _HEADINGS and words:
+            return i
+        elif kind.lstrip("/") in BLOCKS and words:
+            break
+        i -= 1
+    return start
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The blocks of the best region, joined by two line feeds."""
     parts = tokens(page)
@@ -202,6 +252,8 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         region_start -= 1
     while region_end < len(parts) and not edge(region_end):
         region_end += 1
+    if region_end:
+        region_start = _with_heading(parts, region_start)
     blocks, block = [], []
     for kind, run, dropped, _ in parts[region_start:region_end]:
         if run:

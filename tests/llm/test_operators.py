@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -103,6 +104,14 @@ def test_mixing(docs):
     assert grouped(mixing.taken_words(mixing.positioned(docs.repartition(5)))) == collections.Counter(tuple(r) for r in rows)
 
 
+def test_many_sources(spark):
+    """Targets of 60,000 sources take no time that grows with their square."""
+    sizes = spark.range(60_000).select(F.lit(False).alias("no_source"), F.col("id").cast("string").alias("src"), (F.col("id") % 97 + 1).alias("source_size"))
+    began = time.perf_counter()
+    row = mixing.source_targets(sizes, (5, 2, 1), (0.5, 0.0, -0.5), 1.5, 2.0).agg(F.sum("target").alias("t"), F.sum("source_size").alias("s"), F.max(F.col("target") - 2 * F.col("source_size")).alias("over")).first()
+    assert abs(row.t - 1.5 * row.s) < 1e-3 and row.over <= 1e-9 and time.perf_counter() - began < 30
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -210,14 +219,21 @@ def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(150)]
     rows += [(200, rows[0][1]), (201, None), (202, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (203, [float("nan")] * 6), (None, rows[1][1]), (204, [float("inf")] * 6), (5, rows[5][1]), (220, [0.5] * 3)]
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).collect()}
-    good = {i: np.floor(64 * np.array(v, np.float64)).astype(np.int64) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v)).all()}
-    want = {}
-    for q, v in good.items():
+    rows += [(40, rows[40][1]), (60, rows[7][1]), (3, rows[3][1]), (3, rows[3][1])]
+    got = grouped(vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).select("query_id", "rank", "vec_id", "score"))
+    good = [(i, np.floor(64 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v)).all()]
+    want = collections.Counter()
+    for q, v in good:
         if q % 20 == 0:
-            best = sorted((-int(v @ w), i) for i, w in good.items() if i != q and len(w) == len(v))[:5]
-            want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
-    assert got == want
+            best = sorted((-int(v @ w), i) for i, w in good if i != q and len(w) == len(v))[:5]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert got == want and max(want.values()) == 2
+
+
+def test_top_k_of_repeated_rows(spark):
+    rows = [(20, [1.0]), (1, [1.0]), (1, [1.0]), (2, [0.5])]
+    got = vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20, 5).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(1, 1, 4096), (2, 1, 4096), (3, 2, 2048)]
 
 
 PAGE = (
@@ -247,6 +263,34 @@ def test_html_wrappers_with_names(wrapper):
     assert "me too" not in html.main_text(f"<html><body><{wrapper}><article>{body}</article>{close}{long}</body></html>", {**weights, "/div": -99.0, "div": -99.0, "/article": -99.0})
 
 
+@pytest.mark.parametrize("page", [
+    '<p class="related-work">Earlier work says so.</p>', '<section id="notice-period"><p>Earlier work says so.</p></section>', "<blockquote><p>Earlier work</p><footer>says so.</footer></blockquote>",
+    '<div class="share-price">Earlier work says so.</div>', '<p id="comment-on-law">Earlier work says so.</p>',
+])
+def test_html_keeps_what_an_article_is_about(page):
+    boilerplate = "".join(f'<div class="{c}">no</div>' for c in ("ad", "ad-box", "related-posts", "comment-list", "x social-share-buttons", "sidebar-right"))
+    text = html.main_text(f"<html><body><article><p>One two three four five</p>{page}{boilerplate}</article><footer>all</footer></body></html>", {"word": 0.5, "linked": -1.0, "div": 0.0, "/div": 0.0, "p": 0.3, "/p": 0.3, "blockquote": 0.0, "/blockquote": 0.0, "footer": 0.0, "/footer": 0.0})
+    assert "Earlier work" in text and "says so." in text and "no" not in text.split()
+
+
+@pytest.mark.parametrize(("above", "kept"), [("<h1>The title</h1>", True), ("<div><h1><b>The title</b></h1></div>", True), ("<header><h1>The title</h1></header>", False), ("<h1>The title</h1><nav><a href=x>go</a></nav>", False), ("<p>x</p><div><h1></h1></div>", False)])
+def test_html_heading_above_plain_paragraphs(above, kept):
+    body = "<p>" + "One two three four five six. " * 5 + "</p>"
+    assert html.main_text(f"<html><body>{above}{body * 3}</body></html>", html.PLAIN_WEIGHTS).startswith("The title\n\nOne" if kept else "One")
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "x</span>" * 40_000, "<!x" * 100_000, "<!-- " * 50_000, "<script>" * 40_000, "<a '" * 50_000, '<a "' * 50_000 + ">", "<p>x " * 60_000, "<script" * 50_000])
+def test_html_of_long_odd_pages_takes_linear_time(page):
+    began = time.perf_counter()
+    html.main_text(page, html.PLAIN_WEIGHTS)
+    assert time.perf_counter() - began < 6
+
+
+def test_html_ends_within_a_comment_or_script():
+    for end in ("<!-- <p>no</p>", "<!-- no", "<script>no('<p>')", "<script>no", "<style>a > b"):
+        assert html.main_text(f"<html><body><p>One two three four five six</p>{end}", html.PLAIN_WEIGHTS) == "One two three four five six", end
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     rows, marks = [], []
@@ -318,6 +362,15 @@ def test_license_lines_wrapped_anywhere(spark):
     assert [r.license_id for r in rows] == ["MIT", "MIT"]
 
 
+def test_license_holders_without_a_year(spark):
+    body = licenses._MIT + licenses._MIT_AS_IS
+    wrapped = body.replace("copyright notice", "\ncopyright notice").replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS")
+    heads = ["Copyright Jane Doe\n", "Copyright The X Authors\n\n", "MIT License\n\nCopyright Ünal & Söhne GmbH\nCopyright IBM Corp.\n", "The MIT License (MIT)\nCopyright Jane Doe <j@x.org>\nAll rights reserved.\n", "# Copyright A. Person and others\r\n\r\n"]
+    texts = [h + t for h in heads for t in (body, wrapped)] + [wrapped, "Copyright Jane Doe\n", "Some words.\nmore words\nCopyright Jane Doe\n" + body]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.license_id for r in rows] == ["MIT"] * 11 + [None, None]
+
+
 def test_whole_licenses_by_digest(spark):
     """The published texts, where the system has them, with other spellings, wraps and holders."""
     folder = "/usr/share/common-licenses"
@@ -340,7 +393,7 @@ def test_special_tokens_are_those_of_the_tokenizer(spark):
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     rng = random.Random(9)
-    pieces = ["<|endoftext|>", "<|startoftext|>", "don't", "Über", "naïve", "3.14", "a,b;", "...", "x<|endoftext|>y", "漢字", "e\u0301", "\u00a0", "I'LL", "</w>", "it's!?", "\x1c", "ﬁ"]
+    pieces = ["<|endoftext|>", "<|startoftext|>", "don't", "Über", "naïve", "3.14", "a,b;", "...", "x<|endoftext|>y", "漢字", "e\u0301", "\u00a0", "I'LL", "</w>", "it's!?", "\x1c", "ﬁ", "İ;", "ANKARİ,", "İİ.", "ΟΔΟΣ.", "ẞ!"]
     texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(200)] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(200)]
     rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     want = {i: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in enumerate(texts)}

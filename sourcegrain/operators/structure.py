@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -118,22 +121,70 @@ def type_index(types: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("type", F.struct("ord", "k")).alias("type"))
 
 
-def lookup_methods(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """asked (id, class_name, method_name) with method: by "Class.Method", then "Method", then the first key of the
-    index that ends with "Class.Method", in any case.
+#: Reversed keys from which the bounds of their ranges are drawn.
+BOUND_KEYS = 10_000
+
+
+def first_endings(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """own, method: for each text of asked (own), the method of the first key that ends with it. keys: key, method, place (ord, k).
 
-    The suffix is an equi-join too: a key is listed under all of its ends that have the wanted length of one of the
-    asked names, which are few against the keys.
+    Reversed, the keys that end with a text stand together, right behind it. Keys and texts are dealt by ranges of
+    their reversed form and merged in its order: a stack holds the texts that the present key ends with, which are
+    each other's endings. A key goes to one range and a text to those that its keys can lie in.
     """
+    backwards = F.reverse("key")
+    bounds = [r[0] for r in keys.select(backwards.alias("b")).orderBy(F.xxhash64("b"), "b").limit(BOUND_KEYS).collect()]
+    ranges = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds.sort(key=lambda x: x.encode())
+    edges = sorted({bounds[len(bounds) * i // ranges] for i in range(1, ranges)}, key=lambda x: x.encode()) if bounds else []
+    part = lambda c: F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<string>"), lambda e: e <= c))
+    listed = keys.select(backwards.alias("b"), F.lit(True).alias("is_key"), F.col("place.ord").cast("long").alias("ord"), F.col("place.k").cast("int").alias("k"), "method").withColumn("part", part(F.col("b")))
+    text = F.reverse("own")
+    spread = F.explode(F.sequence(part(text), part(F.concat(text, F.lit(chr(0x10FFFF))))))
+    wanted = asked.select("own").distinct().select(text.alias("b"), F.lit(False).alias("is_key"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("string").alias("method"), spread.alias("part"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[list] = []  # [text, the first (ord, k, method) that ends with it]
+        now, out = None, []
+
+        def leave(keep: bytes | None) -> None:
+            while stack and (keep is None or not keep.startswith(stack[-1][0])):
+                text, best = stack.pop()
+                if best:
+                    out.append((text.decode()[::-1], *best))
+                    if stack and (stack[-1][1] is None or best < stack[-1][1]):
+                        stack[-1][1] = best
+
+        for batch in batches:
+            for part, b, is_key, ord_, k, method in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                b = b.encode()
+                leave(b if part == now else None)
+                now = part
+                if not is_key:
+                    stack.append([b, None])
+                elif stack and (stack[-1][1] is None or (ord_, k) < stack[-1][1][:2]):
+                    stack[-1][1] = (ord_, k, method)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["own", "ord", "k", "method"])
+            out.clear()
+        leave(None)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["own", "ord", "k", "method"])
+
+    dealt = listed.unionByName(wanted).repartition(ranges, "part").sortWithinPartitions("part", "b", "is_key").select("part", "b", "is_key", "ord", "k", "method")
+    found = dealt.mapInArrow(merge, "own string, ord long, k int, method string")
+    return found.groupBy("own").agg(F.min_by("method", F.struct("ord", "k")).alias("method"))
+
+
+def lookup_methods(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """asked (id, class_name, method_name) with method: by "Class.Method", then "Method", then the first key of the
+    index that ends with "Class.Method", in any case. Only names that no key equals are looked for among the ends of keys."""
     own, bare = F.upper(F.concat("class_name", F.lit("."), "method_name")), F.upper("method_name")
     named = asked.withColumns({"own": own, "bare": bare})
     keys = index.select("key", "method", "place")
-    direct = named.join(keys.select(F.col("key").alias("own"), F.col("method").alias("by_own")), "own", "left").join(keys.select(F.col("key").alias("bare"), F.col("method").alias("by_bare")), "bare", "left")
-    # Ends of keys by length: the lengths asked for are numbers, so few however many names are asked.
-    lengths = named.agg(F.array_sort(F.collect_set(F.length("own"))).alias("lengths")).scalar()
-    ends = keys.withColumn("lengths", lengths).select("method", "place", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("key")), lambda n: F.substring(F.col("key"), F.length("key") - n + 1, n))).alias("own"))
-    first = ends.join(named.select("own").distinct(), "own", "left_semi").groupBy("own").agg(F.min_by("method", "place").alias("by_end"))
-    return direct.join(first, "own", "left").select(*asked.columns, F.coalesce("by_own", "by_bare", "by_end").alias("method"))
+    by = lambda column: keys.select(F.col("key").alias(column), F.col("method").alias(f"by_{column}"))
+    direct = named.join(by("own"), "own", "left").join(by("bare"), "bare", "left")
+    ends = first_endings(direct.filter(F.coalesce("by_own", "by_bare").isNull() & F.col("own").isNotNull()), keys)
+    return direct.join(ends.withColumnRenamed("method", "by_end"), "own", "left").select(*asked.columns, F.coalesce("by_own", "by_bare", "by_end").alias("method"))
 
 
 def lookup_types(asked: DataFrame, index: DataFrame) -> DataFrame:

@@ -70,7 +70,8 @@ OPERATIONS = ("brief", "prepost", "design", "errors", "explain")
 
 
 def without_emphasis(text: Column) -> Column:
-    return F.regexp_replace(text, r"\*\*|__", "")
+    """text without "**", then without "__", also those that stand together only then."""
+    return F.replace(F.replace(text, F.lit("**"), F.lit("")), F.lit("__"), F.lit(""))
 
 
 def is_debris(line: Column) -> Column:

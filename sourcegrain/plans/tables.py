@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import describe, prompts, reports, structure
 from ..sources import files
+from ..streaming.debounce import debounce
+from ..streaming.partial import partial_texts
 from ..streaming.throttle import throttle
 
 QUERIES, SQL = {}, {}
@@ -128,6 +130,28 @@ def throttle_events(spark, sf_dir):
     return throttle(events, 3_600_000_000).select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"))
 
 
+@query("""
+WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN '' ELSE event_type END AS value, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events)
+SELECT user_id, event_id, value, epoch_us(ts) + CASE WHEN value = '' THEN 0 ELSE 3600000000 END AS fired_us FROM e WHERE value = '' OR after IS NULL OR epoch_us(after) - epoch_us(ts) >= 3600000000""")
+def debounce_events(spark, sf_dir):
+    """What is left of each user's events when an hour without another one must follow; a purchase clears at once."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "").otherwise(F.col("event_type")).alias("value"))
+    return debounce(events, 3_600_000_000).select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"), "value", F.unix_micros("fired").alias("fired_us"))
+
+
+@query("""
+WITH t AS (SELECT conv_id * 1000 + turn AS k, translate(replace(text, ' th', '**'), 'eb', '<_') AS x FROM conversations),
+p AS (SELECT k, unnest(range((len(x) + 39) // 40)) AS seq, x FROM t),
+s AS (SELECT k, seq, regexp_replace(regexp_replace(replace(replace(substr(x, 1, (seq + 1) * 40), '**', ''), '__', ''), '^\\s+', ''), '<[^<]{0,11}$', '') AS partial FROM (SELECT k, CAST(seq AS BIGINT) AS seq, x FROM p))
+SELECT k, seq, partial FROM s WHERE partial <> ''""")
+def streamed_texts(spark, sf_dir):
+    """Each turn in pieces of 40 characters, as it is shown after every piece; letters of the text stand for markers and emphasis."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.translate(F.replace("text", F.lit(" th"), F.lit("**")), "eb", "<_").alias("x"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("x") + 39) / 40).cast("int") - 1), lambda i: F.substring(F.col("x"), i * 40 + 1, F.lit(40)))
+    rows = turns.filter("x <> ''").select("key", F.posexplode(pieces).alias("seq", "piece"))
+    return partial_texts(rows).select(F.col("key").alias("k"), "seq", "partial")
+
+
 @query("WITH c AS (SELECT count(*) AS n FROM events) SELECT event_id FROM events, c WHERE n <= 4000 OR event_id IN (SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 3000)")
 def cache_prune(spark, sf_dir):
     return structure.newest(table(spark, sf_dir, "events"), [F.col("ts"), F.col("event_id")], 4000, 3000).select("event_id")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,32 +14,39 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 STATE = "last long"
 
 
-def forwarded(times, last: int | None, interval_us: int) -> tuple[list[bool], int | None]:
-    """Which of the ordered times (microseconds) pass: the first, and each that is an interval after the last that did."""
-    out = []
-    for t in times:
-        ok = last is None or t - last >= interval_us
-        out.append(ok)
-        last = t if ok else last
-    return out, last
+def forwarded(times: np.ndarray, last: int | None, interval_us: int) -> tuple[np.ndarray, int | None]:
+    """The places of the ordered times (microseconds) that pass: the first, and each that is an interval after the last that did."""
+    found, at = [], 0 if last is None else int(np.searchsorted(times, last + interval_us))
+    while at < len(times):
+        found.append(at)
+        last = int(times[at])
+        at += int(np.searchsorted(times[at:], last + interval_us))
+    return np.array(found, np.int64), last
 
 
 def throttle(events: DataFrame, interval_us: int) -> DataFrame:
-    """The rows of events (key, ts, seq) that pass, per key in order of ts and seq. A group is streamed in the order of its sort."""
+    """The rows of events (key, ts, seq) that pass, per key in order of ts and seq. A key's rows are streamed in one task, in the order
+    of their sort: whether one passes rests on the one that passed before. The interval is at least 1."""
     rows = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).repartition("key").sortWithinPartitions("key", "us", "seq")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, begun = None, None, False
         for batch in batches:
+            codes = batch.column("key").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            times = batch.column("us").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
             keep = []
-            for k, t in zip(batch["key"], batch["us"], strict=True):
-                if k != key:
-                    key, last = k, None
-                ok, last = forwarded([t], last, interval_us)
-                keep += ok
-            yield batch[keep]
+            for start, end in zip(edges, edges[1:], strict=False):
+                if start == end:
+                    continue
+                now = batch.column("key")[start].as_py()
+                if not begun or now != key:
+                    key, last, begun = now, None, True
+                found, last = forwarded(times[start:end], last, interval_us)
+                keep.append(found + start)
+            yield batch.take(pa.array(np.concatenate(keep) if keep else np.zeros(0, np.int64)))
 
-    return rows.mapInPandas(run, rows.schema).drop("us")
+    return rows.mapInArrow(run, rows.schema).drop("us")
 
 
 def throttle_stream(events: DataFrame, interval_us: int) -> DataFrame:
@@ -47,8 +56,8 @@ def throttle_stream(events: DataFrame, interval_us: int) -> DataFrame:
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         batch = pd.concat(list(batches)).sort_values(["us", "seq"])
-        keep, last = forwarded(batch["us"], last, interval_us)
+        keep, last = forwarded(batch["us"].to_numpy(), last, interval_us)
         state.update((last,))
-        yield batch[keep]
+        yield batch.iloc[keep]
 
     return rows.groupBy("key").applyInPandasWithState(run, rows.schema, STATE, "append", GroupStateTimeout.NoTimeout).drop("us")

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sourcegrain.operators import structure
+from sourcegrain.streaming import debounce, partial, throttle
 
 
 def test_first_endings_against_brute_force(spark):
@@ -29,3 +31,65 @@ def test_lookup_by_ending(spark):
     assert {r.id: r.method for r in ends.collect()} == {7: None, 8: None}
     only = structure.method_index(methods.filter("ord = 1")).filter(F.col("key").contains("SHOP"))
     assert structure.lookup_methods(spark.createDataFrame([(1, "op.Cart", "add")], "id int, class_name string, method_name string"), only).first().method == "X.Shop.Cart.Add"
+
+
+def in_batches(spark, rows, schema, folder, pieces):
+    """A stream that reads rows in so many files, one at a time."""
+    import os
+    import time
+
+    size = -(-len(rows) // pieces)
+    for i in range(pieces):
+        spark.createDataFrame(rows[i * size : (i + 1) * size], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.05)
+    assert len([f for f in os.listdir(f"{folder}/in") if f.endswith(".parquet")]) == pieces
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def run_stream(spark, stream, folder, name):
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/state").start()
+    query.processAllAvailable()
+    query.stop()
+    return spark.table(name).collect()
+
+
+def test_throttle_steps_over_times():
+    times = np.array([0, 1, 1, 5, 9, 10, 10, 20])
+    for last, interval in ((None, 5), (3, 5), (None, 1), (100, 5), (None, 100)):
+        want, now = [], last
+        for i, t in enumerate(times.tolist()):
+            if now is None or t - now >= interval:
+                want.append(i)
+                now = t
+        found, end = throttle.forwarded(times, last, interval)
+        assert found.tolist() == want and end == now
+
+
+def test_debounce_stream_is_batch(spark, tmp_path):
+    rng = random.Random(6)
+    times = sorted(rng.randrange(10**9) for _ in range(160))
+    rows = [(i % 5, 1_000 * t, i, rng.choice(["a", "b", "", None])) for i, t in enumerate(times)] + [(9, 10**15, 999, "last")]
+    schema = "key long, us long, seq long, value string"
+    batch = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("us"))
+    want = {tuple(r) for r in debounce.debounce(batch, 30_000_000_000).collect()}
+    stream = in_batches(spark, rows, schema, tmp_path, 4).withColumn("ts", F.timestamp_micros("us"))
+    got = run_stream(spark, debounce.debounce_stream(stream, 30_000_000_000), tmp_path, "debounced")
+    # What waits for its interval at the end of the stream is not told yet.
+    assert len(got) == len(set(map(tuple, got))) and {tuple(r) for r in got} == {r for r in want if r[0] != 9} and any(r[0] == 9 for r in want) and 20 < len(got) < 160
+
+
+def test_partial_texts_stream_is_batch(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice(["<", "|im", "**", "_", "_", " ", "word ", "end>", None or "x", "\n"]) for _ in range(rng.randrange(1, 5)))
+    rows = [(i % 7, i, text() if rng.random() < 0.95 else None) for i in range(200)]
+    schema = "key long, seq long, piece string"
+    want = {tuple(r) for r in partial.partial_texts(spark.createDataFrame(rows, schema)).collect()}
+    got = run_stream(spark, partial.partial_texts_stream(in_batches(spark, rows, schema, tmp_path, 3)), tmp_path, "partial_texts")
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
+    so_far = {}
+    for key, seq, piece in rows:
+        so_far[key] = so_far.get(key, "") + (piece or "")
+        shown = so_far[key].replace("**", "").replace("__", "").lstrip()
+        angle = shown.rfind("<")
+        shown = shown[:angle] if angle >= 0 and len(shown) - angle <= 12 else shown
+        assert ((key, seq, shown) in want) == bool(shown)

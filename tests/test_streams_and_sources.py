@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sourcegrain.operators import structure
+from sourcegrain.sources import files
 from sourcegrain.streaming import debounce, partial, throttle
 
 
@@ -93,3 +94,32 @@ def test_partial_texts_stream_is_batch(spark, tmp_path):
         angle = shown.rfind("<")
         shown = shown[:angle] if angle >= 0 and len(shown) - angle <= 12 else shown
         assert ((key, seq, shown) in want) == bool(shown)
+
+
+def tree(root, names):
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"class {(root / name).stem.strip('_.')} {{ }}")
+
+
+def test_scan_finds_every_source_file(spark, tmp_path):
+    deep = "/".join(f"d{i}" for i in range(60)) + "/Deep.cs"
+    kept = ["A.cs", "_Layout.cs", "_gen/B.cs", ".hid/C.CPP", "sub dir/D.cs", "x/Bins/E.h", "x/y/z/F.Hpp", "ü/漢.cs", deep]
+    tree(tmp_path, [*kept, "Bin/G.cs", "x/OBJ/H.cs", ".git/I.cs", "node_modules/p/J.cs", "x/.VS/K.cs", "readme.md", "L.cs.txt", "Build/M.h"])
+    (tmp_path / "link").symlink_to(tmp_path / "x")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "linked.cs").symlink_to(tmp_path / "A.cs")
+    (tmp_path / "broken.cs").symlink_to(tmp_path / "nothing")
+    found = {r.path[len(str(tmp_path)) + 1 :]: r for r in files.scan(spark, str(tmp_path)).collect()}
+    assert set(found) == {*kept, "linked.cs"} and found["_Layout.cs"].text == "class Layout { }" and found[".hid/C.CPP"].language == "C++"
+    assert files.scan(spark, "").count() == files.scan(spark, str(tmp_path / "none")).count() == 0
+    assert files.listing(spark, f"file://{tmp_path}").count() == len(found)
+
+
+def test_contents_of_odd_files(spark, tmp_path):
+    (tmp_path / "a.cs").write_bytes(b"\xef\xbb\xbfclass \xff{}")
+    (tmp_path / "empty.cs").write_bytes(b"")
+    (tmp_path / "dir.cs").mkdir()
+    asked = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.cs", "empty.cs", "dir.cs", "none.cs")] + [(" ",), (None,)], "path string")
+    got = {r.path.rsplit("/", 1)[-1]: (r.text, r.error and r.error.split(":")[0]) for r in files.read(spark, asked).collect()}
+    assert got == {"a.cs": ("class �{}", None), "empty.cs": ("", None), "dir.cs": (None, "Is a directory"), "none.cs": (None, "File not found"), "": (None, "File path is empty.")}

@@ -337,6 +337,110 @@ def csharp_facts(text: str) -> list[dict]:
     return [x[2] for x in out]
 
 
+_NAMESPACE = re.compile(r"\bnamespace\s+([A-Za-z_][\w.:]*)\s*([;{])")
+_TYPE_HEAD = re.compile(r"(?<![\w.])(class|struct|interface|record)\s+(?:class\s+|struct\s+)?([A-Za-z_]\w*)(?=[^;(){}=]{0,400}[{(:;])")
+_MEMBER_NAME = re.compile(r"(?:(" + _TYPE + r")[\s*&]+)?(~?[A-Za-z_][\w:]*)\s*(?:<[\w\s,]{0,200}>)?\s*$")
+_AFTER_MEMBER = re.compile(r"\s*(?:(?:const|noexcept|override|final)\b\s*|where\b[^{;=]{0,400}|:[^{;]{0,400})*(\{|=>|;)")
+_ACCESS = re.compile(r"\s*(?:(?:public|private|protected)\s*:(?!:)\s*)?")
+_HEAD_END, _LABEL, _WHERE = re.compile(r"[{;]"), re.compile(r"(?<!:):(?!:)"), re.compile(r"\bwhere\b")
+#: Words that may stand where a type does.
+MODIFIERS = frozenset("public private protected internal static async virtual override sealed abstract partial readonly extern unsafe inline explicit implicit friend constexpr delegate event operator".split())
+#: Characters before a member's name that belong to it, at most.
+LONGEST_HEAD = 2_000
+#: Types and namespaces around a type that its name holds, at most.
+DEEPEST = 64
+_FIELD = re.compile(r"(?<![\w.])(" + _TYPE + r")[\s*&]+([A-Za-z_]\w*)\s*(?==(?![=>])|;)")
+
+
+def _by_commas(text: str) -> list[str]:
+    """The parts of a text between commas outside of <>."""
+    out, start, depth = [], 0, 0
+    for m in re.finditer("[<>,]", text):
+        depth += {"<": 1, ">": -1, ",": 0}[m.group()]
+        if m.group() == "," and depth <= 0:
+            out.append(text[start : m.start()])
+            start = m.end()
+    return [*out, text[start:]]
+
+
+def declarations_of(text: str) -> list[dict]:
+    """The methods of a C# or C++ text with their types: namespace, class_name, bases, method_name, return_type, params, body (the whole
+    declaration), fields (name, type) of the type; a type without methods is one row without a method_name. Types and members are told by
+    their heads, as code stands in brackets; what isn't closed runs to the end of the text."""
+    n = Nesting(masked(text))
+    code = n.code
+    spaces, whole = {}, ""
+    for m in _NAMESPACE.finditer(code):
+        name = m.group(1).replace("::", ".")
+        if m.group(2) == "{":
+            spaces[m.start(2)] = name
+        else:
+            whole = name
+    types: dict[int, dict] = {}
+    for m in _TYPE_HEAD.finditer(code):
+        at = _HEAD_END.search(code, m.end())
+        brace = at.start() if at else len(code)
+        if brace not in n.close and m.group(1) != "record":
+            continue
+        head = n.flat(m.end(), brace)
+        bases = _LABEL.split(head, maxsplit=1)[1:]
+        bases = _WHERE.split(text[brace - len(bases[0]) : brace])[0] if bases else ""
+        types[brace] = {"name": m.group(2), "bases": [b.strip() for b in _by_commas(bases) if b.strip()], "outer": n.around(m.start()), "methods": [], "fields": []}
+
+    def around_of(at: int) -> list[int]:
+        """The brackets around a place, the innermost first; no more than DEEPEST."""
+        out: list[int] = []
+        while len(out) < DEEPEST and (at := n.around(at)) >= 0:
+            out.append(at)
+        return out
+
+    def space(at: int) -> str:
+        names = [spaces[b] for b in around_of(at) if b in spaces]
+        return ".".join([whole] * bool(whole) + names[::-1])
+
+    def named(brace: int) -> str:
+        return ".".join([types[b]["name"] for b in around_of(types[brace]["outer"] + 1) if b in types][::-1] + [types[brace]["name"]]) if types[brace]["outer"] >= 0 else types[brace]["name"]
+
+    inside = {-1, *spaces, *types}
+    free: list[dict] = []
+    last = 0
+    for m in re.finditer(r"\(", code):
+        at = m.start()
+        around = n.around(at)
+        if around not in inside or at < last:
+            continue
+        shut = n.close[at]
+        after = _AFTER_MEMBER.match(code, shut + 1)
+        name = _MEMBER_NAME.search(code, max(0, at - 400), at)
+        if not after or not name or name.group(2) in _RESERVED or name.group(2).endswith(":"):
+            continue
+        returns = (name.group(1) or "").strip()
+        returns = "" if returns in MODIFIERS else returns
+        owner = types.get(around)
+        if after.group(1) == ";" and not (owner and returns):
+            continue
+        if returns in _RESERVED or not returns and not (owner and name.group(2) == owner["name"]):
+            continue
+        last = n.close[after.end() - 1] if after.group(1) == "{" else n.ends(after.end() - 1)
+        begun = max((p + 1 for p in (code.rfind(sign, max(0, name.start() - LONGEST_HEAD), name.start()) for sign in "{};")), default=0)
+        begun = _ACCESS.match(code, begun).end()
+        params = [p.split("=")[0].strip() for p in _by_commas(n.flat(at + 1, shut)) if p.strip()]
+        one = {"method_name": name.group(2).rpartition("::")[2], "return_type": returns, "params": params, "body": text[begun : last + 1], "at": at}
+        (owner["methods"] if owner else free).append(one)
+    for m in _FIELD.finditer(code):
+        around = n.around(m.start())
+        if around in types and m.group(1) not in _RESERVED and n.around(m.end()) == around:
+            types[around]["fields"].append({"name": m.group(2), "type": m.group(1)})
+    blank = {"method_name": None, "return_type": None, "params": [], "body": None}
+    out = []
+    for brace, one in sorted(types.items()):
+        head = {"namespace": space(brace), "class_name": named(brace), "bases": one["bases"], "fields": one["fields"]}
+        out += [{**head, **{k: v for k, v in x.items() if k != "at"}} for x in one["methods"]] or [{**head, **blank}]
+    if free:
+        out += [{"namespace": space(x["at"]), "class_name": "(global)", "bases": [], "fields": [], **{k: v for k, v in x.items() if k != "at"}} for x in free]
+    return out
+
+
 def cpp_guards(text: str) -> list[str]:
     """The conditions of ifs that throw at once: in the statement that follows, before any other if in it; white space collapsed."""
     n = Nesting(masked(text))
@@ -399,6 +503,12 @@ def _each(function, column: pa.Array, kind: pa.DataType) -> pa.Array:
 
 
 _FACTS = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("flag", pa.bool_())]))
+_DECLARED = pa.list_(
+    pa.struct([
+        ("namespace", pa.string()), ("class_name", pa.string()), ("bases", pa.list_(pa.string())), ("method_name", pa.string()), ("return_type", pa.string()), ("params", pa.list_(pa.string())), ("body", pa.string()),
+        ("fields", pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))),
+    ])
+)
 _GUARDS = pa.struct([("guards", pa.list_(pa.string())), ("swallows", pa.bool_())])
 
 
@@ -418,9 +528,13 @@ def _functions() -> tuple:
     def code(bodies: pa.Array) -> pa.Array:
         return pa.array([None if t is None else masked(t) for t in bodies.to_pylist()], pa.string())
 
+    def declared(texts: pa.Array) -> pa.Array:
+        return _each(declarations_of, texts, _DECLARED)
+
     return (
         F.arrow_udf(facts, "array<struct<pos:int,kind:string,a:string,b:string,flag:boolean>>"),
         F.arrow_udf(guards, "struct<guards:array<string>,swallows:boolean>"), F.arrow_udf(code, "string"), F.arrow_udf(conditions, "array<string>"),
+        F.arrow_udf(declared, "array<struct<namespace:string,class_name:string,bases:array<string>,method_name:string,return_type:string,params:array<string>,body:string,fields:array<struct<name:string,type:string>>>>"),
     )
 
 
@@ -442,3 +556,8 @@ def code_of(text: Column) -> Column:
 def cpp_guards_of(body: Column) -> Column:
     """cpp_guards() of a column of bodies; a null body has none."""
     return _functions()[3](body)
+
+
+def declared_in(text: Column) -> Column:
+    """declarations_of() of a column of texts; a null text has none."""
+    return _functions()[4](text)

@@ -13,6 +13,21 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Steps that the patterns of all rules may take over one body, each; runs shorter than LONG_RUN count for nothing.
+MATCH_STEPS, LONG_RUN = 100_000_000, 256
+
+
+def match_steps(text: Column) -> Column:
+    """How many steps a pattern that starts anew at each letter takes in the long words and the long white space of a text: their squares."""
+    runs = F.regexp_extract_all(text, F.lit(rf"(?U)\w{{{LONG_RUN},}}+|\s{{{LONG_RUN},}}+"), F.lit(0))
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + F.length(r).cast("long") * F.length(r))
+
+
+def within_budget(body: Column) -> Column:
+    """The body, or null where patterns would take more than MATCH_STEPS over it."""
+    return F.when(match_steps(body) <= MATCH_STEPS, body)
+
+
 def quoted(name: Column) -> Column:
     """A regular expression for exactly this name."""
     return F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))

@@ -142,7 +142,7 @@ def ordered(raw: DataFrame) -> DataFrame:
 
 def execution_steps(methods: DataFrame) -> DataFrame:
     """The steps that a method's text shows. methods: method_id, method_name, return_type, body, locals, fields."""
-    rows = methods.withColumn("facts", T.writes(F.col("body")))
+    rows = methods.withColumn("body", T.within_budget(F.col("body"))).withColumn("facts", T.writes(F.col("body")))
     return ordered(rows.select("method_id", "method_name", raw_steps(F.col("body"), F.col("return_type"), F.col("locals"), F.col("fields"), F.col("facts")).alias("raw")))
 
 
@@ -238,7 +238,7 @@ def fallback_steps(returns: Column, thrown: Column, op_limits: Column, locals_:
 def dispatched_steps(methods: DataFrame) -> DataFrame:
     """execution_steps() by language: C# bodies by csharp_steps(), others by their text, and methods without steps by
     what else is known. methods: method_id, method_name, return_type, language, body, locals, fields, thrown, op_limits."""
-    body = F.coalesce(F.trim("body"), F.lit(""))
+    body = F.coalesce(T.within_budget(F.trim("body")), F.lit(""))
     # Only C# bodies go through the scanner.
     code = lexing.facts_of(F.when(F.col("language") == "C#", body))
     rows = methods.withColumns({"body": body, "facts": T.writes(body), "code": code})

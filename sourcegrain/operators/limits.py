@@ -270,7 +270,7 @@ def variable_limits(methods: DataFrame) -> DataFrame:
     """
     started = lambda c: F.transform(c, lambda v: F.struct(v["name"].alias("name"), (v["initial_value"] if "initial_value" in methods.schema[c].dataType.elementType.names else F.lit(None).cast("string")).alias("initial_value")))
     body = F.coalesce(F.col("body"), F.lit(""))
-    rows = methods.select("method_id", F.when(F.length(body) > MAX_BODY, "").otherwise(T.without_comments_and_strings(body)).alias("code"), "params", "locals", "fields")
+    rows = methods.select("method_id", F.when((F.length(body) > MAX_BODY) | (T.match_steps(body) > T.MATCH_STEPS), "").otherwise(T.without_comments_and_strings(body)).alias("code"), "params", "locals", "fields")
     rows = rows.select(
         "method_id", "code", declared(F.col("params"), F.col("locals"), F.col("fields"), F.col("code")).alias("vars"), rejections(F.col("code")).alias("lines"),
         F.coalesce(constants(F.col("code"), F.concat(started("fields"), started("locals"))), F.array().cast(f"array<struct<name:string,value:{DECIMAL}>>")).alias("fixed"),

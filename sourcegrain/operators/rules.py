@@ -318,8 +318,17 @@ def register(analyzer: str, rule: Rule, analyzers=None) -> dict:
 
 
 def prepared(methods: DataFrame) -> DataFrame:
-    """methods with parsed (type and name of parameters), facts and blocks of the body."""
-    return methods.withColumns({"parsed": T.parse_parameters(F.col("params")), "facts": T.facts(F.col("body")), "blocks": lexing.guards_of(F.col("body"))})
+    """methods with parsed (type and name of parameters), facts and blocks of the body. A body beyond the budget of matches counts as
+    none; not_analysed() names it."""
+    return methods.withColumn("body", T.within_budget(F.col("body"))).withColumns({"parsed": T.parse_parameters(F.col("params")), "facts": T.facts(F.col("body")), "blocks": lexing.guards_of(F.col("body"))})
+
+
+BUDGET_EXCEEDED = "Body not analysed: its long words or blanks exceed the budget of matches"
+
+
+def not_analysed(methods: DataFrame) -> DataFrame:
+    """method_id, error of the methods whose body is beyond the budget of matches (text.MATCH_STEPS)."""
+    return methods.filter(F.col("body").isNotNull() & (T.match_steps(F.col("body")) > T.MATCH_STEPS)).select("method_id", F.lit(BUDGET_EXCEEDED).alias("error"))
 
 
 def _tagged(found: Column, rule_id: str) -> Column:
@@ -363,7 +372,7 @@ def _scoped(variables: Column, scope: str, blind: str) -> Column:
 def variable_usage(methods: DataFrame) -> DataFrame:
     """method_id, name, type, scope, usage, confidence of parameters, locals, fields and properties."""
     scopes = [_scoped(F.col(c), scope, blind) for c, scope, blind in (("parsed", "Parameter", "Low"), ("locals", "Local", "Medium"), ("fields", "Field", "Low"), ("properties", "Property", "Low"))]
-    rows = methods.withColumns({"parsed": T.parse_parameters(F.col("params")), "facts": T.facts(F.col("body"))})
+    rows = methods.withColumn("body", T.within_budget(F.col("body"))).withColumns({"parsed": T.parse_parameters(F.col("params")), "facts": T.facts(F.col("body"))})
     every = F.transform(F.concat(*scopes), lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"), v["scope"].alias("scope"), T.usage(facts(), body(), v["name"]).alias("usage"), v["confidence"].alias("confidence")))
     return rows.select("method_id", F.inline(every))
 

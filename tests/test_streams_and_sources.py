@@ -1,13 +1,21 @@
 """Lookups by endings, streams against batch, scans and project runs."""
 
+import os
 import random
+import threading
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sourcegrain.operators import structure
+from sourcegrain.operators import limits, project, rules, structure
 from sourcegrain.sources import files
-from sourcegrain.streaming import debounce, partial, throttle
+from sourcegrain.streaming import debounce, partial, rescan, throttle
+
+METHOD = (
+    "method_id long, class_name string, method_name string, return_type string, language string, params array<string>, body string, fields array<struct<name:string,type:string>>, locals array<struct<name:string,type:string>>, "
+    "properties array<struct<name:string,type:string>>, thrown array<string>, op_limits array<string>, class_dependencies array<string>"
+)
 
 
 def test_first_endings_against_brute_force(spark):
@@ -36,9 +44,6 @@ def test_lookup_by_ending(spark):
 
 def in_batches(spark, rows, schema, folder, pieces):
     """A stream that reads rows in so many files, one at a time."""
-    import os
-    import time
-
     size = -(-len(rows) // pieces)
     for i in range(pieces):
         spark.createDataFrame(rows[i * size : (i + 1) * size], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
@@ -123,3 +128,98 @@ def test_contents_of_odd_files(spark, tmp_path):
     asked = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.cs", "empty.cs", "dir.cs", "none.cs")] + [(" ",), (None,)], "path string")
     got = {r.path.rsplit("/", 1)[-1]: (r.text, r.error and r.error.split(":")[0]) for r in files.read(spark, asked).collect()}
     assert got == {"a.cs": ("class �{}", None), "empty.cs": ("", None), "dir.cs": (None, "Is a directory"), "none.cs": (None, "File not found"), "": (None, "File path is empty.")}
+
+
+def test_rescan_reads_only_what_changed(spark, tmp_path):
+    root, target = tmp_path / "src", str(tmp_path / "table")
+    tree(root, ["A.cs", "sub/B.cs", "C.h"])
+    state = lambda: {r.path.rsplit("/", 1)[1]: r.text for r in rescan.latest(spark, target).collect()}
+    assert rescan.rescan(spark, str(root), target) == {"read": 3, "kept": 0, "evicted": 0}
+    (root / "C.h").unlink()
+    (root / "A.cs").write_text("changed")
+    os.utime(root / "A.cs", (10**9, 10**9))
+    tree(root, ["_D.cs"])
+    assert rescan.rescan(spark, str(root), target) == {"read": 2, "kept": 1, "evicted": 1}
+    assert state() == {"A.cs": "changed", "B.cs": "class B { }", "_D.cs": "class D { }"}
+    assert rescan.rescan(spark, str(root), target) == {"read": 0, "kept": 3, "evicted": 0} and len(os.listdir(target)) == 2
+
+
+def test_rescan_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    root, target, checkpoint = tmp_path / "src", str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    tree(root, ["A.cs", "sub/B.cs"])
+
+    def one_run():
+        query = rescan.rescan_stream(spark, str(root), target, checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return {r.path.rsplit("/", 1)[1]: r.text for r in rescan.latest(spark, target).collect()}
+
+    assert one_run() == {"A.cs": "class A { }", "B.cs": "class B { }"}
+    (root / "A.cs").unlink()
+    (root / "sub/B.cs").write_text("changed")
+    os.utime(root / "sub/B.cs", (10**9, 10**9))
+    tree(root, ["new/E.cs"])
+    assert one_run() == {"B.cs": "changed", "E.cs": "class E { }"}
+
+
+SHOP = """namespace Shop {
+  public class Cart : Base, IThing { private int count = 0; public int Add(int amount) { if (amount < 1) throw new ArgumentException("no"); count += amount; return count; } }
+  public interface IThing { int Add(int amount); }
+}"""
+
+
+def test_project(spark, tmp_path):
+    root, target = tmp_path / "shop", str(tmp_path / "out")
+    assert project.analyze_project(spark, "", target).error == project.analyze_project(spark, str(root), target).error == "Invalid project path"
+    root.mkdir()
+    empty = project.analyze_project(spark, str(root), target)
+    assert (empty.success, empty.error, empty.no_source_files) == (False, "No C# or C++ source files found", True)
+    (root / "Cart.cs").write_text(SHOP)
+    (root / "half.cpp").write_text("double half(double d) { return d / 2; }")
+    (root / "bad.cs").write_text("class Bad { void Run() { " + "a" * 60_000 + "; } }")
+    (root / "dir.cs").mkdir()
+    told = []
+    run = project.analyze_project(spark, str(root), target, report=lambda stage, rows: told.append((stage, rows)))
+    assert run.success and run.error is None and not run.resumed, run.error
+    table = lambda name: spark.read.parquet(run.tables[name])
+    # What is told of a stage is what its table holds.
+    assert told == [(name, table(name).count()) for name in run.tables] and dict(told) == run.counts
+    assert {(r.type_name, r.method_name) for r in table("methods").collect()} == {("Shop.Cart", "Add"), ("Shop.IThing", "Add"), ("(global)", "half"), ("Bad", "Run")}
+    assert [(r.path.rsplit("/", 1)[1], r.error) for r in table("quarantine").collect()] == [("bad.cs", rules.BUDGET_EXCEEDED)]
+    assert {(r.name, r["limit"]) for r in table("limits").collect() if r.name == "amount"} == {("amount", "1 or greater"), ("amount", "any whole number")}
+    assert {"guard-range-check"} <= {r.rule_id for r in table("findings").collect()} and "Update the count field with the new computed value" in {r.description for r in table("steps").collect()}
+    assert {(r.source, r.label, r.target) for r in table("edges").collect()} >= {("Shop.Cart", "INHERITS", "Base"), ("Shop.Cart", "IMPLEMENTS", "IThing"), ("ns:Shop", "CONTAINS", "class:Shop.Cart")}
+    m = table("metrics").first()
+    assert (m.files_analyzed, m.failed, m.classes, m.methods, m.namespaces) == (3, 1, 4, 4, 1)
+    assert project.summary_text(table("metrics")).first().summary == "## Project Summary: shop\n\n**Metrics:** 4 classes, 4 methods, 1 namespaces"
+    again = project.analyze_project(spark, str(root), target)
+    assert again.success and again.resumed == list(run.tables) and again.counts == run.counts
+
+
+def test_canceled_project_leaves_no_partial_table(spark, tmp_path):
+    root, target = tmp_path / "src", str(tmp_path / "out")
+    tree(root, [f"F{i}.cs" for i in range(30)])
+
+    ended = threading.Event()
+
+    def keep_stopping():
+        while not ended.wait(0.05):
+            project.cancel(spark, "t1")
+
+    thread = threading.Thread(target=keep_stopping)
+    run = project.analyze_project(spark, str(root), target, tag="t1", report=lambda stage, rows: stage == "files" and thread.start())
+    ended.set()
+    thread.join()
+    assert (run.success, run.error) == (False, "Scan canceled.")
+    folder = os.path.join(target, os.listdir(target)[0])
+    assert all(os.path.exists(f"{folder}/{name}/_SUCCESS") for name in os.listdir(folder)) and {"listing", "files"} <= set(os.listdir(folder))
+    done = project.analyze_project(spark, str(root), target, tag="t2")
+    assert done.success and {"listing", "files"} <= set(done.resumed) and done.counts["methods"] == 30
+
+
+def test_hostile_bodies_are_named_not_matched(spark):
+    bodies = ["{ " + "a" * 90_000 + " }", "{ x = 1;" + " " * 90_000 + "}", "{ x = 1; }", None]
+    rows = spark.createDataFrame([(i, "C", "M", "void", "C#", ["int n"], b, [], [], [], [], [], []) for i, b in enumerate(bodies)], METHOD)
+    began = time.perf_counter()
+    assert {r.method_id for r in rules.not_analysed(rows).collect()} == {0, 1}
+    assert {r.method_id for r in rules.analyses(rows).collect()} >= {2} and limits.variable_limits(rows).count() == 4 and rules.variable_usage(rows).count() == 4
+    assert time.perf_counter() - began < 60

@@ -126,24 +126,28 @@ def _tokenizer(name: str) -> WordTokenizer:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The pieces of every document: its ids and END_ID, cut every `capacity` ids."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The pieces of every document: its ids and END_ID, cut every `capacity` ids, with the columns of `carry`."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    kinds = "".join(f", `{c}` {read.schema[c].dataType.simpleString()}" for c in carry)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(tokenizer)
         end = np.array([END_ID], "<u4")
         for batch in small_batches(batches, "text", BATCH_BYTES):
-            rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(text_bytes(batch.column("text"))), strict=True):
+            rows, of = [], []
+            for at, (doc_id, ids) in enumerate(zip(batch.column("doc_id").to_pylist(), encoder.ids(text_bytes(batch.column("text"))), strict=True)):
                 ids = np.concatenate([ids, end])
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))
+                    of.append(at)
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            own = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, *[batch.column(c).take(pa.array(of, pa.int64())) for c in carry]], ["doc_id", "piece", "start", "length", "ids_crc32", *carry])
         encoder.trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(cut_up), PIECES)
+    return read.mapInArrow(tidy(cut_up), PIECES + kinds)
 
 
 class SumOfSquares:
@@ -179,8 +183,9 @@ class SumOfSquares:
         return bin_id, self.capacity - gap
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """parts with sequence_id and offset. Shards take the pieces by hash, the longest first, ties in its order, so reruns agree."""
+def pack(parts: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, order: tuple[str, ...] = ()) -> DataFrame:
+    """parts with sequence_id and offset. Shards take the pieces by hash, or by ranges of the columns of `order`, so that sequence_id
+    rises with them from shard to shard; within one the longest come first, ties in the order of the hash, so reruns agree."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = SumOfSquares(capacity)
@@ -193,16 +198,19 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
             )
 
     shards = max(1, -(-parts.count() // shard_rows))
-    dealt = parts.withColumn("order", F.xxhash64("doc_id", "piece", "ids_crc32")).repartition(shards, "order")
-    return dealt.sortWithinPartitions(F.col("length").desc(), "order", "doc_id", "piece", "ids_crc32").select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(tidy(fill), PIECES + ", sequence_id long, offset long")
+    named = parts.withColumn("_hash", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    dealt = named.repartitionByRange(shards, *order) if order else named.repartition(shards, "_hash")
+    return dealt.sortWithinPartitions(F.col("length").desc(), "_hash", "doc_id", "piece", "ids_crc32").select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(tidy(fill), PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, shard_rows: int = SHARD_ROWS, order: tuple[str, ...] = ()) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    order: columns by whose ranges documents share sequences (the positions of a curriculum), for the whole of docs.
+
     Null or empty text: one piece, the end id alone. Long texts are cut into
     whole sequences and a rest. Repeated rows and rows with a null doc_id are
     packed as documents of their own. Other columns are not read. Empty docs:
     no rows.
     """
-    return pack(cut(pieces(docs, capacity, tokenizer), "pieces"), capacity)
+    return pack(cut(pieces(docs, capacity, tokenizer, order), "pieces"), capacity, shard_rows, order)

@@ -521,3 +521,32 @@ def test_pipeline(spark, docs):
         seen.update({tuple(w[i : i + 13]) for i in range(len(w) - 12)})
     assert max(seen.values()) == 1
     assert table.count() > 0 and hashlib.sha256(b"").hexdigest()
+
+
+def test_sequences_keep_the_order_of_positions(spark, tmp_path):
+    """Documents written in the order of their positions share sequences with their neighbours; the mean position rises with the sequence."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randrange(5, 400)), ["a", "b", "c"][i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mixing.curriculum_mix(docs, carry=("text",)).select("doc_id", F.col("_text").alias("text"), "position").write.parquet(str(tmp_path / "mix"))
+    mix = spark.read.parquet(str(tmp_path / "mix"))
+    placed = mix.select(F.col("doc_id"), "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # One row of the mix by its place: copies of a document have places of their own.
+    by_place = {k: r.position for k, r in enumerate(mix.select("position", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect())}
+    assert [by_place[k] for k in sorted(by_place)] == sorted(by_place.values()) and len(by_place) > 300
+    positions = collections.defaultdict(list)
+    for r in mix.collect():
+        positions[r.doc_id].append(r.position)
+    single = {d: p[0] for d, p in positions.items() if len(p) == 1}
+    packed = packing.pack_documents(placed, shard_rows=60, order=("_file", "_row")).collect()
+    shards = collections.defaultdict(list)
+    for r in packed:
+        if r.doc_id in single:
+            shards[r.sequence_id >> 40].append(single[r.doc_id])
+    ranges = [(min(p), max(p)) for _, p in sorted(shards.items())]
+    assert len(ranges) > 3 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    # The stage of the pipeline takes the order from the table's files, and needs none.
+    key = lambda frame: grouped(frame.select("doc_id", "piece", "start", "length", "ids_crc32"))
+    assert key(corpus_pipeline.best_fit_packing(spark, mix, "")) == key(packing.pack_documents(mix)) == key(packing.pack_documents(placed, shard_rows=60, order=("_file", "_row")))

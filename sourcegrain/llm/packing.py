@@ -58,6 +58,11 @@ class WordTokenizer:
         encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
+    def _encode_ascii(self, words: list[bytes]) -> list[bytes]:
+        """Ids of lower-case ASCII words: neither normalizing nor splitting nor the byte alphabet changes them, so the model reads them at once."""
+        tokenize = self.tokenizer.model.tokenize
+        return [b"".join([t.id.to_bytes(4, "little") for t in tokenize(w.decode())]) for w in words]
+
     def _encode_letters(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for k in range(0, len(words), 256):
@@ -89,7 +94,8 @@ class WordTokenizer:
                 cores.add(key)
             if key != word:
                 split.append((word, key, word[len(core) :]))
-        new = list(cores)
+        plain, new = [w for w in cores if w.isascii()], [w for w in cores if not w.isascii()]
+        cache.update(zip(plain, self._encode_ascii(plain), strict=True))
         cache.update(zip(new, self._encode_letters(new), strict=True))
         tails = list({tail for _, _, tail in split if tail})
         tail_ids = dict(zip(tails, self._encode(tails), strict=True)) | {b"": b""}
@@ -102,10 +108,11 @@ class WordTokenizer:
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [text.split() for text in texts]
-        missing = set().union(*split).difference(self.cache)
+        unknown = lambda: set(itertools.filterfalse(self.cache.__contains__, itertools.chain.from_iterable(split)))
+        missing = unknown()
         if len(self.cache) + len(missing) > CACHE_WORDS:
             self.trim()
-            missing = set().union(*split).difference(self.cache)
+            missing = unknown()
         if missing:
             self.learn(missing)
         get = self.cache.__getitem__

@@ -19,14 +19,20 @@ def json_rows(findings: DataFrame) -> DataFrame:
 def markdown_lines(findings: DataFrame, sections: list[tuple[str, str]]) -> DataFrame:
     """method_id, pos, line: a heading and bullets a section, "_(none detected)_" where a section has none.
 
-    findings: method_id, section, ord, description. sections: (section, heading) in order.
+    findings: method_id, section, ord, description. sections: (section, heading) in order. A finding stays a row of its
+    own: lines are numbered by a sort, and no group is gathered into one value.
     """
     heads = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("section"), F.lit(h).alias("heading")) for k, (s, h) in enumerate(sections)])
-    per_method = findings.select("method_id").distinct().select("method_id", F.inline(heads))
-    bullets = findings.groupBy("method_id", "section").agg(F.array_sort(F.collect_list(F.struct("ord", "description"))).alias("f"))
-    listed = F.coalesce(F.transform("f", lambda x: F.concat(F.lit("- "), x["description"])), F.array(F.lit("_(none detected)_")))
-    rows = per_method.join(bullets, ["method_id", "section"], "left").select("method_id", "k", F.posexplode(F.concat(F.array(F.concat(F.lit("### "), "heading")), listed)).alias("p", "line"))
-    return rows.select("method_id", F.row_number().over(W.partitionBy("method_id").orderBy("k", "p")).alias("pos"), "line")
+    places = F.coalesce(*[F.when(F.col("section") == s, k) for k, (s, _) in enumerate(sections)])
+    # How many findings a method has in each section: one row each, summed before they travel.
+    counts = findings.groupBy("method_id", "section").agg(F.count("*").alias("n"))
+    wanted = findings.select("method_id").distinct().select("method_id", F.inline(heads)).join(counts, ["method_id", "section"], "left")
+    none = F.when(F.col("n").isNull(), F.lit("_(none detected)_"))
+    titles = wanted.select("method_id", "k", F.lit(0).alias("part"), F.lit(None).cast(findings.schema["ord"].dataType).alias("ord"), F.explode(F.filter(F.array(F.concat(F.lit("### "), "heading"), none), lambda x: x.isNotNull())).alias("line"))
+    # The heading sorts before the line that stands for no findings, as "#" does before "_".
+    bullets = findings.select("method_id", places.alias("k"), F.lit(1).alias("part"), "ord", F.concat(F.lit("- "), "description").alias("line")).filter("k IS NOT NULL")
+    order = W.partitionBy("method_id").orderBy("k", "part", "ord", "line")
+    return titles.unionByName(bullets).select("method_id", F.row_number().over(order).alias("pos"), "line")
 
 
 def and_more(names: Column, limit: int) -> Column:
@@ -90,7 +96,7 @@ NONE_FOUND = "- _(none detected)_"
 
 
 def structural_markdown(project: DataFrame, namespaces: DataFrame, types: DataFrame, methods: DataFrame, properties: DataFrame, links: DataFrame) -> DataFrame:
-    """section, ord, k, line: a project as Markdown, in the order of section, ord, k.
+    """section, ord, part, item, i, line: a project as Markdown, in the order of MARKDOWN_ORDER.
 
     project: projectName, filesAnalyzed, classes, methods, properties. namespaces: namespace, ord, classes. types: ord,
     full_name, kind, access, bases, interfaces, file. methods: type_ord, ord, name, returns, params. properties:
@@ -99,9 +105,11 @@ def structural_markdown(project: DataFrame, namespaces: DataFrame, types: DataFr
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     s = lambda c: F.col(c).cast("string")
 
-    def rows(df: DataFrame, section: int, lines: Column, ord_: Column | None = None, k: int | Column = 0) -> DataFrame:
-        keyed = df.select(F.lit(section).alias("section"), (F.lit(0) if ord_ is None else ord_).cast("long").alias("ord"), (F.lit(k) if isinstance(k, int) else k).cast("long").alias("k0"), F.posexplode(lines).alias("i", "line"))
-        return keyed.filter("line is not null").select("section", "ord", (F.col("k0") * 1_000_000 + F.col("i")).alias("k"), "line")
+    def rows(df: DataFrame, section: int, lines: Column, ord_: Column | None = None, part: int = 0, item: Column | None = None) -> DataFrame:
+        """Lines of each row of df: of a section, of the type or the like of `ord_`, of its part, of the member `item`."""
+        long = lambda c: (F.lit(None) if c is None else c).cast("long")
+        keyed = df.select(F.lit(section).alias("section"), long(ord_).alias("ord"), F.lit(part).alias("part"), long(item).alias("item"), F.posexplode(lines).alias("i", "line"))
+        return keyed.filter("line is not null")
 
     table_row = lambda *cells: text("| ", *[x for c in cells for x in (c, " | ")][:-1], " |")
     head = F.array(text("# Project: ", F.col("projectName")), F.lit(""), F.lit("## Overview"), F.lit(""), F.lit("| Metric | Value |"), F.lit("|--------|-------|"), *[table_row(n, s(c)) for n, c in (("Files", "filesAnalyzed"), ("Classes", "classes"), ("Methods", "methods"), ("Properties", "properties"))], F.lit(""), F.lit("## Namespaces"), F.lit(""))
@@ -109,25 +117,39 @@ def structural_markdown(project: DataFrame, namespaces: DataFrame, types: DataFr
     some = lambda lead, c: F.when(F.size(c) > 0, text(lead, F.array_join(c, ", ")))
     class_head = F.array(text("### ", F.col("full_name")), F.lit(""), text("- **Kind:** ", F.col("kind")), text("- **Access:** ", F.col("access")), some("- **Base types:** ", "bases"), some("- **Interfaces:** ", "interfaces"), text("- **File:** `", F.col("file"), "`"), F.lit(""))
     has = lambda df: df.select(F.col("type_ord").alias("ord")).distinct()
-    of_type = lambda df, section_k, lines: rows(df, 2, lines, F.col("type_ord"), F.lit(section_k) + F.col("ord"))
+    of_type = lambda df, part, lines: rows(df, 2, lines, F.col("type_ord"), part, F.col("ord"))
+    # What has no ord, as the headings of a section, comes first: nulls sort before all numbers.
     parts = [
-        rows(project, 0, head), rows(namespaces, 1, spaces, F.col("ord")), rows(project, 2, F.array(F.lit("## Classes"), F.lit("")), F.lit(-1)), rows(types, 2, class_head, F.col("ord")),
+        rows(project, 0, head), rows(namespaces, 1, spaces, F.col("ord")), rows(project, 2, F.array(F.lit("## Classes"), F.lit(""))), rows(types, 2, class_head, F.col("ord")),
         rows(has(methods), 2, F.array(F.lit("#### Methods"), F.lit(""), F.lit("| Name | Return | Params |"), F.lit("|------|--------|--------|")), F.col("ord"), 1),
-        of_type(methods, 1_000, F.array(table_row(text("`", F.col("name"), "`"), text("`", F.col("returns"), "`"), F.array_join("params", ", ")))), rows(has(methods), 2, F.array(F.lit("")), F.col("ord"), 1_000_000_000),
-        rows(has(properties), 2, F.array(F.lit("#### Properties"), F.lit("")), F.col("ord"), 2_000_000_000), of_type(properties, 2_000_000_001, F.array(text("- `", F.col("type"), " ", F.col("name"), "`"))),
-        rows(has(properties), 2, F.array(F.lit("")), F.col("ord"), 4_000_000_000),
+        of_type(methods, 2, F.array(table_row(text("`", F.col("name"), "`"), text("`", F.col("returns"), "`"), F.array_join("params", ", ")))), rows(has(methods), 2, F.array(F.lit("")), F.col("ord"), 3),
+        rows(has(properties), 2, F.array(F.lit("#### Properties"), F.lit("")), F.col("ord"), 4), of_type(properties, 5, F.array(text("- `", F.col("type"), " ", F.col("name"), "`"))),
+        rows(has(properties), 2, F.array(F.lit("")), F.col("ord"), 6),
     ]
     heads = F.array(F.lit("## Relationships"), F.lit(""), F.lit("| Source | Kind | Target |"), F.lit("|--------|------|--------|"))
-    parts += [rows(links.limit(1), 3, heads, F.lit(-1)), rows(links, 3, F.array(table_row(F.col("source"), F.col("kind"), F.col("target"))), F.col("ord"))]
+    parts += [rows(links.limit(1), 3, heads), rows(links, 3, F.array(table_row(F.col("source"), F.col("kind"), F.col("target"))), F.col("ord"))]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+#: The columns by which structural_markdown() is in order.
+MARKDOWN_ORDER = ("section", "ord", "part", "item", "i")
+
+
 def write_lines(lines: DataFrame, order: list[str], column: str, path: str) -> None:
     """Write a report as text files whose names are in its order; the folder is complete or, by the commit protocol, absent."""
     lines.orderBy(*order).select(column).write.mode("overwrite").text(path)
 
 
-EXPORTS = {"markdown": structural_markdown, "json": structural_json, "json-full": full_json, "markdown-full": markdown_lines}
+#: By the kind of an export: what makes its rows, the columns of their order, and the one that is written.
+EXPORTS = {
+    "markdown": (structural_markdown, MARKDOWN_ORDER, "line"), "markdown-full": (markdown_lines, ("method_id", "pos"), "line"), "json": (structural_json, ("part", "ord"), "json"), "json-full": (full_json, ("method_id",), "json"),
+}
+
+
+def export(kind: str, path: str, *tables, **named) -> None:
+    """Write an export of a kind of EXPORTS as text files in its order; tables: those that its function takes."""
+    make, order, column = EXPORTS[kind]
+    write_lines(make(*tables, **named), list(order), column, path)

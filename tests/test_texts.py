@@ -206,14 +206,19 @@ def test_reports(spark, tmp_path):
     methods = spark.createDataFrame([(1, 1, "Run", "int", ["int a"]), (1, 2, "Go", "void", [])], "type_ord long, ord long, name string, returns string, params array<string>")
     properties = spark.createDataFrame([(2, 1, "Size", "int")], "type_ord long, ord long, name string, type string")
     lines = reports.structural_markdown(project, spaces, types, methods, properties, links)
-    text = [r.line for r in lines.orderBy("section", "ord", "k").collect()]
+    text = [r.line for r in lines.orderBy(*reports.MARKDOWN_ORDER).collect()]
     assert text[:6] == ["# Project: P", "", "## Overview", "", "| Metric | Value |", "|--------|-------|"]
     at = text.index("### N.A")
     assert text[at:] == [
         "### N.A", "", "- **Kind:** class", "- **Access:** public", "- **Base types:** Base", "- **File:** `a.cs`", "", "#### Methods", "", "| Name | Return | Params |", "|------|--------|--------|", "| `Run` | `int` | int a |", "| `Go` | `void` |  |", "",
         "### N.B", "", "- **Kind:** class", "- **Access:** public", "- **File:** `b.cs`", "", "#### Properties", "", "- `int Size`", "", "## Relationships", "", "| Source | Kind | Target |", "|--------|------|--------|", "| A | CALLS | B |"]
-    reports.write_lines(lines, ["section", "ord", "k"], "line", str(tmp_path / "out"))
-    assert "\n".join(open(p).read().rstrip("\n") for p in sorted(map(str, (tmp_path / "out").glob("part-*")))).split("\n")[0] == "# Project: P"
+    reports.export("markdown", str(tmp_path / "out"), project, spaces, types, methods, properties, links)
+    assert "\n".join(open(p).read().rstrip("\n") for p in sorted(map(str, (tmp_path / "out").glob("part-*")))).split("\n") == text
+    far = types.withColumn("ord", F.col("ord") + 10**15)
+    moved = reports.structural_markdown(project, spaces, far, methods.withColumn("type_ord", F.col("type_ord") + 10**15).withColumn("ord", F.col("ord") + 10**12), properties.withColumn("type_ord", F.col("type_ord") + 10**15), links)
+    assert [r.line for r in moved.orderBy(*reports.MARKDOWN_ORDER).collect()] == text
+    reports.export("json", str(tmp_path / "json"), project, spaces, links)
+    assert len("".join(open(p).read() for p in map(str, (tmp_path / "json").glob("part-*"))).splitlines()) == 3
 
 
 def test_reads_and_caches(spark, tmp_path):

@@ -297,34 +297,51 @@ TEMPLATES = (
     ),
 )
 
-#: Templates for limits: (parameters, locals, body with {n}, {n+k} and {v}, expected (SQL of the limit over n, name, scope, source)).
-LIMIT_TEMPLATES = (
-    (("int {v}",), (), "{ if ({v} < 1 || {v} > {n}) throw new E(); }", (("CASE WHEN n = 1 THEN 'exactly 1' ELSE '1 to ' || n END", "{v}", "Parameter", "Guard"),)),
-    (("int level",), (), "{ if (level <= 2 || level >= {n+10}) { throw new E(); } }", (("'3 to ' || (n + 9)", "level", "Parameter", "Guard"),)),
-    (("double rate",), (), "{ if (rate < 0) throw new E(); if (rate < {n}) throw new E(); }", (("n || ' or greater'", "rate", "Parameter", "Guard"),)),
-    (("int {v}",), (), "{ {v} = Math.Clamp({v}, 2, {n+5}); }", (("'2 to ' || (n + 5)", "{v}", "Parameter", "Clamp"),)),
-    (("int k",), (), "{ if (k != 3 && k != 5 && k != {n+7}) throw new E(); }", (("'3, 5 or ' || (n + 7)", "k", "Parameter", "Guard"),)),
-    (("string s",), (), "{ if (s.Length > {n}) throw new E(); }", (("'at most ' || n || CASE WHEN n = 1 THEN ' character' ELSE ' characters' END", "s", "Parameter", "Guard"),)),
-    (("List<int> xs",), (), "{ if (xs.Count == 0) throw new E({n}); }", (("'at least 1 item'", "xs", "Parameter", "Guard"),)),
-    (("Order {v}",), (), "{ if ({v} is null) throw new E({n}); }", (("'must not be null'", "{v}", "Parameter", "Guard"),)),
-    ((), (("i", "int"),), "{ for (int i = 0; i < {n+1}; i++) { Use(i); } }", (("CASE WHEN n = 0 THEN 'exactly 0' ELSE '0 to ' || n END", "i", "Local", "LoopBound"),)),
-    (("byte b", "short s", "ushort u", "size_t z"), (), "{ Use(b, {n}); }", (
-        ("'0 to 255'", "b", "Parameter", "DeclaredType"), ("'-32,768 to 32,767'", "s", "Parameter", "DeclaredType"), ("'0 to 65,535'", "u", "Parameter", "DeclaredType"), ("'0 or greater'", "z", "Parameter", "DeclaredType"))),
-    (("int n",), (), "{ // if (n < 1) throw new E();\n Use(n, {n}); }", (("'any whole number'", "n", "Parameter", "DeclaredType"),)),
+#: Clauses on what variables may hold, by group: (parameters, clause, expected (name, scope, SQL of the limit over n, source)). A method has
+#: one clause of each group, chosen by a digit of its own; names come from its brand and the words of its part's name, numbers from its size.
+_EXACT = "CASE WHEN n = {} THEN 'exactly {}' ELSE '{} to ' || {} END"
+_LETTERS = " || CASE WHEN {} = 1 THEN ' character' ELSE ' characters' END"
+LIMIT_CLAUSES = (
     (
-        ("int v", "int lo", "int hi"), (), "{ if (v < lo || v > hi) throw new E({n}); }",
-        (("'between lo and hi'", "v", "Parameter", "Guard"), ("'any whole number'", "lo", "Parameter", "DeclaredType"), ("'any whole number'", "hi", "Parameter", "DeclaredType")),
+        (("int {v}",), "if ({v} < 1 || {v} > {n}) throw new E();", (("{v}", "Parameter", _EXACT.format(1, 1, 1, "n"), "Guard"),)), (("int {v}",), "if ({v} <= {n}) { throw new E(); }", (("{v}", "Parameter", "'greater than ' || n", "Guard"),)),
+        (("int {v}",), "if ({v} <= 2 || {v} >= {n+10}) { throw new E(); }", (("{v}", "Parameter", "'3 to ' || (n + 9)", "Guard"),)), (("int {v}",), "{v} = Math.Clamp({v}, 2, {n+5});", (("{v}", "Parameter", "'2 to ' || (n + 5)", "Clamp"),)),
+        (("int {v}",), "if ({v} != 3 && {v} != 5 && {v} != {n+7}) throw new E();", (("{v}", "Parameter", "'3, 5 or ' || (n + 7)", "Guard"),)), (("int {v}",), "if ({v} >= 1 && {v} <= {n+1}) Use({v});", (("{v}", "Parameter", _EXACT.format(0, 1, 1, "(n + 1)"), "Comparison"),)),
+        (("int {v}",), "// if ({v} < 1) throw new E();\n Use({v}, {n});", (("{v}", "Parameter", "'any whole number'", "DeclaredType"),)), (("uint {v}",), "if ({v} == 0) throw new E(); if ({v} > {n+1}) throw new E();", (("{v}", "Parameter", _EXACT.format(0, 1, 1, "(n + 1)"), "Guard"),)),
+        (("int {v}",), "if ({v} < 1 ||\n     {v} > {n+1})\n {\n  throw new E();\n }", (("{v}", "Parameter", _EXACT.format(0, 1, 1, "(n + 1)"), "Guard"),)),
+    ),
+    (
+        (("string {a}t",), "if ({a}t.Length > {n}) throw new E();", (("{a}t", "Parameter", "'at most ' || n" + _LETTERS.format("n"), "Guard"),)), (("string {a}t",), "if ({a}t == null) throw new E();", (("{a}t", "Parameter", "'must not be null'", "Guard"),)),
+        (("string {a}t",), "if ({a}t == null) throw new E(); if ({a}t.Length > {n+1}) throw new E();", (("{a}t", "Parameter", "'must not be null, at most ' || (n + 1)" + _LETTERS.format("n + 1"), "Guard"),)), (("string {a}t",), "Use({a}t);", (("{a}t", "Parameter", "'any text'", "DeclaredType"),)),
+        (("List<int> {a}t",), "if ({a}t.Count == 0) throw new E({n});", (("{a}t", "Parameter", "'at least 1 item'", "Guard"),)), (("{w} {a}t",), "if ({a}t is null) throw new E({n});", (("{a}t", "Parameter", "'must not be null'", "Guard"),)),
+        (("{w} {a}t",), "Use({a}t);", (("{a}t", "Parameter", "'any ' || w || ' value'", "DeclaredType"),)),
+    ),
+    (
+        (("double {b}r",), "if ({b}r < 0) throw new E(); if ({b}r < {n}) throw new E();", (("{b}r", "Parameter", "n || ' or greater'", "Guard"),)), (("double {b}r",), "if ({b}r <= 0 || {b}r >= {n}) throw new E();", (("{b}r", "Parameter", "'greater than 0, less than ' || n", "Guard"),)),
+        (("decimal {b}r",), "Use({b}r);", (("{b}r", "Parameter", "'any decimal number'", "DeclaredType"),)), (("byte {b}r",), "Use({b}r, {n});", (("{b}r", "Parameter", "'0 to 255'", "DeclaredType"),)), (("short {b}r",), "Use({b}r);", (("{b}r", "Parameter", "'-32,768 to 32,767'", "DeclaredType"),)),
+        (("ushort {b}r",), "Use({b}r);", (("{b}r", "Parameter", "'0 to 65,535'", "DeclaredType"),)), (("char {b}r",), "if ({b}r >= 'b' && {b}r <= 'y') Use({b}r);", (("{b}r", "Parameter", "'''b'' to ''y'''", "Guard"),)),
+    ),
+    (
+        ((), "for (int {a}i = 0; {a}i < {n+1}; {a}i++) { Use({a}i); }", (("{a}i", "Local", "CASE WHEN n = 0 THEN 'exactly 0' ELSE '0 to ' || n END", "LoopBound"),)), ((), "", ()),
+        ((), "for (int {a}i = 2; {a}i <= {n+10}; {a}i++) { }", (("{a}i", "Local", "'2 to ' || (n + 10)", "LoopBound"),)),
+    ),
+    (
+        (("int {b}q", "int {b}d"), "total = {b}q / {b}d + {n};", (("{b}q", "Parameter", "'any whole number'", "DeclaredType"), ("{b}d", "Parameter", "'must not be zero'", "Guard"))),
+        (("int {b}q", "int {b}d"), "if ({b}d == 0) return; total = {b}q / {b}d;", (("{b}q", "Parameter", "'any whole number'", "DeclaredType"), ("{b}d", "Parameter", "'any whole number'", "DeclaredType"))),
+        (("int {b}q", "int {b}d", "int {b}h"), "if ({b}q < {b}d || {b}q > {b}h) throw new E();", (("{b}q", "Parameter", "'between ' || b || 'd and ' || b || 'h'", "Guard"), ("{b}d", "Parameter", "'any whole number'", "DeclaredType"), ("{b}h", "Parameter", "'any whole number'", "DeclaredType"))),
+        (("int {b}q", "int {b}d"), "if ({b}q > 0 && {b}d > {n}) throw new E();", (("{b}q", "Parameter", "'any whole number'", "DeclaredType"), ("{b}d", "Parameter", "'any whole number'", "DeclaredType"))), ((), "", ()),
     ),
-    (("char c",), (), "{ if (c >= 'b' && c <= 'y') Use(c, {n}); }", (("'''b'' to ''y'''", "c", "Parameter", "Guard"),)),
-    (("int a", "int d"), (), "{ return a / d + {n}; }", (("'any whole number'", "a", "Parameter", "DeclaredType"), ("'must not be zero'", "d", "Parameter", "Guard"))),
-    (("int a", "int d"), (), "{ if (d == 0) return {n}; return a / d; }", (("'any whole number'", "a", "Parameter", "DeclaredType"), ("'any whole number'", "d", "Parameter", "DeclaredType"))),
-    (("int {v}",), (), "{ if ({v} <= {n}) throw new E(); }", (("'greater than ' || n", "{v}", "Parameter", "Guard"),)),
-    (("int month",), (), "{ if (month >= 1 && month <= {n+1}) Use(month); }", (("CASE WHEN n = 0 THEN 'exactly 1' ELSE '1 to ' || (n + 1) END", "month", "Parameter", "Comparison"),)),
-    (("uint {v}",), (), "{ if ({v} == 0) throw new E(); if ({v} > {n+1}) throw new E(); }", (("CASE WHEN n = 0 THEN 'exactly 1' ELSE '1 to ' || (n + 1) END", "{v}", "Parameter", "Guard"),)),
-    (("string {v}",), (), "{ if ({v} == null) throw new E(); if ({v}.Length > {n+1}) throw new E(); }", (("'must not be null, at most ' || (n + 1) || CASE WHEN n = 0 THEN ' character' ELSE ' characters' END", "{v}", "Parameter", "Guard"),)),
-    (("int level",), (), "{\n if (level < 1 ||\n     level > {n+1})\n {\n  throw new E();\n }\n}", (("CASE WHEN n = 0 THEN 'exactly 1' ELSE '1 to ' || (n + 1) END", "level", "Parameter", "Guard"),)),
-    (("int a", "int b"), (), "{ if (a > 0 && b > {n}) throw new E(); }", (("'any whole number'", "a", "Parameter", "DeclaredType"), ("'any whole number'", "b", "Parameter", "DeclaredType"))),
 )
+#: A group's digit: the scrambled key, divided by how many bodies the groups before it make.
+SCRAMBLE, MODULUS = 7919, 1_000_003
+
+
+def digits(groups) -> list[tuple[int, int]]:
+    """The divisor and modulus of each group's digit."""
+    step, out = 1, []
+    for group in groups:
+        out.append((step, len(group)))
+        step *= len(group)
+    return out
 
 
 #: Templates for execution steps: (name, return type, locals with initial values, fields, body, expected (kind, description)).
@@ -404,9 +421,24 @@ def methods(part: DataFrame) -> DataFrame:
     return _written(part, [_method(t.name, t.returns, t.params, t.body, t.fields, t.locals, t.thrown, t.language, t.op_limits, t.class_dependencies) for t in TEMPLATES])
 
 
+def _worded(text: str) -> F.Column:
+    """The text with the row's words for {a}, {b} and {w}, its brand for {v} and its size for {n}."""
+    out = _numbered(text)
+    for name, word in (("{a}", F.split("p_name", " ")[0]), ("{b}", F.split("p_name", " ")[1]), ("{w}", F.replace("p_brand", F.lit("#"), F.lit("")))):
+        out = F.replace(out, F.lit(name), word) if name in text else out
+    return out
+
+
 def limit_methods(part: DataFrame) -> DataFrame:
-    """One method per part, from LIMIT_TEMPLATES."""
-    return _written(part, [_method("Operate", "void", params, body, (), locals_, (), "C#") for params, locals_, body, _ in LIMIT_TEMPLATES])
+    """One method per part, of a clause of each group of LIMIT_CLAUSES."""
+    digit = F.col("p_partkey") * SCRAMBLE % MODULUS
+    one_of = lambda group, step, size, make: F.element_at(F.array(*map(make, group)), (F.floor(digit / step) % size + 1).cast("int"))
+    chosen = list(zip(LIMIT_CLAUSES, digits(LIMIT_CLAUSES), strict=True))
+    clauses = [one_of(g, step, size, lambda c: _worded(c[1])) for g, (step, size) in chosen]
+    params = F.flatten(F.array(*[one_of(g, step, size, lambda c: F.array(*map(_worded, c[0])).cast("array<string>")) for g, (step, size) in chosen]))
+    body = F.concat(F.lit("{\n "), F.concat_ws("\n ", *clauses), F.lit("\n}"))
+    rows = spread(part.select("p_partkey", "p_size", "p_brand", "p_name"))
+    return rows.select(F.col("p_partkey").alias("method_id"), params.alias("params"), body.alias("body"), _variables(()).alias("fields"), _variables(()).alias("locals"))
 
 
 def flow_methods(part: DataFrame) -> DataFrame:
@@ -455,6 +487,12 @@ def usage_sql() -> str:
 
 
 def limits_sql() -> str:
-    rows = [(i, *expected) for i, t in enumerate(LIMIT_TEMPLATES) for expected in t[-1]]
-    one = 'SELECT p_partkey AS method_id, replace({}, \'{{v}}\', lower(replace(p_brand, \'#\', \'\'))) AS name, {} AS scope, {} AS "limit", {} AS source FROM (SELECT p_partkey, p_size AS n, p_brand FROM part) WHERE p_partkey % {} = {}'
-    return " UNION ALL ".join(one.format(_quoted(name), _quoted(scope), limit, _quoted(source), len(LIMIT_TEMPLATES), i) for i, limit, name, scope, source in rows)
+    """The limit of each variable by the clause that its method's digit chose."""
+    parts = "SELECT p_partkey, p_size AS n, lower(replace(p_brand, '#', '')) AS v, replace(p_brand, '#', '') AS w, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, " + f"p_partkey * {SCRAMBLE} % {MODULUS} AS d FROM part"
+    rows = []
+    for group, (step, size) in zip(LIMIT_CLAUSES, digits(LIMIT_CLAUSES), strict=True):
+        for i, (_, _, expected) in enumerate(group):
+            for name, scope, limit, source in expected:
+                named = f"{name[1]} || '{name[3:]}'"
+                rows.append(f"SELECT p_partkey AS method_id, {named} AS name, {_quoted(scope)} AS scope, {limit} AS \"limit\", {_quoted(source)} AS source FROM k WHERE d // {step} % {size} = {i}")
+    return f"WITH k AS ({parts}) " + " UNION ALL ".join(rows)

@@ -226,18 +226,6 @@ STEP_CLAUSES = (
         ("return box.{v}; ", (("ReturnResult", "Return the {v} value to the caller"),)), ("return {n} + 1; ", (("ReturnResult", "Return the resulting value to the caller"),)), ("return; ", (("ReturnResult", "Return the resulting value to the caller"),)),
     ),
 )
-#: The digit of a group: a scrambled key, divided by how many bodies the groups before it make.
-_SCRAMBLE, _MODULUS = 7919, 1_000_003
-
-
-def _digits():
-    step, out = 1, []
-    for group in STEP_CLAUSES:
-        out.append((step, len(group)))
-        step *= len(group)
-    return out
-
-
 def _sql_text(template: str) -> str:
     """A clause's sentence in SQL, over the columns of p."""
     out = "'" + template.replace("'", "''") + "'"
@@ -248,14 +236,14 @@ def _sql_text(template: str) -> str:
 
 def _step_rows() -> str:
     rows = []
-    for g, (group, (step, size)) in enumerate(zip(STEP_CLAUSES, _digits(), strict=True)):
+    for g, (group, (step, size)) in enumerate(zip(STEP_CLAUSES, corpus.digits(STEP_CLAUSES), strict=True)):
         for i, (_, steps) in enumerate(group):
             rows += [f"SELECT p_partkey AS method_id, {g * 10 + k} AS pos, '{kind}' AS kind, {_sql_text(text)} AS description FROM k WHERE d // {step} % {size} = {i}" for k, (kind, text) in enumerate(steps)]
     return " UNION ALL ".join(rows)
 
 
 @query(f"""
-, k AS (SELECT *, p_partkey * {_SCRAMBLE} % {_MODULUS} AS d FROM p), s AS ({_step_rows()}),
+, k AS (SELECT *, p_partkey * {corpus.SCRAMBLE} % {corpus.MODULUS} AS d FROM p), s AS ({_step_rows()}),
 m AS (SELECT * FROM (SELECT *, lag(kind) OVER (PARTITION BY method_id ORDER BY pos) AS before FROM s) WHERE kind IS DISTINCT FROM before),
 o AS (SELECT *, list_position({list(flow.PHASES)}, kind) AS phase, count(*) OVER (PARTITION BY method_id) AS n_steps FROM m),
 f AS (SELECT *, kind IN ('Calculation', 'Delegation') AS core, row_number() OVER (PARTITION BY method_id, kind IN ('Calculation', 'Delegation') ORDER BY phase, pos) AS nth FROM o),
@@ -266,8 +254,8 @@ UNION ALL SELECT p_partkey, 1, 'Calculation', 'Execute the ' || w || ' operation
 def csharp_steps(spark, sf_dir):
     """C# bodies of independent clauses, with comments, literals and deep brackets that are no code."""
     none = F.array().cast("array<string>")
-    d = F.col("p_partkey") * _SCRAMBLE % _MODULUS
-    clauses = [F.element_at(F.array(*[say(text.replace("{{", "\0").replace("}}", "\1")) for text, _ in group]), (F.floor(d / step) % size + 1).cast("int")) for group, (step, size) in zip(STEP_CLAUSES, _digits(), strict=True)]
+    d = F.col("p_partkey") * corpus.SCRAMBLE % corpus.MODULUS
+    clauses = [F.element_at(F.array(*[say(text.replace("{{", "\0").replace("}}", "\1")) for text, _ in group]), (F.floor(d / step) % size + 1).cast("int")) for group, (step, size) in zip(STEP_CLAUSES, corpus.digits(STEP_CLAUSES), strict=True)]
     body = F.translate(F.concat(F.lit("public int Run(int at)\n{ "), *clauses, F.lit("}")), "\0\1", "{}")
     rows = parts(spark, sf_dir).select(
         F.col("p_partkey").alias("method_id"), F.col("w").alias("method_name"), F.lit("int").alias("return_type"), F.lit("C#").alias("language"), body.alias("body"), variables().alias("locals"), variables(("count", "int")).alias("fields"),

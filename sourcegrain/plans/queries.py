@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import flow, limits, rules
-from . import corpus, declared, entities, tables
+from . import composed, corpus, declared, entities, tables
 
 FINDING = ["method_id", "rule_id", "kind", "subject", "description", "confidence"]
 
@@ -50,3 +50,5 @@ QUERIES |= entities.QUERIES
 SQL |= entities.SQL
 QUERIES |= declared.QUERIES
 SQL |= declared.SQL
+QUERIES |= composed.QUERIES
+SQL |= composed.SQL

@@ -76,6 +76,15 @@ def structural_json(project: DataFrame, namespaces: DataFrame, links: DataFrame)
     return head.unionByName(spaces).unionByName(related)
 
 
+def graph_json(project_name: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """part, json: a knowledge graph as JSON lines: its project, a line a node (id, label, kind, properties), a line an edge (source, target, label)."""
+    spark = nodes.sparkSession
+    head = spark.range(1).select(F.lit("graph").alias("part"), F.to_json(F.struct(F.lit(project_name).alias("projectName"))).alias("json"))
+    properties = F.coalesce("properties", F.create_map().cast("map<string,string>"))
+    ones = nodes.select(F.lit("node").alias("part"), F.to_json(F.struct("id", "label", "kind", properties.alias("properties"))).alias("json"))
+    return head.unionByName(ones).unionByName(edges.select(F.lit("edge").alias("part"), F.to_json(F.struct("source", "target", "label")).alias("json")))
+
+
 def full_json(methods: DataFrame, findings: DataFrame, steps: DataFrame, limits: DataFrame) -> DataFrame:
     """method_id, json: all that was found of a method. methods: method_id, class_name, method_name, path. findings:
     method_id, analyzer, emit_ord, description. steps: method_id, step, description. limits: as limits.variable_limits gives them."""

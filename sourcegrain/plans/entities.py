@@ -159,6 +159,16 @@ def knowledge_edges(spark, sf_dir):
     return _graph(spark, sf_dir)[1]
 
 
+@query("""
+SELECT 'graph' AS part, '{"projectName":"Trade"}' AS json
+UNION ALL SELECT 'node', '{"id":"ns:' || r_name || '","label":"' || r_name || '","kind":"namespace","properties":{}}' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+UNION ALL SELECT 'node', '{"id":"class:' || n_name || '","label":"' || n_name || '","kind":"class","properties":{"accessModifier":"public","methodCount":"' || (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) || '","propertyCount":"0"}}' FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'edge', '{"source":"ns:' || r_name || '","target":"class:' || n_name || '","label":"CONTAINS"}' FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'edge', '{"source":"' || n_name || '","target":"' || s_name || '","label":"CALLS"}' FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def graph_json(spark, sf_dir):
+    return reports.graph_json("Trade", *_graph(spark, sf_dir))
+
+
 def _graph(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     counts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("methods"))

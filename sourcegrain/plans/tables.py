@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import describe, prompts, reports, structure
+from ..operators import conversation, describe, prompts, reports, structure
 from ..sources import files
 from ..streaming.debounce import debounce
 from ..streaming.partial import partial_texts
@@ -224,6 +225,27 @@ def cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", prompts.cache_key(F.lit("explain"), F.col("source"), F.col("lang"), F.col("n_chars").cast("string")).alias("key"))
 
 
+@query(r"""
+WITH t AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 7 = 0 AND turn = 0 THEN ' ' ELSE substr(text, 1, 40) || CASE turn % 4 WHEN 0 THEN '' WHEN 2 THEN ' Step by step.' ELSE ' At LENGTH' END END AS question, coalesce(substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 60), '') AS raw FROM conversations),
+a AS (SELECT *, CASE turn % 3 WHEN 0 THEN raw || chr(10) || '**x**' || chr(10) || ' 4. ' || chr(10) || chr(10) || '>' WHEN 1 THEN ' [none]' || chr(10) || '4' ELSE raw END AS answer FROM t WHERE role = 'user'),
+c AS (SELECT *, 'Q: ' || question || chr(10) || 'A: ' || CASE WHEN regexp_matches(answer, '^\s*(\[|$)') THEN answer
+  ELSE regexp_replace(replace(replace(regexp_replace(regexp_replace(answer, '(\n[ \t\r]*([>*-]|[0-9]+[.)]?)?[ \t\r]*)+$', ''), '^[ \t\r]*([>*-]|[0-9]+[.)]?)[ \t\r]*$', ''), '**', ''), '__', ''), '^\s+|\s+$', '', 'g') END || chr(10) AS told FROM a WHERE trim(question) <> ''),
+h AS (SELECT *, coalesce(string_agg(told, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS history, regexp_matches(lower(question), 'detail|elaborate|in depth|in-depth|thorough|comprehensive|explain fully|fully explain|step by step|step-by-step|at length') AS detailed FROM c)
+SELECT conv_id, turn, detailed, 'Answer the question about this method using the metadata below. ' || CASE WHEN detailed THEN 'Give a detailed, thorough answer that covers relevant edge cases.' ELSE 'Be concise.' END || chr(10) || CASE WHEN conv_id % 2 = 0 THEN 'This is a C# method.' || chr(10) ELSE '' END || chr(10)
+  || '<<<CODE' || chr(10) || 'Method: m' || conv_id || chr(10) || 'Initial explanation: by ' || role || chr(10) || 'CODE>>>' || chr(10) || chr(10) || CASE WHEN history <> '' THEN 'Conversation so far:' || chr(10) || history || chr(10) ELSE '' END || 'Question: ' || question || chr(10) || 'Answer:' AS prompt FROM h
+UNION ALL SELECT conv_id, turn, false, '[Please enter a question.]' FROM a WHERE trim(question) = ''""")
+def conversation_prompts(spark, sf_dir):
+    """A prompt for each user turn, with the last four turns and the answers that were given."""
+    rows = table(spark, sf_dir, "conversations").withColumn("raw", F.coalesce(F.substring(F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")), 1, 60), F.lit(""))).filter("role = 'user'")
+    end = F.when(F.col("turn") % 4 == 0, "").when(F.col("turn") % 4 == 2, " Step by step.").otherwise(" At LENGTH")
+    question = F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 0), " ").otherwise(F.concat(F.substring("text", 1, 40), end))
+    answer = F.when(F.col("turn") % 3 == 0, F.concat("raw", F.lit("\n**x**\n 4. \n\n>"))).when(F.col("turn") % 3 == 1, F.lit(" [none]\n4")).otherwise(F.col("raw"))
+    turns = rows.select(
+        "conv_id", "turn", question.alias("question"), answer.alias("answer"), F.concat(F.lit("Method: m"), F.col("conv_id").cast("string")).alias("context"), F.concat(F.lit("by "), "role").alias("explanation"), F.when(F.col("conv_id") % 2 == 0, "This is a C# method.").otherwise("").alias("language_note"),
+    )
+    return conversation.conversation_prompts(turns)
+
+
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 4")
 def last_turns(spark, sf_dir):
     return prompts.last_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), 4)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sourcegrain.functions import declarations as D
 from sourcegrain.functions import lexing
 from sourcegrain.functions import text as T
-from sourcegrain.operators import describe, flow, prompts, reports, structure, wording
+from sourcegrain.operators import conversation, describe, flow, prompts, reports, structure, wording
 from sourcegrain.sources import files
 
 
@@ -236,6 +236,14 @@ def test_reads_and_caches(spark, tmp_path):
     assert [r.method_id for r in prompts.fully_cached(cached).collect()] == [1]
 
 
+def test_answers_and_questions(spark):
+    cases = {"a\n\n4": "a", "**a** __b__\n>\n- ": "a b", "4.": "", " [no]\n4": " [no]\n4", " \n": " \n", "a\r\nb 4\r\n12)": "a\nb 4", "- x\n-": "- x", "_**_a": "a"}
+    rows = spark.createDataFrame(list(cases.items()), "a string, want string").select("a", "want", conversation.clean_answer(F.col("a")).alias("got")).collect()
+    assert [(r.a, r.got) for r in rows] == [(r.a, r.want) for r in rows]
+    row = values(spark, y=conversation.wants_detail(F.lit("Explain it Step-By-Step")), n=conversation.wants_detail(F.lit("What is it?")))
+    assert row.y and not row.n
+
+
 @pytest.mark.parametrize("text", [None, ""])
 def test_nothing_to_describe(spark, text):
     rows = spark.createDataFrame([(text, text, None, text)], "name string, class string, params array<string>, returns string")

@@ -24,7 +24,10 @@ VALUE = r"([A-Za-z_]\w*|-?\d+(?:\.\d+)?[fFdDmMlLuU]{0,2})"
 MAX_BODY = 100_000
 #: Lines over which a condition may be wrapped beyond its first.
 WRAPPED = 8
-DECIMAL = "decimal(38,18)"
+#: Fixed value: the largest number of the decimal type of C#. A number is the whole number below it and how many units of 10^-28 are above that.
+LARGEST = "79228162514264337593543950335"
+DIGITS = 28
+VALUE_TYPE = f"struct<w:decimal(38,0),f:decimal({DIGITS},0)>"
 
 #: What built-in types hold (normalised names, sentence).
 TYPE_RANGES = (
@@ -49,10 +52,47 @@ CONFIDENCES = ("High", "Medium", "Low")
 PART = "struct<kind:string,text:string,evidence:string,source:string,confidence:string>"
 
 
+def _exact(whole: Column, part: Column) -> Column:
+    return F.struct(whole.cast("decimal(38,0)").alias("w"), part.cast(f"decimal({DIGITS},0)").alias("f"))
+
+
+def whole_number(n: int) -> Column:
+    return _exact(F.lit(n), F.lit(0))
+
+
+def exact(text: Column) -> Column:
+    """The number that a literal of digits and at most one point writes; null beyond LARGEST, as such a literal is none there."""
+    def of_parts(x: Column) -> Column:
+        signed = F.when(x["minus"], negated(x)).otherwise(_exact(x["w"], x["f"]))
+        return F.when(x["w"] <= F.lit(LARGEST).cast("decimal(38,0)"), signed)
+
+    def parts(t: Column) -> Column:
+        part = F.rpad(F.substring_index(F.concat(t, F.lit(".")), ".", 2), F.length(t) + DIGITS + 1, "0")
+        digits = F.substring(F.substring_index(part, ".", -1), 1, DIGITS)
+        return F.struct(F.ltrim(F.substring_index(t, ".", 1), F.lit("+-")).try_cast("decimal(38,0)").alias("w"), digits.try_cast(f"decimal({DIGITS},0)").alias("f"), t.startswith("-").alias("minus"))
+
+    return T.bind(T.bind(text, parts), of_parts)
+
+
+def negated(x: Column) -> Column:
+    unit = F.lit("1" + "0" * DIGITS).cast(f"decimal({DIGITS + 1},0)")
+    return F.when(is_whole(x), _exact(-x["w"], F.lit(0))).otherwise(_exact(-x["w"] - 1, unit - x["f"]))
+
+
+def plus(x: Column, n: int) -> Column:
+    return _exact(x["w"] + n, x["f"])
+
+
+def is_whole(x: Column) -> Column:
+    return x["f"] == 0
+
+
 def number(value: Column) -> Column:
-    """A decimal without trailing zeros."""
-    text = value.cast(DECIMAL).cast("string")
-    return F.regexp_replace(text, r"\.?0+$", "")
+    """A number in digits, without trailing zeros."""
+    def digits(x: Column) -> Column:
+        return F.concat(x["w"].cast("string"), F.regexp_replace(F.when(is_whole(x), "").otherwise(F.concat(F.lit("."), F.lpad(x["f"].cast("string"), DIGITS, "0"))), "0+$", ""))
+
+    return F.when((value["w"] < 0) & ~is_whole(value), F.concat(F.lit("-"), digits(negated(value)))).otherwise(digits(value))
 
 
 def _matches(text: Column, pattern: str, **groups: int) -> Column:
@@ -144,7 +184,7 @@ def constants(code: Column, variables: Column) -> Column:
         times = lambda v: F.size(F.filter(x["targets"], lambda t: t == v["name"]))
         stated = lambda v: F.exists(x["set"], lambda s: (s["name"] == v["name"]) & s["value"].startswith(literal(v)))
         kept = F.filter(variables, lambda v: literal(v).rlike(r"^[+-]?\d+(?:\.\d+)?$") & (times(v) <= F.when(stated(v), 1).otherwise(0)))
-        return F.transform(kept, lambda v: F.struct(v["name"].alias("name"), literal(v).try_cast(DECIMAL).alias("value")))
+        return F.transform(kept, lambda v: F.struct(v["name"].alias("name"), exact(literal(v)).alias("value")))
 
     targets = T.found(code, r"\b([A-Za-z_]\w*)\s*[-+*/]?=(?!=)")
     return T.bind(F.struct(targets.alias("targets"), _matches(code, r"\b([A-Za-z_]\w*)\s*=\s*([+-]?[\w.]+)", name=1, value=2).alias("set")), fixed)
@@ -164,7 +204,7 @@ def facts(x: Column) -> Column:
     def value(token: Column) -> Column:
         literal = F.regexp_replace(token, r"[fFdDmMlLuU]+$", "")
         named = F.element_at(F.filter(fixed, lambda c: c["name"] == token), -1)["value"]
-        return F.when(literal.rlike(r"^-?\d+(?:\.\d+)?$"), literal.try_cast(DECIMAL)).otherwise(F.when(F.exists(fixed, lambda c: c["name"] == token), named))
+        return F.when(literal.rlike(r"^-?\d+(?:\.\d+)?$"), exact(literal)).otherwise(F.when(F.exists(fixed, lambda c: c["name"] == token), named))
 
     def valued(found: Column, *tokens: str) -> Column:
         """Matches with the values of their tokens; those without a value go."""
@@ -198,20 +238,20 @@ def facts(x: Column) -> Column:
 
 def _tightest(found: Column, above: bool) -> Column:
     """value, open, ev of the largest lower (or smallest upper) bound of matches (value, open, ev); ties to the first."""
-    ranked = F.transform(found, lambda m, i: F.struct((-m["value"] if above else m["value"]).cast(DECIMAL).alias("o"), i.alias("i"), m["value"].alias("value"), m["open"].alias("open"), m["ev"].alias("ev")))
+    ranked = F.transform(found, lambda m, i: F.struct((negated(m["value"]) if above else m["value"]).alias("o"), i.alias("i"), m["value"].alias("value"), m["open"].alias("open"), m["ev"].alias("ev")))
     return F.array_min(ranked)
 
 
 def _bounds(found: Column, signs: tuple[str, str]) -> Column:
     """Matches of two operators as bounds: the first is inclusive, the second exclusive."""
     own = F.filter(found, lambda m: m["op"].isin(*signs))
-    return F.transform(own, lambda m: F.struct(m["value"].cast(DECIMAL).alias("value"), (m["op"] == signs[1]).alias("open"), m["ev"].alias("ev")))
+    return F.transform(own, lambda m: F.struct(m["value"].alias("value"), (m["op"] == signs[1]).alias("open"), m["ev"].alias("ev")))
 
 
 def _past(bound: Column, step: int, fractional: Column) -> Column:
     """An exclusive whole bound as its neighbour; others as they are."""
-    whole = bound["open"] & (bound["value"] % 1 == 0) & ~fractional
-    return F.when(bound.isNotNull(), F.struct(F.when(whole, bound["value"] + step).otherwise(bound["value"]).cast(DECIMAL).alias("value"), (bound["open"] & ~whole).alias("open"), bound["ev"].alias("ev")))
+    whole = bound["open"] & is_whole(bound["value"]) & ~fractional
+    return F.when(bound.isNotNull(), F.struct(F.when(whole, plus(bound["value"], step)).otherwise(bound["value"]).alias("value"), (bound["open"] & ~whole).alias("open"), bound["ev"].alias("ev")))
 
 
 def _lower(b: Column) -> Column:
@@ -233,7 +273,7 @@ def _empty(low: Column, high: Column) -> Column:
 
 
 def _closed(value: Column, open_: Column | None = None) -> Column:
-    return F.struct(value.cast(DECIMAL).alias("value"), (F.lit(False) if open_ is None else open_).alias("open"), F.lit("").alias("ev"))
+    return F.struct(value.alias("value"), (F.lit(False) if open_ is None else open_).alias("open"), F.lit("").alias("ev"))
 
 
 def _part(kind: str, text: Column, evidence: Column, source: str = "Guard", confidence: str = "High") -> Column:
@@ -246,19 +286,19 @@ def _first(found: Column) -> Column:
 
 def _size_text(m: Column, type_: Column) -> Column:
     def line(head: str, n: Column) -> Column:
-        unit = F.concat(F.when(is_text(type_), "character").otherwise("item"), F.when(n == 1, "").otherwise("s"))
+        unit = F.concat(F.when(is_text(type_), "character").otherwise("item"), F.when(n == whole_number(1), "").otherwise("s"))
         return F.concat(F.lit(head), number(n), F.lit(" "), unit)
 
     n, op = m["value"], m["op"]
     return (
-        F.when(op == ">", line("at most ", n)).when(op == ">=", line("at most ", n - 1)).when(op == "<", line("at least ", n)).when(op == "<=", line("at least ", n + 1))
-        .when(op == "!=", line("exactly ", n)).when((op == "==") & (n == 0), line("at least ", F.lit(1))).when(op == "==", line("not ", n))
+        F.when(op == ">", line("at most ", n)).when(op == ">=", line("at most ", plus(n, -1))).when(op == "<", line("at least ", n)).when(op == "<=", line("at least ", plus(n, 1)))
+        .when(op == "!=", line("exactly ", n)).when((op == "==") & (n == whole_number(0)), line("at least ", whole_number(1))).when(op == "==", line("not ", n))
     )
 
 
 def _member_text(m: Column) -> Column:
     """ "1, 2 or 3" of the different numbers that a match refuses to differ from; null for one."""
-    values = F.array_distinct(F.transform(T.found(m["ev"], r"!=\s*" + NUMBER), lambda v: number(v.try_cast(DECIMAL))))
+    values = F.array_distinct(F.transform(T.found(m["ev"], r"!=\s*" + NUMBER), lambda v: number(exact(v))))
     return T.bind(values, lambda v: F.when(F.size(v) >= 2, F.concat(F.array_join(F.slice(v, 1, F.size(v) - 1), ", "), F.lit(" or "), F.element_at(v, -1))))
 
 
@@ -273,7 +313,7 @@ def variable_limits(methods: DataFrame) -> DataFrame:
     rows = methods.select("method_id", F.when((F.length(body) > MAX_BODY) | (T.match_steps(body) > T.MATCH_STEPS), "").otherwise(T.without_comments_and_strings(body)).alias("code"), "params", "locals", "fields")
     rows = rows.select(
         "method_id", "code", declared(F.col("params"), F.col("locals"), F.col("fields"), F.col("code")).alias("vars"), rejections(F.col("code")).alias("lines"),
-        F.coalesce(constants(F.col("code"), F.concat(started("fields"), started("locals"))), F.array().cast(f"array<struct<name:string,value:{DECIMAL}>>")).alias("fixed"),
+        F.coalesce(constants(F.col("code"), F.concat(started("fields"), started("locals"))), F.array().cast(f"array<struct<name:string,value:{VALUE_TYPE}>>")).alias("fixed"),
     )
     given = F.struct("code", "lines", F.transform("vars", lambda v: v["name"]).alias("names"), "fixed")
     rows = rows.select("method_id", "code", "vars", T.bind(given, facts).alias("f"))
@@ -295,13 +335,13 @@ def variable_limits(methods: DataFrame) -> DataFrame:
     rows = rows.select("method_id", "code", F.explode(F.transform(every, own)).alias("v")).select("method_id", "code", "v.*")
 
     # The tightest bounds. Refusing x == 0 lifts a floor of zero, and that of an unsigned type.
-    zero = F.transform("zeros", lambda m: F.struct(F.lit(0).cast(DECIMAL).alias("value"), F.lit(True).alias("open"), m["ev"].alias("ev")))
+    zero = F.transform("zeros", lambda m: F.struct(whole_number(0).alias("value"), F.lit(True).alias("open"), m["ev"].alias("ev")))
     rows = rows.withColumns({
         "fractional": is_fractional(F.col("type")), "low": _tightest(_bounds(F.col("singles"), ("<", "<=")), True), "high": _tightest(_bounds(F.col("singles"), (">", ">=")), False),
         "below": _tightest(_bounds(F.col("comparisons"), (">=", ">")), True), "above": _tightest(_bounds(F.col("comparisons"), ("<=", "<")), False),
     })
     lift = _past(_first(zero), 1, F.col("fractional"))
-    lifts = (F.size("zeros") > 0) & (is_unsigned(F.col("type")) | F.coalesce(F.col("low.value") == 0, F.lit(False)))
+    lifts = (F.size("zeros") > 0) & (is_unsigned(F.col("type")) | F.coalesce(F.col("low.value") == whole_number(0), F.lit(False)))
     bound = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.value").alias("value"), F.col(f"{c}.open").alias("open"), F.col(f"{c}.ev").alias("ev")))
     rows = rows.withColumns({
         "low": F.when(lifts & F.coalesce(lift["value"] > F.col("low.value"), F.lit(True)), lift).otherwise(bound("low")), "high": bound("high"), "below": bound("below"), "above": bound("above"),
@@ -309,7 +349,7 @@ def variable_limits(methods: DataFrame) -> DataFrame:
             _past(F.struct(m["low"].alias("value"), (m["over"] == "=").alias("open"), m["ev"].alias("ev")), 1, F.col("fractional")).alias("low"),
             _past(F.struct(m["high"].alias("value"), (m["under"] == "=").alias("open"), m["ev"].alias("ev")), -1, F.col("fractional")).alias("high"))), lambda r: r["low"]["value"] <= r["high"]["value"])),
         "clamp": _first(F.filter("clamps", lambda m: m["low"] <= m["high"])), "letter": _first(F.col("letters")),
-        "loop": _first(F.filter(F.transform("loops", lambda m: F.struct(m["low"].alias("low"), F.when((m["op"] == "<") & (m["high"] % 1 == 0), m["high"] - 1).otherwise(m["high"]).cast(DECIMAL).alias("high"), ((m["op"] == "<") & (m["high"] % 1 != 0)).alias("open"), m["ev"].alias("ev"))), lambda m: m["low"] <= m["high"])),
+        "loop": _first(F.filter(F.transform("loops", lambda m: F.struct(m["low"].alias("low"), F.when((m["op"] == "<") & is_whole(m["high"]), plus(m["high"], -1)).otherwise(m["high"]).alias("high"), ((m["op"] == "<") & ~is_whole(m["high"])).alias("open"), m["ev"].alias("ev"))), lambda m: m["low"] <= m["high"])),
         "from": _first(F.filter("symbols", lambda m: m["op"].startswith("<"))), "to": _first(F.filter("symbols", lambda m: m["op"].startswith(">"))),
     })
     rows = rows.withColumns({"low_in": _past(F.col("low"), 1, F.col("fractional")), "high_in": _past(F.col("high"), -1, F.col("fractional"))})

@@ -172,3 +172,13 @@ def test_throttle_stream_matches_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.seq for r in spark.table("throttled").collect()) == sorted(r.seq for r in throttle(rows, 5_000_000).collect()) == [0, 1, 6, 7, 12, 13, 18, 19]
+
+
+def test_numbers_of_28_digits(spark):
+    cases = {
+        "if (x > 99999999999999999999999) throw new E();": "99999999999999999999999 or less", "if (x < 0.0000000000000000000000000001m) throw new E();": "0.0000000000000000000000000001 or greater",
+        "if (x < -12345678901234567890.5 || x > 79228162514264337593543950335) throw new E();": "-12345678901234567890.5 to 79228162514264337593543950335", "if (x > 79228162514264337593543950336) throw new E();": "any decimal number",
+        "if (x <= -0.25 || x >= 10.50) throw new E();": "greater than -0.25, less than 10.5", "if (x < -3) throw new E(); if (x < -2.75) throw new E();": "-2.75 or greater", "x = Math.Clamp(x, -0.5, 0.5);": "-0.5 to 0.5", "if (x < 1000000) throw new E();": "1000000 or greater",
+    }
+    rows = spark.createDataFrame([(i, "Sample", "Operate", "void", "C#", ["decimal x"], "{ " + b + " }", [], [], [], [], [], []) for i, b in enumerate(cases)], SCHEMA)
+    assert {r.method_id: r["limit"] for r in limits.variable_limits(rows).collect()} == dict(enumerate(cases.values()))

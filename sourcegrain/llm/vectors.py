@@ -1,15 +1,16 @@
 """Exact top-k search by inner product with a KD-tree per shard.
 
 Rows are dealt to shards by hash. A shard's task builds a KD-tree (median
-splits, tight bounding boxes) and streams the queries through it: best-first
-by the largest inner product that a node's box allows, until no box can beat
-the query's k-th score. Each query searches a home shard first; its k-th
+splits, points in the order of the leaves, a tight box and a ball around each)
+and streams the queries through it in batches, best-first: each query visits
+leaves by the largest inner product that box and ball allow, until no leaf can
+beat its k-th score. The queries of a batch that visit one leaf are scored
+there by one matrix product. Each query searches a home shard first; its k-th
 score there is carried to the other shards, where it prunes from the start.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,72 +21,104 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-LEAF = 64
-#: Vectors of one shard's tree: 64 dimensions make 33 MB.
+LEAF = 256
+#: Vectors of one shard's tree: 64 dimensions make 33 MB, and up to as much again as floats.
 SHARD_ROWS = 65_536
 MIN_SHARDS = 8
-QUERY_BATCH = 256
+QUERY_BATCH = 512
+#: Scores of a batch that are held until the best of them are chosen.
+HELD_SCORES = 1 << 17
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+def norms(points: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.square(points.astype(np.float64)).sum(axis=1))
 
 
 class KDTree:
     def __init__(self, ids: np.ndarray, points: np.ndarray):
-        self.ids, self.points = ids, points
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        self.kids: list[tuple[int, int]] = []
-        self.rows: list[np.ndarray | None] = []
-        self._build(np.arange(len(ids)))
-        self.low_f, self.high_f = np.array(self.low, np.float64), np.array(self.high, np.float64)
-
-    def _build(self, rows: np.ndarray) -> int:
-        node, part = len(self.rows), self.points[rows]
-        low, high = part.min(axis=0), part.max(axis=0)
-        self.low.append(low)
-        self.high.append(high)
-        self.kids.append((-1, -1))
-        self.rows.append(rows)
-        if len(rows) > LEAF and low.size and (high > low).any():
-            axis = int((high - low).argmax())
-            order = np.argpartition(part[:, axis], len(rows) // 2)
-            halves = rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]
-            self.rows[node] = None
-            self.kids[node] = (self._build(halves[0]), self._build(halves[1]))
-        return node
+        leaves = self._leaves(points)
+        order = np.concatenate(leaves)
+        self.ids, self.points = ids[order], points[order]
+        self.edges = np.cumsum([0, *map(len, leaves)])
+        parts = np.split(self.points.astype(np.float64), self.edges[1:-1])
+        self.low, self.high = np.array([p.min(axis=0) for p in parts]), np.array([p.max(axis=0) for p in parts])
+        self.middle = np.array([p.mean(axis=0) for p in parts])
+        self.radius = np.array([norms(p - m).max() for p, m in zip(parts, self.middle, strict=True)])
+        self.longest = norms(points).max()
+        self.typed = {np.int64: self.points}
+
+    @staticmethod
+    def _leaves(points: np.ndarray) -> list[np.ndarray]:
+        """The rows of each leaf; where all points are equal, any cut is as good."""
+        leaves, nodes = [], [np.arange(len(points))]
+        while nodes:
+            rows = nodes.pop()
+            part = points[rows]
+            low, high = part.min(axis=0), part.max(axis=0)
+            if len(rows) > LEAF and (high > low).any():
+                axis = int((high.astype(np.float64) - low).argmax())
+                order = np.argpartition(part[:, axis], len(rows) // 2)
+                nodes += [rows[order[len(rows) // 2 :]], rows[order[: len(rows) // 2]]]
+            else:
+                leaves += [rows[i : i + LEAF] for i in range(0, len(rows), LEAF)]
+        return leaves
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The largest inner product with a point of each node's box (rounded up)."""
-        q = queries.astype(np.float64)
-        best = np.maximum(q, 0) @ self.high_f.T + np.minimum(q, 0) @ self.low_f.T
-        return best + 1 + np.abs(best) * 1e-9
-
-    def top(self, own, query: np.ndarray, bound: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """The k best (score, vec_id) that reach `floor`; ties to the smaller id."""
-        found: list[tuple[int, int]] = []  # a heap of (score, -vec_id), the k-th best first
-        least = -np.inf if floor is None else floor
-        nodes = [(-bound[0], 0)]
-        while nodes:
-            negative, node = heapq.heappop(nodes)
-            if -negative < least:
-                break
-            rows = self.rows[node]
-            if rows is None:
-                for kid in self.kids[node]:
-                    if bound[kid] >= least:
-                        heapq.heappush(nodes, (-bound[kid], kid))
-                continue
-            scores = self.points[rows] @ query
-            for i in np.flatnonzero(scores >= least).tolist():
-                vec_id = int(self.ids[rows[i]])
-                if vec_id == own:
-                    continue
-                item = (int(scores[i]), -vec_id)
-                if len(found) < k:
-                    heapq.heappush(found, item)
-                elif item > found[0]:
-                    heapq.heapreplace(found, item)
-                if len(found) == k:
-                    least = max(least, found[0][0])
-        return [(s, -v) for s, v in found]
+        """The largest inner product of each query with a point in each leaf (rounded up)."""
+        q, length = queries.astype(np.float64), norms(queries)
+        box = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
+        ball = q @ self.middle.T + np.outer(length, self.radius)
+        return np.minimum(box, ball) + 1 + length[:, None] * self.longest * 1e-9
+
+    def exact(self, queries: np.ndarray) -> type:
+        """The fastest type in which the inner products, and all sums on the way to them, are exact."""
+        most = norms(queries).max() * self.longest
+        kind = np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64
+        if kind not in self.typed:
+            self.typed[kind] = self.points.astype(kind)
+        return kind
+
+    def top(self, own: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query (its place), vec_id and score of each query's k best that reach its `floor`; ties to the smaller id."""
+        bounds, kind = self.bounds(queries), self.exact(queries)
+        visits = np.argsort(-bounds, axis=1)
+        points, q = self.typed[kind], queries.astype(kind)
+        # The score and id of the k-th best so far; the floor before there are k.
+        least, last = floor.copy(), np.full(len(q), HIGHEST)
+        found, held = [(np.zeros(0, np.int64),) * 3], 0
+
+        def choose() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            who, vec_id, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((vec_id, ~score, who))
+            many = np.bincount(who, minlength=len(q))
+            rank = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+            who, vec_id, score, rank = who[order][rank < k], vec_id[order][rank < k], score[order][rank < k], rank[rank < k]
+            full = rank == k - 1
+            least[who[full]], last[who[full]] = score[full], vec_id[full]
+            return [(who, vec_id, score)]
+
+        going, at, step = np.arange(len(q)), 0, 1
+        while len(going):
+            leaves = visits[going, at : at + step]
+            row, column = np.nonzero(bounds[going[:, None], leaves] >= least[going, None])
+            who, leaves = going[row], leaves[row, column]
+            by_leaf = np.argsort(leaves, kind="stable")
+            for some in np.split(by_leaf, np.flatnonzero(np.diff(leaves[by_leaf])) + 1):
+                start, end = self.edges[leaves[some[0]]], self.edges[leaves[some[0]] + 1]
+                asks = who[some]
+                scores = q[asks] @ points[start:end].T
+                i, j = np.nonzero(scores >= least[asks].astype(kind)[:, None])
+                asks, vec_id, score = asks[i], self.ids[start + j], scores[i, j].astype(np.int64)
+                good = (vec_id != own[asks]) & ((score > least[asks]) | (score == least[asks]) & (vec_id <= last[asks]))
+                found.append((asks[good], vec_id[good], score[good]))
+                held += int(good.sum())
+                if held > HELD_SCORES:
+                    found, held = choose(), 0
+            found, held = choose(), 0
+            at, step = at + step, step * 2
+            going = going[bounds[going, visits[going, at]] >= least[going]] if at < visits.shape[1] else going[:0]
+        return found[0]
 
 
 def integers(embedding: Column, scale: int) -> Column:
@@ -98,31 +131,30 @@ def _search(rows: DataFrame, k: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree, ids, points = None, None, [], []
         for batch in batches:
-            keys = list(zip(batch.column("shard").to_pylist(), batch.column("dim").to_pylist(), strict=True))
-            kinds, vec_ids, floors = batch.column("is_query").to_pylist(), batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("floor").to_pylist()
+            shards, dims, kinds, names, vec_ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "dim", "is_query", "q", "vec_id"))
+            floors = batch.column("floor").fill_null(LOWEST).to_numpy(zero_copy_only=False)
             offsets = batch.column("v").offsets.to_numpy()
             flat = batch.column("v").values.to_numpy(zero_copy_only=False)
-            names = batch.column("q").to_pylist()
-            out: list[tuple[int, int, int, int]] = []
-            start = 0
-            while start < len(keys):
-                end = start
-                while end < len(keys) and end - start < QUERY_BATCH and keys[end] == keys[start] and kinds[end] == kinds[start]:
-                    end += 1
-                block = flat[offsets[start] : offsets[end]].reshape(end - start, keys[start][1])
-                if keys[start] != key:
-                    key, tree, ids, points = keys[start], None, [], []
-                if not kinds[start]:
-                    ids.append(vec_ids[start:end])
+            out = [(np.zeros(0, np.int64),) * 4]
+            edges = np.flatnonzero((np.diff(shards) != 0) | (np.diff(dims) != 0) | (kinds[1:] != kinds[:-1])) + 1
+            for first, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if first == end:
+                    continue
+                if key != (shards[first], dims[first]):
+                    key, tree, ids, points = (shards[first], dims[first]), None, [], []
+                block = flat[offsets[first] : offsets[end]].reshape(end - first, dims[first])
+                if not kinds[first]:
+                    ids.append(vec_ids[first:end])
                     points.append(block)
-                elif ids:
-                    tree = tree or KDTree(np.concatenate(ids), np.concatenate(points))
-                    limits = tree.bounds(block)
-                    for i in range(end - start):
-                        own = int(vec_ids[start + i])
-                        out += [(names[start + i], own, v, s) for s, v in tree.top(own, block[i], limits[i].tolist(), k, floors[start + i])]
-                start = end
-            columns = list(zip(*out, strict=True)) or [[]] * 4
+                    continue
+                if ids:
+                    tree, ids, points = KDTree(np.concatenate(ids), np.concatenate(points)), [], []
+                if tree:
+                    for a in range(first, end, QUERY_BATCH):
+                        z = min(a + QUERY_BATCH, end)
+                        who, vec_id, score = tree.top(vec_ids[a:z], block[a - first : z - first], k, floors[a:z])
+                        out.append((names[a:z][who], vec_ids[a:z][who], vec_id, score))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["q", "query_id", "vec_id", "score"])
 
     shards = max(MIN_SHARDS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

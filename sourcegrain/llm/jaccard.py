@@ -36,6 +36,9 @@ CLASS_BITS = np.uint64(127)
 BATCH_BYTES = 2 << 20
 #: Hashes of names of rows that are broadcast, at most: 2^21 longs.
 BUCKETS = 1 << 21
+#: Common shingles are learnt from about so many texts, of which so many shingles each at most; they are in so many of those texts or more,
+#: and there are at most so many.
+SAMPLED, SAMPLED_SHINGLES, COMMON_TEXTS, MAX_COMMON = 8_000, 2_048, 4, 1 << 17
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -79,10 +82,18 @@ class Scheme:
     signature, which all such sets of its class share; there are so many parts
     that a random set of the class has too few with a chance of RARE at most
     (up to four parts a shingle).
+
+    The same holds of the parts with a shingle that isn't common: a set that
+    has D + 1 of them leaves out its parts of common shingles alone, so a
+    passage that many texts hold puts none of those in one block. A set that
+    has fewer emits all its parts. Which shingles are common is free, as long
+    as all sets are held against the same.
     """
 
-    def __init__(self, num: int, den: int):
+    def __init__(self, num: int, den: int, common: np.ndarray | None = None):
         self.num, self.den = num, den
+        #: Sorted hashes.
+        self.common = np.zeros(0, np.uint64) if common is None else common
         self.low, self.parts, self.need = [1], [], []
 
     def reach(self, size: int) -> int:
@@ -101,6 +112,9 @@ class Scheme:
         sums = np.zeros(len(shingles) + 1, np.uint64)
         np.cumsum(mix64(shingles ^ _A), out=sums[1:])
         high = shingles >> np.uint64(32)
+        at = np.searchsorted(self.common, shingles)
+        rare = at == len(self.common)
+        rare[~rare] = self.common[at[~rare]] != shingles[~rare]
         out = []
         for i in (own, own - 1) if own else (own,):
             m = self.parts[i]
@@ -109,7 +123,10 @@ class Scheme:
             start, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(part)]])
             label = np.uint64(i * int(_B) % (1 << 64)) + part[start] * _A
             sig = [mix64((sums[end] - sums[start]) ^ mix64(label))]
-            if len(start) < self.need[i]:
+            telling = np.logical_or.reduceat(rare, start)
+            if telling.sum() >= self.need[i]:
+                sig = [sig[0][telling]]
+            elif len(start) < self.need[i]:
                 sig.append(mix64(np.array([i], np.uint64) ^ _B))
             out += [(x & ~CLASS_BITS) | np.uint64(i % 128) for x in sig]
         return np.concatenate(out)
@@ -162,6 +179,30 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
 
 
+def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of the shingles that are in many texts of a sample of docs (th, text), the commonest MAX_COMMON at most.
+
+    They only decide which signatures are spared, so a sample will do. It is
+    drawn by hash, one of each text, and bounded; one task counts it.
+    """
+    step = max(1, docs.count() // SAMPLED)
+    some = docs.filter(F.pmod("th", F.lit(step)) == 0).select("th", F.substring(F.col("text").cast("string"), 1, 8 * SAMPLED_SHINGLES).alias("text")).dropDuplicates(["th"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in small_batches(iter([batch]), "text", BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array([s[:SAMPLED_SHINGLES].tobytes() for s in shingle_sets(piece.column("text"), k)], pa.binary())], ["payload"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = {raw for batch in batches for raw in batch.column("payload").to_pylist()}
+        found, many = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_counts=True)
+        often = np.flatnonzero(many >= COMMON_TEXTS)
+        often = often[np.argsort(-many[often], kind="stable")[:MAX_COMMON]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.sort(found[often]).view(np.int64))], ["shingle"])
+
+    return some.mapInArrow(tidy(spread), "payload binary").repartition(1).mapInArrow(tidy(count), "shingle long").toArrow().column("shingle").to_numpy().view(np.uint64)
+
+
 def nodes_and_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Rows of two kinds: (doc_id, n_shingles, node) of every document, and the candidate edges (node, other, class).
 
@@ -170,9 +211,10 @@ def nodes_and_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     row a task.
     """
     n_parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = common_shingles(docs, k)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme, sigs, names, held = Scheme(num, den), [], [], 0
+        scheme, sigs, names, held = Scheme(num, den, common), [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             sig, node, a, b, kind = _edges_of(np.concatenate(sigs), np.repeat(np.array([n for n, _ in names], np.int64), [c for _, c in names]))

@@ -165,12 +165,14 @@ def joined(settled: list[tuple]) -> list[tuple]:
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """texts, and spans: (rid, th, first, last) ranges of window starts that also occur in a text with a smaller rid."""
-    texts, candidates, hot = anchors.find(rows, lambda column: scan(column, window), "passages", True)
+    """texts, and spans: (rid, th, first, last) ranges of window starts that also occur in a text with a smaller rid.
+    All columns of rows (rid, th, text, ...) travel with the texts that are asked, see dedup_passages."""
+    text = F.col("text").cast("string").alias("text")
+    texts, candidates, hot = anchors.find(rows.select("rid", "th", text), lambda column: scan(column, window), "passages", True)
     texts = texts.groupBy("name", "rid", "th", "n_units", "sequence").agg(F.lit(1).alias("one")).drop("one")
     lowest = texts.groupBy("sequence", "n_units").agg(F.min("rid").alias("lowest"))
     texts = cut(texts.join(lowest, ["sequence", "n_units"]).select("name", "rid", "th", "n_units", (F.col("rid") > F.col("lowest")).alias("copy")), "texts")
-    asked = anchors.with_candidates(rows, texts.filter(~F.col("copy")), candidates)
+    asked = anchors.with_candidates(rows, texts.filter(~F.col("copy")), candidates).withColumn("text", text)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of equal pieces, a task hands on that of the smallest document, and settles the others.
@@ -274,12 +276,13 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
     the same words (by a 128-bit digest) as one with a smaller id go whole. Other columns are not
     read. Empty docs: no rows.
     """
-    rows = anchors.keyed(docs)
-    texts, spans = repeated_windows(rows, window)
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # The search and the result read the same columns dealt by the same key, so that whole texts are shuffled once for both.
+    keyed = docs.select(anchors.ranked_id(F.col("doc_id")).alias("rid"), F.xxhash64(body).alias("th"), F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"_{c}") for c in carry if c != "text"])
+    texts, spans = repeated_windows(keyed, window)
     marks = spans.groupBy("rid", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     verdict = texts.filter("copy").select("rid", "th", "copy").join(marks, ["rid", "th"], "full")
-    keyed = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in carry]).withColumn("rid", anchors.ranked_id(F.col("doc_id"))).withColumn("body", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("th", F.xxhash64("body"))
-    joined = keyed.join(verdict, ["rid", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("body").alias("text"), F.coalesce("copy", F.lit(False)).alias("copy"), "spans", *[f"_{c}" for c in carry])
+    joined = keyed.join(verdict, ["rid", "th"], "left").select("doc_id", body.alias("text"), F.coalesce("copy", F.lit(False)).alias("copy"), "spans", *[F.col("text" if c == "text" else f"_{c}").alias(f"_{c}") for c in carry])
     carried = [f"_{c}" for c in carry]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
